@@ -12,30 +12,21 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _windows(lines: Column, width: int) -> Column:
-    """For each run of `width` lines its md5, null where all of them are blank.
-
-    Lines count without blanks at their ends. The lines are joined by a line feed, which no
-    line holds, so that equal strings are equal runs.
-    """
-    bare = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[\t\r\x0B\f]", " ")))
-    n = F.size(lines)
-
-    def window(i: Column) -> Column:
-        run = F.array_join(F.slice(bare, i, F.lit(width)), "\n")
-        return F.struct((i - 1).alias("pos"), F.when(F.length(F.replace(run, F.lit("\n"))) > 0, F.md5(run)).alias("h"))
-
-    return F.when(n >= width, F.transform(F.sequence(F.lit(1), n - width + 1), window))
-
-
 def repeated_lines(docs: DataFrame, width: int = LINES) -> DataFrame:
     """(_row, covered): the positions (from 0) to remove from each row of `docs`, which has _row.
 
-    A run occurs first at the least (doc_id, _row, position), null ids last; every later one,
-    in the same document too, covers its `width` lines.
+    Lines count without blanks at their ends. A run occurs first at the least (doc_id, _row,
+    position), null ids last; every later one, in the same document too, covers its lines.
     """
-    each = docs.select("_row", "doc_id", F.explode(_windows(_lines(F.col("text")), width)).alias("w"))
-    each = each.select("_row", F.col("doc_id").isNull().alias("_no"), "doc_id", F.col("w.pos").alias("pos"), F.unhex("w.h").alias("h")).where("h is not null")
+    n = F.size("lines") - (width - 1)
+    shifted = [F.slice("lines", k + 1, n).alias(f"l{k}") for k in range(width)]
+    cut = docs.select("_row", "doc_id", _lines(F.col("text")).alias("lines")).where(n > 0)
+    runs = cut.select("_row", "doc_id", F.posexplode(F.arrays_zip(*shifted)).alias("pos", "run"))
+    bare = [F.trim(F.col(f"run.l{k}"), F.lit(" \t\r\x0b\f")) for k in range(width)]
+    whole = F.concat_ws("\n", *bare)
+    each = runs.where(F.length(F.concat(*bare)) > 0).select(
+        "_row", F.col("doc_id").isNull().alias("_no"), "doc_id", "pos", F.unhex(F.md5(whole)).alias("h")
+    )
     place = F.struct("_no", "doc_id", "_row", "pos")
     first = each.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
     later = each.join(first, "h").where(~place.eqNullSafe(F.col("first")))
@@ -80,7 +71,7 @@ OP5_SQL = r"""
 with docs as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
 lines as (
     select doc_id, ls, unnest(ls) as line, generate_subscripts(ls, 1) as i from docs where text is not null),
-bare as (select doc_id, i, line, trim(regexp_replace(line, '[\t\r\x0B\f]', ' ', 'g')) as b from lines),
+bare as (select doc_id, i, line, trim(line, concat(' ', chr(9), chr(13), chr(11), chr(12))) as b from lines),
 runs as (
     select doc_id, i, concat_ws(chr(10), b, b2, b3) as run from (
         select doc_id, i, b, lead(b) over w as b2, lead(b, 2) over w as b3 from bare
