@@ -6,6 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op4_decontamination
+from .embedding_dedup import op9_embedding_dedup
+from .language_id import op7_language_id
+from .packing import op6_packing
+from .token_files import op2_token_files
+from .lm_scoring import op3_lm_scoring
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .sharding import op8_sharding
 from .simhash import op1_simhash
@@ -15,6 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op5_line_dedup": op5_line_dedup,
     "op8_sharding": op8_sharding,
+    "op4_decontamination": op4_decontamination,
+    "op9_embedding_dedup": op9_embedding_dedup,
+    "op7_language_id": op7_language_id,
+    "op6_packing": op6_packing,
+    "op2_token_files": op2_token_files,
+    "op3_lm_scoring": op3_lm_scoring,
     "op10_url_filter": op10_url_filter,
 }
 
