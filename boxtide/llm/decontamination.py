@@ -30,23 +30,27 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def embed(symbols: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """CGK: a walk of `steps` over each row of symbols (0 beyond its end), a row of what it met.
+def embed(symbols: np.ndarray, places: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """CGK: for each repeat and each row of symbols (0 beyond its end), what its walk meets at places[repeat].
 
-    At each step the walk writes the symbol it stands on and moves on if the random bit of
-    (seed, step, symbol) is set. Rows within a small edit distance meet the same symbol at
-    most steps, as walks that fell apart come together again.
+    At each step a walk writes the symbol it stands on and moves on if the random bit of
+    (repeat, step, symbol) is set. Rows within a small edit distance meet the same symbol
+    at most steps, as walks that fell apart come together again. Only the steps up to the last
+    place are walked.
     """
-    n, wide = symbols.shape
-    padded = np.concatenate([symbols, np.zeros((n, 1), symbols.dtype)], axis=1).astype(np.uint64)
-    at, out, row = np.zeros(n, np.int64), np.zeros((n, steps), np.uint64), np.arange(n)
-    for j in range(steps):
-        met = padded[row, at]
-        out[:, j] = met
-        mixed = (met + np.uint64(seed * 1_000_003 + j)) * _MIX
+    (n, wide), (repeats, sampled) = symbols.shape, places.shape
+    flat = np.concatenate([symbols, np.zeros((n, 1), symbols.dtype)], axis=1).astype(np.uint64).ravel()
+    row, at = np.arange(n) * (wide + 1), np.zeros((repeats, n), np.int64)
+    salt = ((np.arange(repeats, dtype=np.uint64) + np.uint64(seed)) * np.uint64(1_000_003))[:, None]
+    out = np.zeros((repeats, n, sampled), np.uint64)
+    for j in range(int(places.max(initial=-1)) + 1):
+        met = flat[row + at]
+        r, k = np.nonzero(places == j)
+        out[r, :, k] = met[r]
+        mixed = (met + (salt + np.uint64(j))) * _MIX
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        at = np.minimum(at + ((mixed >> np.uint64(60)) & np.uint64(1)).astype(np.int64), wide)
+        at = np.minimum(at + (mixed >> np.uint64(63)).astype(np.int64), wide)
     return out
 
 
@@ -108,10 +112,9 @@ class Index:
     def keys(self, windows: np.ndarray, size: int) -> Iterator[list[bytes]]:
         """For each repeat, a key of each window: the symbols at the sampled steps of its walk."""
         steps = 2 * size
-        for r in range(REPEATS):
-            sampled = np.random.default_rng((SEED, r, size)).choice(steps, min(SAMPLED, steps), replace=False)
-            got = embed(windows, int(sampled.max()) + 1, SEED + r)[:, sampled]
-            yield [x.tobytes() for x in np.ascontiguousarray(got)]
+        places = np.stack([np.random.default_rng((SEED, r, size)).choice(steps, min(SAMPLED, steps), replace=False) for r in range(REPEATS)])
+        for got in embed(windows, places):
+            yield [x.tobytes() for x in got]
 
     def _starts(self, symbols: np.ndarray) -> dict[int, np.ndarray]:
         """For each item length, where windows can start that hold enough of one such item's rare words.
@@ -136,10 +139,8 @@ class Index:
         for size in np.unique(sizes).tolist():
             mine = sizes == size
             begin, end = np.maximum(place[last[mine]] - width[mine] + 1, 0), place[first[mine]] + 1
-            mark = np.zeros(len(symbols) + 1, np.int64)
-            np.add.at(mark, begin, 1)
-            np.add.at(mark, end, -1)
-            out[size] = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
+            n = end - begin
+            out[size] = np.unique(np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
         return out
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
@@ -157,8 +158,8 @@ class Index:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for size, begins in self._starts(np.maximum(symbols, 0)).items():
             hits: dict[tuple[int, int], list[int]] = {}
-            for lo in range(0, len(begins), 20_000):
-                own = begins[lo : lo + 20_000]
+            for lo in range(0, len(begins), 2_000):
+                own = begins[lo : lo + 2_000]
                 windows = symbols[own[:, None] + np.arange(size)]
                 seen: set[tuple[int, int]] = set()
                 for r, keys in enumerate(self.keys(np.where(windows < 0, 0, windows), size)):
