@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -188,10 +189,10 @@ class Index:
         return [(n, k, *best[n, k]) for n, k in sorted(best)]
 
 
-def _cut(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """The rows again, in slices of about `most` bytes of text or of one row."""
     for b in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy().astype(np.int64))
         at = 0
         while at < b.num_rows:
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
@@ -211,6 +212,10 @@ def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple]]:
     yield block
 
 
+def _wanted(benchmark: DataFrame, item: str) -> DataFrame:
+    return benchmark.where(F.col("text").isNotNull()).select(item, "text").distinct().orderBy(item, "text")
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", item: str = "item_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """key, item, edits, item_words, first_word, n_words: each document's best place of each item in it.
 
@@ -223,11 +228,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
 
     The items are broadcast in blocks of bounded size, each with a pass over the documents.
     """
-    from functools import reduce
-
     kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     spark = docs.sparkSession
-    wanted = benchmark.where(F.col("text").isNotNull()).select(item, "text").distinct().orderBy(item, "text")
 
     def search(rows: list[tuple]) -> DataFrame:
         shared = spark.sparkContext.broadcast(Index.build(rows, similarity))
@@ -245,10 +247,28 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
 
         return docs.select(key, "text").mapInArrow(run, f"key {kinds[0]}, item {kinds[1]}, edits int, item_words int, first_word int, n_words int")
 
-    found = reduce(DataFrame.union, [search(rows) for rows in _blocks(wanted, block_chars)])
+    found = reduce(DataFrame.union, [search(rows) for rows in _blocks(_wanted(benchmark, item), block_chars)])
     return found.withColumnRenamed("key", key).withColumnRenamed("item", item)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, item: str = "item_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of `docs` that hold no item of `benchmark`, as `contaminations` tells; rows stay where they are."""
+    names, at = docs.columns, docs.columns.index("text")
+
+    def without(docs: DataFrame, rows: list[tuple]) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(Index.build(rows, similarity))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _cut(batches, at):
+                keep = np.ones(b.num_rows, bool)
+                keep[[hit[0] for hit in shared.value.search([t or "" for t in b.column(at).to_pylist()])]] = False
+                yield b.filter(pa.array(keep))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return reduce(without, _blocks(_wanted(benchmark, item), block_chars), docs.select(*names))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of `documents` against every item of `benchmark`: a row for each item that a document holds."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -173,9 +173,10 @@ def train(labelled: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Mod
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with lang_pred and score, which depend on `text` alone. The model's size is fixed by WIDTH and the languages."""
+    """`docs` with lang_pred and score, which depend on `text` alone; columns of these names are replaced. The model's size is fixed by WIDTH and the languages."""
     from pyspark.sql.types import DoubleType, StringType, StructType
 
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
     at = names.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)

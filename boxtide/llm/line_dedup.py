@@ -45,8 +45,10 @@ def dedup_lines(docs: DataFrame, width: int = LINES) -> DataFrame:
 
     The frequent runs are counted with map-side combining; the side of the join that they
     heat is one that AQE can split. `docs` is read twice and its rows are known by
-    partition and place: give a table or a checkpointed frame.
+    partition and place: give a table or a checkpointed frame. Columns of its own names
+    (_row, covered, n_lines, n_removed) are replaced; all others stay.
     """
+    docs = docs.drop("_row", "covered", "n_lines", "n_removed")
     named = docs.withColumn("_row", F.monotonically_increasing_id())
     gone = repeated_lines(named.select("_row", "doc_id", "text"), width)
     lines = _lines(F.col("text"))

@@ -21,9 +21,11 @@ def interleave(rows: DataFrame, shards: int, stratum: str = "source", seed: int
 
     The shuffled order is the md5 of seed, key and the row's other columns, then these
     columns: rows that are equal in all of them are interchangeable. A null stratum is a
-    stratum of its own. No rows: no rows. Both sorts are dealt by range over all order
+    stratum of its own. No rows: no rows. Columns
+    of the operator's own names (shard, slot, position and some that begin with _) go. Both sorts are dealt by range over all order
     columns, so that a hot stratum is spread over many tasks.
     """
+    rows = rows.drop("shard", "slot", "position", "_salt", "_share", "_at", "_part", "_mid", "_before", "_stratum", "_first", "_of")
     rest = [c for c in rows.columns if c not in (stratum, key)]
     salt = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
     ranked = numbered(rows.withColumn("_salt", salt), stratum, "_salt", key, *rest).withColumnRenamed("position", "_at")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,34 +21,47 @@ BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bi
 BLOCK = 100_000
 
 
-def fingerprint(raw: bytes, shingle: int) -> int:
-    """Of a text's UTF-8 bytes: a bit is set if it is in over half the shingles' hashes."""
+def fingerprint(raw: bytes, shingle: int, lanes: int = 1) -> list[int]:
+    """64 bits a lane of a text's UTF-8 bytes: a bit is set if it is in over half the shingles' hashes.
+
+    The first lane's hash is XXH64 with seed 42; the others mix that one further.
+    """
     words = raw.lower().split()  # bytes: A-Z only; white space is \x20 and \x09-\x0D
     if not words:
-        return 0
+        return [0] * lanes
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(joined, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[:-shingle] + 1).tolist()]
-    found = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
-    hashes = np.array(found, dtype="<u8").view(np.uint8).reshape(-1, 8)
-    set_in = np.concatenate([np.bincount(hashes[:, k], minlength=256) @ BITS_OF_BYTE for k in range(8)])
-    return int(np.packbits(2 * set_in > len(found), bitorder="little").view("<u8")[0])
+    found = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)]
+    hashes, out = np.array(found, dtype="<u8"), []
+    for lane in range(lanes):
+        own = (_mixed(hashes, lane) if lane else hashes).view(np.uint8).reshape(-1, 8)
+        set_in = np.concatenate([np.bincount(own[:, k], minlength=256) @ BITS_OF_BYTE for k in range(8)])
+        out.append(int(np.packbits(2 * set_in > len(found), bitorder="little").view("<u8")[0]))
+    return out
+
 
+def _mixed(x: np.ndarray, lane: int) -> np.ndarray:
+    x = x + np.uint64(lane * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id") -> DataFrame:
-    """(key, fp) of each row of `docs`; fp is the 64 bits as a signed long."""
+
+def fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id", lanes: int = 1) -> DataFrame:
+    """(key, fp, more) of each row of `docs`: the first lane's bits as a signed long, the others' as an array."""
     kind = docs.schema[key].dataType
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.binary())
-            fps = np.fromiter((fingerprint(x.as_py() or b"", shingle) for x in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["key", "fp"])
+            found = [fingerprint(x.as_py() or b"", shingle, lanes) for x in b.column(1).cast(pa.binary())]
+            fps = np.array(found, np.uint64).reshape(-1, lanes).view(np.int64)
+            more = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * (lanes - 1), pa.int32()), pa.array(fps[:, 1:].ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ascontiguousarray(fps[:, 0])), more], ["key", "fp", "more"])
 
-    return docs.select(F.col(key).alias("key"), "text").mapInArrow(of, f"key {kind.simpleString()}, fp long").withColumnRenamed("key", key)
+    named = docs.select(F.col(key).alias("key"), "text").mapInArrow(of, f"key {kind.simpleString()}, fp long, more array<long>")
+    return named.withColumnRenamed("key", key)
 
 
 def _roots(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> None:
@@ -65,13 +80,14 @@ def _roots(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> None:
             label[:] = up
 
 
-def trie_classes(block: np.ndarray, fp: np.ndarray, budget: int, most: int = 1 << 21) -> np.ndarray:
-    """The index of a representative for each fingerprint; both arrays are sorted by (block, fp).
+def trie_classes(block: np.ndarray, fp: np.ndarray, budget: int, more: np.ndarray | None = None, total: int = 0, most: int = 1 << 21) -> np.ndarray:
+    """The index of a representative for each fingerprint; the arrays are sorted by (block, fp).
 
     Within each block this walks pairs of nodes of the binary trie of its fingerprints
     together, a bit a step. A node is a range of the sorted array. A pair's children take
     over the bits in which the pair differs, plus one where they go apart, and are left out
-    beyond the budget. Pairs of few leaves are compared leaf by leaf.
+    beyond the budget. Pairs of few leaves are compared leaf by leaf. With `more` lanes (a
+    row each), linked pairs must also differ in `total` bits of all lanes at most.
     """
     n = len(fp)
     label = np.arange(n)
@@ -90,7 +106,11 @@ def trie_classes(block: np.ndarray, fp: np.ndarray, budget: int, most: int = 1 <
             wide = np.repeat(q[3] - q[2], s)
             i, j = np.repeat(q[0], s) + at // wide, np.repeat(q[2], s) + at % wide
             near = (i < j) & (np.bitwise_count(fp[i] ^ fp[j]) <= budget)
-            _roots(i[near], j[near], label)
+            i, j = i[near], j[near]
+            if more is not None and len(more):
+                apart = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in more)
+                i, j = i[apart <= total], j[apart <= total]
+            _roots(i, j, label)
 
     for bit in range(63, -1, -1):
         small = (pairs[1] - pairs[0]) * (pairs[3] - pairs[2]) <= 1024
@@ -111,51 +131,81 @@ def trie_classes(block: np.ndarray, fp: np.ndarray, budget: int, most: int = 1 <
         pairs = np.concatenate(children, axis=1)
         live = (pairs[0] < pairs[1]) & (pairs[2] < pairs[3]) & (pairs[4] <= budget)
         pairs = pairs[:, live & ~((pairs[0] == pairs[2]) & (pairs[1] - pairs[0] == 1))]
-    _roots(*(lambda p: (p[0], p[2]))(pairs), label)
+    compare(pairs)
     return label
 
 
-def fingerprint_links(distinct: DataFrame, budget: int, bands: int, agree: int, block: int = BLOCK) -> DataFrame:
-    """(a, b) links that join all of the distinct `fp` whose bits differ in `budget` places or fewer.
+@dataclass(frozen=True)
+class Search:
+    """How fingerprints are linked: at `budget` or fewer differing bits of the first lane, and `total` of all.
+
+    The first lane is cut into `bands`. Where `agree` is bands - budget and `repeats` None, all
+    choices of so many bands are tried, one of which is equal in any two fingerprints that
+    link: none is missed. Else `repeats` choices are drawn by a seed; of two fingerprints that
+    differ in a share p of the bits these miss about (1 - (1-p)^(64 agree/bands))^repeats.
+    """
+
+    budget: int = 4
+    bands: int = 6
+    agree: int = 2
+    repeats: int | None = None
+    lanes: int = 1
+    total: int = 64
+
+    def choices(self) -> list[tuple[int, ...]]:
+        every = list(combinations(range(self.bands), self.agree))
+        if self.repeats is None:
+            if self.agree < 1 or self.agree > self.bands - self.budget:
+                raise ValueError("agree must be bands - budget at most, and 1 at least")
+            return every
+        drawn = np.random.default_rng(SEED).permutation(len(every))[: self.repeats]
+        return [every[k] for k in sorted(drawn.tolist())]
+
+    @classmethod
+    def of_similarity(cls, jaccard: float) -> Search:
+        """For shingle sets that are so similar: two lanes, and budgets a deviation above the bits that differ then."""
+        p = float(np.arccos(2 * jaccard / (1 + jaccard)) / np.pi)
+        above = lambda bits, by: int(bits * p + by * (bits * p * (1 - p)) ** 0.5)
+        return cls(budget=above(64, 2), bands=16, agree=4, repeats=40, lanes=2, total=above(128, 1.25))
 
-    The 64 bits are cut into `bands`; of two such fingerprints `agree` = bands - budget bands at
-    least are equal. For each choice of so many bands, equal ones make a block, within which
+
+def fingerprint_links(distinct: DataFrame, how: Search, block: int = BLOCK) -> DataFrame:
+    """(a, b) links that join the distinct `fp` (with their `more` lanes) as `how` says.
+
+    For each choice of bands, the fingerprints that are equal in these make a block, within which
     `trie_classes` joins; of each class of a block one link a member is returned. Blocks of
     more than `block` fingerprints are dealt out anew: by more bits, every pair of trie nodes
     within the budget is a block of its own.
     """
-    from itertools import combinations
-
-    if agree != bands - budget or agree < 1:
-        raise ValueError("agree must be bands - budget, and 1 at least")
+    bands, lanes = how.bands, how.lanes
     edge = [64 * k // bands for k in range(bands + 1)]
     cut = lambda k: F.shiftrightunsigned("fp", edge[k]).bitwiseAND((1 << (edge[k + 1] - edge[k])) - 1)
-    choices, width = list(combinations(range(bands), agree)), 10
+    width = min(edge[k + 1] - edge[k] for k in range(bands))
     blocks = []
-    for c, chosen in enumerate(choices):
+    for c, chosen in enumerate(how.choices()):
         key = F.lit(c).cast("long")
         for k in chosen:
             key = F.shiftleft(key, edge[k + 1] - edge[k]).bitwiseOR(cut(k))
         rest = next(k for k in range(bands) if k not in chosen)
-        blocks.append(F.struct(key.alias("key"), F.shiftrightunsigned("fp", edge[rest]).bitwiseAND((1 << width) - 1).alias("sub")))
-    each = distinct.select("fp", F.explode(F.array(*blocks)).alias("x")).select("fp", "x.key", "x.sub")
+        blocks.append(F.struct(key.alias("key"), cut(rest).bitwiseAND((1 << width) - 1).alias("sub")))
+    each = distinct.select("fp", "more", F.explode(F.array(*blocks)).alias("x")).select("fp", "more", "x.key", "x.sub")
     large = each.groupBy("key").count().where(F.col("count") > block)
     large = large.select("key", F.least(F.lit(width), F.ceil(F.log2(F.col("count") / block)) + 1).cast("int").alias("deep"))
     each = each.join(large, "key", "left")
     mine = F.expr("sub % cast(shiftleft(1, deep) as long)")
     others = F.filter(
         F.sequence(F.lit(0).cast("long"), F.expr("cast(shiftleft(1, deep) as long) - 1")),
-        lambda o: (o != mine) & (F.bit_count(o.bitwiseXOR(mine)) <= budget),
+        lambda o: (o != mine) & (F.bit_count(o.bitwiseXOR(mine)) <= how.budget),
     )
     nodes = F.transform(others, lambda o: F.least(o, mine) * (1 << width) + F.greatest(o, mine) + 1)
-    each = each.select("fp", "key", F.explode(F.when(F.col("deep").isNull(), F.array(F.lit(0).cast("long"))).otherwise(nodes)).alias("node"))
+    each = each.select("fp", "key", F.explode(F.when(F.col("deep").isNull(), F.array(F.lit(0).cast("long"))).otherwise(nodes)).alias("node"), *[F.get("more", F.lit(k)).alias(f"m{k}") for k in range(lanes - 1)])
     dealt = each.repartition("key", "node").sortWithinPartitions("key", "node")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         rows = 0
         for b in batches:
-            held.append(np.stack([np.asarray(b.column(k)) for k in range(3)]))
+            held.append(np.stack([np.asarray(x) for x in b.columns]))
             rows += b.num_rows
             if rows >= 200_000:
                 whole = np.concatenate(held, axis=1)
@@ -169,31 +219,34 @@ def fingerprint_links(distinct: DataFrame, budget: int, bands: int, agree: int,
     def linked(x: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not x.shape[1]:
             return
-        new = np.r_[True, (x[1, 1:] != x[1, :-1]) | (x[2, 1:] != x[2, :-1])]
-        group, fp = np.cumsum(new), x[0].view(np.uint64)
-        order = np.lexsort((fp, group))
-        group, fp = group[order], fp[order]
-        label = trie_classes(group, fp, budget)
+        group = np.cumsum(np.r_[True, (x[1, 1:] != x[1, :-1]) | (x[2, 1:] != x[2, :-1])])
+        bits = np.concatenate([x[:1], x[3:]]).view(np.uint64)
+        order = np.lexsort((bits[0], group))
+        bits = bits[:, order]
+        label = trie_classes(group[order], bits[0], how.budget, bits[1:], how.total)
         at = np.flatnonzero(label != np.arange(len(label)))
-        yield pa.RecordBatch.from_arrays([pa.array(fp[at].view(np.int64)), pa.array(fp[label[at]].view(np.int64))], ["a", "b"])
+        fp = bits[0].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[label[at]])], ["a", "b"])
 
     return dealt.mapInArrow(join, "a long, b long").distinct()
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 5, budget: int = 4, bands: int = 6, key: str = "doc_id") -> DataFrame:
+def simhash_groups(docs: DataFrame, shingle: int = 5, how: Search | None = None, key: str = "doc_id") -> DataFrame:
     """key, fp (signed long), root and component_id of each row of `docs`.
 
-    Fingerprints link at `budget` or fewer differing bits; component_id is the least key among
-    the documents that links reach, the row's own included (null where all are null).
-    Null, empty and blank texts have fingerprint 0 and link like any other. Equal rows and
-    equal keys are rows of their own; long texts are hashed whole. No rows: no rows.
+    Fingerprints link as `how` says, by default those of a similarity of 0.8 of their shingles;
+    component_id is the least key among the documents that links reach, the row's own
+    included (null where all are null). Null, empty and blank texts have fingerprint 0
+    and link like any other. Equal rows and equal keys are rows of their own; long texts
+    are hashed whole. No rows: no rows.
 
     Equal fingerprints count once from the start, so a group of copies is one node; all that
     is joined by fingerprint afterwards has one row for each on the other side.
     """
-    each = checkpoint(fingerprints(docs, shingle, key))
-    least = each.groupBy("fp").agg(F.min(key).alias("least"))
-    links = fingerprint_links(least.select("fp"), budget, bands, bands - budget)
+    how = how or Search.of_similarity(0.8)
+    each = checkpoint(fingerprints(docs, shingle, key, how.lanes))
+    least = each.groupBy("fp").agg(F.min(key).alias("least"), F.min("more").alias("more"))
+    links = fingerprint_links(least.select("fp", "more"), how)
     roots = checkpoint(connected_components(links, "a", "b"))
     named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -204,5 +257,5 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, budget: int = 4, bands: in
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of `documents`: doc_id, fingerprint (16 hex digits), component_id; 4-word shingles, 4 bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = simhash_groups(docs, shingle=4)
+    out = simhash_groups(docs, shingle=4, how=Search(budget=4, bands=6, agree=2))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
