@@ -15,12 +15,12 @@ from .common import checkpoint
 from .encoder import encoder
 
 CAPACITY = 2048
-ROUNDS = 500
+ROUNDS = 40
 
 
-def best_filling(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """By dynamic programming, how many of each length make the most valuable sequence."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def best_fillings(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Knapsack by dynamic programming: for each room the place of the length to take first, -1 to leave a token free."""
+    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for room in range(1, capacity + 1):
         best[room] = best[room - 1]
@@ -28,76 +28,60 @@ def best_filling(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> np.n
             value = best[room - lengths[: upto[room]]] + prices[: upto[room]]
             k = int(value.argmax())
             if value[k] > best[room]:
-                best[room], last[room] = value[k], k
-    taken, room = np.zeros(len(lengths), np.int64), capacity
-    while room > 0:
-        if last[room] < 0:
-            room -= 1
-        else:
-            taken[last[room]] += 1
-            room -= lengths[last[room]]
-    return taken
-
-
-def configurations(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, eta: float = 3.0) -> list[tuple[list[int], int]]:
+                best[room], take[room] = value[k], k
+    return take
+
+
+def configurations(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, eta: float = 1.0) -> list[tuple[list[int], int]]:
     """(lengths of a sequence, how often it is used), which hold counts[l] pieces of each length l.
 
-    The covering program over configurations is solved by multiplicative weights: a length's
-    price is its own length times a weight that falls by exp(-eta) as its demand is
-    covered; the knapsack above prices configurations; the best one is used for half of what
-    its scarcest length allows, rounded down to whole sequences. What the rounds leave is packed
-    largest first, each sequence filled up by the best fitting lengths, as often as the
-    counts allow. The work depends on the number of different lengths, not of pieces.
+    The covering program over configurations is solved by multiplicative weights. A length's
+    price is its size (somewhat more for long ones, which are harder to place) times a weight
+    that falls by exp(-eta) as its demand is covered. One knapsack prices, for each length, the
+    best sequence that holds it; of these the full ones are used as often as their scarcest
+    length allows, rounded down to whole sequences. What the rounds leave is packed largest
+    first, each sequence filled up by the largest lengths that fit, as often as the counts
+    allow. The work depends on the number of different lengths, not of pieces.
     """
     out: list[tuple[list[int], int]] = []
-    if counts[capacity]:
-        out.append(([capacity], int(counts[capacity])))
-    left = counts[:capacity].astype(np.int64).copy()
+    left = counts.astype(np.int64).copy()
     left[0] = 0
     whole = np.maximum(left, 1).astype(float)
 
-    def use(taken: dict[int, int], times: int) -> None:
-        for size, k in taken.items():
-            left[size] -= k * times
-        out.append(([s for s, k in sorted(taken.items(), reverse=True) for _ in range(k)], times))
+    def use(taken: dict[int, int]) -> int:
+        times = int(min(left[size] // k for size, k in taken.items()))
+        if times:
+            for size, k in taken.items():
+                left[size] -= k * times
+            out.append(([size for size, k in sorted(taken.items(), reverse=True) for _ in range(k)], times))
+        return times
 
     for _ in range(rounds):
-        lengths = np.flatnonzero(left >= 2)
-        if not len(lengths):
+        lengths = np.flatnonzero(left)
+        prices = lengths * (1 + lengths / (2 * capacity)) * np.exp(eta * (left[lengths] / whole[lengths] - 1))
+        take, used = best_fillings(prices, lengths, capacity), 0
+        for size in lengths[::-1].tolist():
+            taken, room = {size: 1}, capacity - size
+            while room > 0 and take[room] >= 0:
+                one = int(lengths[take[room]])
+                taken[one] = taken.get(one, 0) + 1
+                room -= one
+            used += use(taken) if room == 0 else 0
+        if not used:
             break
-        prices = lengths * np.exp(eta * (left[lengths] / whole[lengths] - 1))
-        taken = best_filling(prices, lengths, capacity)
-        taken = {int(lengths[k]): min(int(taken[k]), int(left[lengths[k]])) for k in np.flatnonzero(taken)}
-        use(taken, max(1, min(left[s] // k for s, k in taken.items()) // 2))
     while left.any():
-        room, taken = capacity, {}
-        sizes = np.flatnonzero(left)
-        free = left[sizes].copy()
-        while True:
-            k = int(np.searchsorted(sizes, room, "right")) - 1
-            while k >= 0 and not free[k]:
+        sizes, room, taken = np.flatnonzero(left), capacity, {}
+        k = len(sizes) - 1
+        while k >= 0:
+            k = min(k, int(np.searchsorted(sizes, room, "right")) - 1)
+            if k >= 0:
+                taken[int(sizes[k])] = n = min(int(left[sizes[k]]), room // int(sizes[k]))
+                room -= n * int(sizes[k])
                 k -= 1
-            if k < 0:
-                break
-            if taken and room < capacity // 2:
-                k = _pair(sizes, free, room, k)
-            free[k] -= 1
-            taken[int(sizes[k])] = taken.get(int(sizes[k]), 0) + 1
-            room -= int(sizes[k])
-        use(taken, int(min(left[s] // k for s, k in taken.items())))
+        use(taken)
     return out
 
 
-def _pair(sizes: np.ndarray, free: np.ndarray, room: int, largest: int) -> int:
-    """The larger of the two lengths that fill `room` best; `largest` if it fills it as well alone."""
-    fit = np.flatnonzero((sizes <= room) & (free > 0))
-    mate = np.searchsorted(sizes[fit], room - sizes[fit], "right") - 1
-    ok = (mate >= 0) & ((mate != np.arange(len(fit))) | (free[fit] > 1))
-    filled = np.where(ok, sizes[fit] + sizes[fit][np.maximum(mate, 0)], sizes[fit])
-    k = int(filled.argmax())
-    return int(fit[max(k, mate[k])]) if filled[k] > sizes[largest] else largest
-
-
 def slots(configs: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted keys (length << 40 | first rank), and for each the first sequence and the offset.
 
