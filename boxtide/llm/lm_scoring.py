@@ -141,27 +141,36 @@ class LogBilinear:
         return own
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
-        return (self.r[contexts] * self.c).sum(1)
+        return sum(self.r.take(contexts[:, k], axis=0) * self.c[k] for k in range(CONTEXT))
 
-    def log10_probabilities(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Normalised over all classes, by one product of matrices for each block of different contexts."""
+    def tables(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """What each place of a context adds to each class's score, and the log of the sum over all classes.
+
+        The sums, one for each context, are products of matrices in blocks; their number is the
+        fixed number of classes to the power of CONTEXT, whatever the texts.
+        """
+        parts = [(self.r * self.c[k]) @ self.q.T for k in range(CONTEXT)]
+        parts[0] = parts[0] + self.b
         wide = OWN + SHARED
-        key = contexts[:, 0].astype(np.int64)
-        for k in range(1, CONTEXT):
-            key = key * wide + contexts[:, k]
-        different, first, which = np.unique(key, return_index=True, return_inverse=True)
-        out = np.empty(len(targets))
-        order, edge = np.argsort(which, kind="stable"), np.r_[0, np.cumsum(np.bincount(which, minlength=len(different)))]
-        for lo in range(0, len(different), 4096):
-            hi = min(lo + 4096, len(different))
-            s = self.predicted(contexts[first[lo:hi]]) @ self.q.T + self.b
-            s -= s.max(1, keepdims=True)
-            s -= np.log(np.exp(s).sum(1, keepdims=True))
-            mine = order[edge[lo] : edge[hi]]
-            out[mine] = s[which[mine] - lo, targets[mine]]
-        return out / np.log(10)
-
-    def train(self, contexts: np.ndarray, targets: np.ndarray, prior: np.ndarray, seed: int, rate: float = 0.08) -> None:
+        every = np.stack(np.meshgrid(*[np.arange(wide)] * CONTEXT, indexing="ij"), axis=-1).reshape(-1, CONTEXT)
+        logs = np.empty(len(every), np.float32)
+        for lo in range(0, len(every), 4096):
+            own = every[lo : lo + 4096]
+            s = self.predicted(own) @ self.q.T + self.b
+            high = s.max(1, keepdims=True)
+            logs[lo : lo + 4096] = np.log(np.exp(s - high).sum(1)) + high[:, 0]
+        return parts, logs
+
+    def log10_probabilities(self, contexts: np.ndarray, targets: np.ndarray, tables: tuple | None = None) -> np.ndarray:
+        """Of each token after its context, normalised over all classes."""
+        parts, logs = tables or self.tables()
+        place, out = np.zeros(len(targets), np.int64), np.zeros(len(targets))
+        for k in range(CONTEXT):
+            place = place * (OWN + SHARED) + contexts[:, k]
+            out += parts[k][contexts[:, k], targets]
+        return (out - logs[place]) / np.log(10)
+
+    def train(self, contexts: np.ndarray, targets: np.ndarray, prior: np.ndarray, seed: int, rate: float = 0.15) -> None:
         """Noise-contrastive estimation by AdaGrad; the noise has the classes' frequencies and is shared by a batch."""
         draw = np.random.default_rng(seed)
         noise_of = np.log(NOISE * prior).astype(np.float32)
@@ -173,27 +182,32 @@ class LogBilinear:
                 now = order[at : at + BATCH]
                 x, y = contexts[now], targets[now]
                 noise = np.searchsorted(edges, draw.random(NOISE), "right")
-                before = self.r[x]
-                h = (before * self.c).sum(1)
-                up = _sigmoid((h * self.q[y]).sum(1) + self.b[y] - noise_of[y]) - 1
-                down = _sigmoid(h @ self.q[noise].T + self.b[noise] - noise_of[noise])
-                scale = np.float32(1 / len(now))
-                g_h = up[:, None] * self.q[y] + down @ self.q[noise]
-                ids = np.concatenate([y, noise])
-                g_q = np.concatenate([up[:, None] * h, down.T @ h])
-                g_b = np.concatenate([up, down.sum(0)])[:, None]
-                g_c = (before * g_h[:, None, :]).sum(0) * scale
-                for own, sums, of, g in ((self.q, seen.q, ids, g_q), (self.b[:, None], seen.b[:, None], ids, g_b), (self.r, seen.r, x.T.ravel(), np.concatenate([g_h * c for c in self.c]))):
-                    rows, g = _row_sums(of, g)
-                    g *= scale * 16
-                    sums[rows] += g * g
-                    own[rows] -= rate * g / np.sqrt(sums[rows])
+                before = [self.r.take(x[:, k], axis=0) for k in range(CONTEXT)]
+                h = sum(r * c for r, c in zip(before, self.c, strict=True))
+                own, other = self.q.take(y, axis=0), self.q.take(noise, axis=0)
+                up = _sigmoid(np.einsum("ij,ij->i", h, own) + (self.b - noise_of).take(y)) - 1
+                down = _sigmoid(h @ other.T + (self.b - noise_of).take(noise))
+                scale = np.float32(16 / len(now))
+                g_h = up[:, None] * own + down @ other
+                g_c = np.stack([np.einsum("ij,ij->j", r, g_h) for r in before]) * np.float32(1 / len(now))
+                rows = [_row_sums(y, np.c_[up[:, None] * h, up]), _row_sums(noise, np.c_[down.T @ h, down.sum(0)])]
+                for ids, g in rows:
+                    _step(self.q, seen.q, ids, g[:, :-1] * scale, rate)
+                    _step(self.b, seen.b, ids, g[:, -1] * scale, rate)
+                for k in range(CONTEXT):
+                    ids, g = _row_sums(x[:, k], g_h)
+                    _step(self.r, seen.r, ids, g * self.c[k] * scale, rate)
                 seen.c += g_c * g_c
                 self.c -= rate * 0.1 * g_c / np.sqrt(seen.c)
 
 
+def _step(own: np.ndarray, sums: np.ndarray, ids: np.ndarray, g: np.ndarray, rate: float) -> None:
+    sums[ids] += g * g
+    own[ids] -= rate * g / np.sqrt(sums[ids])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30, dtype=np.float32)))
 
 
 def _row_sums(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +297,7 @@ def score(docs: DataFrame, learned: DataFrame, key: str = "doc_id", top: int = T
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, lbl, part, row = shared.value, LogBilinear(model.value), TaskContext.get().partitionId(), 0
-        totals = own.class_totals()
+        tables, totals = lbl.tables(), own.class_totals()
         base = np.log10((own.counts + 0.5) / own.base_total)
         within = np.where(own.classes < OWN, 0.0, np.log10((own.counts + 0.5) / totals[own.classes]))
         schema = ["rid", "word", "tf", "head"]
@@ -303,7 +317,7 @@ def score(docs: DataFrame, learned: DataFrame, key: str = "doc_id", top: int = T
                     tfs += [0, *met.values()]
                     rids += [rid] * (len(met) + 1)
                 ends = np.cumsum([len(c) for c in classes])
-                p = lbl.log10_probabilities(*contexts_of(classes))
+                p = lbl.log10_probabilities(*contexts_of(classes), tables)
                 of_text = np.add.reduceat(p, np.r_[0, ends[:-1]])
                 tf = np.array(tfs)
                 columns = [b.column(0), *(pa.array([h[k] for h in heads]) for k in (0, 1, 2)), pa.array(of_text + [h[3] for h in heads])]
