@@ -17,7 +17,7 @@ WITH_SPACE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+|
 WITHOUT_SPACE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{SPACE}{LETTERS}{DIGITS}]+")
 
 #: Pieces that a process remembers, about 200 bytes each.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 
 
 def byte_alphabet() -> dict[int, str]:

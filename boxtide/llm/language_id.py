@@ -157,16 +157,17 @@ def train(labelled: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Mod
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [ngrams(t.as_py()) for t in b.column(0)]
-            at, n = (pa.array([f[k].astype(np.int32).tobytes() for f in found], pa.binary()) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([at, n, b.column(1), b.column(2)], ["at", "n", "lang", "u"])
+            at = pa.array([f[0].astype("<u2").tobytes() for f in found], pa.binary())
+            tf = pa.array([(1 + np.log(f[1])).astype("<f4").tobytes() for f in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([at, tf, b.column(1), b.column(2)], ["at", "tf", "lang", "u"])
 
-    rows = drawn.mapInArrow(features, "at binary, n binary, lang string, u double").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["u"], r["lang"], r["at"]))
+    table = drawn.mapInArrow(features, "at binary, tf binary, lang string, u double").toArrow().sort_by([("u", "ascending"), ("lang", "ascending"), ("at", "ascending")])
     fitted, held = [], []
-    for r in rows:
-        at, n = np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32)
-        x = (1 + np.log(n)) * idf[at]
-        (held if r["u"] > 1 / 1.2 else fitted).append((at, x / max(1e-12, float(np.sqrt(x @ x))), names.index(r["lang"])))
+    for a, tf, lang, u in zip(*(table[c] for c in ("at", "tf", "lang", "u")), strict=True):
+        at = np.frombuffer(a.as_py(), "<u2").astype(np.int32)
+        x = np.frombuffer(tf.as_py(), "<f4") * idf[at].astype(np.float32)
+        (held if u.as_py() > 1 / 1.2 else fitted).append((at, x / max(np.float32(1e-12), np.sqrt(x @ x)), names.index(lang.as_py())))
+    del table
     model.weights, model.bias = fit_weights(fitted, len(names))
     model.temperature = fit_temperature(np.array([model.logits(a, x) for a, x, _ in held]).reshape(-1, len(names)), np.array([y for *_, y in held], int))
     return model

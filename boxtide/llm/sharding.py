@@ -49,14 +49,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards under the law `rows`: counts of shards differ by one at most.
 
     Columns: doc_id, size (UTF-8 bytes, none for a null text, plus 16), text_crc32 (of a null
-    text null), law, shard, slot, grown_shard (null: the law isn't `key`), source.
+    text 0), law, shard, slot, grown_shard (null: the law isn't `key`), source.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     slim = docs.select(
         "doc_id",
         "source",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
     )
     out = interleave(slim, SHARDS)
     return out.select(

@@ -163,10 +163,10 @@ class Search:
 
     @classmethod
     def of_similarity(cls, jaccard: float) -> Search:
-        """For shingle sets that are so similar: two lanes, and budgets a deviation above the bits that differ then."""
+        """For shingle sets that are so similar or more: two lanes, and budgets two deviations above the bits that differ then."""
         p = float(np.arccos(2 * jaccard / (1 + jaccard)) / np.pi)
         above = lambda bits, by: int(bits * p + by * (bits * p * (1 - p)) ** 0.5)
-        return cls(budget=above(64, 2), bands=16, agree=4, repeats=40, lanes=2, total=above(128, 1.25))
+        return cls(budget=above(64, 2.5), bands=16, agree=4, repeats=56, lanes=2, total=above(128, 2))
 
 
 def fingerprint_links(distinct: DataFrame, how: Search, block: int = BLOCK) -> DataFrame:

@@ -1,8 +1,11 @@
-"""The session that tests and the benchmark use."""
+"""The session that tests and the benchmark use, and the package on the executors."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +23,20 @@ def local_session(cpus: int | None = None, app: str = "boxtide") -> SparkSession
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's Python workers, once a context.
+
+    They need no path of the driver's then, as with `--py-files`.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_boxtide_shipped", False):
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="boxtide-")) / "boxtide.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._boxtide_shipped = True

@@ -103,7 +103,7 @@ def test_url_aliases_and_odd_rows(spark):
     got = filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as verdict")).collect()
     by = {r.page_id: r for r in got}
     assert len(got) == len(rows)
-    assert [by[k].verdict for k in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, None)] == ["block", "block", "block", "allow", "allow", "allow", "allow", "allow", "block", "allow", "allow", "block"]
+    assert [by[k].verdict for k in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, None)] == ["block", "block", "block", "allow", "allow", "allow", "allow", "allow", "allow", "allow", "allow", "block"]
     for k, url, _ in rows:
         assert (by[k].host, by[k].path) == brute_url(url)
     assert filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
