@@ -256,3 +256,17 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", embedding: str = "
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector of `embeddings`: vec_id, n_links, component_id, kept."""
     return embedding_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+#: All pairs, compared: right where the index finds every link, as it does on the small tables.
+OP9_SQL = r"""
+with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+fine as (
+    select vec_id, e from v where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+        and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (
+    select a.vec_id as a, b.vec_id as b from fine a join fine b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(vec_id, other) as (select vec_id, vec_id from v union select r.vec_id, l.b from reach r join links l on l.a = r.other),
+least as (select vec_id, min(other) as component_id from reach group by vec_id)
+select vec_id, (select count(*) from links where a = vec_id) as n_links, component_id, vec_id = component_id as kept from least
+"""

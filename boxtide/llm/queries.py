@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op4_decontamination
-from .embedding_dedup import op9_embedding_dedup
+from .embedding_dedup import OP9_SQL, op9_embedding_dedup
 from .language_id import op7_language_id
 from .packing import op6_packing
 from .token_files import op2_token_files
 from .lm_scoring import op3_lm_scoring
 from .line_dedup import OP5_SQL, op5_line_dedup
-from .sharding import op8_sharding
+from .sharding import OP8_SQL, op8_sharding
 from .simhash import op1_simhash
-from .url_filter import op10_url_filter
+from .url_filter import OP10_SQL, op10_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
@@ -30,4 +30,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 
-SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
+SQL: dict[str, str] = {
+    "op5_line_dedup": OP5_SQL,
+    "op8_sharding": OP8_SQL,
+    "op9_embedding_dedup": OP9_SQL,
+    "op10_url_filter": OP10_SQL,
+}

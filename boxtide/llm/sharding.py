@@ -62,3 +62,30 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source"
     )
+
+
+#: crc32 is reckoned byte by byte with the table of its polynomial.
+OP8_SQL = r"""
+with poly as (
+    select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), b)) as step),
+docs as (
+    select doc_id, source, coalesce(octet_length(encode(text)), 0) + 16 as size,
+        list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: cast('0x' || x as bigint)) as bytes
+    from documents),
+slim as (
+    select doc_id, source, size, xor(4294967295, list_reduce(bytes, lambda c, b: xor(c >> 8, step[xor(c & 255, b) + 1]), 4294967295)) as text_crc32,
+        md5(concat_ws('|', '42', doc_id)) as salt
+    from docs, poly),
+ranked as (
+    select *, (2 * (row_number() over (partition by source order by salt, doc_id nulls first, size, text_crc32) - 1) + 1)::double
+        / (2 * count(*) over (partition by source)) as share
+    from slim),
+placed as (
+    select *, row_number() over (order by share, source nulls first, salt, doc_id nulls first, size, text_crc32) - 1 as position,
+        count(*) over () as n
+    from ranked),
+cut as (select *, (position * 40) // n as shard from placed)
+select doc_id, size::bigint as size, text_crc32, 'rows' as law, shard::integer as shard,
+    position - (shard * n + 39) // 40 as slot, null::integer as grown_shard, source
+from cut
+"""

@@ -110,3 +110,45 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, def
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page of `pages` under the rules of RULES."""
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+OP10_SQL = rf"""
+with recursive rules(verdict, rhost, rpath, place) as (values {", ".join(f"({_quoted(v)}, {_quoted(h)}, {_quoted(p)}, {k})" for k, (v, h, p) in enumerate(RULES))}),
+found as (
+    select url, unnest(list_distinct(list_concat(
+        list_transform(regexp_extract_all(html, {_quoted(_LINK)}), lambda x: regexp_extract(x, {_quoted(_HREF)}, 1)),
+        list_transform(regexp_extract_all(html, {_quoted(_META)}), lambda x: regexp_extract(x, {_quoted(_GOTO)}, 1))))) as link
+    from pages where url is not null and html is not null),
+linked as (
+    select url, case when contains(link, '://') then link
+        when starts_with(link, '//') then regexp_extract(url, '^([^:/?#]+:)//', 1) || link
+        when starts_with(link, '/') then regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || link end as target
+    from found),
+addresses as (select url from pages union select url from linked union select target from linked),
+cut as (
+    select url, substr(split_part(url, '#', 1), 1, instr(split_part(url, '#', 1), '://') + 2) as scheme,
+        case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as after,
+        case when contains(split_part(url, '#', 1), '://') then substr(split_part(url, '#', 1), instr(split_part(url, '#', 1), '://') + 3) end as bare
+    from addresses where url is not null),
+known as (
+    select url, translate(regexp_extract(after, '^[^/?#]*'), '{UPPER}', '{LOWER}') as host,
+        regexp_extract(after, '^[^/?#]*([^?#]*)', 1) as path,
+        translate(scheme || regexp_extract(bare, '^[^/?#]*'), '{UPPER}', '{LOWER}') || substr(bare, length(regexp_extract(bare, '^[^/?#]*')) + 1) as node
+    from cut),
+ruled as (
+    select url, arg_max(verdict, length(rhost || rpath) * 10 - place) as verdict, arg_max(rhost || rpath, length(rhost || rpath) * 10 - place) as rule
+    from known, rules where (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by url),
+edges as (
+    select distinct a.node as a, b.node as b from linked l join known a on a.url = l.url join known b on b.url = l.target where a.node <> b.node),
+pairs as (select a, b from edges union select b, a from edges),
+reach(node, other) as (select a, a from pairs union select r.node, p.b from reach r join pairs p on p.a = r.other),
+spread as (
+    select reach.node, case when bool_or(verdict = 'allow') then 'allow' when bool_or(verdict = 'block') then 'block' end as verdict
+    from reach join known on known.node = other join ruled using (url) group by reach.node)
+select page_id, coalesce(k.host, '') as host, coalesce(k.path, '') as path, r.rule, coalesce(r.verdict, s.verdict, 'allow') as verdict
+from pages p left join known k on k.url = p.url left join ruled r on r.url = p.url left join spread s on s.node = k.node
+"""
