@@ -29,12 +29,12 @@ def area(b: Column) -> Column:
 
 
 def iou(a: Column, b: Column) -> Column:
-    """Intersection over union; 0 where the boxes don't meet or have no area. Null for a null box."""
+    """Intersection over union; 0 where the boxes don't meet, have no area or a side that is NaN. Null for a null box."""
     ax1, ay1, ax2, ay2 = _sides(a)
     bx1, by1, bx2, by2 = _sides(b)
     meet = _at_least_zero(F.least(ax2, bx2) - F.greatest(ax1, bx1)) * _at_least_zero(F.least(ay2, by2) - F.greatest(ay1, by1))
     union = area(a) + area(b) - meet
-    value = F.when((meet == 0) | (union <= 0), F.lit(0.0)).otherwise(F.try_divide(meet, union))
+    value = F.when((meet == 0) | (union <= 0), F.lit(0.0)).otherwise(F.nanvl(F.try_divide(meet, union), F.lit(0.0)))
     return F.when(a.isNotNull() & b.isNotNull(), value)
 
 

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 
 def numbered_by(df: DataFrame, *order: str) -> DataFrame:
     """`df` with `position`, from 0 in the order of the columns.
 
     Rows are dealt by range and numbered within their partition; only a count for each partition
-    meets in one task. The order must be total for the numbers to be the same in every run.
+    meets in one task. The numbers are checkpointed, so that the counts are those of the same
+    partitions, also after a lost executor. The order must be total for the numbers to be
+    the same in every run.
     """
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = checkpoint(dealt.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = sizes.selectExpr("_part", "coalesce(sum(_n) over (order by _part rows between unbounded preceding and 1 preceding), 0L) as _before")

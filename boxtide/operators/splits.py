@@ -33,6 +33,10 @@ def _first_of_shuffle(ids: list[int], n: int, seed: int) -> tuple[list[int], lis
     return sorted(shuffled[:n]), sorted(shuffled[n:])
 
 
+#: Ids that a shuffle one by one on the driver may have; more need `split`.
+MOST_EXACT = 5_000_000
+
+
 @dataclass(frozen=True)
 class Split:
     labelled_train: list[int]
@@ -43,7 +47,12 @@ class Split:
 
 
 def exact_split(ids: list[int], ratio: float, fold: int, base_seed: int, val_fraction: float = 0.10) -> Split:
-    """The split that the standard library's generator gives for these seeds; on the driver, since ids are shuffled one by one."""
+    """The split that the standard library's generator gives for these seeds; on the driver, since ids are shuffled one by one.
+
+    ValueError beyond MOST_EXACT ids, for which `split` does the same job in Spark.
+    """
+    if len(ids) > MOST_EXACT:
+        raise ValueError(f"{len(ids)} ids; an exact shuffle takes {MOST_EXACT} at most, split() any number")
     labelled, rest = _first_of_shuffle(ids, labelled_count(len(ids), ratio), fold_seed(base_seed, fold))
     val, train = _first_of_shuffle(labelled, validation_count(len(labelled), val_fraction), inner_val_seed(base_seed, fold))
     return Split(train, val, rest, fold_seed(base_seed, fold), inner_val_seed(base_seed, fold))

@@ -574,7 +574,20 @@ def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
     return t.join(p, ["image_id", "det_index"]).select("box_id_t", "box_id_prev", r6(F.expr("box_iou(t, prev)")).alias("iou"))
 
 
-@query()
+def _signals_sql(t: int) -> str:
+    drift = DRIFT.format(t=t, r=t - 1).replace("h as", f"h{t} as").replace("hn as", f"hn{t} as").replace("from h)", f"from h{t})")
+    return f"""c{t} as ({CHURN.format(t=t, r=t - 1)}), {drift},
+v{t} as (select count(*) filter (status = 'matched' and confidence >= 0.4 and least(greatest(0.33::double * (1 - js) + 0.33::double * iou, 0.0::double), 1.0::double) >= 0.6) as n_admitted from m{t}),
+g{t}s as (select {t} as round_id, n_t, n_admitted, {q6("(n_new + n_removed + n_class_change + n_geom_change)::double / (n_t + n_prev - n_matched)")} as raw_churn,
+    {q6("n_admitted::double / n_t")} as stable_yield, round({o.jsd("a", "b")}, 9) as class_drift from c{t}, v{t}, hn{t})"""
+
+
+@query(f"""with recursive {o.rounds(0, 1, 2)},
+{o.matches(1, 0)},
+{o.matches(2, 1)},
+{_signals_sql(1)},
+{_signals_sql(2)}
+select * from g1s union all select * from g2s""")
 def round_signals(spark: SparkSession, sf: str) -> DataFrame:
     """Signals of rounds 1 and 2, as rows of the loop's history."""
     from functools import reduce
@@ -584,7 +597,8 @@ def round_signals(spark: SparkSession, sf: str) -> DataFrame:
     out = []
     for t in (1, 2):
         rows = bank_rows(fx.detections(spark, sf, t), admission.admit(scored(spark, sf, t), admission.dual_gate()))
-        out.append(of_round(rows, fx.detections(spark, sf, t - 1), 0.5, fx.CLASSES).select(F.lit(t).alias("round_id"), "*"))
+        row = of_round(rows, fx.detections(spark, sf, t - 1), 0.5, fx.CLASSES)
+        out.append(row.select(F.lit(t).alias("round_id"), "n_t", "n_admitted", r6(F.col("raw_churn")).alias("raw_churn"), r6(F.col("stable_yield")).alias("stable_yield"), F.round("class_drift", 9).alias("class_drift")))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -595,7 +609,7 @@ def image_jitter_pixels(spark: SparkSession, sf: str) -> DataFrame:
 
     from ..operators.pixels import transform_images
 
-    base = fx.images(spark, sf).where("id % 500 = 0").select("image_id", F.lit(16).alias("width"), F.lit(12).alias("height"))
+    base = fx.images(spark, sf).select("image_id", F.lit(16).alias("width"), F.lit(12).alias("height"))
     noise = F.concat(*[F.unhex(F.sha2(F.concat("image_id", F.lit(str(k))), 256)) for k in range(18)])
     images = base.withColumn("pixels", noise)
     parts = [transform_images(images, t).select("image_id", F.lit(t).alias("transform"), F.crc32("pixels").alias("checksum")) for t in jitter.TRANSFORMS]
@@ -605,7 +619,8 @@ def image_jitter_pixels(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def split_exact(spark: SparkSession, sf: str) -> DataFrame:
     """The split by the standard library's generator, as a relation."""
-    ids = [r[0] for r in fx.images(spark, sf).select("id").collect()]
+    images = fx.images(spark, sf).select("id")
+    ids = [r[0] for r in images.limit(splits.MOST_EXACT + 1).collect()]  # more are refused
     s = splits.exact_split(ids, 0.1, fold=0, base_seed=42)
     rows = [(i, "labeled_train") for i in s.labelled_train] + [(i, "labeled_inner_val") for i in s.labelled_inner_val] + [(i, "unlabeled") for i in s.unlabelled]
     return spark.createDataFrame(rows, "id long, part string")

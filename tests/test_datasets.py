@@ -215,3 +215,14 @@ def test_pixels(spark):
     assert rows["a"] == moved.tobytes() and rows["b"] is None
     with pytest.raises(ValueError, match="shear"):
         pixels.transform_images(df, "shear")
+
+
+def test_numbers_and_bounds(spark, monkeypatch):
+    from boxtide.operators.ordering import numbered_by
+
+    rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("k"))
+    assert numbered_by(rows, "k").where("position <> k").count() == 0
+    assert numbered_by(rows.where("false"), "k").count() == 0
+    monkeypatch.setattr(splits, "MOST_EXACT", 20)
+    with pytest.raises(ValueError, match="split"):
+        splits.exact_split(list(range(21)), 0.5, 0, 42)

@@ -123,3 +123,9 @@ def test_names(spark):
     assert tuple(row) == ("000000000007", ".jpg", "/d/labels/train/000000000007.txt", "000000000007", "i_r3_12345", "i_r3_0007")
     assert (names.ratio_name(0.01), names.ratio_name(0.07), names.ratio_name_rounded(0.07)) == ("1pct", "7p0pct", "7pct")
     assert (names.fold_seed(42, 2), names.inner_val_seed(42, 2)) == (2042, 2542)
+
+
+def test_iou_of_nan_passes_no_gate(spark):
+    rows = frame(spark, [(0.0, 0.0, math.nan, 2.0), (0.0, 0.0, 2.0, 2.0)], "x1 double, y1 double, x2 double, y2 double")
+    own = geo.box(F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(2.0))
+    assert [r[0] for r in rows.select(geo.iou(boxed(), own)).collect()] == [0.0, 1.0]
