@@ -3,7 +3,7 @@
 import pytest
 from oracle import differ
 
-from boxtide.plans.queries import QUERIES, SQL
+from boxtide.plans.catalog import QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
