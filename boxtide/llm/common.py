@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`, which driver and executors share.
-
-    Only where the session names none (tests on one machine) a temporary folder is made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="boxtide-"))
-    return sc.getCheckpointDir().rstrip("/")
+from ..session import checkpoint, shared_dir
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
@@ -28,15 +15,6 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with files in the shared folder, which survive the loss of executors."""
-    spark = df.sparkSession
-    where = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
-
-
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """`df` checkpointed in the order of the columns, with a gapless long `position` from 0.
 
