@@ -11,6 +11,7 @@ from boxtide.llm.language_id import NONE, predict, train
 from boxtide.llm.line_dedup import dedup_lines
 from boxtide.llm.packing import pack
 from boxtide.llm.simhash import simhash_groups
+from boxtide.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Under this probability of its likeliest language a document is rejected.
@@ -64,6 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written to the shared folder and read again as the next one's."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         folder = new_folder(spark, f"pipeline-{name}")
