@@ -21,10 +21,11 @@ BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bi
 BLOCK = 100_000
 
 
-def fingerprint(raw: bytes, shingle: int, lanes: int = 1) -> list[int]:
+def fingerprint(raw: bytes, shingle: int, lanes: int = 1, repeats: bool = True) -> list[int]:
     """64 bits a lane of a text's UTF-8 bytes: a bit is set if it is in over half the shingles' hashes.
 
-    The first lane's hash is XXH64 with seed 42; the others mix that one further.
+    The first lane's hash is XXH64 with seed 42; the others mix that one further. Without
+    `repeats` each different shingle counts once.
     """
     words = raw.lower().split()  # bytes: A-Z only; white space is \x20 and \x09-\x0D
     if not words:
@@ -35,10 +36,11 @@ def fingerprint(raw: bytes, shingle: int, lanes: int = 1) -> list[int]:
     starts = [0, *(ends[:-shingle] + 1).tolist()]
     found = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)]
     hashes, out = np.array(found, dtype="<u8"), []
+    hashes = hashes if repeats else np.unique(hashes)
     for lane in range(lanes):
         own = (_mixed(hashes, lane) if lane else hashes).view(np.uint8).reshape(-1, 8)
         set_in = np.concatenate([np.bincount(own[:, k], minlength=256) @ BITS_OF_BYTE for k in range(8)])
-        out.append(int(np.packbits(2 * set_in > len(found), bitorder="little").view("<u8")[0]))
+        out.append(int(np.packbits(2 * set_in > len(hashes), bitorder="little").view("<u8")[0]))
     return out
 
 
@@ -49,13 +51,13 @@ def _mixed(x: np.ndarray, lane: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id", lanes: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id", lanes: int = 1, repeats: bool = True) -> DataFrame:
     """(key, fp, more) of each row of `docs`: the first lane's bits as a signed long, the others' as an array."""
     kind = docs.schema[key].dataType
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [fingerprint(x.as_py() or b"", shingle, lanes) for x in b.column(1).cast(pa.binary())]
+            found = [fingerprint(x.as_py() or b"", shingle, lanes, repeats) for x in b.column(1).cast(pa.binary())]
             fps = np.array(found, np.uint64).reshape(-1, lanes).view(np.int64)
             more = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * (lanes - 1), pa.int32()), pa.array(fps[:, 1:].ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ascontiguousarray(fps[:, 0])), more], ["key", "fp", "more"])
@@ -143,6 +145,7 @@ class Search:
     choices of so many bands are tried, one of which is equal in any two fingerprints that
     link: none is missed. Else `repeats` choices are drawn by a seed; of two fingerprints that
     differ in a share p of the bits these miss about (1 - (1-p)^(64 agree/bands))^repeats.
+    Repeats of a shingle within a text count unless `shingle_repeats` is false.
     """
 
     budget: int = 4
@@ -151,6 +154,7 @@ class Search:
     repeats: int | None = None
     lanes: int = 1
     total: int = 64
+    shingle_repeats: bool = True
 
     def choices(self) -> list[tuple[int, ...]]:
         every = list(combinations(range(self.bands), self.agree))
@@ -166,7 +170,7 @@ class Search:
         """For shingle sets that are so similar or more: two lanes, and budgets two deviations above the bits that differ then."""
         p = float(np.arccos(2 * jaccard / (1 + jaccard)) / np.pi)
         above = lambda bits, by: int(bits * p + by * (bits * p * (1 - p)) ** 0.5)
-        return cls(budget=above(64, 2.5), bands=16, agree=4, repeats=56, lanes=2, total=above(128, 2))
+        return cls(budget=above(64, 2.5), bands=16, agree=4, repeats=56, lanes=2, total=above(128, 2), shingle_repeats=False)
 
 
 def fingerprint_links(distinct: DataFrame, how: Search, block: int = BLOCK) -> DataFrame:
@@ -244,7 +248,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, how: Search | None = None,
     is joined by fingerprint afterwards has one row for each on the other side.
     """
     how = how or Search.of_similarity(0.8)
-    each = checkpoint(fingerprints(docs, shingle, key, how.lanes))
+    each = checkpoint(fingerprints(docs, shingle, key, how.lanes, how.shingle_repeats))
     least = each.groupBy("fp").agg(F.min(key).alias("least"), F.min("more").alias("more"))
     links = fingerprint_links(least.select("fp", "more"), how)
     roots = checkpoint(connected_components(links, "a", "b"))

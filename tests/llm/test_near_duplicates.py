@@ -40,6 +40,9 @@ def test_fingerprint_cases():
     for text in ["", " \t\n", "One", "a b c", "A b C d", "É é\u00a0x Y z w v\x0bq", "w " * 5000, "a  b\tc\nd e f"]:
         assert fingerprint(text.encode(), 4)[0] == brute_fingerprint(text)
     assert fingerprint(b"", 4, 2) == [0, 0]
+    often, one = b"a b c d e f g" + b" x" * 900, b"x x x x"
+    assert fingerprint(often, 4) == fingerprint(one, 4) != fingerprint(often, 4, repeats=False)
+    assert fingerprint(b"x " * 900, 4, repeats=False) == fingerprint(one, 4)
 
 
 def test_op1_whole_table(spark, sf):
@@ -91,6 +94,14 @@ def test_similar_texts_are_found(spark):
     assert near >= 140 and all(got[2 * k] == 2 * k for k in range(150))
 
 
+def test_a_shared_repeated_shingle_is_no_similarity(spark):
+    rng = random.Random(6)
+    junk = " be" * 60
+    rows = [(k, " ".join(str(rng.random()) for _ in range(40)) + junk) for k in range(6)]
+    got = simhash_groups(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+
+
 def test_components(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (5, None), (200, 0)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
