@@ -103,8 +103,8 @@ def detect(images: DataFrame, detector: Detector, round_id: int, batch: int = 8)
     """Runs an injected detector over `images` (image_id, ...) in batches whose make-up depends on the ids only.
 
     detector(batch) returns image_id, det_index, x1, y1, x2, y2, pred_class, class_scores, confidence.
-    Images without boxes have no rows here; keep `images` beside the pool. Of repeated ids the
-    last row counts.
+    Images without boxes have no rows here; keep `images` beside the pool. Of rows with the
+    same id any one counts, as relations have no order.
     """
     schema = f"image_id string, det_index int, box {BOX.simpleString()}, pred_class int, class_scores array<double>, confidence double"
     once = images.dropDuplicates(["image_id"])
@@ -115,7 +115,8 @@ def detect(images: DataFrame, detector: Detector, round_id: int, batch: int = 8)
         out = out.assign(box=sides.to_dict("records"))
         return out[["image_id", "det_index", "box", "pred_class", "class_scores", "confidence"]]
 
-    found = batches(once, batch).groupBy("batch_id").applyInPandas(run, schema)
+    placed = batches(once.select("image_id"), batch)  # ids alone, however wide the images are
+    found = once.join(placed, "image_id").groupBy("batch_id").applyInPandas(run, schema)
     return found.select("image_id", box_id(F.col("image_id"), F.lit(round_id), F.col("det_index")).alias("box_id"), F.lit(round_id).alias("round_id"), "box", "pred_class", "class_scores", "confidence", "det_index")
 
 

@@ -15,6 +15,7 @@ from ..operators.matching import match
 from ..operators.scoring import score
 from ..operators.signals import StoppingState, infer_classes
 from ..schema import BANK_ROW, LoopConfig
+from ..session import checkpoint as saved
 from ..sources.store import RoundStore
 
 Infer = Callable[[str, int], tuple[DataFrame, DataFrame]]  # checkpoint, round: images, detections
@@ -96,7 +97,8 @@ def run_loop(
     """Rounds 1 to max_rounds, or until a stop; round 0 trains on no pseudo-label, or stores its candidates.
 
     The previous pool is read back from its committed partition, so no lineage grows over
-    rounds. On convergence the plain form ends at once and the other trains once more; a risk stop
+    rounds. The detector runs once a round: its boxes are saved before they are matched,
+    jittered and stored. On convergence the plain form ends at once and the other trains once more; a risk stop
     keeps the checkpoint that the round began with.
     """
     policy = policy or dual_gate(config.admission)
@@ -116,6 +118,7 @@ def run_loop(
 
     for t in range(1, config.max_rounds + 1):
         images, found = infer(checkpoint, t)
+        found = saved(found)
         before = store.pool(t - 1)
         matches = match(found, before, config.matching).persist()
         triples = None

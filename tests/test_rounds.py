@@ -267,6 +267,23 @@ def test_loop(spark, tmp_path):
     assert evaluate_rounds(store, lambda c, r: (c, r), lambda c: c != "ckpt1") == [("ckpt0", 0), ("ckpt0", 1)]
 
 
+def test_loop_detects_once_a_round(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def infer(c, r):
+        images, boxes = drifting(spark, r)
+
+        def detect(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return images, boxes.mapInArrow(detect, boxes.schema)
+
+    run_loop(spark, RoundStore(spark, f"{tmp_path}/once"), loop_config(), infer, lambda rows, r, c: f"k{r}")
+    assert seen.value == 2 * 6
+
+
 def test_loop_with_jitter_and_bootstrap(spark, tmp_path):
     seen = []
 
