@@ -19,6 +19,7 @@ SAMPLE, QUERIES = 20_000, 256
 RECALL, MOST_CELLS = 0.995, 256
 #: Vectors of a cell, and probes of it, that meet in one place at most, about.
 BLOCK = 4096
+HASHES = ["_a", "_b"]
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
@@ -65,15 +66,21 @@ class MultiIndex:
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), "<f8").reshape(-1, dims)
+    """Unit vectors, in double precision, of vectors as bytes of floats or doubles."""
+    raw = b"".join(x.as_py() for x in column)
+    x = np.frombuffer(raw, "<f8" if len(raw) == 8 * dims * len(column) else "<f4").astype(float).reshape(-1, dims)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def distinct_vectors(vectors: DataFrame, key: str, embedding: str) -> tuple[DataFrame, DataFrame, int]:
-    """(all rows with `_v`, the distinct `_v` with id, copies and least key, their dimensions).
+    """(all keys, the distinct `_v` with id, copies and least key, the dimensions of these).
 
-    `_v` holds the components as doubles, null where the vector links with nothing: it is null,
-    empty or zero, holds a null or non-finite component, or has other than the most frequent
-    number of dimensions (of equally frequent ones the larger).
+    `_v` holds the components as doubles. It is missing where the vector links with nothing:
+    it is null, empty or zero, holds a null or non-finite component, or has other than the
+    most frequent number of dimensions (of equally frequent ones the larger). Both relations
+    have 128 bits of hash of `_v`, null where it is missing, by which they are joined
+    later; so the vectors themselves are shuffled no more.
     """
     x = F.col(embedding).cast("array<double>")
     fine = (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(x, lambda c: c != 0)
@@ -81,21 +88,21 @@ def distinct_vectors(vectors: DataFrame, key: str, embedding: str) -> tuple[Data
     sizes = rows.where("_v is not null").groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     dims = sizes[0] if sizes else 0
     rows = rows.withColumn("_v", F.when(F.size("_v") == dims, F.col("_v")))
+    hashes = [F.when(F.col("_v").isNotNull(), F.xxhash64(F.lit(k), "_v")).alias(h) for k, h in enumerate(HASHES)]
     once = rows.where("_v is not null").groupBy("_v").agg(F.count("*").alias("copies"), F.min("_key").alias("least"))
-    return rows, checkpoint(once.withColumn("id", F.monotonically_increasing_id())), dims
+    once = once.select("*", *hashes, F.monotonically_increasing_id().alias("id"))
+    return rows.select("_key", *hashes), checkpoint(once), dims
 
 
-def _units(once: DataFrame, dims: int) -> DataFrame:
-    """(id, copies, u): unit vectors as bytes of doubles."""
+def _packed(once: DataFrame, dims: int, wide: bool) -> DataFrame:
+    """(id, copies, u): vectors as bytes of doubles if `wide`, else of floats, as they came."""
 
-    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(2).flatten().to_numpy().reshape(-1, dims)
-            x = x / np.abs(x).max(1, keepdims=True)
-            u = x / np.sqrt((x * x).sum(1, keepdims=True))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in u], pa.binary())], ["id", "copies", "u"])
+            x = b.column(2).flatten().to_numpy().reshape(-1, dims).astype("<f8" if wide else "<f4")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "copies", "u"])
 
-    return once.select("id", "copies", "_v").mapInArrow(scale, "id long, copies long, u binary")
+    return once.select("id", "copies", "_v").mapInArrow(pack, "id long, copies long, u binary")
 
 
 def fit(units: DataFrame, n: int, dims: int) -> MultiIndex:
@@ -107,9 +114,7 @@ def fit(units: DataFrame, n: int, dims: int) -> MultiIndex:
     k = int(np.clip(round(2 * n**0.25), 2, 1024))
     rows = units.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 40)) < min(1.0, SAMPLE / max(n, 1)) * (1 << 40)).select("id", "u").toArrow()
     order = np.argsort(rows.column(0).to_numpy())
-    x = np.frombuffer(b"".join(rows.column(1).to_pylist()), "<f8").reshape(-1, dims)[order]
-    if not len(x):
-        x = np.eye(1, dims)
+    x = _matrix(rows.column(1), dims)[order] if len(order) else np.eye(1, dims)
     cut = (dims + 1) // 2
     return MultiIndex(k_means(x[:, :cut], k), k_means(x[:, cut:], k, seed=1))
 
@@ -122,10 +127,10 @@ def cells_for_recall(units: DataFrame, n: int, dims: int, index: MultiIndex, thr
     """
     drawn = units.where(F.pmod(F.xxhash64("id", F.lit("ask")), F.lit(1 << 40)) < min(1.0, QUERIES / max(n, 1)) * (1 << 40)).select("id", "u").toArrow()
     ids = drawn.column(0).to_numpy()
-    q = np.frombuffer(b"".join(drawn.column(1).to_pylist()), "<f8").reshape(-1, dims)
     most = min(MOST_CELLS, len(index.books[0]) * len(index.books[1]))
-    if not len(q):
+    if not len(ids):
         return 1, 1.0
+    q = _matrix(drawn.column(1), dims)
     visited = index.nearest(q, most)
     shared = units.sparkSession.sparkContext.broadcast((ids, q, visited, index))
 
@@ -229,21 +234,21 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", embedding: str = "
     component's id unless all of its keys are null, and such rows aren't kept. Equal
     vectors count once in the index, so copies cost nothing there. No rows: no rows.
     """
-    rows, once, dims = distinct_vectors(vectors, key, embedding)
-    out = rows.select("_key", "_v")
+    out, once, dims = distinct_vectors(vectors, key, embedding)
     n = once.count()
     if n:
-        units = checkpoint(_units(once, dims))
+        wide = vectors.schema[embedding].dataType.elementType.typeName() != "float"
+        units = checkpoint(_packed(once, dims, wide))
         index = fit(units, n, dims)
         cells, _ = cells_for_recall(units, n, dims, index, threshold)
         found = checkpoint(links(units, dims, index, cells, threshold, block).groupBy("id", "other").agg(F.sum("more").alias("more")))
         roots = connected_components(found, "id", "other")
         degree = found.groupBy("id").agg(F.sum("more").alias("more"))
-        named = once.select("id", "_v", "copies", "least").join(degree, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-        named = checkpoint(named.select("_v", "least", (F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("root")))
+        named = once.select("id", *HASHES, "copies", "least").join(degree, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+        named = checkpoint(named.select(*HASHES, "least", (F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("root")))
         first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = named.join(first, "root").select("_v", "n_links", "component_id")
-        out = out.join(named, "_v", "left")
+        named = named.join(first, "root").select(*HASHES, "n_links", "component_id")
+        out = out.join(named, HASHES, "left")
     else:
         out = out.select("*", F.lit(None).cast("long").alias("n_links"), F.col("_key").alias("component_id"))
     return out.select(

@@ -147,3 +147,11 @@ def test_sharding_odd_rows(spark):
     assert interleave(spark.createDataFrame([], "doc_id long, source string"), 4).count() == 0
     few = interleave(spark.createDataFrame(rows[:2], "doc_id long, source string, size int"), 40).collect()
     assert len({r.shard for r in few}) == 2 and all(r.slot == 0 for r in few)
+
+
+def test_embeddings_of_doubles_keep_their_precision(spark):
+    near = [0.9 + 1e-12, (1 - (0.9 + 1e-12) ** 2) ** 0.5]
+    far = [0.9 - 1e-12, (1 - (0.9 - 1e-12) ** 2) ** 0.5]
+    rows = [(1, [1.0, 0.0]), (2, near), (3, [0.0, -1.0]), (4, [-far[1], -far[0]])]
+    got = {r.vec_id: r.n_links for r in embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0}
