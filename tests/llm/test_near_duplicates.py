@@ -94,6 +94,22 @@ def test_similar_texts_are_found(spark):
     assert near >= 140 and all(got[2 * k] == 2 * k for k in range(150))
 
 
+def test_search_of_similarity_finds_99_of_100():
+    how, rng = Search.of_similarity(0.8), np.random.default_rng(8)
+    edge = how.edges()
+    for n in (20, 40, 100, 200, 600):  # shingles of both texts, four fifths of them in common
+        both, one, apart = n * 4 // 5, n // 10, []
+        for _ in range(8):
+            own = rng.integers(0, 2, (500, n, 64 * how.lanes), dtype=np.int8)
+            shared = own[:, :both].sum(1, dtype=np.int16)
+            x, y = (2 * (shared + own[:, a : a + one].sum(1, dtype=np.int16)) > both + one for a in (both, both + one))
+            apart.append(x != y)
+        apart = np.concatenate(apart)
+        same = np.stack([~apart[:, a:b].any(1) for a, b in zip(edge, edge[1:])], axis=1)
+        found = same[:, np.array(how.choices())].all(2).any(1) & (apart[:, :64].sum(1) <= how.budget) & (apart.sum(1) <= how.total)
+        assert found.mean() >= 0.99
+
+
 def test_a_shared_repeated_shingle_is_no_similarity(spark):
     rng = random.Random(6)
     junk = " be" * 60
