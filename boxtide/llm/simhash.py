@@ -21,22 +21,31 @@ BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bi
 BLOCK = 100_000
 
 
-def fingerprint(raw: bytes, shingle: int, lanes: int = 1, repeats: bool = True) -> list[int]:
-    """64 bits a lane of a text's UTF-8 bytes: a bit is set if it is in over half the shingles' hashes.
-
-    The first lane's hash is XXH64 with seed 42; the others mix that one further. Without
-    `repeats` each different shingle counts once.
-    """
+def shingle_hashes(raw: bytes, shingle: int) -> np.ndarray:
+    """XXH64 with seed 42 of each run of `shingle` words of a text's UTF-8 bytes; of a shorter text, the whole."""
     words = raw.lower().split()  # bytes: A-Z only; white space is \x20 and \x09-\x0D
     if not words:
-        return [0] * lanes
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[:-shingle] + 1).tolist()]
     found = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)]
-    hashes, out = np.array(found, dtype="<u8"), []
-    hashes = hashes if repeats else np.unique(hashes)
+    return np.array(found, dtype="<u8")
+
+
+def fingerprint(raw: bytes, shingle: int, lanes: int = 1, repeats: bool = True) -> list[int]:
+    """64 bits a lane of a text's UTF-8 bytes: a bit is set if it is in over half the shingles' hashes.
+
+    The first lane's hash is XXH64 with seed 42; the others mix that one further. Without
+    `repeats` each different shingle counts once.
+    """
+    hashes = shingle_hashes(raw, shingle)
+    return _bits(hashes if repeats else np.unique(hashes), lanes)
+
+
+def _bits(hashes: np.ndarray, lanes: int) -> list[int]:
+    out = []
     for lane in range(lanes):
         own = (_mixed(hashes, lane) if lane else hashes).view(np.uint8).reshape(-1, 8)
         set_in = np.concatenate([np.bincount(own[:, k], minlength=256) @ BITS_OF_BYTE for k in range(8)])
@@ -66,6 +75,104 @@ def fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id", lanes: int
     return named.withColumnRenamed("key", key)
 
 
+def fingerprints_of_sets(docs: DataFrame, shingle: int, key: str, lanes: int) -> DataFrame:
+    """(key, fp, more, _set, _text) of each row of `docs`: its bits without repeats, the hash of its set of shingles, its text."""
+    kind = docs.schema[key].dataType
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(x.as_py() or b"", shingle)) for x in b.column(1).cast(pa.binary())]
+            fps = np.array([_bits(x, lanes) for x in sets], np.uint64).reshape(-1, lanes).view(np.int64)
+            more = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * (lanes - 1), pa.int32()), pa.array(fps[:, 1:].ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ascontiguousarray(fps[:, 0])), more, pa.array(_set_ids(sets)), b.column(1)], ["key", "fp", "more", "_set", "_text"])
+
+    named = docs.select(F.col(key).alias("key"), "text").mapInArrow(of, f"key {kind.simpleString()}, fp long, more array<long>, _set long, _text string")
+    return named.withColumnRenamed("key", key)
+
+
+def _set_ids(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+
+
+def similar_classes(sets: list[np.ndarray], jaccard: float) -> np.ndarray:
+    """The index of a representative for each set: those join that links of `jaccard` or more reach, exactly.
+
+    Sets are sorted arrays of different values. Two that link share one of the first
+    n - ceil(jaccard n) + 1 values of either; only such pairs are compared, and of those that
+    a class already holds only a few.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    sizes, n = sizes[order], len(sets)
+    codes = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1] if n else np.zeros(0, np.int64)
+    start = np.r_[0, np.cumsum(sizes)]
+    label, least = np.arange(n), np.ceil(jaccard * sizes - 1e-9).astype(np.int64)
+    prefix = [codes[start[i] : start[i] + (sizes[i] - least[i] + 1 if sizes[i] else 0)] for i in range(n)]
+    wide = int(codes.max(initial=-1)) + 1
+    room = np.r_[0, np.cumsum(np.bincount(np.concatenate([*prefix, np.zeros(0, np.int64)]), minlength=wide))]
+    held, seen = np.zeros(room[-1], np.int64), np.zeros(wide, np.int64)
+    mine, met = np.zeros(wide, bool), np.zeros(n, bool)
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        out = []
+        for part in np.split(others, np.flatnonzero(np.diff(np.cumsum(sizes[others]) >> 22)) + 1):
+            m = sizes[part]
+            at = np.repeat(start[part] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            common = np.add.reduceat(mine[codes[at]].astype(np.int64), np.cumsum(m) - m)
+            out.append(part[common >= jaccard * (m + sizes[i] - common) - 1e-9])
+        return np.concatenate(out)
+
+    for i in range(n):
+        for c in prefix[i].tolist():
+            met[held[room[c] : room[c] + seen[c]]] = True
+        others = np.flatnonzero(met[:i])
+        met[others] = False
+        others = others[sizes[others] >= least[i]]
+        if len(others):
+            mine[codes[start[i] : start[i + 1]]] = True
+            others = others[np.argsort(label[others], kind="stable")]
+            edge = np.flatnonzero(np.r_[True, np.diff(label[others]) != 0])
+            few = np.arange(len(others)) - np.repeat(edge, np.diff(np.r_[edge, len(others)])) < 4
+            joined = np.unique(label[near(i, others[few])])
+            rest = others[~few & ~np.isin(label[others], joined)]
+            joined = np.union1d(joined, label[near(i, rest)]) if len(rest) else joined
+            mine[codes[start[i] : start[i + 1]]] = False
+            if len(joined):
+                label[i] = joined[0]
+                label[:i][np.isin(label[:i], joined[1:])] = joined[0]
+        held[room[prefix[i]] + seen[prefix[i]]] = i
+        seen[prefix[i]] += 1
+    out = np.empty(n, np.int64)
+    out[order] = order[label]
+    return out
+
+
+def verified_classes(members: DataFrame, shingle: int, jaccard: float) -> DataFrame:
+    """(_set, root) of `members` (group, _set, _text): within each group, the classes of `similar_classes`.
+
+    A task holds the sets of one group at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sets = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if ids:
+                own = np.array(ids, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(own[similar_classes(sets, jaccard)])], ["_set", "root"])
+
+        for b in batches:
+            for group, one, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
+                if group != now:
+                    yield from done()
+                    now, ids, sets = group, [], []
+                ids.append(one)
+                sets.append(np.unique(shingle_hashes(text.as_py() or b"", shingle)))
+        yield from done()
+
+    return members.repartition("group").sortWithinPartitions("group").mapInArrow(run, "_set long, root long")
+
+
 def _roots(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> None:
     """Unites label[a] with label[b], link by link; label[i] is then the least of i's class."""
     while True:
@@ -146,6 +253,8 @@ class Search:
     link: none is missed. Else `repeats` choices are drawn by a seed, and what they find is to be
     measured: choices share bands, so their misses go together. With `across` the bands cut
     all lanes. Repeats of a shingle within a text count unless `shingle_repeats` is false.
+    With `jaccard` links only propose: what they reach is joined by the exact similarity of
+    the sets of shingles.
     """
 
     budget: int = 4
@@ -156,6 +265,7 @@ class Search:
     total: int = 64
     shingle_repeats: bool = True
     across: bool = False
+    jaccard: float | None = None
 
     def edges(self) -> list[int]:
         """The bits at which bands begin, and the last one's end; no band lies in two lanes."""
@@ -182,7 +292,7 @@ class Search:
         """
         p = float(np.arccos(2 * jaccard / (1 + jaccard)) / np.pi)
         above = lambda bits: int(bits * p + 3.5 * (bits * p * (1 - p)) ** 0.5)
-        return cls(budget=above(64), bands=28, agree=3, repeats=160, lanes=2, total=above(128), shingle_repeats=False, across=True)
+        return cls(budget=above(64), bands=28, agree=3, repeats=160, lanes=2, total=above(128), shingle_repeats=False, across=True, jaccard=jaccard)
 
 
 def fingerprint_links(distinct: DataFrame, how: Search, block: int = BLOCK) -> DataFrame:
@@ -257,10 +367,13 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, how: Search | None = None,
     and link like any other. Equal rows and equal keys are rows of their own; long texts
     are hashed whole. No rows: no rows.
 
-    Equal fingerprints count once from the start, so a group of copies is one node; all that
-    is joined by fingerprint afterwards has one row for each on the other side.
+    Equal fingerprints (equal sets of shingles, where `how` names a similarity) count once from
+    the start, so a group of copies is one node; all that is joined afterwards has one row
+    for each on the other side.
     """
     how = how or Search.of_similarity(0.8)
+    if how.jaccard is not None:
+        return _verified_groups(docs, shingle, how, key)
     each = checkpoint(fingerprints(docs, shingle, key, how.lanes, how.shingle_repeats))
     least = each.groupBy("fp").agg(F.min(key).alias("least"), F.min("more").alias("more"))
     links = fingerprint_links(least.select("fp", "more"), how)
@@ -271,6 +384,23 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, how: Search | None = None,
     return each.join(named, "fp").select(key, "fp", "root", "component_id")
 
 
+def _verified_groups(docs: DataFrame, shingle: int, how: Search, key: str) -> DataFrame:
+    each = checkpoint(fingerprints_of_sets(docs, shingle, key, how.lanes).withColumn("_n", F.monotonically_increasing_id()))
+    sets = each.groupBy("_set").agg(F.min(key).alias("least"), F.min("_n").alias("_n"), F.first("fp").alias("fp"), F.first("more").alias("more"))
+    sets = checkpoint(sets)
+    links = fingerprint_links(sets.select("fp", "more").distinct(), how).where("a <> b")
+    roots = connected_components(links, "a", "b")
+    named = sets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("_set", "_n", F.coalesce("root", "fp").alias("group"))
+    named = checkpoint(named)
+    several = named.groupBy("group").count().where("count > 1").select("group")
+    members = each.select("_n", "_text").join(named.join(several, "group"), "_n").select("group", "_set", "_text")
+    classes = checkpoint(verified_classes(members, shingle, how.jaccard))
+    named = sets.join(classes, "_set", "left").select("_set", "least", F.coalesce("root", "_set").alias("root"))
+    first = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(first, "root").select("_set", "root", "component_id")
+    return each.select(key, "fp", "_set").join(named, "_set").select(key, "fp", "root", "component_id")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of `documents`: doc_id, fingerprint (16 hex digits), component_id; 4-word shingles, 4 bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -9,7 +9,7 @@ from oracle import differ
 
 from boxtide.llm.components import connected_components
 from boxtide.llm.line_dedup import OP5_SQL, dedup_lines, op5_line_dedup
-from boxtide.llm.simhash import Search, fingerprint, fingerprint_links, op1_simhash, simhash_groups, trie_classes
+from boxtide.llm.simhash import Search, fingerprint, fingerprint_links, op1_simhash, similar_classes, simhash_groups, trie_classes
 
 DOCS = "doc_id long, text string"
 
@@ -110,6 +110,31 @@ def test_search_of_similarity_finds_99_of_100():
         assert found.mean() >= 0.99
 
 
+def test_similar_classes_are_exact():
+    rng = np.random.default_rng(9)
+    sets = [np.zeros(0, np.uint64)]
+    for k in range(400):
+        new = rng.integers(0, 2**63, rng.integers(1, 30), dtype=np.uint64)
+        old = sets[rng.integers(0, len(sets))]
+        sets.append(np.unique(np.r_[old[rng.random(len(old)) < 0.95], new[: rng.integers(1, 4)]] if k % 3 and len(old) > 8 else new))
+    near = lambda a, b: (c := len(np.intersect1d(a, b))) >= 0.8 * (len(a) + len(b) - c) > 0
+    want = roots(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])])
+    assert roots(len(sets), list(enumerate(similar_classes(sets, 0.8).tolist()))) == want and len(set(want)) < len(sets)
+
+
+def test_links_below_the_similarity_join_nothing(spark):
+    rng = random.Random(10)
+    rows = []
+    for k in range(40):
+        w = [str(rng.random()) for _ in range(104)]
+        v = list(w)
+        for p in (10, 30, 50, 70)[: 4 if k % 2 else 2]:  # 5 of 100 shingles each: 80 of 120 left, or 90 of 110
+            v[p] = str(rng.random())
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    got = {r.doc_id: r.component_id for r in simhash_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[2 * k] == 2 * k and got[2 * k + 1] == (2 * k + 1 if k % 2 else 2 * k) for k in range(40))
+
+
 def test_a_shared_repeated_shingle_is_no_similarity(spark):
     rng = random.Random(6)
     junk = " be" * 60
