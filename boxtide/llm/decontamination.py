@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SIMILARITY = 0.8
 REPEATS = 20
 SAMPLED = 3
+#: Items of more words are verified wherever enough of their rare words stand: walks lose them, as edits grow with length.
+WALKED = 20
 SEED = 42
 #: Characters of items that one pass over the documents looks for.
 BLOCK_CHARS = 4_000_000
@@ -68,9 +70,29 @@ def edit_span(item: list[int], text: list[int]) -> tuple[int, int, int]:
     return best[end][0], -best[end][1], end
 
 
+def best_end(item: list[int], text: list[int]) -> tuple[int, int]:
+    """The least edits that turn `item` into a run of `text`, and the first such run's end (bits in parallel)."""
+    bits: dict[int, int] = {}
+    for i, a in enumerate(item):
+        bits[a] = bits.get(a, 0) | 1 << i
+    full, last = (1 << len(item)) - 1, 1 << (len(item) - 1)
+    up, down, edits = full, 0, len(item)
+    best = (edits, 0)
+    for j, b in enumerate(text, 1):
+        eq = bits.get(b, 0)
+        x, h = eq | down, (((eq & up) + up) ^ up) | eq
+        more, less = down | (full & ~(h | up)), up & h
+        edits += 1 if more & last else -1 if less & last else 0
+        more, less = more << 1 & full, less << 1 & full
+        up, down = less | (full & ~(x | more)), more & x
+        if edits < best[0]:
+            best = (edits, j)
+    return best
+
+
 @dataclass
 class Index:
-    """Items by the sampled places of their embeddings, for windows of each item length."""
+    """Items by the sampled places of their embeddings, for windows of each item length; those of over WALKED words by their rare words."""
 
     similarity: float
     item_ids: list
@@ -84,7 +106,7 @@ class Index:
         own.items = [[own.vocabulary.setdefault(w, len(own.vocabulary) + 1) for w in words(t)] for _, t in rows]
         own.sizes = np.array([len(x) for x in own.items], np.int64)
         own.allowed = (own.sizes * (1 - similarity) + 1e-9).astype(np.int64)
-        for size in sorted(set(own.sizes.tolist()) - {0}):
+        for size in sorted({x for x in own.sizes.tolist() if 0 < x <= WALKED}):
             same = np.flatnonzero(own.sizes == size).tolist()
             table = own.tables.setdefault(size, {})
             for r, keys in enumerate(own.keys(np.array([own.items[k] for k in same]), size)):
@@ -117,10 +139,11 @@ class Index:
         for got in embed(windows, places):
             yield [x.tobytes() for x in got]
 
-    def _starts(self, symbols: np.ndarray) -> dict[int, np.ndarray]:
+    def _starts(self, symbols: np.ndarray, text_of: np.ndarray) -> tuple[dict[int, np.ndarray], list[tuple[int, int, int, int]]]:
         """For each item length, where windows can start that hold enough of one such item's rare words.
 
-        This leaves out no match: it bounds what any run within the allowed edits must hold.
+        This leaves out no match: it bounds what any run within the allowed edits must hold. Of
+        items of over WALKED words: (text, item, begin, end) of the places that such runs lie in.
         """
         at = np.flatnonzero(symbols)
         lo, hi = self.anchor_edges[symbols[at]], self.anchor_edges[symbols[at] + 1]
@@ -136,13 +159,20 @@ class Index:
         near = (item[last] == item[first]) & (place[last] - place[first] < width)
         first, last, width = first[near], last[near], width[near]
         sizes = self.sizes[item[first]]
+        far = np.flatnonzero(sizes > WALKED)
+        which, begin, end = item[first[far]], np.maximum(place[last[far]] - width[far] + 1, 0), place[first[far]] + width[far]
+        text = np.searchsorted(text_of, place[first[far]], "right") - 1
+        new = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (text[1:] != text[:-1]) | (begin[1:] > end[:-1])][: len(far)])
+        ends = np.r_[new[1:], len(far)][: len(new)] - 1
+        places = list(zip(text[new].tolist(), which[new].tolist(), begin[new].tolist(), end[ends].tolist(), strict=True))
+        first, last, width, sizes = (x[sizes <= WALKED] for x in (first, last, width, sizes))
         out = {}
         for size in np.unique(sizes).tolist():
             mine = sizes == size
             begin, end = np.maximum(place[last[mine]] - width[mine] + 1, 0), place[first[mine]] + 1
             n = end - begin
             out[size] = np.unique(np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        return out
+        return out, places
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, first word, words) of each item that occurs in each whole text."""
@@ -157,7 +187,17 @@ class Index:
         symbols = np.concatenate([*parts, np.full(gap, -1)])
         text_of = np.array(starts)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for size, begins in self._starts(np.maximum(symbols, 0)).items():
+        begins_of, places = self._starts(np.maximum(symbols, 0), text_of)
+        for n, k, lo, hi in places:
+            item, most, lo = self.items[k], int(self.allowed[k]), max(lo, starts[n])
+            run = symbols[lo : min(hi, starts[n + 1] - gap if n + 1 < len(starts) else total - gap)].tolist()
+            edits, end = best_end(item, run)
+            if edits <= most:
+                cut = max(0, end - len(item) - most)
+                _, a, b = edit_span(item, run[cut:end])
+                if edits < best.get((n, k), (most + 1,))[0]:
+                    best[n, k] = (edits, lo + cut + a - starts[n], b - a)
+        for size, begins in begins_of.items():
             hits: dict[tuple[int, int], list[int]] = {}
             for lo in range(0, len(begins), 2_000):
                 own = begins[lo : lo + 2_000]
@@ -221,8 +261,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
 
     An item occurs where a run of a document's words is within (1 - similarity) * item_words
     edits of it, a word each; words are runs of letters and digits in lower case. Candidates
-    share the sampled steps of an embedding of an item-sized window in one of REPEATS
-    repeats, which misses few at 0.8 and none at equality; all are verified exactly.
+    of items of up to WALKED words share the sampled steps of an embedding of an item-sized
+    window in one of REPEATS repeats, which misses few at 0.8 and none at equality. Longer
+    items miss none: candidates are all places that hold enough of their rare words. All
+    candidates are verified exactly.
     Null and empty texts hold nothing, and items without a word occur nowhere. Equal
     items are found each; equal documents too. No rows on either side: no rows.
 

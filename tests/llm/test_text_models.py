@@ -127,6 +127,29 @@ def test_decontamination_recall_and_odd_rows(spark):
     assert contaminations(d, b.where("false")).count() == 0 and contaminations(d.where("false"), b).count() == 0
 
 
+def test_long_items_are_found_at_every_length():
+    rng = random.Random(11)
+    for size in (25, 45, 60, 100, 200):
+        vocab = [f"v{k}" for k in range(3 * size)]
+        items = [[rng.choice(vocab) for _ in range(size)] for _ in range(20)]
+        texts = []
+        for item in items:
+            w = list(item)
+            for _ in range(size // 5):  # substitutions, insertions, deletions
+                p = rng.randrange(len(w))
+                w[p : p + 1] = rng.choice([[rng.choice(vocab)], [w[p], rng.choice(vocab)], []])
+            around = [[rng.choice(vocab) for _ in range(30)] for _ in range(2)]
+            texts.append(" ".join([*around[0], *w, *around[1]]))
+        index = Index.build([(k, " ".join(x)) for k, x in enumerate(items)], 0.8)
+        got = {(n, k): (edits, a, m) for n, k, edits, a, m in index.search(texts)}
+        assert {(k, k) for k in range(20)} <= set(got)
+        for n, text in enumerate(texts):
+            own = [index.vocabulary.get(w, 0) for w in words(text)]
+            for k in range(20):
+                edits = edit_span(index.items[k], own)[0]
+                assert ((n, k) in got) == (edits <= size // 5) and (edits > size // 5 or got[n, k][0] == edits)
+
+
 def test_index_of_short_items():
     index = Index.build([(1, "solo"), (2, "two words")], 0.8)
     assert [h[:3] for h in index.search(["a solo b", "two  WORDS", "two other words", ""])] == [(0, 0, 0), (1, 1, 0)]
