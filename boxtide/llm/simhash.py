@@ -298,24 +298,24 @@ class Search:
 def fingerprint_links(distinct: DataFrame, how: Search, block: int = BLOCK) -> DataFrame:
     """(a, b) links that join the distinct `fp` (with their `more` lanes) as `how` says.
 
-    For each choice of bands, the fingerprints that are equal in these make a block, within which
+    For each choice of bands, the fingerprints that are equal in these (known by a hash) make a block, within which
     `trie_classes` joins; of each class of a block one link a member is returned. Blocks of
     more than `block` fingerprints are dealt out anew: by more bits, every pair of trie nodes
     within the budget is a block of its own.
     """
-    bands, lanes = how.bands, how.lanes
-    edge = how.edges()
-    lane = lambda k: F.get("more", F.lit(edge[k] // 64 - 1)) if edge[k] >= 64 else F.col("fp")
-    cut = lambda k: F.shiftrightunsigned(lane(k), edge[k] % 64).bitwiseAND((1 << (edge[k + 1] - edge[k])) - 1)
-    width = min(edge[k + 1] - edge[k] for k in range(bands))
-    blocks = []
-    for c, chosen in enumerate(how.choices()):
-        key = F.lit(c).cast("long")
-        for k in chosen:
-            key = F.shiftleft(key, edge[k + 1] - edge[k]).bitwiseOR(cut(k))
-        rest = next(k for k in range(bands) if k not in chosen)
-        blocks.append(F.struct(key.alias("key"), cut(rest).bitwiseAND((1 << width) - 1).alias("sub")))
-    each = distinct.select("fp", "more", F.explode(F.array(*blocks)).alias("x")).select("fp", "more", "x.key", "x.sub")
+    lanes, edge, every = how.lanes, how.edges(), range(how.bands)
+    width = min(edge[k + 1] - edge[k] for k in every)
+    choices = how.choices()
+    whole = [sum((1 << edge[k + 1]) - (1 << edge[k]) for k in chosen) for chosen in choices]
+    masks = [np.array([m >> 64 * lane & (1 << 64) - 1 for m in whole], np.uint64).view(np.int64).tolist() for lane in range(-(-edge[-1] // 64))]
+    rests = [edge[next(k for k in every if k not in chosen)] for chosen in choices]
+    # The choices are constant arrays, so that the plan stays small.
+    of = lambda values: f"get(from_json('{values}', 'array<bigint>'), c)"
+    whose = ["fp", *[f"get(more, {k})" for k in range(lanes - 1)]]
+    cuts = ", ".join(f"{x} & {of(m)}" for x, m in zip(whose, masks, strict=False))
+    each = distinct.select("fp", "more", F.explode(F.sequence(F.lit(0), F.lit(len(choices) - 1))).alias("c"))
+    sub = F.expr(f"shiftrightunsigned(fp, int({of(rests)})) & {(1 << width) - 1}L")
+    each = each.select("fp", "more", F.expr(f"xxhash64(c, {cuts})").alias("key"), sub.alias("sub"))
     large = each.groupBy("key").count().where(F.col("count") > block)
     large = large.select("key", F.least(F.lit(width), F.ceil(F.log2(F.col("count") / block)) + 1).cast("int").alias("deep"))
     each = each.join(F.broadcast(large), "key", "left")  # at most a row for `block` others
