@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,26 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def cut_by_bytes(batches: Iterable[pa.RecordBatch], text: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows again, in slices of about `most` bytes in column `text` or of one row."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
+#: Rows of a broadcast relation, at most.
+FEW = 1 << 20
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """`df`, to be broadcast in a join if it has `most` rows or fewer; else joined by a shuffle. It is counted: give a table or a checkpointed frame."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """`df` checkpointed in the order of the columns, with a gapless long `position` from 0.
 

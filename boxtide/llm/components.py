@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, few
+
+
+def roots_of(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> None:
+    """Unites label[a] with label[b], link by link, within a task; label[i] is then the least of i's class."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
 
 
 def _least_parent(edges: DataFrame, key: str) -> DataFrame:
@@ -54,3 +71,20 @@ def connected_components(links: DataFrame, left: str, right: str, most_rounds: i
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = edges.select(F.col("parent").alias("node"), F.col("parent").alias("root")).distinct()
     return edges.select(F.col("child").alias("node"), F.col("parent").alias("root")).union(roots)
+
+
+def named_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, class, component_id) of every row of `nodes` (id, least): an id that all of its component share, and the least `least` in it.
+
+    `links` (a, b) name nodes by id and are a table or checkpointed. Nulls are the least of none
+    but each other. While the components run a node's name begins with its `least`, so the
+    least name gives the component's id and no join or aggregation on it follows.
+    """
+    ends = checkpoint(links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct())
+    name = F.struct(F.col("least").isNull().alias("none"), "least", "id")
+    named = checkpoint(nodes.join(few(ends), "id").select("id", name.alias("name")))
+    named_links = links.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b")
+    roots = connected_components(named_links, "x", "y")
+    roots = checkpoint(roots.select(F.col("node.id").alias("id"), F.col("root").alias("root")))
+    out = nodes.join(few(roots), "id", "left")
+    return out.select("id", F.coalesce("root.id", "id").alias("class"), F.coalesce("root.least", "least").alias("component_id"))

@@ -11,10 +11,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut_by_bytes
+
 SIMILARITY = 0.8
 REPEATS = 20
 SAMPLED = 3
@@ -23,6 +24,8 @@ WALKED = 20
 SEED = 42
 #: Characters of items that one pass over the documents looks for.
 BLOCK_CHARS = 4_000_000
+#: Bytes of texts that are searched together, about.
+AT_ONCE = 1 << 23
 
 WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -229,17 +232,6 @@ class Index:
         return [(n, k, *best[n, k]) for n, k in sorted(best)]
 
 
-def _cut(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
-    """The rows again, in slices of about `most` bytes of text or of one row."""
-    for b in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy().astype(np.int64))
-        at = 0
-        while at < b.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-            yield b.slice(at, to - at)
-            at = to
-
-
 def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple]]:
     """The items, in the order of their ids, in blocks of bounded size."""
     block, held = [], 0
@@ -279,7 +271,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             item_kind = pa.array(index.item_ids).type
-            for b in _cut(batches):
+            for b in cut_by_bytes(batches, 1, AT_ONCE):
                 got = index.search([t or "" for t in b.column(1).to_pylist()])
                 numbers = [pa.array([g[k] for g in got], pa.int32()) for k in (2, 3, 4)]
                 size = pa.array([len(index.items[g[1]]) for g in got], pa.int32())
@@ -301,7 +293,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
         shared = docs.sparkSession.sparkContext.broadcast(Index.build(rows, similarity))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _cut(batches, at):
+            for b in cut_by_bytes(batches, at, AT_ONCE):
                 keep = np.ones(b.num_rows, bool)
                 keep[[hit[0] for hit in shared.value.search([t or "" for t in b.column(at).to_pylist()])]] = False
                 yield b.filter(pa.array(keep))

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint
-from .components import connected_components
-from .simhash import _roots
+from .components import connected_components, roots_of
 
 THRESHOLD = 0.9
 #: Vectors that the codebooks are fitted on, about, and queries that measure recall.
@@ -215,7 +214,7 @@ def links(units: DataFrame, dims: int, index: MultiIndex, cells: int, threshold:
             more = np.bincount(i, copies[j], len(pid)).astype(np.int64), np.bincount(j[one_way], pcopies[i[one_way]], len(ids)).astype(np.int64)
             both, of = np.unique(np.r_[pid, ids], return_inverse=True)
             label = np.arange(len(both))
-            _roots(of[i], of[len(pid) + j], label)
+            roots_of(of[i], of[len(pid) + j], label)
             total = np.bincount(of, np.r_[more[0], more[1]], len(both)).astype(np.int64)
             hit = (total > 0) | (label != np.arange(len(both)))
             yield pa.RecordBatch.from_arrays([pa.array(both[hit]), pa.array(total[hit]), pa.array(both[label[hit]])], ["id", "more", "other"])

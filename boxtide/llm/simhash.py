@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +11,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint
-from .components import connected_components
+from .common import checkpoint, few, new_folder
+from .components import named_components, roots_of
 
 SEED = 42
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-#: Blocks of more fingerprints are dealt to several tasks.
-BLOCK = 100_000
+#: A walk's trie is dealt out by its top nodes, of about half as many fingerprints each; fuller ones are dealt anew.
+BLOCK = 1 << 15
+#: Bits by which a full node is dealt anew, at most.
+DEEP = 10
+#: Pairs of nodes with so few pairs of leaves are compared leaf by leaf.
+LEAVES = 16
+#: Pairs that are held at a time.
+HELD = 1 << 16
+#: What it costs to deal a fingerprint out once more, in pairs of leaves compared, about.
+COPY = 100
+#: Share of the pairs at just the similarity asked for that the walks are to find.
+RECALL = 0.997
 
 
 def shingle_hashes(raw: bytes, shingle: int) -> np.ndarray:
@@ -60,349 +69,441 @@ def _mixed(x: np.ndarray, lane: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id", lanes: int = 1, repeats: bool = True) -> DataFrame:
-    """(key, fp, more) of each row of `docs`: the first lane's bits as a signed long, the others' as an array."""
+def fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id") -> DataFrame:
+    """(key, fp) of each row of `docs`: its bits as a signed long."""
     kind = docs.schema[key].dataType
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [fingerprint(x.as_py() or b"", shingle, lanes, repeats) for x in b.column(1).cast(pa.binary())]
-            fps = np.array(found, np.uint64).reshape(-1, lanes).view(np.int64)
-            more = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * (lanes - 1), pa.int32()), pa.array(fps[:, 1:].ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ascontiguousarray(fps[:, 0])), more], ["key", "fp", "more"])
+            found = [fingerprint(x.as_py() or b"", shingle)[0] for x in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["key", "fp"])
 
-    named = docs.select(F.col(key).alias("key"), "text").mapInArrow(of, f"key {kind.simpleString()}, fp long, more array<long>")
+    named = docs.select(F.col(key).alias("key"), "text").mapInArrow(of, f"key {kind.simpleString()}, fp long")
     return named.withColumnRenamed("key", key)
 
 
 def fingerprints_of_sets(docs: DataFrame, shingle: int, key: str, lanes: int) -> DataFrame:
-    """(key, fp, more, _set, _text) of each row of `docs`: its bits without repeats, the hash of its set of shingles, its text."""
+    """(key, w0, w1 ..., id, text) of each row of `docs`: a lane's bits each without repeats, the hash of its set of shingles."""
     kind = docs.schema[key].dataType
+    names = [f"w{k}" for k in range(lanes)]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(x.as_py() or b"", shingle)) for x in b.column(1).cast(pa.binary())]
             fps = np.array([_bits(x, lanes) for x in sets], np.uint64).reshape(-1, lanes).view(np.int64)
-            more = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * (lanes - 1), pa.int32()), pa.array(fps[:, 1:].ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ascontiguousarray(fps[:, 0])), more, pa.array(_set_ids(sets)), b.column(1)], ["key", "fp", "more", "_set", "_text"])
-
-    named = docs.select(F.col(key).alias("key"), "text").mapInArrow(of, f"key {kind.simpleString()}, fp long, more array<long>, _set long, _text string")
-    return named.withColumnRenamed("key", key)
-
-
-def _set_ids(sets: list[np.ndarray]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-
-
-def similar_classes(sets: list[np.ndarray], jaccard: float) -> np.ndarray:
-    """The index of a representative for each set: those join that links of `jaccard` or more reach, exactly.
-
-    Sets are sorted arrays of different values. Two that link share one of the first
-    n - ceil(jaccard n) + 1 values of either; only such pairs are compared, and of those that
-    a class already holds only a few.
-    """
-    sizes = np.array([len(x) for x in sets], np.int64)
-    order = np.argsort(sizes, kind="stable")
-    sizes, n = sizes[order], len(sets)
-    codes = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1] if n else np.zeros(0, np.int64)
-    start = np.r_[0, np.cumsum(sizes)]
-    label, least = np.arange(n), np.ceil(jaccard * sizes - 1e-9).astype(np.int64)
-    prefix = [codes[start[i] : start[i] + (sizes[i] - least[i] + 1 if sizes[i] else 0)] for i in range(n)]
-    wide = int(codes.max(initial=-1)) + 1
-    room = np.r_[0, np.cumsum(np.bincount(np.concatenate([*prefix, np.zeros(0, np.int64)]), minlength=wide))]
-    held, seen = np.zeros(room[-1], np.int64), np.zeros(wide, np.int64)
-    mine, met = np.zeros(wide, bool), np.zeros(n, bool)
-
-    def near(i: int, others: np.ndarray) -> np.ndarray:
-        out = []
-        for part in np.split(others, np.flatnonzero(np.diff(np.cumsum(sizes[others]) >> 22)) + 1):
-            m = sizes[part]
-            at = np.repeat(start[part] - np.cumsum(m) + m, m) + np.arange(m.sum())
-            common = np.add.reduceat(mine[codes[at]].astype(np.int64), np.cumsum(m) - m)
-            out.append(part[common >= jaccard * (m + sizes[i] - common) - 1e-9])
-        return np.concatenate(out)
-
-    for i in range(n):
-        for c in prefix[i].tolist():
-            met[held[room[c] : room[c] + seen[c]]] = True
-        others = np.flatnonzero(met[:i])
-        met[others] = False
-        others = others[sizes[others] >= least[i]]
-        if len(others):
-            mine[codes[start[i] : start[i + 1]]] = True
-            others = others[np.argsort(label[others], kind="stable")]
-            edge = np.flatnonzero(np.r_[True, np.diff(label[others]) != 0])
-            few = np.arange(len(others)) - np.repeat(edge, np.diff(np.r_[edge, len(others)])) < 4
-            joined = np.unique(label[near(i, others[few])])
-            rest = others[~few & ~np.isin(label[others], joined)]
-            joined = np.union1d(joined, label[near(i, rest)]) if len(rest) else joined
-            mine[codes[start[i] : start[i + 1]]] = False
-            if len(joined):
-                label[i] = joined[0]
-                label[:i][np.isin(label[:i], joined[1:])] = joined[0]
-        held[room[prefix[i]] + seen[prefix[i]]] = i
-        seen[prefix[i]] += 1
-    out = np.empty(n, np.int64)
-    out[order] = order[label]
-    return out
+            ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x)) for x in fps.T), pa.array(ids), b.column(1)], ["key", *names, "id", "text"])
 
-
-def verified_classes(members: DataFrame, shingle: int, jaccard: float) -> DataFrame:
-    """(_set, root) of `members` (group, _set, _text): within each group, the classes of `similar_classes`.
-
-    A task holds the sets of one group at a time.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets = None, [], []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if ids:
-                own = np.array(ids, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(own[similar_classes(sets, jaccard)])], ["_set", "root"])
-
-        for b in batches:
-            for group, one, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
-                if group != now:
-                    yield from done()
-                    now, ids, sets = group, [], []
-                ids.append(one)
-                sets.append(np.unique(shingle_hashes(text.as_py() or b"", shingle)))
-        yield from done()
-
-    return members.repartition("group").sortWithinPartitions("group").mapInArrow(run, "_set long, root long")
-
-
-def _roots(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> None:
-    """Unites label[a] with label[b], link by link; label[i] is then the least of i's class."""
-    while True:
-        x, y = label[a], label[b]
-        apart = x != y
-        if not apart.any():
-            return
-        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label[:] = up
-
-
-def trie_classes(block: np.ndarray, fp: np.ndarray, budget: int, more: np.ndarray | None = None, total: int = 0, most: int = 1 << 21) -> np.ndarray:
-    """The index of a representative for each fingerprint; the arrays are sorted by (block, fp).
-
-    Within each block this walks pairs of nodes of the binary trie of its fingerprints
-    together, a bit a step. A node is a range of the sorted array. A pair's children take
-    over the bits in which the pair differs, plus one where they go apart, and are left out
-    beyond the budget. Pairs of few leaves are compared leaf by leaf. With `more` lanes (a
-    row each), linked pairs must also differ in `total` bits of all lanes at most.
-    """
-    n = len(fp)
-    label = np.arange(n)
-    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if n else np.zeros(0, np.int64)
-    lo = starts
-    hi = np.r_[starts[1:], n] if n else starts
-    pairs = np.stack([lo, hi, lo, hi, np.zeros_like(lo)])
-    pairs = pairs[:, hi - lo > 1]
-
-    def compare(p: np.ndarray) -> None:
-        size = (p[1] - p[0]) * (p[3] - p[2])
-        cuts = np.searchsorted(np.cumsum(size), np.arange(most, size.sum() + most, most), "left") + 1
-        for part in np.split(np.arange(p.shape[1]), np.unique(cuts[cuts < p.shape[1]])):
-            q, s = p[:, part], size[part]
-            at = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
-            wide = np.repeat(q[3] - q[2], s)
-            i, j = np.repeat(q[0], s) + at // wide, np.repeat(q[2], s) + at % wide
-            near = (i < j) & (np.bitwise_count(fp[i] ^ fp[j]) <= budget)
-            i, j = i[near], j[near]
-            if more is not None and len(more):
-                apart = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in more)
-                i, j = i[apart <= total], j[apart <= total]
-            _roots(i, j, label)
-
-    for bit in range(63, -1, -1):
-        small = (pairs[1] - pairs[0]) * (pairs[3] - pairs[2]) <= 1024
-        compare(pairs[:, small])
-        pairs = pairs[:, ~small]
-        if not pairs.size:
-            return label
-        ones = np.r_[0, np.cumsum((fp >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)]
-        lo1, hi1, lo2, hi2, diff = pairs
-        mid1, mid2 = hi1 - (ones[hi1] - ones[lo1]), hi2 - (ones[hi2] - ones[lo2])
-        same = lo1 == lo2
-        children = [
-            np.stack([lo1, mid1, lo2, mid2, diff]),
-            np.stack([mid1, hi1, mid2, hi2, diff]),
-            np.stack([lo1, mid1, mid2, hi2, diff + 1]),
-            np.stack([mid1, hi1, lo2, mid2, diff + 1])[:, ~same],
-        ]
-        pairs = np.concatenate(children, axis=1)
-        live = (pairs[0] < pairs[1]) & (pairs[2] < pairs[3]) & (pairs[4] <= budget)
-        pairs = pairs[:, live & ~((pairs[0] == pairs[2]) & (pairs[1] - pairs[0] == 1))]
-    compare(pairs)
-    return label
+    out = docs.select(F.col(key).alias("key"), "text")
+    out = out.mapInArrow(of, f"key {kind.simpleString()}, {', '.join(f'{x} long' for x in names)}, id long, text string")
+    return out.withColumnRenamed("key", key)
 
 
 @dataclass(frozen=True)
 class Search:
-    """How fingerprints are linked: at `budget` or fewer differing bits of the first lane, and `total` of all.
-
-    The first lane is cut into `bands`. Where `agree` is bands - budget and `repeats` None, all
-    choices of so many bands are tried, one of which is equal in any two fingerprints that
-    link: none is missed. Else `repeats` choices are drawn by a seed, and what they find is to be
-    measured: choices share bands, so their misses go together. With `across` the bands cut
-    all lanes. Repeats of a shingle within a text count unless `shingle_repeats` is false.
-    With `jaccard` links only propose: what they reach is joined by the exact similarity of
-    the sets of shingles.
+    """Fingerprints of `lanes` words of 64 bits link at `budget` or fewer differing bits.
+
+    Each walk is a trie of its own: `orders` has the bits by which it branches (0 is the highest of the
+    first lane), `allowed` how many of these may differ down to each depth. At its end,
+    and where few leaves are left, leaves are compared in all bits. With `jaccard` links
+    only propose: the exact similarity of the sets of shingles decides.
     """
 
-    budget: int = 4
-    bands: int = 6
-    agree: int = 2
-    repeats: int | None = None
-    lanes: int = 1
-    total: int = 64
-    shingle_repeats: bool = True
-    across: bool = False
+    lanes: int
+    budget: int
+    orders: tuple[tuple[int, ...], ...]
+    allowed: tuple[tuple[int, ...], ...]
     jaccard: float | None = None
 
-    def edges(self) -> list[int]:
-        """The bits at which bands begin, and the last one's end; no band lies in two lanes."""
-        over = self.lanes if self.across else 1
-        if self.bands % over:
-            raise ValueError("bands must be a multiple of the lanes that they cut")
-        own = self.bands // over
-        return [64 * (k // own) + 64 * (k % own) // own for k in range(self.bands)] + [64 * over]
-
-    def choices(self) -> list[tuple[int, ...]]:
-        every = list(combinations(range(self.bands), self.agree))
-        if self.repeats is None:
-            if self.agree < 1 or self.agree > self.bands - self.budget:
-                raise ValueError("agree must be bands - budget at most, and 1 at least")
-            return every
-        drawn = np.random.default_rng(SEED).permutation(len(every))[: self.repeats]
-        return [every[k] for k in sorted(drawn.tolist())]
-
     @classmethod
-    def of_similarity(cls, jaccard: float) -> Search:
-        """For shingle sets that are so similar or more: two lanes, and budgets 3.5 deviations above the bits that differ then.
+    def exact(cls, budget: int) -> Search:
+        """Misses no link of 64 bits.
 
-        Of pairs at just 0.8, 160 choices of three of 28 bands find over 0.99 (tested by simulation).
+        The bits are cut into a ring of budget + 1 bands, and a walk begins at each. Around a ring
+        whose bands hold `budget` differing bits in all, some band begins a round in which
+        the first band has none, the first two one at most, and so on (the cycle lemma); its
+        walk finds the link.
         """
-        p = float(np.arccos(2 * jaccard / (1 + jaccard)) / np.pi)
-        above = lambda bits: int(bits * p + 3.5 * (bits * p * (1 - p)) ** 0.5)
-        return cls(budget=above(64), bands=28, agree=3, repeats=160, lanes=2, total=above(128), shingle_repeats=False, across=True, jaccard=jaccard)
+        bands = budget + 1
+        edge = [64 * k // bands for k in range(bands + 1)]
+        rings = [[(at + k) % bands for k in range(bands)] for at in range(bands)]
+        orders = tuple(tuple(bit for k in ring for bit in range(edge[k], edge[k + 1])) for ring in rings)
+        allowed = tuple(tuple(n for n, k in enumerate(ring) for _ in range(edge[k], edge[k + 1])) for ring in rings)
+        return cls(1, budget, orders, allowed)
+
+    @classmethod
+    def of_similarity(cls, jaccard: float, n: int, recall: float = RECALL, lanes: int = 2) -> Search:
+        """For the sets of shingles of `n` texts that are so similar or more.
+
+        The budget is 3.5 deviations above the bits expected to differ at `jaccard`. A walk branches
+        by drawn bits until a node is expected to hold one text. None of them may differ where the trie is dealt
+        out, and a few further down. There are as many walks as find `recall` of the pairs at
+        just `jaccard`, reckoned for drawn bits given how many of all bits differ; of the numbers of
+        bits that may differ the one is taken whose walks cost least.
+        """
+        bits = 64 * lanes
+        p = differing(jaccard)
+        budget = int(bits * p + 3.5 * (bits * p * (1 - p)) ** 0.5)
+        depth, none = int(np.clip(np.ceil(np.log2(max(n, 2))) + 1, 8, 60)), top_bits(n)
+        total = np.arange(budget + 1)
+        chance = np.exp(_log_choose(bits, total) + total * np.log(p) + (bits - total) * np.log(1 - p))
+        plans = []
+        for errors in range(1, 7):
+            allowed = (0,) * none + tuple(1 + k * errors // (depth - none) for k in range(depth - none))
+            missed = np.array([1 - survival(allowed, bits, k) for k in total])
+            low, walks = 0, 1
+            while (chance * missed**walks).sum() > 1 - recall:
+                low, walks = walks, 2 * walks
+            while walks - low > 1:
+                mid = (low + walks) // 2
+                low, walks = (mid, walks) if (chance * missed**mid).sum() > 1 - recall else (low, mid)
+            plans.append((walks * (COPY + patterns(allowed)), walks, allowed))
+        _, walks, allowed = min(plans)
+        draw = np.random.default_rng(SEED)
+        orders = tuple(tuple(draw.permutation(bits)[:depth].tolist()) for _ in range(walks))
+        return cls(lanes, budget, orders, (allowed,) * walks, jaccard)
+
+
+def differing(jaccard: float) -> float:
+    """The share of bits in which two equally large sets of such similarity are expected to differ."""
+    return float(np.arccos(2 * jaccard / (1 + jaccard)) / np.pi)
+
+
+def top_bits(n: int, block: int = BLOCK) -> int:
+    """By how many bits the tries of n fingerprints are dealt out; by none where one node holds them all."""
+    return int(np.clip(np.ceil(np.log2(max(n, 1) / block)) + 1, 0, 40)) if n > block else 0
+
+
+def _log_choose(n: int, k: np.ndarray) -> np.ndarray:
+    logs = np.r_[0, np.cumsum(np.log(np.arange(1, n + 1)))]
+    return logs[n] - logs[k] - logs[n - k]
+
+
+def survival(allowed: tuple[int, ...], bits: int, apart: int) -> float:
+    """How likely a walk by drawn bits finds two fingerprints that differ in `apart` of `bits`."""
+    p = np.zeros(max(allowed) + 2)
+    p[0] = 1
+    for depth, most in enumerate(allowed):
+        q = np.clip((apart - np.arange(len(p))) / (bits - depth), 0, 1)
+        p = p * (1 - q) + np.r_[0, (p * q)[:-1]]
+        p[most + 1 :] = 0
+    return float(p.sum())
+
+
+def patterns(allowed: tuple[int, ...]) -> int:
+    """In how many ways a node can differ from those that a walk pairs it with."""
+    ways = [1] + [0] * max(allowed)
+    for most in allowed:
+        ways = [w + (ways[e - 1] if e else 0) if e <= most else 0 for e, w in enumerate(ways)]
+    return sum(ways)
+
+
+def in_order(words: np.ndarray, order: tuple[int, ...]) -> np.ndarray:
+    """The bits of each column of `words` (a row a lane) in this order, from the highest bit on."""
+    out = np.zeros(words.shape[1], np.uint64)
+    for to, bit in enumerate(order):
+        out |= ((words[bit // 64] >> np.uint64(63 - bit % 64)) & np.uint64(1)) << np.uint64(63 - to)
+    return out
 
 
-def fingerprint_links(distinct: DataFrame, how: Search, block: int = BLOCK) -> DataFrame:
-    """(a, b) links that join the distinct `fp` (with their `more` lanes) as `how` says.
+def walk(prefix: np.ndarray, pairs: np.ndarray, depths: np.ndarray, allowed: np.ndarray, visit: Callable, dull: Callable, held: int = HELD) -> int:
+    """Traverses pairs of trie nodes together; how many pairs of nodes and leaves it met.
 
-    For each choice of bands, the fingerprints that are equal in these (known by a hash) make a block, within which
-    `trie_classes` joins; of each class of a block one link a member is returned. Blocks of
-    more than `block` fingerprints are dealt out anew: by more bits, every pair of trie nodes
-    within the budget is a block of its own.
+    A node is a range of `prefix`, which is sorted within each starting node. `pairs` has columns
+    (begin, end, begin, end, differing bits so far, row of `allowed`), which start at
+    `depths`. A pair's children take over its differing bits, plus one where they go apart,
+    and are pruned beyond what is allowed at their depth. Pairs of few leaves, or at the last depth,
+    go to visit(i, j), place by place. Pairs of which dull(pairs) says that nothing new can
+    come are left out. A node's pair with itself comes before it meets others; about `held`
+    pairs are worked on at a time.
+    """
+    met, last = 0, allowed.shape[1]
+    ones: dict[int, np.ndarray] = {}
+    stack = [(d, pairs[:, depths == d]) for d in np.unique(depths).tolist()]
+    while stack:
+        depth, p = stack.pop()
+        if p.shape[1] > held:
+            stack.append((depth, p[:, held:]))
+            p = p[:, :held]
+        if p.shape[1] > 256:
+            p = p[:, ~dull(p)]
+        met += p.shape[1]
+        size = (p[1] - p[0]) * (p[3] - p[2])
+        ends = size <= LEAVES if depth < last else np.ones(len(size), bool)
+        for i, j in _leaf_pairs(p[:, ends], held):
+            met += len(i)
+            visit(i, j)
+        p = p[:, ~ends]
+        if not p.size:
+            continue
+        if depth not in ones:
+            ones[depth] = np.r_[0, np.cumsum(prefix >> np.uint64(63 - depth) & np.uint64(1), dtype=np.int32)]
+        n = ones[depth]
+        lo1, hi1, lo2, hi2, diff, row = p
+        mid1, mid2 = hi1 - (n[hi1] - n[lo1]), hi2 - (n[hi2] - n[lo2])
+        own = lo1 == lo2
+        same = [np.stack([lo1, mid1, lo2, mid2, diff, row]), np.stack([mid1, hi1, mid2, hi2, diff, row])]
+        apart = [np.stack([lo1, mid1, mid2, hi2, diff + 1, row]), np.stack([mid1, hi1, lo2, mid2, diff + 1, row])[:, ~own]]
+        for children in (apart, same) if p.shape[1] > held // 4 else ([*same, *apart],):
+            c = np.concatenate(children, axis=1)
+            c = c[:, (c[0] < c[1]) & (c[2] < c[3]) & (c[4] <= allowed[c[5], depth])]
+            c = c[:, (c[0] != c[2]) | (c[1] - c[0] > 1)]
+            if c.size:
+                stack.append((depth + 1, c))
+    return met
+
+
+def _leaf_pairs(p: np.ndarray, held: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places i < j of the leaves of pairs of nodes, about `held` at a time."""
+    if not p.size:
+        return
+    wide = p[3] - p[2]
+    step = np.maximum(1, held // wide)
+    parts = -(-(p[1] - p[0]) // step)
+    of = np.repeat(np.arange(len(wide)), parts)
+    lo = p[0][of] + (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)) * step[of]
+    hi, second, wide = np.minimum(lo + step[of], p[1][of]), p[2][of], wide[of]
+    size = (hi - lo) * wide
+    bins = (np.cumsum(size) - 1) // held
+    for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(bins)) + 1):
+        s, w = size[part], np.repeat(wide[part], size[part])
+        at = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
+        i, j = np.repeat(lo[part], s) + at // w, np.repeat(second[part], s) + at % w
+        yield i[i < j], j[i < j]
+
+
+class _Block:
+    """What a task finds among fingerprints (a column of `words` each) that lie in places of a trie."""
+
+    def __init__(self, words: np.ndarray, classes: np.ndarray, budget: int, sure: int) -> None:
+        self.words, self.budget, self.sure = words, budget, sure
+        self.label = np.unique(classes, return_inverse=True)[1]
+        self.out: list[np.ndarray] = []
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        apart = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in self.words)
+        ok = apart <= self.budget
+        return i[ok], j[ok], apart[ok]
+
+    def dull(self, p: np.ndarray) -> np.ndarray:
+        """Nodes of a single class, the same one."""
+        turns = np.r_[0, np.cumsum(self.label[1:] != self.label[:-1])]
+        alone = (turns[p[1] - 1] == turns[p[0]]) & (turns[p[3] - 1] == turns[p[2]])
+        return alone & (self.label[p[0]] == self.label[p[2]])
+
+
+class _Joined(_Block):
+    """Links join at once; of each class a link for each member is the result."""
+
+    def __init__(self, words: np.ndarray, classes: np.ndarray, budget: int, sure: int) -> None:
+        super().__init__(words, classes, budget, sure)
+        self.label = np.arange(words.shape[1])
+
+    def visit(self, i: np.ndarray, j: np.ndarray) -> None:
+        roots_of(*self.near(i, j)[:2], self.label)
+
+    def result(self) -> np.ndarray:
+        at = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return np.stack([at, self.label[at]])
+
+
+class _Nearest(_Block):
+    """For each fingerprint the nearest one that it met; once it is near enough to be sure, none is sought any more."""
+
+    def __init__(self, words: np.ndarray, classes: np.ndarray, budget: int, sure: int) -> None:
+        super().__init__(words, classes, budget, sure)
+        n = words.shape[1]
+        self.apart, self.who = np.full(n, budget + 1), np.full(n, -1)
+
+    def visit(self, i: np.ndarray, j: np.ndarray) -> None:
+        i, j, apart = self.near(i, j)
+        x, y, d = np.r_[i, j], np.r_[j, i], np.r_[apart, apart]
+        order = np.lexsort((y, d, x))
+        x, y, d = x[order], y[order], d[order]
+        first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+        first = first[d[first] < self.apart[x[first]]]
+        self.apart[x[first]], self.who[x[first]] = d[first], y[first]
+
+    def dull(self, p: np.ndarray) -> np.ndarray:
+        open_ = np.r_[0, np.cumsum(self.apart > self.sure)]
+        return (open_[p[1]] == open_[p[0]]) & (open_[p[3]] == open_[p[2]])
+
+    def result(self) -> np.ndarray:
+        at = np.flatnonzero(self.who >= 0)
+        return np.stack([at, self.who[at]])
+
+
+class _Apart(_Block):
+    """All links between different classes."""
+
+    def visit(self, i: np.ndarray, j: np.ndarray) -> None:
+        i, j, _ = self.near(i, j)
+        other = self.label[i] != self.label[j]
+        self.out.append(np.stack([i[other], j[other]]))
+
+    def result(self) -> np.ndarray:
+        return np.concatenate([np.zeros((2, 0), np.int64), *self.out], axis=1)
+
+
+def trie_links(nodes: DataFrame, how: Search, n: int, kind: type[_Block] = _Joined, block: int = BLOCK) -> DataFrame:
+    """(a, b): pairs of ids of `nodes` (w0, ..., id, class) that the walks of `how` find, as `kind` tells; n: about the rows.
+
+    Every walk's trie is dealt out by its top nodes. Of a node with over `block` fingerprints the
+    pairs of its descendants, some bits deeper, that may hold links are dealt out instead.
+    Each place is then walked in a task, as `walk` tells.
     """
-    lanes, edge, every = how.lanes, how.edges(), range(how.bands)
-    width = min(edge[k + 1] - edge[k] for k in every)
-    choices = how.choices()
-    whole = [sum((1 << edge[k + 1]) - (1 << edge[k]) for k in chosen) for chosen in choices]
-    masks = [np.array([m >> 64 * lane & (1 << 64) - 1 for m in whole], np.uint64).view(np.int64).tolist() for lane in range(-(-edge[-1] // 64))]
-    rests = [edge[next(k for k in every if k not in chosen)] for chosen in choices]
-    # The choices are constant arrays, so that the plan stays small.
-    of = lambda values: f"get(from_json('{values}', 'array<bigint>'), c)"
-    whose = ["fp", *[f"get(more, {k})" for k in range(lanes - 1)]]
-    cuts = ", ".join(f"{x} & {of(m)}" for x, m in zip(whose, masks, strict=False))
-    each = distinct.select("fp", "more", F.explode(F.sequence(F.lit(0), F.lit(len(choices) - 1))).alias("c"))
-    sub = F.expr(f"shiftrightunsigned(fp, int({of(rests)})) & {(1 << width) - 1}L")
-    each = each.select("fp", "more", F.expr(f"xxhash64(c, {cuts})").alias("key"), sub.alias("sub"))
-    large = each.groupBy("key").count().where(F.col("count") > block)
-    large = large.select("key", F.least(F.lit(width), F.ceil(F.log2(F.col("count") / block)) + 1).cast("int").alias("deep"))
-    each = each.join(F.broadcast(large), "key", "left")  # at most a row for `block` others
-    mine = F.expr("sub % cast(shiftleft(1, deep) as long)")
-    others = F.filter(
-        F.sequence(F.lit(0).cast("long"), F.expr("cast(shiftleft(1, deep) as long) - 1")),
-        lambda o: (o != mine) & (F.bit_count(o.bitwiseXOR(mine)) <= how.budget),
-    )
-    nodes = F.transform(others, lambda o: F.least(o, mine) * (1 << width) + F.greatest(o, mine) + 1)
-    each = each.select("fp", "key", F.explode(F.when(F.col("deep").isNull(), F.array(F.lit(0).cast("long"))).otherwise(nodes)).alias("node"), *[F.get("more", F.lit(k)).alias(f"m{k}") for k in range(lanes - 1)])
-    dealt = each.repartition("key", "node").sortWithinPartitions("key", "node")
+    lanes, top = how.lanes, top_bits(n, block)
+    deep = min(DEEP, 60 - top)
+    words = [f"w{k}" for k in range(lanes)]
+    depth = max(map(len, how.allowed))
+    allowed = np.array([[*x, *[x[-1]] * (depth - len(x))] for x in how.allowed], np.int64)
+    sure = int(64 * lanes * differing((1 + how.jaccard) / 2)) if how.jaccard else how.budget
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = np.stack([b.column(k).to_numpy() for k in range(lanes)]).view(np.uint64)
+            for r, order in enumerate(how.orders):
+                bits = in_order(own, order)
+                key = np.uint64(r << top) + (bits >> np.uint64(64 - top) if top else np.uint64(0))
+                sub = bits >> np.uint64(64 - top - deep) & np.uint64((1 << deep) - 1)
+                key = np.broadcast_to(key, bits.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(sub.astype(np.int64)), *b.columns], ["key", "sub", *b.schema.names])
+
+    columns = ", ".join(f"{x} long" for x in ["key", "sub", *words, "id", "class"])
+    each = nodes.select(*words, "id", "class").mapInArrow(spread, columns)
+    node = F.lit(0).cast("long")
+    if n > block:
+        full = each.groupBy("key").count().where(F.col("count") > block)
+        full = checkpoint(full.select("key", F.least(F.lit(deep), F.ceil(F.log2(F.col("count") / block)) + 1).cast("int").alias("deep")))
+        if full.count():
+            most = F.array(*[F.lit(int(allowed[:, min(top + d, depth) - 1].max()) if top + d else 0) for d in range(deep + 1)])
+            mine = F.expr(f"shiftrightunsigned(sub, {deep} - deep)")
+            others = F.filter(
+                F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, deep) - 1")),
+                lambda o: F.bit_count(o.bitwiseXOR(mine)) <= F.get(most, F.col("deep")),
+            )
+            dealt = F.transform(others, lambda o: F.expr("shiftleft(cast(deep as bigint), 32)") + F.least(o, mine) * (1 << 16) + F.greatest(o, mine))
+            each = each.join(few(full), "key", "left").withColumn("node", F.explode(F.when(F.col("deep").isNull(), F.array(node)).otherwise(dealt)))
+            node = F.col("node")
+    each = each.select("key", node.alias("node"), *words, "id", "class").repartition("key", "node").sortWithinPartitions("key", "node")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        rows = 0
+        rows: list[np.ndarray] = []
+        n = 0
         for b in batches:
-            held.append(np.stack([np.asarray(x) for x in b.columns]))
-            rows += b.num_rows
-            if rows >= 200_000:
-                whole = np.concatenate(held, axis=1)
-                last = (whole[1] == whole[1, -1]) & (whole[2] == whole[2, -1])
+            rows.append(np.stack([np.asarray(x) for x in b.columns]))
+            n += b.num_rows
+            if n >= 4 * BLOCK:
+                whole = np.concatenate(rows, axis=1)
+                last = (whole[0] == whole[0, -1]) & (whole[1] == whole[1, -1])
                 yield from linked(whole[:, ~last])
-                held = [whole[:, last]]
-                rows = 0
-        if held:
-            yield from linked(np.concatenate(held, axis=1))
+                rows, n = [whole[:, last]], int(last.sum())
+        if rows:
+            yield from linked(np.concatenate(rows, axis=1))
 
     def linked(x: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not x.shape[1]:
             return
-        group = np.cumsum(np.r_[True, (x[1, 1:] != x[1, :-1]) | (x[2, 1:] != x[2, :-1])])
-        bits = np.concatenate([x[:1], x[3:]]).view(np.uint64)
-        order = np.lexsort((bits[0], group))
-        bits = bits[:, order]
-        label = trie_classes(group[order], bits[0], how.budget, bits[1:], how.total)
-        at = np.flatnonzero(label != np.arange(len(label)))
-        fp = bits[0].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[label[at]])], ["a", "b"])
-
-    return dealt.mapInArrow(join, "a long, b long").distinct()
-
-
-def simhash_groups(docs: DataFrame, shingle: int = 5, how: Search | None = None, key: str = "doc_id") -> DataFrame:
-    """key, fp (signed long), root and component_id of each row of `docs`.
-
-    Fingerprints link as `how` says, by default those of a similarity of 0.8 of their shingles;
-    component_id is the least key among the documents that links reach, the row's own
-    included (null where all are null). Null, empty and blank texts have fingerprint 0
-    and link like any other. Equal rows and equal keys are rows of their own; long texts
-    are hashed whole. No rows: no rows.
-
-    Equal fingerprints (equal sets of shingles, where `how` names a similarity) count once from
-    the start, so a group of copies is one node; all that is joined afterwards has one row
-    for each on the other side.
+        own, walks = x[2 : 2 + lanes].view(np.uint64), x[0] >> top
+        prefix = np.zeros(x.shape[1], np.uint64)
+        for r in np.unique(walks).tolist():
+            mine = walks == r
+            prefix[mine] = in_order(own[:, mine], how.orders[r])
+        order = np.lexsort((prefix, x[1], x[0]))
+        x, prefix, walks = x[:, order], prefix[order], walks[order]
+        lo = np.flatnonzero(np.r_[True, (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])])
+        hi = np.r_[lo[1:], x.shape[1]]
+        down, first, second = x[1, lo] >> 32, x[1, lo] >> 16 & 0xFFFF, x[1, lo] & 0xFFFF
+        bits = (prefix >> np.uint64(64 - top - deep) & np.uint64((1 << deep) - 1)).astype(np.int64)
+        below = np.r_[0, np.cumsum(bits >> (deep - np.repeat(down, hi - lo)) == np.repeat(first, hi - lo))]
+        mid = np.where(first == second, hi, lo + below[hi] - below[lo])
+        pairs = np.stack([lo, mid, np.where(first == second, lo, mid), hi, np.bitwise_count(first ^ second).astype(np.int64), walks[lo]])
+        some = (pairs[0] < pairs[1]) & (pairs[2] < pairs[3]) & ((first != second) | (hi - lo > 1))
+        block = kind(x[2 : 2 + lanes].view(np.uint64), x[3 + lanes], how.budget, sure)
+        walk(prefix, pairs[:, some], (top + down)[some], allowed, block.visit, block.dull)
+        a, b = x[2 + lanes][block.result()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return each.mapInArrow(join, "a long, b long").where("a <> b").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, jaccard: float) -> DataFrame:
+    """The `pairs` (a, b) whose sets of shingles have that similarity or more; `texts` (id, text) has one row an id."""
+    ends = checkpoint(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                sets = [np.unique(shingle_hashes(x.as_py() or b"", shingle)).view(np.int64) for x in part.column(1).cast(pa.binary())]
+                lists = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in sets])], np.concatenate(sets)).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "s"])
+
+    sets = checkpoint(texts.join(few(ends), "id").select("id", "text").mapInArrow(of, "id long, s array<long>"))
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    ok = (common > 0) & (common >= jaccard * (F.size("sa") + F.size("sb") - common) - 1e-9)
+    sizes = F.least(F.size("sa"), F.size("sb")) >= jaccard * F.greatest(F.size("sa"), F.size("sb")) - 1e-9
+    return both.where(sizes).where(ok).select("a", "b")
+
+
+def simhash_groups(docs: DataFrame, shingle: int = 5, jaccard: float = 0.8, how: Search | None = None, key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """key, fp (signed long, the first lane's bits) and component_id of each row of `docs`.
+
+    Without `how`, documents link whose sets of shingles have a similarity of `jaccard` or more,
+    exactly verified, among the pairs that `Search.of_similarity` proposes; each different
+    shingle counts once. With `how` fingerprints link as it says. component_id is the
+    least key among the documents that links reach, the row's own included (null where all
+    are null). Null, empty and blank texts have fingerprint 0; they link like any other by
+    fingerprints, and with each other alone by sets. Equal rows and equal keys are rows of their own; long texts are hashed
+    whole; other columns are not read. No rows: no rows.
+
+    Equal fingerprints, or equal sets, count once from the start, so a group of copies is one
+    node; all that is joined afterwards has one row for each on the other side.
+    """
+    if how is None:
+        return _groups_of_sets(docs, shingle, jaccard, key, block)
+    each = checkpoint(fingerprints(docs, shingle, key))
+    nodes = checkpoint(each.groupBy("fp").agg(F.min(key).alias("least")).selectExpr("fp as id", "fp as w0", "fp as class", "least"))
+    links = checkpoint(trie_links(nodes, how, nodes.count(), block=block))
+    named = named_components(nodes, links).select(F.col("id").alias("fp"), "component_id")
+    return each.join(named, "fp").select(key, "fp", "component_id")
+
+
+def _groups_of_sets(docs: DataFrame, shingle: int, jaccard: float, key: str, block: int) -> DataFrame:
+    """Proposed pairs are verified in two rounds, so that no group is expanded into all its pairs.
+
+    The first takes for each text the nearest that each walk meets, and joins what is verified. The
+    second takes all pairs between texts that are in different classes then.
     """
-    how = how or Search.of_similarity(0.8)
-    if how.jaccard is not None:
-        return _verified_groups(docs, shingle, how, key)
-    each = checkpoint(fingerprints(docs, shingle, key, how.lanes, how.shingle_repeats))
-    least = each.groupBy("fp").agg(F.min(key).alias("least"), F.min("more").alias("more"))
-    links = fingerprint_links(least.select("fp", "more"), how)
-    roots = checkpoint(connected_components(links, "a", "b"))
-    named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(first, "root").select("fp", "root", "component_id")
-    return each.join(named, "fp").select(key, "fp", "root", "component_id")
-
-
-def _verified_groups(docs: DataFrame, shingle: int, how: Search, key: str) -> DataFrame:
-    each = checkpoint(fingerprints_of_sets(docs, shingle, key, how.lanes).withColumn("_n", F.monotonically_increasing_id()))
-    sets = each.groupBy("_set").agg(F.min(key).alias("least"), F.min("_n").alias("_n"), F.first("fp").alias("fp"), F.first("more").alias("more"))
-    sets = checkpoint(sets)
-    links = fingerprint_links(sets.select("fp", "more").distinct(), how).where("a <> b")
-    roots = connected_components(links, "a", "b")
-    named = sets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("_set", "_n", F.coalesce("root", "fp").alias("group"))
-    named = checkpoint(named)
-    several = named.groupBy("group").count().where("count > 1").select("group")
-    members = each.select("_n", "_text").join(named.join(several, "group"), "_n").select("group", "_set", "_text")
-    classes = checkpoint(verified_classes(members, shingle, how.jaccard))
-    named = sets.join(classes, "_set", "left").select("_set", "least", F.coalesce("root", "_set").alias("root"))
-    first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(first, "root").select("_set", "root", "component_id")
-    return each.select(key, "fp", "_set").join(named, "_set").select(key, "fp", "root", "component_id")
+    spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "fingerprints")
+    lanes = 2
+    words = [f"w{k}" for k in range(lanes)]
+    fingerprints_of_sets(docs, shingle, key, lanes).withColumn("_n", F.monotonically_increasing_id()).write.parquet(folder)
+    each = spark.read.parquet(folder)
+    nodes = checkpoint(each.groupBy("id").agg(F.min(key).alias("least"), F.min("_n").alias("_n"), *[F.min(x).alias(x) for x in words]))
+    n = nodes.count()
+    how = Search.of_similarity(jaccard, n)
+
+    def texts(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        rows = checkpoint(nodes.join(few(checkpoint(ends)), "id").select("id", "_n"))
+        return each.select("_n", "text").join(few(rows), "_n").select("id", "text")
+
+    own = nodes.withColumn("class", F.col("id"))
+    pairs = checkpoint(trie_links(own, how, n, _Nearest, block))
+    links = checkpoint(verified(pairs, texts(pairs), shingle, jaccard))
+    met = pairs
+    joined = own.drop("class").join(named_components(nodes, links).select("id", "class"), "id")
+    pairs = trie_links(joined, how, n, _Apart, block).join(few(met), ["a", "b"], "left_anti")
+    pairs = checkpoint(pairs)
+    links = links.union(checkpoint(verified(pairs, texts(pairs), shingle, jaccard)))
+    named = named_components(nodes, links).drop("class")
+    return each.select(key, F.col("w0").alias("fp"), "id").join(named, "id").select(key, "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of `documents`: doc_id, fingerprint (16 hex digits), component_id; 4-word shingles, 4 bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = simhash_groups(docs, shingle=4, how=Search(budget=4, bands=6, agree=2))
+    out = simhash_groups(docs, shingle=4, how=Search.exact(4))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

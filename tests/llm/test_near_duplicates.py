@@ -9,7 +9,7 @@ from oracle import differ
 
 from boxtide.llm.components import connected_components
 from boxtide.llm.line_dedup import OP5_SQL, dedup_lines, op5_line_dedup
-from boxtide.llm.simhash import Search, fingerprint, fingerprint_links, op1_simhash, similar_classes, simhash_groups, trie_classes
+from boxtide.llm.simhash import Search, _Apart, _Joined, fingerprint, in_order, op1_simhash, shingle_hashes, simhash_groups, trie_links, verified, walk
 
 DOCS = "doc_id long, text string"
 
@@ -58,25 +58,65 @@ def test_op1_whole_table(spark, sf):
 
 def test_simhash_odd_rows(spark):
     rows = [(None, "a b c d e f"), (1, None), (2, ""), (3, "  "), (4, "a b c d e f"), (4, "a b c d e f"), (5, "x " * 60000)]
-    got = simhash_groups(spark.createDataFrame(rows, DOCS), 4, Search()).collect()
+    got = simhash_groups(spark.createDataFrame(rows, DOCS), 4, how=Search.exact(4)).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in got) == [(False, 1, 1), (False, 2, 1), (False, 3, 1), (False, 4, 4), (False, 4, 4), (False, 5, 5), (True, 0, 4)]
     assert simhash_groups(spark.createDataFrame([], DOCS)).count() == 0
     clash = spark.createDataFrame([(1, "a", 7)], "doc_id long, text string, fp long")
-    assert [tuple(r) for r in simhash_groups(clash, 4, Search()).select("doc_id", "component_id").collect()] == [(1, 1)]
+    assert [tuple(r) for r in simhash_groups(clash, 4, how=Search.exact(4)).select("doc_id", "component_id").collect()] == [(1, 1)]
 
 
-def test_trie_and_hot_blocks(spark):
+def some_fingerprints():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    fps = np.unique(np.concatenate([base, *[base ^ sum((np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) for _ in range(k)) for k in range(1, 6)], np.arange(300, dtype=np.uint64)]))
-    want = roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 4])
-    label = trie_classes(np.zeros(len(fps), int), fps, 4, most=1000)
-    assert roots(len(fps), [(i, int(x)) for i, x in enumerate(label)]) == want
-    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").selectExpr("fp", "cast(array() as array<bigint>) as more")
+    near = [base ^ sum((np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) for _ in range(k)) for k in range(1, 6)]
+    fps = np.unique(np.concatenate([base, *near, np.arange(300, dtype=np.uint64)]))
+    return fps, roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 4])
+
+
+def one_walk(words, how, r, kind, held=1 << 16):
+    prefix = in_order(words, how.orders[r])
+    order = np.argsort(prefix)
+    n = len(order)
+    block = kind(words[:, order], np.arange(n), how.budget, how.budget)
+    root = np.array([[0], [n], [0], [n], [0], [0]])
+    met = walk(prefix[order], root, np.array([0]), np.array(how.allowed[r])[None], block.visit, block.dull, held)
+    return met, [(int(order[a]), int(order[b])) for a, b in block.result().T]
+
+
+def test_walks_of_the_trie_find_all_links():
+    fps, want = some_fingerprints()
+    how = Search.exact(4)
+    for held in (1 << 16, 50):
+        links = [x for r in range(5) for x in one_walk(fps[None], how, r, _Joined, held)[1]]
+        assert roots(len(fps), links) == want
+
+
+def test_pruning_decides_how_much_is_met():
+    n = 60_000
+    fps = np.unique(np.random.default_rng(4).integers(0, 2**63, n, dtype=np.uint64))
+    met = sum(one_walk(fps[None], Search.exact(4), r, _Joined)[0] for r in range(5))
+    assert met < n * n / 2 / 1000  # nodes and leaves, of all pairs of leaves
+
+
+def test_a_dense_group_is_not_expanded_into_its_pairs():
+    rng = np.random.default_rng(6)
+    n, bits = 4000, [1 << k for k in range(20)]
+    fps = np.unique(np.array([sum(rng.choice(bits, 2, replace=False).tolist()) for _ in range(n)], np.uint64) | np.arange(n, dtype=np.uint64) << np.uint64(40))
+    fps = np.unique(fps & np.uint64((1 << 42) - 1))
+    met, links = one_walk(fps[None], Search.exact(12), 0, _Joined, 2000)
+    assert len(links) <= len(fps) and met < len(fps) ** 2 / 2
+
+
+def test_places_dealt_anew(spark):
+    fps, want = some_fingerprints()
     place = {int(x): k for k, x in enumerate(fps.view(np.int64))}
-    for block in (100_000, 20):  # the small one deals hot blocks out
-        links = [(place[r.a], place[r.b]) for r in fingerprint_links(df, Search(), block).collect()]
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "id long").selectExpr("id", "id as w0", "id as class").coalesce(2).cache()
+    for block in (100_000, 100, 20):  # the small ones deal full nodes out
+        links = [(place[r.a], place[r.b]) for r in trie_links(df, Search.exact(4), len(fps), block=block).collect()]
         assert roots(len(fps), links) == want
+    every = [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 4]
+    got = {(place[r.a], place[r.b]) for r in trie_links(df, Search.exact(4), len(fps), _Apart, 50).collect()}
+    assert {(max(x), min(x)) for x in got} == set(every)
 
 
 def test_similar_texts_are_found(spark):
@@ -94,32 +134,58 @@ def test_similar_texts_are_found(spark):
     assert near >= 140 and all(got[2 * k] == 2 * k for k in range(150))
 
 
-def test_search_of_similarity_finds_99_of_100():
-    how, rng = Search.of_similarity(0.8), np.random.default_rng(8)
-    edge = how.edges()
-    for n in (20, 40, 100, 200, 600):  # shingles of both texts, four fifths of them in common
-        both, one, apart = n * 4 // 5, n // 10, []
-        for _ in range(8):
-            own = rng.integers(0, 2, (500, n, 64 * how.lanes), dtype=np.int8)
-            shared = own[:, :both].sum(1, dtype=np.int16)
-            x, y = (2 * (shared + own[:, a : a + one].sum(1, dtype=np.int16)) > both + one for a in (both, both + one))
-            apart.append(x != y)
-        apart = np.concatenate(apart)
-        same = np.stack([~apart[:, a:b].any(1) for a, b in zip(edge, edge[1:])], axis=1)
-        found = same[:, np.array(how.choices())].all(2).any(1) & (apart[:, :64].sum(1) <= how.budget) & (apart.sum(1) <= how.total)
-        assert found.mean() >= 0.99
-
-
-def test_similar_classes_are_exact():
-    rng = np.random.default_rng(9)
-    sets = [np.zeros(0, np.uint64)]
-    for k in range(400):
-        new = rng.integers(0, 2**63, rng.integers(1, 30), dtype=np.uint64)
-        old = sets[rng.integers(0, len(sets))]
-        sets.append(np.unique(np.r_[old[rng.random(len(old)) < 0.95], new[: rng.integers(1, 4)]] if k % 3 and len(old) > 8 else new))
-    near = lambda a, b: (c := len(np.intersect1d(a, b))) >= 0.8 * (len(a) + len(b) - c) > 0
-    want = roots(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])])
-    assert roots(len(sets), list(enumerate(similar_classes(sets, 0.8).tolist()))) == want and len(set(want)) < len(sets)
+def test_walks_of_a_similarity_find_99_of_100():
+    rng = np.random.default_rng(8)
+    for texts in (1000, 300_000):
+        how = Search.of_similarity(0.8, texts)
+        for n in (20, 40, 100, 200, 600):  # shingles of both texts, four fifths of them in common
+            both, one, apart = n * 4 // 5, n // 10, []
+            for _ in range(6):
+                own = rng.integers(0, 2, (500, n, 64 * how.lanes), dtype=np.int8)
+                shared = own[:, :both].sum(1, dtype=np.int16)
+                x, y = (2 * (shared + own[:, a : a + one].sum(1, dtype=np.int16)) > both + one for a in (both, both + one))
+                apart.append(x != y)
+            apart = np.concatenate(apart)
+            met = np.zeros(len(apart), bool)
+            for order, allowed in zip(how.orders, how.allowed, strict=True):
+                met |= (np.cumsum(apart[:, order], axis=1) <= np.array(allowed)).all(1)
+            assert (met & (apart.sum(1) <= how.budget)).mean() >= 0.99
+
+
+def test_more_texts_take_longer_walks_and_more_of_them():
+    small, large = Search.of_similarity(0.8, 10**4), Search.of_similarity(0.8, 10**8)
+    assert len(small.allowed[0]) < len(large.allowed[0]) and len(small.orders) < len(large.orders)
+
+
+def test_verification_is_exact(spark):
+    rng = random.Random(9)
+    texts, pairs = [], []
+    for k in range(60):
+        w = [str(rng.random()) for _ in range(rng.randrange(1, 60))]
+        v = [x if rng.random() < 0.97 else "?" for x in w]
+        texts += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        pairs += [(2 * k, 2 * k + 1), (2 * k, (2 * k + 3) % 120)]
+    texts += [(500, ""), (501, None)]
+    pairs += [(500, 501)]
+    sets = {k: set(shingle_hashes((t or "").encode(), 5).tolist()) for k, t in texts}
+    want = {p for p in pairs if len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]]) > 0}
+    got = verified(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(texts, "id long, text string"), 5, 0.8)
+    assert {(r.a, r.b) for r in got.collect()} == want and 0 < len(want) < 60
+
+
+def test_groups_of_sets_are_the_components_of_similar_pairs(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    sets = [set(shingle_hashes((r.text or "").encode(), 5).tolist()) for r in rows]
+    holders: dict = {}
+    for k, own in enumerate(sets):
+        for h in own:
+            holders.setdefault(h, []).append(k)
+    linked = [(k, j) for k, own in enumerate(sets) for j in {x for h in own for x in holders[h] if x < k} if len(own & sets[j]) >= 0.8 * len(own | sets[j])]
+    linked += [(k, j) for k in range(len(sets)) for j in range(k) if not sets[k] and not sets[j]]
+    root = roots(len(rows), linked)
+    got = {r.doc_id: r.component_id for r in simhash_groups(docs, block=64).collect()}
+    assert sum(got[r.doc_id] != rows[root[k]].doc_id for k, r in enumerate(rows)) <= 2
 
 
 def test_links_below_the_similarity_join_nothing(spark):
