@@ -1,79 +1,38 @@
-"""Ids of whole texts by the tokenizers library, with a memory of the words met before."""
+"""Ids of whole texts by the tokenizers library."""
 
 from __future__ import annotations
 
-import re
+import os
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 
-# The letters, digits and white space among the characters up to U+00FF, and
-# the patterns by which the two kinds of byte-level tokenizers cut a text into pieces.
-LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
-DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
-SPACE = "\t-\r \x85\xa0"
-WITH_SPACE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{SPACE}{LETTERS}{DIGITS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-WITHOUT_SPACE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{SPACE}{LETTERS}{DIGITS}]+")
+from .common import cut_by_bytes
 
-#: Pieces that a process remembers, about 200 bytes each.
-REMEMBERED = 500_000
+#: Bytes of texts that the library is given at a time, about; what it returns is some 30 times as large.
+AT_ONCE = 1 << 18
 
 
-def byte_alphabet() -> dict[int, str]:
-    """The printable character that stands for each byte: itself, or the next one from U+0100."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-
-class _Pieces(dict):
-    def __init__(self, model) -> None:
-        self.model, self.alphabet = model, byte_alphabet()
+@lru_cache(maxsize=1)
+def tokenizer(path: str):
+    """One for each process; its own threads stay off, as tasks already use the cores."""
+    if not Path(path).is_file():
+        raise FileNotFoundError(path)
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-    def __missing__(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.alphabet)
-        ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-        if len(self) < REMEMBERED:
-            self[piece] = ids
-        return ids
+    return Tokenizer.from_file(path)
 
 
-class Encoder:
-    """`encode_batch(..., add_special_tokens=False)` of a tokenizer file, text by text.
+def encoded(texts: pa.Array, path: str, most: int = AT_ONCE) -> Iterator[np.ndarray]:
+    """For each text its ids as little-endian unsigned 32-bit integers; a null text is empty.
 
-    Texts of characters up to U+00FF are cut here and their pieces given to the library's
-    model, each new one once; all others, and any that may hold a special token, go to
-    the library whole. Both give the same ids.
+    Texts go to the library whole, in batches of about `most` bytes or of one text.
     """
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.lower = self.whole.normalizer is not None
-        self.cut = (WITHOUT_SPACE if self.lower else WITH_SPACE).findall
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.pieces = _Pieces(self.whole.model)
-        kind = str(self.whole.pre_tokenizer)
-        self.known = ("ByteLevel(add_prefix_space=False" in kind) and (self.lower == ("Split(" in kind))
-
-    def __call__(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            simple = False
-        else:
-            simple = self.known and not any(s in text for s in self.special)
-        if not simple:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.pieces.__getitem__, self.cut(text.lower() if self.lower else text)))
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One for each process and file."""
-    if not Path(path).is_file():
-        raise FileNotFoundError(path)
-    return Encoder(path)
+    own = tokenizer(path)
+    for part in cut_by_bytes([pa.RecordBatch.from_arrays([texts], ["text"])], 0, most):
+        for found in own.encode_batch_fast([t or "" for t in part.column(0).to_pylist()], add_special_tokens=False):
+            yield np.array(found.ids, "<u4")

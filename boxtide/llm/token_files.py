@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, new_folder
-from .encoder import encoder
+from .encoder import encoded
+from .encoder import tokenizer as tokenizer_of
 
 SEQUENCE = 2048
 ROWS = 64
@@ -61,7 +62,7 @@ class _TokenFile:
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int, length: int = SEQUENCE, key: str = "doc_id") -> DataFrame:
     """Writes the ids of `docs`, in ascending order of the key, below `folder`; the manifest.
 
-    Each document is its whole text's ids and `end`; a null text counts as empty. Documents
+    Each document is its whole text's ids and `end`; a null text counts as empty, and other columns are not read. Documents
     are dealt by range of (key, md5 of the text), null keys first, so that ties and
     repeated rows have an order and a frequent key is spread; each partition writes a file of
     rows of `length` ids with masks, and a file with each document's key, place and number
@@ -80,7 +81,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int, le
         fs, path = pafs.FileSystem.from_uri(folder)
         part, tail = TaskContext.get().partitionId(), np.array([end], wide.to_pandas_dtype())
         name = f"{part:06d}-{uuid.uuid4().hex}"
-        ids_of, out, index, n_docs = encoder(tokenizer), None, None, 0
+        out, index, n_docs = None, None, 0
         for b in batches:
             if out is None:
                 out = _TokenFile(fs, f"{path}/{name}.tokens.arrow", length, wide)
@@ -88,8 +89,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int, le
                 sink = fs.open_output_stream(f"{path}/{name}.docs.arrow")
                 index = pa.ipc.new_file(sink, schema)
             places, sizes = [], []
-            for text in b.column(1):
-                ids = np.frombuffer(ids_of(text.as_py() or ""), "<u4").astype(tail.dtype)
+            for found in encoded(b.column(1), tokenizer):
+                ids = found.astype(tail.dtype)
                 places.append(out.n)
                 out.add(np.append(ids, tail))
                 sizes.append(len(ids) + 1)
@@ -106,7 +107,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int, le
 
 
 def _vocabulary(path: str) -> int:
-    return encoder(path).whole.get_vocab_size()
+    return tokenizer_of(path).get_vocab_size()
 
 
 def sequence(uri: str, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,12 +3,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
 from boxtide.llm.common import new_folder
-from boxtide.llm.encoder import Encoder
-from boxtide.llm.packing import configurations, op6_packing, pack, slots
+from boxtide.llm.encoder import encoded
+from boxtide.llm.packing import configurations, op6_packing, pack, slots, solve
 from boxtide.llm.token_files import op2_token_files, read_token_files, sequence, write_token_files
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -23,11 +24,14 @@ def texts(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
 
 
-def test_encoder_equals_library(spark, sf):
+def test_batches_equal_single_texts(spark, sf):
+    every = [None, *ODD, *[r.text for r in texts(spark, sf)]]
     for path in (BYTE, WORD):
-        own, whole = Encoder(path), Tokenizer.from_file(path)
-        for text in ODD + [r.text for r in texts(spark, sf)[:400]]:
-            assert np.frombuffer(own(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text[:40]
+        whole = Tokenizer.from_file(path)
+        got = list(encoded(pa.array(every), path, 5000))
+        assert len(got) == len(every)
+        for own, text in zip(got, every, strict=True):
+            assert own.tolist() == whole.encode(text or "", add_special_tokens=False).ids, text[:40]
 
 
 def test_op2_round_trip(spark, sf):
@@ -41,7 +45,7 @@ def test_op2_round_trip(spark, sf):
 
 def test_token_files_odd_rows(spark):
     rows = [(3, "b"), (None, "z"), (1, None), (2, ""), (3, "a"), (3, "a"), (4, "w " * 30000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("key", "key")
+    docs = spark.createDataFrame([(*r, 7, "x", 8) for r in rows], "doc_id long, text string, key int, tokens string, part int")
     manifest = write_token_files(docs, new_folder(spark, "t"), BYTE, 2, length=16)
     out = sorted(read_token_files(manifest).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in out] == [None, 1, 2, 3, 3, 3, 4]
@@ -83,7 +87,8 @@ def test_op6_pieces(spark, sf):
 
 def test_packing_odd_rows(spark):
     rows = [(None, "a b"), (1, None), (1, None), (2, ""), (3, "one two three " * 40), (4, "x y"), (4, "x y")]
-    out = pack(spark.createDataFrame(rows, "doc_id long, text string"), WORD, capacity=32).collect()
+    clash = spark.createDataFrame([(*r, 7, "x", 8) for r in rows], "doc_id long, text string, key int, piece string, _part int")
+    out = pack(clash, WORD, capacity=32).collect()
     check_packing(out, 32)
     assert sorted((r.doc_id or 0, r.piece, r.length) for r in out if r.doc_id != 3) == [(0, 0, 3), (1, 0, 1), (1, 0, 1), (2, 0, 1), (4, 0, 3), (4, 0, 3)]
     assert sum(r.length for r in out if r.doc_id == 3) == 121
@@ -102,3 +107,17 @@ def test_configurations_cover_exactly():
         assert (held == counts).all()
         keys, _, _ = slots(configs)
         assert len(set(keys.tolist())) == len(keys)
+
+
+def test_the_program_is_covered_and_bounded():
+    rng = np.random.default_rng(1)
+    for counts in (np.bincount(rng.integers(1, 2049, 20_000), minlength=2049), np.bincount(rng.integers(600, 1100, 5000), minlength=2049), np.bincount([1500] * 7 + [548] * 3, minlength=2049)):
+        program, held = solve(counts, 2048), np.zeros(2049)
+        for config, x in program.uses.items():
+            assert x > 0 and sum(size * n for size, n in config) <= 2048
+            for size, n in config:
+                held[size] += n * x
+        assert (held >= counts - 1e-6).all()
+        used = sum(times for _, times in configurations(counts, 2048))
+        assert program.bound <= program.value + 1e-6 and np.ceil(program.bound - 1e-6) <= used <= 1.01 * program.value + 1
+    assert solve(np.bincount([1500] * 7 + [548] * 3, minlength=2049), 2048).value == 7
