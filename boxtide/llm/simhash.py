@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, few, new_folder
+from .common import checkpoint, cut_by_bytes, few, new_folder
 from .components import named_components, roots_of
 
 SEED = 42
@@ -24,6 +24,10 @@ DEEP = 10
 LEAVES = 16
 #: Pairs that are held at a time.
 HELD = 1 << 16
+#: Words of a fingerprint that stands for a set of shingles.
+LANES = 4
+#: Shingles that a task holds of a class, about, while other texts are compared with it.
+SHINGLES = 1 << 20
 #: What it costs to deal a fingerprint out once more, in pairs of leaves compared, about.
 COPY = 100
 #: Share of the pairs at just the similarity asked for that the walks are to find.
@@ -132,7 +136,7 @@ class Search:
         return cls(1, budget, orders, allowed)
 
     @classmethod
-    def of_similarity(cls, jaccard: float, n: int, recall: float = RECALL, lanes: int = 2) -> Search:
+    def of_similarity(cls, jaccard: float, n: int, recall: float = RECALL, lanes: int = LANES) -> Search:
         """For the sets of shingles of `n` texts that are so similar or more.
 
         The budget is 3.5 deviations above the bits expected to differ at `jaccard`. A walk branches
@@ -275,10 +279,9 @@ def _leaf_pairs(p: np.ndarray, held: int) -> Iterator[tuple[np.ndarray, np.ndarr
 class _Block:
     """What a task finds among fingerprints (a column of `words` each) that lie in places of a trie."""
 
-    def __init__(self, words: np.ndarray, classes: np.ndarray, budget: int, sure: int) -> None:
-        self.words, self.budget, self.sure = words, budget, sure
+    def __init__(self, words: np.ndarray, ids: np.ndarray, classes: np.ndarray, sizes: np.ndarray, budget: int, sure: int) -> None:
+        self.words, self.ids, self.classes, self.sizes, self.budget, self.sure = words, ids, classes, sizes, budget, sure
         self.label = np.unique(classes, return_inverse=True)[1]
-        self.out: list[np.ndarray] = []
 
     def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         apart = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in self.words)
@@ -292,28 +295,27 @@ class _Block:
         return alone & (self.label[p[0]] == self.label[p[2]])
 
 
-class _Joined(_Block):
-    """Links join at once; of each class a link for each member is the result."""
+class Joined(_Block):
+    """Links join at once; the result is a link for each member of a class but one."""
 
-    def __init__(self, words: np.ndarray, classes: np.ndarray, budget: int, sure: int) -> None:
-        super().__init__(words, classes, budget, sure)
-        self.label = np.arange(words.shape[1])
+    def __init__(self, *args) -> None:
+        super().__init__(*args)
+        self.label = np.arange(len(self.ids))
 
     def visit(self, i: np.ndarray, j: np.ndarray) -> None:
         roots_of(*self.near(i, j)[:2], self.label)
 
-    def result(self) -> np.ndarray:
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(self.label != np.arange(len(self.label)))
-        return np.stack([at, self.label[at]])
+        return self.ids[at], self.ids[self.label[at]]
 
 
-class _Nearest(_Block):
-    """For each fingerprint the nearest one that it met; once it is near enough to be sure, none is sought any more."""
+class Nearest(_Block):
+    """For each fingerprint the nearest one that it met; once that is near enough to be sure, none is sought any more."""
 
-    def __init__(self, words: np.ndarray, classes: np.ndarray, budget: int, sure: int) -> None:
-        super().__init__(words, classes, budget, sure)
-        n = words.shape[1]
-        self.apart, self.who = np.full(n, budget + 1), np.full(n, -1)
+    def __init__(self, *args) -> None:
+        super().__init__(*args)
+        self.apart, self.who = np.full(len(self.ids), self.budget + 1), np.full(len(self.ids), -1)
 
     def visit(self, i: np.ndarray, j: np.ndarray) -> None:
         i, j, apart = self.near(i, j)
@@ -325,34 +327,45 @@ class _Nearest(_Block):
         self.apart[x[first]], self.who[x[first]] = d[first], y[first]
 
     def dull(self, p: np.ndarray) -> np.ndarray:
-        open_ = np.r_[0, np.cumsum(self.apart > self.sure)]
-        return (open_[p[1]] == open_[p[0]]) & (open_[p[3]] == open_[p[2]])
+        unsure = np.r_[0, np.cumsum(self.apart > self.sure)]
+        return (unsure[p[1]] == unsure[p[0]]) & (unsure[p[3]] == unsure[p[2]])
 
-    def result(self) -> np.ndarray:
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(self.who >= 0)
-        return np.stack([at, self.who[at]])
+        return self.ids[at], self.ids[self.who[at]]
 
 
-class _Apart(_Block):
-    """All links between different classes."""
+class Apart(_Block):
+    """For links between different classes: the id of the end in the smaller class, and the larger class."""
+
+    def __init__(self, *args) -> None:
+        super().__init__(*args)
+        self.met, self.rank = [np.zeros(0, np.int64)], np.empty(len(self.ids), np.int64)
+        self.rank[np.lexsort((self.label, self.sizes))] = np.arange(len(self.ids))
 
     def visit(self, i: np.ndarray, j: np.ndarray) -> None:
         i, j, _ = self.near(i, j)
         other = self.label[i] != self.label[j]
-        self.out.append(np.stack([i[other], j[other]]))
+        i, j = i[other], j[other]
+        less = self.rank[i] < self.rank[j]
+        self.met.append(np.unique(np.where(less, i, j) * len(self.ids) + np.where(less, self.label[j], self.label[i])))
+        if sum(map(len, self.met)) > 1 << 20:
+            self.met = [np.unique(np.concatenate(self.met))]
 
-    def result(self) -> np.ndarray:
-        return np.concatenate([np.zeros((2, 0), np.int64), *self.out], axis=1)
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        who, label = np.divmod(np.unique(np.concatenate(self.met)), max(1, len(self.ids)))
+        return self.ids[who], np.unique(self.classes)[label]
 
 
-def trie_links(nodes: DataFrame, how: Search, n: int, kind: type[_Block] = _Joined, block: int = BLOCK) -> DataFrame:
-    """(a, b): pairs of ids of `nodes` (w0, ..., id, class) that the walks of `how` find, as `kind` tells; n: about the rows.
+def trie_links(nodes: DataFrame, how: Search, n: int, kind: type[_Block] = Joined, block: int = BLOCK) -> DataFrame:
+    """(a, b): what the walks of `how` find among `nodes` (w0, ..., id, class, size), as `kind` tells; n: about the rows.
 
-    Every walk's trie is dealt out by its top nodes. Of a node with over `block` fingerprints the
+    Every walk's trie is dealt out by its top nodes, as far down as none of the bits may differ. Of a node with over `block` fingerprints the
     pairs of its descendants, some bits deeper, that may hold links are dealt out instead.
     Each place is then walked in a task, as `walk` tells.
     """
-    lanes, top = how.lanes, top_bits(n, block)
+    lanes = how.lanes
+    top = min(top_bits(n, block), *(sum(most == 0 for most in x) for x in how.allowed))
     deep = min(DEEP, 60 - top)
     words = [f"w{k}" for k in range(lanes)]
     depth = max(map(len, how.allowed))
@@ -369,8 +382,8 @@ def trie_links(nodes: DataFrame, how: Search, n: int, kind: type[_Block] = _Join
                 key = np.broadcast_to(key, bits.shape)
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(sub.astype(np.int64)), *b.columns], ["key", "sub", *b.schema.names])
 
-    columns = ", ".join(f"{x} long" for x in ["key", "sub", *words, "id", "class"])
-    each = nodes.select(*words, "id", "class").mapInArrow(spread, columns)
+    columns = ", ".join(f"{x} long" for x in ["key", "sub", *words, "id", "class", "size"])
+    each = nodes.select(*words, "id", "class", "size").mapInArrow(spread, columns)
     node = F.lit(0).cast("long")
     if n > block:
         full = each.groupBy("key").count().where(F.col("count") > block)
@@ -385,7 +398,7 @@ def trie_links(nodes: DataFrame, how: Search, n: int, kind: type[_Block] = _Join
             dealt = F.transform(others, lambda o: F.expr("shiftleft(cast(deep as bigint), 32)") + F.least(o, mine) * (1 << 16) + F.greatest(o, mine))
             each = each.join(few(full), "key", "left").withColumn("node", F.explode(F.when(F.col("deep").isNull(), F.array(node)).otherwise(dealt)))
             node = F.col("node")
-    each = each.select("key", node.alias("node"), *words, "id", "class").repartition("key", "node").sortWithinPartitions("key", "node")
+    each = each.select("key", node.alias("node"), *words, "id", "class", "size").repartition("key", "node").sortWithinPartitions("key", "node")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[np.ndarray] = []
@@ -419,32 +432,71 @@ def trie_links(nodes: DataFrame, how: Search, n: int, kind: type[_Block] = _Join
         mid = np.where(first == second, hi, lo + below[hi] - below[lo])
         pairs = np.stack([lo, mid, np.where(first == second, lo, mid), hi, np.bitwise_count(first ^ second).astype(np.int64), walks[lo]])
         some = (pairs[0] < pairs[1]) & (pairs[2] < pairs[3]) & ((first != second) | (hi - lo > 1))
-        block = kind(x[2 : 2 + lanes].view(np.uint64), x[3 + lanes], how.budget, sure)
-        walk(prefix, pairs[:, some], (top + down)[some], allowed, block.visit, block.dull)
-        a, b = x[2 + lanes][block.result()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        found = kind(x[2 : 2 + lanes].view(np.uint64), *x[2 + lanes :], how.budget, sure)
+        walk(prefix, pairs[:, some], (top + down)[some], allowed, found.visit, found.dull)
+        yield pa.RecordBatch.from_arrays([pa.array(y) for y in found.result()], ["a", "b"])
 
-    return each.mapInArrow(join, "a long, b long").where("a <> b").distinct()
+    return each.mapInArrow(join, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, jaccard: float) -> DataFrame:
-    """The `pairs` (a, b) whose sets of shingles have that similarity or more; `texts` (id, text) has one row an id."""
-    ends = checkpoint(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, s): the sorted hashes of the different shingles of `texts` (id, text)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                sets = [np.unique(shingle_hashes(x.as_py() or b"", shingle)).view(np.int64) for x in part.column(1).cast(pa.binary())]
-                lists = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in sets])], np.concatenate(sets)).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "s"])
+        for b in cut_by_bytes(batches, 1, 1 << 22):
+            sets = [np.unique(shingle_hashes(x.as_py() or b"", shingle)).view(np.int64) for x in b.column(1).cast(pa.binary())]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in sets])], pa.int32()), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["id", "s"])
+
+    return texts.select("id", "text").mapInArrow(of, "id long, s array<long>")
+
 
-    sets = checkpoint(texts.join(few(ends), "id").select("id", "text").mapInArrow(of, "id long, s array<long>"))
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    ok = (common > 0) & (common >= jaccard * (F.size("sa") + F.size("sb") - common) - 1e-9)
-    sizes = F.least(F.size("sa"), F.size("sb")) >= jaccard * F.greatest(F.size("sa"), F.size("sb")) - 1e-9
-    return both.where(sizes).where(ok).select("a", "b")
+def verified(queries: DataFrame, members: DataFrame, sets: DataFrame, jaccard: float, held: int = SHINGLES) -> DataFrame:
+    """(a, b): for each of `queries` (q, t) a member of class t, of `members` (t, id), whose set is so similar or more, if there is one.
+
+    `sets` has (id, s) of all these. A class is dealt out in parts of about `held` shingles and
+    its queries to all of them; each part may give a member. A task holds the sets of
+    a part and compares each query with all of them at once, so no pairs are rows.
+    """
+    members = members.join(sets, "id")
+    parts = members.groupBy("t").agg(F.ceil(F.sum(F.size("s")) / held).cast("int").alias("parts"))
+    parts = few(checkpoint(parts.withColumn("parts", F.greatest("parts", F.lit(1)))))
+    lying = members.join(parts, "t").select("t", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "id", "s")
+    asked = queries.join(parts, "t").select("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), F.col("q").alias("id"))
+    asked = asked.join(sets, "id").select("t", "part", "side", "id", "s")
+    dealt = lying.union(asked).repartition("t", "part").sortWithinPartitions("t", "part", "side")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sets, index = None, [], [], None
+        for b in batches:
+            edge, flat = b.column(4).offsets.to_numpy(), b.column(4).values.to_numpy()
+            rows, out = zip(*(b.column(k).to_numpy().tolist() for k in range(4)), strict=True), ([], [])
+            for k, (t, part, side, one) in enumerate(rows):
+                own = flat[edge[k] : edge[k + 1]]
+                if now != (t, part):
+                    now, ids, sets, index = (t, part), [], [], None
+                if not side:
+                    ids.append(one)
+                    sets.append(own.copy())
+                    continue
+                if index is None:
+                    sizes = np.array([len(x) for x in sets], np.int64)
+                    tokens = np.concatenate([*sets, np.zeros(0, np.int64)])
+                    order = np.argsort(tokens, kind="stable")
+                    index = tokens[order], np.repeat(np.arange(len(ids)), sizes)[order], sizes
+                tokens, of, sizes = index
+                lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                common = np.bincount(of[at], minlength=len(ids))
+                share = np.where(common > 0, common / np.maximum(1, sizes + len(own) - common), 0)
+                share[[x for x, other in enumerate(ids) if other == one] if len(ids) < 3 else np.flatnonzero(np.array(ids) == one)] = 0
+                if len(ids) and share.max() >= jaccard - 1e-12:
+                    out[0].append(one)
+                    out[1].append(ids[int(share.argmax())])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+    return dealt.mapInArrow(meet, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 5, jaccard: float = 0.8, how: Search | None = None, key: str = "doc_id", block: int = BLOCK) -> DataFrame:
@@ -464,40 +516,40 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, jaccard: float = 0.8, how:
     if how is None:
         return _groups_of_sets(docs, shingle, jaccard, key, block)
     each = checkpoint(fingerprints(docs, shingle, key))
-    nodes = checkpoint(each.groupBy("fp").agg(F.min(key).alias("least")).selectExpr("fp as id", "fp as w0", "fp as class", "least"))
+    nodes = checkpoint(each.groupBy("fp").agg(F.min(key).alias("least")).selectExpr("fp as id", "fp as w0", "fp as class", "1L as size", "least"))
     links = checkpoint(trie_links(nodes, how, nodes.count(), block=block))
     named = named_components(nodes, links).select(F.col("id").alias("fp"), "component_id")
     return each.join(named, "fp").select(key, "fp", "component_id")
 
 
 def _groups_of_sets(docs: DataFrame, shingle: int, jaccard: float, key: str, block: int) -> DataFrame:
-    """Proposed pairs are verified in two rounds, so that no group is expanded into all its pairs.
+    """Proposed links are verified in two rounds, so that no group is expanded into all its pairs.
 
-    The first takes for each text the nearest that each walk meets, and joins what is verified. The
-    second takes all pairs between texts that are in different classes then.
+    The first takes for each text the nearest one that each walk meets, and joins what is verified. The
+    second is given the texts that met any: each that a link may join with a larger class than its own is compared with that class.
     """
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "fingerprints")
-    lanes = 2
-    words = [f"w{k}" for k in range(lanes)]
-    fingerprints_of_sets(docs, shingle, key, lanes).withColumn("_n", F.monotonically_increasing_id()).write.parquet(folder)
+    words = [f"w{k}" for k in range(LANES)]
+    fingerprints_of_sets(docs, shingle, key, LANES).withColumn("_n", F.monotonically_increasing_id()).write.parquet(folder)
     each = spark.read.parquet(folder)
     nodes = checkpoint(each.groupBy("id").agg(F.min(key).alias("least"), F.min("_n").alias("_n"), *[F.min(x).alias(x) for x in words]))
     n = nodes.count()
     how = Search.of_similarity(jaccard, n)
 
-    def texts(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        rows = checkpoint(nodes.join(few(checkpoint(ends)), "id").select("id", "_n"))
-        return each.select("_n", "text").join(few(rows), "_n").select("id", "text")
-
-    own = nodes.withColumn("class", F.col("id"))
-    pairs = checkpoint(trie_links(own, how, n, _Nearest, block))
-    links = checkpoint(verified(pairs, texts(pairs), shingle, jaccard))
-    met = pairs
-    joined = own.drop("class").join(named_components(nodes, links).select("id", "class"), "id")
-    pairs = trie_links(joined, how, n, _Apart, block).join(few(met), ["a", "b"], "left_anti")
-    pairs = checkpoint(pairs)
-    links = links.union(checkpoint(verified(pairs, texts(pairs), shingle, jaccard)))
+    def sets(ids: DataFrame) -> DataFrame:
+        rows = checkpoint(nodes.join(few(checkpoint(ids.distinct())), "id").select("id", "_n"))
+        return checkpoint(sets_of(each.select("_n", "text").join(few(rows), "_n"), shingle))
+
+    pairs = checkpoint(trie_links(nodes.withColumn("class", F.col("id")).withColumn("size", F.lit(1).cast("long")), how, n, Nearest, block))
+    pairs = pairs.select(F.greatest("a", "b").alias("q"), F.least("a", "b").alias("t")).distinct()
+    met = checkpoint(pairs.select(F.col("q").alias("id")).union(pairs.select(F.col("t").alias("id"))).distinct())
+    own = sets(met)
+    links = checkpoint(verified(pairs, met.select(F.col("id").alias("t"), "id"), own, jaccard))
+    joined = checkpoint(nodes.join(few(met), "id").join(named_components(nodes, links).select("id", "class"), "id"))
+    joined = joined.join(few(checkpoint(joined.groupBy("class").agg(F.count("*").alias("size")))), "class")
+    pairs = checkpoint(trie_links(joined, how, n, Apart, block).toDF("q", "t"))
+    members = joined.join(few(checkpoint(pairs.select(F.col("t").alias("class")).distinct())), "class", "left_semi").select(F.col("class").alias("t"), "id")
+    links = links.union(checkpoint(verified(pairs, members, own, jaccard)))
     named = named_components(nodes, links).drop("class")
     return each.select(key, F.col("w0").alias("fp"), "id").join(named, "id").select(key, "fp", "component_id")
 

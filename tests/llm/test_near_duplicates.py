@@ -9,7 +9,7 @@ from oracle import differ
 
 from boxtide.llm.components import connected_components
 from boxtide.llm.line_dedup import OP5_SQL, dedup_lines, op5_line_dedup
-from boxtide.llm.simhash import Search, _Apart, _Joined, fingerprint, in_order, op1_simhash, shingle_hashes, simhash_groups, trie_links, verified, walk
+from boxtide.llm.simhash import Apart, Joined, Search, fingerprint, in_order, op1_simhash, sets_of, shingle_hashes, simhash_groups, trie_links, verified, walk
 
 DOCS = "doc_id long, text string"
 
@@ -77,24 +77,24 @@ def one_walk(words, how, r, kind, held=1 << 16):
     prefix = in_order(words, how.orders[r])
     order = np.argsort(prefix)
     n = len(order)
-    block = kind(words[:, order], np.arange(n), how.budget, how.budget)
+    block = kind(words[:, order], order, order, np.ones(n, int), how.budget, how.budget)
     root = np.array([[0], [n], [0], [n], [0], [0]])
     met = walk(prefix[order], root, np.array([0]), np.array(how.allowed[r])[None], block.visit, block.dull, held)
-    return met, [(int(order[a]), int(order[b])) for a, b in block.result().T]
+    return met, list(zip(*(x.tolist() for x in block.result()), strict=True))
 
 
 def test_walks_of_the_trie_find_all_links():
     fps, want = some_fingerprints()
     how = Search.exact(4)
     for held in (1 << 16, 50):
-        links = [x for r in range(5) for x in one_walk(fps[None], how, r, _Joined, held)[1]]
+        links = [x for r in range(5) for x in one_walk(fps[None], how, r, Joined, held)[1]]
         assert roots(len(fps), links) == want
 
 
 def test_pruning_decides_how_much_is_met():
     n = 60_000
     fps = np.unique(np.random.default_rng(4).integers(0, 2**63, n, dtype=np.uint64))
-    met = sum(one_walk(fps[None], Search.exact(4), r, _Joined)[0] for r in range(5))
+    met = sum(one_walk(fps[None], Search.exact(4), r, Joined)[0] for r in range(5))
     assert met < n * n / 2 / 1000  # nodes and leaves, of all pairs of leaves
 
 
@@ -103,19 +103,19 @@ def test_a_dense_group_is_not_expanded_into_its_pairs():
     n, bits = 4000, [1 << k for k in range(20)]
     fps = np.unique(np.array([sum(rng.choice(bits, 2, replace=False).tolist()) for _ in range(n)], np.uint64) | np.arange(n, dtype=np.uint64) << np.uint64(40))
     fps = np.unique(fps & np.uint64((1 << 42) - 1))
-    met, links = one_walk(fps[None], Search.exact(12), 0, _Joined, 2000)
+    met, links = one_walk(fps[None], Search.exact(12), 0, Joined, 2000)
     assert len(links) <= len(fps) and met < len(fps) ** 2 / 2
 
 
 def test_places_dealt_anew(spark):
     fps, want = some_fingerprints()
     place = {int(x): k for k, x in enumerate(fps.view(np.int64))}
-    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "id long").selectExpr("id", "id as w0", "id as class").coalesce(2).cache()
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "id long").selectExpr("id", "id as w0", "id as class", "1L as size").coalesce(2).cache()
     for block in (100_000, 100, 20):  # the small ones deal full nodes out
         links = [(place[r.a], place[r.b]) for r in trie_links(df, Search.exact(4), len(fps), block=block).collect()]
         assert roots(len(fps), links) == want
     every = [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 4]
-    got = {(place[r.a], place[r.b]) for r in trie_links(df, Search.exact(4), len(fps), _Apart, 50).collect()}
+    got = {(place[r.a], place[r.b]) for r in trie_links(df, Search.exact(4), len(fps), Apart, 50).collect()}
     assert {(max(x), min(x)) for x in got} == set(every)
 
 
@@ -169,8 +169,14 @@ def test_verification_is_exact(spark):
     pairs += [(500, 501)]
     sets = {k: set(shingle_hashes((t or "").encode(), 5).tolist()) for k, t in texts}
     want = {p for p in pairs if len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]]) > 0}
-    got = verified(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(texts, "id long, text string"), 5, 0.8)
+    own = sets_of(spark.createDataFrame(texts, "id long, text string"), 5).cache()
+    alone = own.selectExpr("id as t", "id")
+    got = verified(spark.createDataFrame(pairs, "q long, t long"), alone, own, 0.8)
     assert {(r.a, r.b) for r in got.collect()} == want and 0 < len(want) < 60
+    halves = own.selectExpr("id % 2 as t", "id")  # two classes, in parts of a few sets
+    asked = own.selectExpr("id as q", "1 - id % 2 as t")
+    got = {r.a for r in verified(asked, halves, own, 0.8, held=200).collect()}
+    assert got == {i for i in sets if any(j % 2 != i % 2 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0 for j in sets)}
 
 
 def test_groups_of_sets_are_the_components_of_similar_pairs(spark, sf):
