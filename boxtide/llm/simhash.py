@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ LEAVES = 16
 HELD = 1 << 16
 #: Words of a fingerprint that stands for a set of shingles.
 LANES = 4
+#: Words by which texts are compared that do have neighbours: the more bits, the closer to the similarity do they part.
+WIDE = 8
 #: Shingles that a task holds of a class, about, while other texts are compared with it.
 SHINGLES = 1 << 20
 #: What it costs to deal a fingerprint out once more, in pairs of leaves compared, about.
@@ -146,8 +148,7 @@ class Search:
         bits that may differ the one is taken whose walks cost least.
         """
         bits = 64 * lanes
-        p = differing(jaccard)
-        budget = int(bits * p + 3.5 * (bits * p * (1 - p)) ** 0.5)
+        p, budget = differing(jaccard), budget_of(jaccard, bits)
         depth, none = int(np.clip(np.ceil(np.log2(max(n, 2))) + 1, 8, 60)), top_bits(n)
         total = np.arange(budget + 1)
         chance = np.exp(_log_choose(bits, total) + total * np.log(p) + (bits - total) * np.log(1 - p))
@@ -173,6 +174,12 @@ def differing(jaccard: float) -> float:
     return float(np.arccos(2 * jaccard / (1 + jaccard)) / np.pi)
 
 
+def budget_of(jaccard: float, bits: int) -> int:
+    """3.5 deviations above the bits that are expected to differ."""
+    p = differing(jaccard)
+    return int(bits * p + 3.5 * (bits * p * (1 - p)) ** 0.5)
+
+
 def top_bits(n: int, block: int = BLOCK) -> int:
     """By how many bits the tries of n fingerprints are dealt out; by none where one node holds them all."""
     return int(np.clip(np.ceil(np.log2(max(n, 1) / block)) + 1, 0, 40)) if n > block else 0
@@ -451,6 +458,19 @@ def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(of, "id long, s array<long>")
 
 
+def fingerprints_of(sets: DataFrame, lanes: int) -> DataFrame:
+    """(id, w0, w1 ...) of `sets` (id, s)."""
+    names = [f"w{k}" for k in range(lanes)]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            edge, flat = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy().view(np.uint64)
+            fps = np.array([_bits(flat[x:y], lanes) for x, y in zip(edge[:-1], edge[1:], strict=True)], np.uint64).reshape(-1, lanes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x)) for x in fps.T)], ["id", *names])
+
+    return sets.select("id", "s").mapInArrow(of, f"id long, {', '.join(f'{x} long' for x in names)}")
+
+
 def verified(queries: DataFrame, members: DataFrame, sets: DataFrame, jaccard: float, held: int = SHINGLES) -> DataFrame:
     """(a, b): for each of `queries` (q, t) a member of class t, of `members` (t, id), whose set is so similar or more, if there is one.
 
@@ -526,7 +546,7 @@ def _groups_of_sets(docs: DataFrame, shingle: int, jaccard: float, key: str, blo
     """Proposed links are verified in two rounds, so that no group is expanded into all its pairs.
 
     The first takes for each text the nearest one that each walk meets, and joins what is verified. The
-    second is given the texts that met any: each that a link may join with a larger class than its own is compared with that class.
+    second is given the texts that met any, with wider fingerprints: each that a link may join with a larger class than its own is compared with that class.
     """
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "fingerprints")
     words = [f"w{k}" for k in range(LANES)]
@@ -545,7 +565,8 @@ def _groups_of_sets(docs: DataFrame, shingle: int, jaccard: float, key: str, blo
     met = checkpoint(pairs.select(F.col("q").alias("id")).union(pairs.select(F.col("t").alias("id"))).distinct())
     own = sets(met)
     links = checkpoint(verified(pairs, met.select(F.col("id").alias("t"), "id"), own, jaccard))
-    joined = checkpoint(nodes.join(few(met), "id").join(named_components(nodes, links).select("id", "class"), "id"))
+    how = replace(how, lanes=WIDE, budget=budget_of(jaccard, 64 * WIDE))
+    joined = checkpoint(fingerprints_of(own, WIDE).join(named_components(nodes, links).select("id", "class"), "id"))
     joined = joined.join(few(checkpoint(joined.groupBy("class").agg(F.count("*").alias("size")))), "class")
     pairs = checkpoint(trie_links(joined, how, n, Apart, block).toDF("q", "t"))
     members = joined.join(few(checkpoint(pairs.select(F.col("t").alias("class")).distinct())), "class", "left_semi").select(F.col("class").alias("t"), "id")
