@@ -44,7 +44,7 @@ def dedup_lines(docs: DataFrame, width: int = LINES) -> DataFrame:
     nothing. Equal rows are told apart, so one of them stays whole. No rows: no rows.
 
     The frequent runs are counted with map-side combining; the side of the join that they
-    heat is one that AQE can split. `docs` is read twice and its rows are known by
+    heat is one that AQE can split. The work is linear in a text's lines. `docs` is read twice and its rows are known by
     partition and place: give a table or a checkpointed frame. Columns of its own names
     (_row, covered, n_lines, n_removed) are replaced; all others stay.
     """
@@ -53,7 +53,10 @@ def dedup_lines(docs: DataFrame, width: int = LINES) -> DataFrame:
     gone = repeated_lines(named.select("_row", "doc_id", "text"), width)
     lines = _lines(F.col("text"))
     out = named.join(gone, "_row", "left")
-    keep = F.filter(lines, lambda x, i: ~F.array_contains("covered", i))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "covered")
+    # Both arrays are made once a text: a lambda that held their expressions would make them for each line.
+    both = F.transform(F.array(F.struct(lines.alias("l"), places.alias("p"))), lambda x: F.transform(x["p"], lambda i: F.get(x["l"], i)))
+    keep = F.get(both, F.lit(0))
     return out.select(
         *docs.columns[: docs.columns.index("text")],
         F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n")).alias("text"),
