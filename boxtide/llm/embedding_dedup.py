@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint
-from .components import connected_components, roots_of
+from .common import checkpoint, few
+from .components import named_components, roots_of
 
 THRESHOLD = 0.9
 #: Vectors that the codebooks are fitted on, about, and queries that measure recall.
-SAMPLE, QUERIES = 20_000, 256
-RECALL, MOST_CELLS = 0.995, 256
+SAMPLE, QUERIES = 20_000, 1024
+#: Share of the drawn queries' true links that is to be found, and of the pairs at just the threshold that are made for measuring.
+RECALL, WORST = 0.995, 0.95
+#: Nearest cells that are ranked at first; twice as many each time that they don't reach the recall.
+CELLS = 64
 #: Vectors of a cell, and probes of it, that meet in one place at most, about.
 BLOCK = 4096
 HASHES = ["_a", "_b"]
@@ -72,25 +75,21 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def distinct_vectors(vectors: DataFrame, key: str, embedding: str) -> tuple[DataFrame, DataFrame, int]:
-    """(all keys, the distinct `_v` with id, copies and least key, the dimensions of these).
+def distinct_vectors(vectors: DataFrame, key: str, embedding: str) -> tuple[DataFrame, DataFrame]:
+    """(all keys, the distinct `_v` with id, copies, least key and number of dimensions d).
 
     `_v` holds the components as doubles. It is missing where the vector links with nothing:
-    it is null, empty or zero, holds a null or non-finite component, or has other than the
-    most frequent number of dimensions (of equally frequent ones the larger). Both relations
+    it is null, empty or zero, or holds a null or non-finite component. Both relations
     have 128 bits of hash of `_v`, null where it is missing, by which they are joined
     later; so the vectors themselves are shuffled no more.
     """
     x = F.col(embedding).cast("array<double>")
     fine = (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(x, lambda c: c != 0)
     rows = vectors.select(F.col(key).alias("_key"), F.when(fine, F.transform(x, lambda c: c + 0.0)).alias("_v"))
-    sizes = rows.where("_v is not null").groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    dims = sizes[0] if sizes else 0
-    rows = rows.withColumn("_v", F.when(F.size("_v") == dims, F.col("_v")))
     hashes = [F.when(F.col("_v").isNotNull(), F.xxhash64(F.lit(k), "_v")).alias(h) for k, h in enumerate(HASHES)]
     once = rows.where("_v is not null").groupBy("_v").agg(F.count("*").alias("copies"), F.min("_key").alias("least"))
-    once = once.select("*", *hashes, F.monotonically_increasing_id().alias("id"))
-    return rows.select("_key", *hashes), checkpoint(once), dims
+    once = once.select("*", *hashes, F.size("_v").alias("d"), F.monotonically_increasing_id().alias("id"))
+    return rows.select("_key", *hashes), checkpoint(once)
 
 
 def _packed(once: DataFrame, dims: int, wide: bool) -> DataFrame:
@@ -118,40 +117,68 @@ def fit(units: DataFrame, n: int, dims: int) -> MultiIndex:
     return MultiIndex(k_means(x[:, :cut], k), k_means(x[:, cut:], k, seed=1))
 
 
-def cells_for_recall(units: DataFrame, n: int, dims: int, index: MultiIndex, threshold: float, recall: float = RECALL) -> tuple[int, float]:
-    """How many nearest cells a probe visits, and the share of true links that it then finds.
+def made_pairs(q: np.ndarray, threshold: float, seed: int = 0) -> np.ndarray:
+    """For each unit vector another one at just the threshold, in a drawn direction."""
+    r = np.random.default_rng(seed).normal(size=q.shape)
+    r -= (r * q).sum(1, keepdims=True) * q
+    r /= np.maximum(1e-300, np.sqrt((r * r).sum(1, keepdims=True)))
+    return threshold * q + np.sqrt(max(0.0, 1 - threshold**2)) * r
 
-    About QUERIES vectors, drawn by hash, are compared with all vectors; for each true link the
-    rank of the other's cell is counted. Counts by rank reach the driver, not links.
+
+def _ranks(index: MultiIndex, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """For pairs of rows, at which of its nearest cells either meets the other's own; `most` if at none of them."""
+    out = np.full(len(x), most)
+    for at in range(0, len(x), 2048):
+        near = [index.nearest(z[at : at + 2048], most) for z in (x, y)]
+        for one, other in (near, near[::-1]):
+            hit = one == other[:, :1]
+            out[at : at + 2048] = np.minimum(out[at : at + 2048], np.where(hit.any(1), hit.argmax(1), most))
+    return out
+
+
+def cells_for_recall(units: DataFrame, n: int, dims: int, index: MultiIndex, threshold: float, recall: float = RECALL, worst: float = WORST, cells: int = CELLS) -> tuple[int, float, float]:
+    """How many nearest cells a probe visits, and the shares of true links and of made pairs that are then found.
+
+    About QUERIES vectors, drawn by hash, are compared with all vectors: for each true link the
+    rank at which either end meets the other's cell is counted; counts by rank reach the driver, not
+    links. As links may be few, each query also gets partners made at just the threshold,
+    where links are hardest to find. Both shares are to be reached; if the nearest
+    `cells` do not, twice as many are ranked, until they do or all cells are: nothing is missed then.
     """
     drawn = units.where(F.pmod(F.xxhash64("id", F.lit("ask")), F.lit(1 << 40)) < min(1.0, QUERIES / max(n, 1)) * (1 << 40)).select("id", "u").toArrow()
     ids = drawn.column(0).to_numpy()
-    most = min(MOST_CELLS, len(index.books[0]) * len(index.books[1]))
+    every = len(index.books[0]) * len(index.books[1])
     if not len(ids):
-        return 1, 1.0
+        return every, 1.0, 1.0
     q = _matrix(drawn.column(1), dims)
-    visited = index.nearest(q, most)
-    shared = units.sparkSession.sparkContext.broadcast((ids, q, visited, index))
-
-    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, visited, index = shared.value
-        total = np.zeros(most + 1, np.int64)
-        for b in batches:
-            u = _matrix(b.column(2), dims)
-            home = index.nearest(u, 1)[:, 0]
-            i, j = np.nonzero((q @ u.T >= threshold) & (ids[:, None] != b.column(0).to_numpy()))
-            at = visited[i] == home[j][:, None]
-            total += np.bincount(np.where(at.any(1), at.argmax(1), most), minlength=most + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(most + 1)), pa.array(total)], ["rank", "n"])
-
-    n_of = np.zeros(most + 1, np.int64)
-    for rank, k in units.mapInArrow(ranks, "rank long, n long").groupBy("rank").agg(F.sum("n")).collect():
-        n_of[rank] = k
-    if not n_of.sum():
-        return min(8, most), 1.0
-    share = np.cumsum(n_of[:most]) / n_of.sum()
-    cells = int(np.searchsorted(share, min(recall, share[-1])) + 1)
-    return cells, float(share[cells - 1])
+    made = np.concatenate([q] * -(-QUERIES // len(q)))[: max(QUERIES, len(q))]
+    partners = made_pairs(made, threshold) if dims > 1 else made
+    while True:
+        most = min(cells, every)
+        shared = units.sparkSession.sparkContext.broadcast((ids, q, index))
+
+        def ranks(batches: Iterator[pa.RecordBatch], most: int = most, shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q, index = shared.value
+            total = np.zeros(most + 1, np.int64)
+            for b in batches:
+                u = _matrix(b.column(2), dims)
+                i, j = np.nonzero((q @ u.T >= threshold) & (ids[:, None] != b.column(0).to_numpy()))
+                total += np.bincount(_ranks(index, q[i], u[j], most), minlength=most + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(most + 1)), pa.array(total)], ["rank", "n"])
+
+        true = np.zeros(most + 1, np.int64)
+        for rank, k in units.mapInArrow(ranks, "rank long, n long").groupBy("rank").agg(F.sum("n")).collect():
+            true[rank] = k
+        shares = []
+        for counts, aim in ((true, recall), (np.bincount(_ranks(index, made, partners, most), minlength=most + 1), worst)):
+            share = np.cumsum(counts[:most]) / max(1, counts.sum()) if counts.sum() else np.ones(most)
+            shares.append((share, int(np.searchsorted(share, aim - 1e-12)) + 1))
+        shared.destroy()
+        need = max(k for _, k in shares)
+        if need <= most or most == every:
+            need = min(need, most)
+            return need, float(shares[0][0][need - 1]), float(shares[1][0][need - 1])
+        cells = 2 * most
 
 
 def links(units: DataFrame, dims: int, index: MultiIndex, cells: int, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -178,6 +205,7 @@ def links(units: DataFrame, dims: int, index: MultiIndex, cells: int, threshold:
         "cell", F.ceil(F.col("h") / block).cast("int").alias("_h"), F.ceil(F.col("p") / (4 * block)).cast("int").alias("_p")
     )
     hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")
+    grid = F.broadcast(checkpoint(grid))  # a row for each cell that holds a vector: 2^20 at most, by the codebooks' size
     home = each.withColumn("cell", F.get("near", F.lit(0))).join(grid, "cell")
     home = home.select("cell", (hashed % F.col("_h")).alias("place"), F.explode(F.sequence(F.lit(0), F.col("_p") - 1)).alias("slot"), F.lit(0).alias("side"), "id", "copies", "u", "near")
     probe = each.withColumn("cell", F.explode("near")).join(grid, "cell")
@@ -228,28 +256,25 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", embedding: str = "
     Rows link at a cosine of `threshold` or more, in double precision. n_links counts the other
     rows linked directly, copies included; component_id is the least key that links reach,
     the row's own included; kept: the key is the component's. Rows with vectors that are
-    null, empty, zero, hold null or non-finite components, or have an odd number of
-    dimensions link with nothing: n_links 0, a component of their own. A null key is no
+    null, empty, zero, hold null or non-finite components link with nothing: n_links 0, a component of their own.
+    Vectors of different numbers of dimensions do not link; each number has an index of its own. A null key is no
     component's id unless all of its keys are null, and such rows aren't kept. Equal
-    vectors count once in the index, so copies cost nothing there. No rows: no rows.
+    vectors count once in the index, so copies cost nothing there. Other columns are not read. No rows: no rows.
     """
-    out, once, dims = distinct_vectors(vectors, key, embedding)
-    n = once.count()
-    if n:
-        wide = vectors.schema[embedding].dataType.elementType.typeName() != "float"
-        units = checkpoint(_packed(once, dims, wide))
+    out, once = distinct_vectors(vectors, key, embedding)
+    wide = vectors.schema[embedding].dataType.elementType.typeName() != "float"
+    found = once.sparkSession.createDataFrame([], "id long, other long, more long")
+    for dims, n in sorted(map(tuple, once.groupBy("d").count().collect())):
+        units = checkpoint(_packed(once.where(F.col("d") == dims), dims, wide))
         index = fit(units, n, dims)
-        cells, _ = cells_for_recall(units, n, dims, index, threshold)
-        found = checkpoint(links(units, dims, index, cells, threshold, block).groupBy("id", "other").agg(F.sum("more").alias("more")))
-        roots = connected_components(found, "id", "other")
-        degree = found.groupBy("id").agg(F.sum("more").alias("more"))
-        named = once.select("id", *HASHES, "copies", "least").join(degree, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-        named = checkpoint(named.select(*HASHES, "least", (F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("root")))
-        first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = named.join(first, "root").select(*HASHES, "n_links", "component_id")
-        out = out.join(named, HASHES, "left")
-    else:
-        out = out.select("*", F.lit(None).cast("long").alias("n_links"), F.col("_key").alias("component_id"))
+        cells, *_ = cells_for_recall(units, n, dims, index, threshold)
+        found = found.union(checkpoint(links(units, dims, index, cells, threshold, block).groupBy("id", "other").agg(F.sum("more").alias("more"))))
+    found = checkpoint(found)
+    degree = found.groupBy("id").agg(F.sum("more").alias("more"))
+    joined = named_components(once.select("id", "least"), found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    named = once.select("id", *HASHES, "copies").join(few(checkpoint(degree)), "id", "left").join(joined, "id")
+    named = named.select(*HASHES, (F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = out.join(named, HASHES, "left")
     return out.select(
         F.col("_key").alias(key),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),

@@ -248,5 +248,8 @@ def test_line_dedup_odd_rows(spark):
     assert dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
     long = spark.createDataFrame([(1, "\n".join(map(str, range(50000)))), (2, "\n".join(map(str, range(25000, 60000))))], DOCS)
     assert {r.doc_id: r.n_removed for r in dedup_lines(long).collect()} == {1: 0, 2: 25000}
+    million = "\n".join(f"{k:x}" for k in range(1_000_000))
+    million = spark.createDataFrame([(1, million), (2, million + "\nend"), (3, "")], DOCS)
+    assert [(r.doc_id, r.n_removed, len(r.text)) for r in dedup_lines(million).orderBy("doc_id").collect()[1:]] == [(2, 1_000_000, 3), (3, 0, 0)]
     clash = spark.createDataFrame([(1, "a", 5, 6)], "doc_id long, text string, n_lines int, _row int")
     assert dedup_lines(clash).columns == ["doc_id", "text", "n_lines", "n_removed"]

@@ -6,9 +6,11 @@ from collections import Counter
 
 import numpy as np
 
-from boxtide.llm.embedding_dedup import embedding_groups, op9_embedding_dedup
+from boxtide.llm import embedding_dedup
+from boxtide.llm.embedding_dedup import MultiIndex, cells_for_recall, embedding_groups, k_means, op9_embedding_dedup
 from boxtide.llm.sharding import interleave, op8_sharding
-from boxtide.llm.url_filter import RULES, filter_urls, op10_url_filter
+from boxtide.llm.url_filter import OP10_SQL, RULES, filter_urls, op10_url_filter
+from oracle import differ
 
 VECTORS = "vec_id long, embedding array<float>"
 
@@ -47,9 +49,10 @@ def test_op9_table(spark, sf):
 
 def test_embedding_odd_rows(spark):
     one = [1.0, 0.0, 0.0, 0.0]
-    rows = [(1, one), (2, [2.0, 0.0, 0.0, 0.0]), (3, None), (4, []), (5, [0.0] * 4), (6, [1.0, None, 0.0, 0.0]), (7, [math.nan, 1.0, 0.0, 0.0]), (8, [math.inf, 1.0, 0.0, 0.0]), (9, [1.0, 0.0]), (None, one), (1, one), (10, [0.0, 1.0, 0.0, 0.0])]
-    got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embedding_groups(spark.createDataFrame(rows, VECTORS)).collect())
-    alone = [(k, 0, k, True) for k in (3, 4, 5, 6, 7, 8, 9, 10)]
+    rows = [(1, one), (2, [2.0, 0.0, 0.0, 0.0]), (3, None), (4, []), (5, [0.0] * 4), (6, [1.0, None, 0.0, 0.0]), (7, [math.nan, 1.0, 0.0, 0.0]), (8, [math.inf, 1.0, 0.0, 0.0]), (9, [1.0, 0.0]), (11, [3.0, 0.1]), (None, one), (1, one), (10, [0.0, 1.0, 0.0, 0.0])]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embedding_groups(spark.createDataFrame(rows, VECTORS).selectExpr("*", "1 as id", "2 as copies", "3 as _key")).collect())
+    alone = [(k, 0, k, True) for k in (3, 4, 5, 6, 7, 8, 10)]
+    alone += [(9, 1, 9, True), (11, 1, 9, False)]  # of two dimensions
     assert got == sorted([(0, 3, 1, False), (1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), *alone])
     assert embedding_groups(spark.createDataFrame([], VECTORS)).count() == 0
     assert embedding_groups(spark.createDataFrame([(1, None)], VECTORS)).collect()[0].n_links == 0
@@ -155,3 +158,45 @@ def test_embeddings_of_doubles_keep_their_precision(spark):
     rows = [(1, [1.0, 0.0]), (2, near), (3, [0.0, -1.0]), (4, [-far[1], -far[0]])]
     got = {r.vec_id: r.n_links for r in embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def test_cells_grow_until_the_recall_is_reached(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    monkeypatch.setattr(embedding_dedup, "QUERIES", 400)
+    index = MultiIndex(k_means(x[:, :12], 40), k_means(x[:, 12:], 40))  # cells of about one vector: many must be visited
+    rows = [(k, 1, bytearray(v.astype("<f8").tobytes())) for k, v in enumerate(x)]
+    units = spark.createDataFrame(rows, "id long, copies long, u binary")
+    cells, true, worst = cells_for_recall(units, len(x), 24, index, 0.9, cells=4)
+    assert cells > 4 and worst >= 0.95 and true >= 0.995
+    every = cells_for_recall(units, len(x), 24, index, 0.9, worst=1.1, cells=256)
+    assert every[0] == 1600 and every[2] == 1.0
+
+
+def test_rules_of_equal_length_and_long_lists(spark):
+    pages = spark.createDataFrame([(1, "http://a.x.com/ab/c", None), (2, "http://b.k77.com/p/", None), (3, "http://k77.com./", None), (4, None, None)], "page_id long, url string, html string")
+    tie = [("block", "x.com", "/ab/"), ("allow", "a.x.com", "/a")]
+    many = [("block", f"k{k}.com", f"/{'p' * (k % 3)}") for k in range(100_000)]
+    for rules in (tie, tie[::-1]):
+        assert filter_urls(pages, rules).where("page_id = 1").collect()[0].verdict == rules[0][0]
+    got = {r.page_id: r for r in filter_urls(pages, tie + many).collect()}
+    assert got[1].verdict == "block" and (got[2].verdict, got[2].rule) == ("allow", None) and got[4].verdict == "allow"
+    table = spark.createDataFrame([("block", "com", "/", 0), ("allow", "b.k77.com", "/p", 1), ("block", "b.k77.com", "/p", 2)], "verdict string, host string, path string, place long")
+    got = {r.page_id: (r.verdict, r.rule) for r in filter_urls(pages, table).collect()}
+    assert got == {1: ("block", "com/"), 2: ("allow", "b.k77.com/p"), 3: ("allow", None), 4: ("allow", None)}
+
+
+def test_relative_links_as_the_sql_has_them(spark, tmp_path):
+    links = ["../other", "./x/../../y", "?p=2&amp;q=1", "next.html", "/a/./b/..", "//bad.net/z", "mailto:x@bad.net", "#top", "http://bad.net/a/../b?c=../d", "../../../..", "&#x2F;root", ""]
+    html = "".join(f'<link rel="canonical" href="{x}">' for x in links)
+    rows = [(1, "https://h.com/d/e/page.html?z=/1", html), (2, "https://h.com", '<link rel=canonical href="sub">'), (3, "https://h.com/d/other", None), (4, "https://h.com/y", None), (5, "https://h.com/d/e/next.html", None), (6, "https://h.com/d/e/page.html?p=2&q=1", None), (7, "https://h.com/sub", None), (8, "https://h.com/root", None), (9, "https://h.com/a/", None), (10, "https://h.com/d/y", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.verdict for r in filter_urls(pages).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "allow", 8: "block", 9: "block", 10: "block"}
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert {r[0]: r[4] for r in con.execute(OP10_SQL).fetchall()} == got
