@@ -6,7 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import repeat
 
 import numpy as np
@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from .common import cut_by_bytes
 
 SIMILARITY = 0.8
-REPEATS = 20
 SAMPLED = 3
-#: Items of more words are verified wherever enough of their rare words stand: walks lose them, as edits grow with length.
-WALKED = 20
+#: Share of an item's occurrences with as many edits as are allowed that its repeats are to find, by simulation of TRIALS of them.
+RECALL, TRIALS = 0.99, 400
+#: Items whose length asks for more repeats are verified wherever enough of their rare words stand, which misses none.
+MOST_REPEATS = 64
 SEED = 42
 #: Characters of items that one pass over the documents looks for.
 BLOCK_CHARS = 4_000_000
@@ -93,9 +94,47 @@ def best_end(item: list[int], text: list[int]) -> tuple[int, int]:
     return best
 
 
+def sampled_steps(size: int, repeats: int) -> np.ndarray:
+    """The steps of each repeat's walk whose symbols make its key."""
+    steps = 2 * size
+    return np.stack([np.random.default_rng((SEED, r, size)).choice(steps, min(SAMPLED, steps), replace=False) for r in range(repeats)])
+
+
+def edited(item: np.ndarray, edits: int, draw: np.random.Generator) -> np.ndarray:
+    """`item` after so many replacements, insertions and deletions at drawn places, each by a symbol of its own."""
+    out = item.tolist()
+    for k in range(edits):
+        kind, at, new = draw.integers(3), int(draw.integers(len(out) + 1)), 10**9 + int(draw.integers(10**9))
+        if kind == 0 or not out:
+            out.insert(at, new)
+        elif kind == 1:
+            out[min(at, len(out) - 1)] = new
+        else:
+            del out[min(at, len(out) - 1)]
+    return np.array(out, np.int64)
+
+
+@lru_cache(maxsize=4096)
+def repeats_for(size: int, edits: int, recall: float = RECALL, trials: int = TRIALS) -> int | None:
+    """How many repeats find that share of items of `size` words after `edits` edits, by simulation; None if over MOST_REPEATS."""
+    draw = np.random.default_rng((SEED, size, edits))
+    items = draw.integers(1, 10**9, (trials, size))
+    windows = np.zeros((trials, size), np.int64)
+    for k, item in enumerate(items):
+        own = edited(item, edits, draw)[:size]
+        windows[k, : len(own)] = own
+    found = np.zeros(trials, bool)
+    own, other = (embed(x, sampled_steps(size, MOST_REPEATS)) for x in (items, windows))
+    for r, same in enumerate((own == other).all(2), 1):
+        found |= same
+        if found.mean() >= recall:
+            return r
+    return None
+
+
 @dataclass
 class Index:
-    """Items by the sampled places of their embeddings, for windows of each item length; those of over WALKED words by their rare words."""
+    """Items by the sampled places of their embeddings, for windows of each item length; those that no number of repeats finds by their rare words."""
 
     similarity: float
     item_ids: list
@@ -109,7 +148,9 @@ class Index:
         own.items = [[own.vocabulary.setdefault(w, len(own.vocabulary) + 1) for w in words(t)] for _, t in rows]
         own.sizes = np.array([len(x) for x in own.items], np.int64)
         own.allowed = (own.sizes * (1 - similarity) + 1e-9).astype(np.int64)
-        for size in sorted({x for x in own.sizes.tolist() if 0 < x <= WALKED}):
+        own.repeats = {x: repeats_for(x, int(x * (1 - similarity) + 1e-9)) for x in set(own.sizes.tolist()) if x}
+        own.walked = np.array([bool(x and own.repeats[x]) for x in own.sizes.tolist()], bool)
+        for size in sorted(x for x, r in own.repeats.items() if r):
             same = np.flatnonzero(own.sizes == size).tolist()
             table = own.tables.setdefault(size, {})
             for r, keys in enumerate(own.keys(np.array([own.items[k] for k in same]), size)):
@@ -137,16 +178,14 @@ class Index:
 
     def keys(self, windows: np.ndarray, size: int) -> Iterator[list[bytes]]:
         """For each repeat, a key of each window: the symbols at the sampled steps of its walk."""
-        steps = 2 * size
-        places = np.stack([np.random.default_rng((SEED, r, size)).choice(steps, min(SAMPLED, steps), replace=False) for r in range(REPEATS)])
-        for got in embed(windows, places):
+        for got in embed(windows, sampled_steps(size, self.repeats[size])):
             yield [x.tobytes() for x in got]
 
     def _starts(self, symbols: np.ndarray, text_of: np.ndarray) -> tuple[dict[int, np.ndarray], list[tuple[int, int, int, int]]]:
         """For each item length, where windows can start that hold enough of one such item's rare words.
 
         This leaves out no match: it bounds what any run within the allowed edits must hold. Of
-        items of over WALKED words: (text, item, begin, end) of the places that such runs lie in.
+        items that are not walked: (text, item, begin, end) of the places that such runs lie in.
         """
         at = np.flatnonzero(symbols)
         lo, hi = self.anchor_edges[symbols[at]], self.anchor_edges[symbols[at] + 1]
@@ -162,13 +201,14 @@ class Index:
         near = (item[last] == item[first]) & (place[last] - place[first] < width)
         first, last, width = first[near], last[near], width[near]
         sizes = self.sizes[item[first]]
-        far = np.flatnonzero(sizes > WALKED)
+        walked = self.walked[item[first]]
+        far = np.flatnonzero(~walked)
         which, begin, end = item[first[far]], np.maximum(place[last[far]] - width[far] + 1, 0), place[first[far]] + width[far]
         text = np.searchsorted(text_of, place[first[far]], "right") - 1
         new = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (text[1:] != text[:-1]) | (begin[1:] > end[:-1])][: len(far)])
         ends = np.r_[new[1:], len(far)][: len(new)] - 1
         places = list(zip(text[new].tolist(), which[new].tolist(), begin[new].tolist(), end[ends].tolist(), strict=True))
-        first, last, width, sizes = (x[sizes <= WALKED] for x in (first, last, width, sizes))
+        first, last, width, sizes = (x[walked] for x in (first, last, width, sizes))
         out = {}
         for size in np.unique(sizes).tolist():
             mine = sizes == size
@@ -191,15 +231,19 @@ class Index:
         text_of = np.array(starts)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         begins_of, places = self._starts(np.maximum(symbols, 0), text_of)
-        for n, k, lo, hi in places:
-            item, most, lo = self.items[k], int(self.allowed[k]), max(lo, starts[n])
-            run = symbols[lo : min(hi, starts[n + 1] - gap if n + 1 < len(starts) else total - gap)].tolist()
+
+        def verify(n: int, k: int, lo: int, hi: int) -> None:
+            """The best place of item k in a run of text n: by bits in parallel, then cell by cell near its end alone."""
+            item, most = self.items[k], int(self.allowed[k])
+            run = symbols[lo:hi].tolist()
             edits, end = best_end(item, run)
-            if edits <= most:
+            if edits <= most and edits < best.get((n, k), (most + 1,))[0]:
                 cut = max(0, end - len(item) - most)
                 _, a, b = edit_span(item, run[cut:end])
-                if edits < best.get((n, k), (most + 1,))[0]:
-                    best[n, k] = (edits, lo + cut + a - starts[n], b - a)
+                best[n, k] = (edits, lo + cut + a - starts[n], b - a)
+
+        for n, k, lo, hi in places:
+            verify(n, k, max(lo, starts[n]), min(hi, starts[n + 1] - gap if n + 1 < len(starts) else total - gap))
         for size, begins in begins_of.items():
             hits: dict[tuple[int, int], list[int]] = {}
             for lo in range(0, len(begins), 2_000):
@@ -226,9 +270,7 @@ class Index:
                     else:
                         runs.append([lo, hi])
                 for lo, hi in runs:
-                    edits, a, b = edit_span(item, symbols[lo:hi].tolist())
-                    if edits <= most and (n, k) not in best or edits < best.get((n, k), (0,))[0]:
-                        best[n, k] = (edits, lo + a - starts[n], b - a)
+                    verify(n, k, lo, hi)
         return [(n, k, *best[n, k]) for n, k in sorted(best)]
 
 
@@ -253,10 +295,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
 
     An item occurs where a run of a document's words is within (1 - similarity) * item_words
     edits of it, a word each; words are runs of letters and digits in lower case. Candidates
-    of items of up to WALKED words share the sampled steps of an embedding of an item-sized
-    window in one of REPEATS repeats, which misses few at 0.8 and none at equality. Longer
-    items miss none: candidates are all places that hold enough of their rare words. All
-    candidates are verified exactly.
+    share the sampled steps of an embedding of an item-sized window in one of its repeats, as
+    many as find RECALL of the occurrences with all edits that are allowed, by simulation
+    for each length; equal ones are found always. Where a length asks for over MOST_REPEATS, candidates are all
+    places that hold enough of an item's rare words, which misses none. All candidates are
+    verified exactly. Other columns are not read.
     Null and empty texts hold nothing, and items without a word occur nowhere. Equal
     items are found each; equal documents too. No rows on either side: no rows.
 
