@@ -22,8 +22,10 @@ TOP = 1 << 18
 #: Classes of one frequent word each, and classes that the other words share by their last bytes.
 OWN, SHARED, SUFFIX = 384, 128, 3
 DIMS, CONTEXT, NOISE, BATCH = 24, 2, 32, 2048
-#: Tokens that a task trains on at a time, and that it sees at least, if need be more than once.
-HELD, LEAST = 1 << 22, 1 << 20
+#: Tokens that a task trains on at a time.
+HELD = 1 << 22
+#: Rounds of training: the share of the documents that a round draws, and how often it goes through them.
+ROUNDS = ((0.1, 4), (1.0, 1))
 #: Words that a task counts before it hands the counts on.
 COUNTED = 400_000
 
@@ -59,6 +61,31 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def least_count(counts: DataFrame, most: int) -> int:
+    """The least count that at most `most` words reach. Some 64 numbers of words reach the driver at a time.
+
+    First the words are counted by the power of two of their count, then within the power in
+    which the bound lies by ever smaller parts of it.
+    """
+    power = F.floor(F.log2("n")).cast("long").alias("part")
+    low, width, kept = 1, 1 << 62, 0
+    part = power
+    while width > 1:
+        below = counts.where(F.col("n").between(low, low + width - 1)) if part is not power else counts
+        found = sorted(((int(k), n) for k, n in below.groupBy(part).agg(F.count("*")).collect()), reverse=True)
+        for k, n in found:
+            if kept + n > most:
+                low, width = (1 << k, 1 << k) if part is power else (low + k * step, step)
+                break
+            kept += n
+        else:
+            return low if part is not power else 1
+        if width > 1:
+            step = max(1, width // 64)
+            part = ((F.col("n") - low) / step).cast("long").alias("part")
+    return low + 1
+
+
 @dataclass
 class Vocabulary:
     """Counts of the frequent words, and of the classes, of all training tokens."""
@@ -73,13 +100,8 @@ class Vocabulary:
 
     @classmethod
     def of(cls, counts: DataFrame, most: int = TOP) -> Vocabulary:
-        by_n = sorted(counts.groupBy("n").count().collect(), reverse=True)
-        least, kept = 1, 0
-        for n, k in by_n:
-            kept += k
-            if kept > most:
-                least = n + 1
-                break
+        whole = counts.agg(F.sum("n"), F.count("*")).first()
+        least = least_count(counts, most)
         rows = sorted(((n, bytes(w)) for w, n in counts.where(F.col("n") >= least).collect()), key=lambda r: (-r[0], r[1]))
         top = {w: k for k, (_, w) in enumerate(rows)}
         own = np.array([k if k < OWN - 1 else shared_class(w) for k, (_, w) in enumerate(rows)], np.int16)
@@ -91,8 +113,7 @@ class Vocabulary:
         for c, n, k in rare.collect():
             class_tokens[OWN + c] += n
             class_words[OWN + c] += k
-        total = sum(n * k for n, k in by_n)
-        return cls(total, sum(k for _, k in by_n), top, n_of, own, class_tokens, class_words)
+        return cls(whole[0] or 0, whole[1], top, n_of, own, class_tokens, class_words)
 
     @property
     def base_total(self) -> float:
@@ -170,13 +191,13 @@ class LogBilinear:
             out += parts[k][contexts[:, k], targets]
         return (out - logs[place]) / np.log(10)
 
-    def train(self, contexts: np.ndarray, targets: np.ndarray, prior: np.ndarray, seed: int, rate: float = 0.15) -> None:
+    def train(self, contexts: np.ndarray, targets: np.ndarray, prior: np.ndarray, seed: int, passes: int = 1, rate: float = 0.15) -> None:
         """Noise-contrastive estimation by AdaGrad; the noise has the classes' frequencies and is shared by a batch."""
         draw = np.random.default_rng(seed)
         noise_of = np.log(NOISE * prior).astype(np.float32)
         edges = np.cumsum(prior)[:-1]
         seen = LogBilinear(np.full_like(self.flat, 0.05))
-        for _ in range(max(1, min(8, LEAST // max(1, len(targets))))):
+        for _ in range(passes):
             order = draw.permutation(len(targets))
             for at in range(0, len(order), BATCH):
                 now = order[at : at + BATCH]
@@ -230,23 +251,25 @@ def contexts_of(classes: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([flat[at - k] for k in range(1, CONTEXT + 1)], axis=1), flat[at]
 
 
-def train_model(docs: DataFrame, vocabulary, prior: np.ndarray, rates: tuple[float, ...] = (0.1, 1.0)) -> LogBilinear:
+def train_model(docs: DataFrame, vocabulary, prior: np.ndarray, rounds: tuple[tuple[float, int], ...] = ROUNDS) -> LogBilinear:
     """Rounds of training in the tasks, each from the average of the tasks' last models.
 
-    The first round draws a tenth of the documents by the hash of their text, the last uses all. The tasks'
-    parameters are averaged by Spark, weighted by tokens; one model's size reaches the driver.
+    Each of `rounds` draws a share of the documents by the hash of their text and goes through them so
+    often; the last uses all. The tasks' parameters are averaged by Spark, weighted by tokens; one model's size
+    reaches the driver. The average depends on how the documents are dealt over tasks, so scores (not base
+    scores) differ a little between layouts of the same table.
     """
     model = LogBilinear.new(prior)
-    for number, rate in enumerate(rates):
+    for number, (rate, passes) in enumerate(rounds):
         drawn = docs if rate >= 1 else docs.where(F.pmod(F.xxhash64("text"), F.lit(1000)) < int(1000 * rate))
         start = docs.sparkSession.sparkContext.broadcast(model.flat)
 
-        def learn(batches: Iterator[pa.RecordBatch], start=start, number=number) -> Iterator[pa.RecordBatch]:
+        def learn(batches: Iterator[pa.RecordBatch], start=start, number=number, passes=passes) -> Iterator[pa.RecordBatch]:
             own, held, n, total = LogBilinear(start.value.copy()), [], 0, 0
             part = TaskContext.get().partitionId()
 
             def step() -> None:
-                own.train(*contexts_of(held), prior, part * 1009 + number)
+                own.train(*contexts_of(held), prior, part * 1009 + number, passes)
 
             for b in batches:
                 for text in b.column(0).cast(pa.binary()):
