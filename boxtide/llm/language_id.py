@@ -15,24 +15,39 @@ WIDTH = 1 << 15
 #: Labelled documents of each language that the weights are fitted on, about.
 SAMPLE = 1500
 NONE = "und"
+#: Characters of a text that are looked at together; what they fill is some 100 times as large.
+PART = 1 << 16
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed buckets of the whole text's 1- to 3-grams and the count of each.
 
-    The text is lower-cased; each character but letters counts as a blank, so that digits,
-    signs and white space part words alike.
+    The text is lower-cased; each run of characters but letters counts as a blank, so that digits,
+    signs and white space part words alike, and there is a blank at either end. An empty text has none.
     """
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    codes = np.where(_letters(codes), codes, 32)
-    codes = codes[np.r_[True, (codes[1:] != 32) | (codes[:-1] != 32)]] if len(codes) else codes
-    codes = np.r_[32, codes, 32]
+    total, last = np.zeros(WIDTH, np.int64), np.array([32])
+    for lo in range(0, len(text), PART):
+        codes = np.frombuffer(text[lo : lo + PART].lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        codes = np.r_[last, np.where(_letters(codes), codes, 32)]
+        codes = codes[np.r_[True, (codes[1:] != 32) | (codes[:-1] != 32)]]
+        # The last two characters of a part are given to the next one; their own grams are counted here.
+        total += _buckets(codes, 0 if not lo else len(last))
+        last = codes[-2:]
+    total += _buckets(np.r_[last, 32], len(last)) if last[-1] != 32 else 0
+    at = np.flatnonzero(total)
+    return at, total[at]
+
+
+def _bucket(x: np.ndarray) -> np.ndarray:
+    return (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(49)).astype(np.int64)
+
+
+def _buckets(codes: np.ndarray, seen: int) -> np.ndarray:
+    """How many 1- to 3-grams fall into each bucket, of those that end behind the first `seen` characters."""
     two = codes[:-1] * 1_000_003 + codes[1:]
     three = two[:-1] * 1_000_003 + codes[2:]
-    mixed = np.concatenate([codes * 7, two * 11 + 1, three * 13 + 2]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    counts = np.bincount((mixed >> np.uint64(49)).astype(np.int64), minlength=WIDTH)
-    at = np.flatnonzero(counts)
-    return at, counts[at]
+    mixed = np.concatenate([codes[seen:] * 7, two[max(0, seen - 1) :] * 11 + 1, three[max(0, seen - 2) :] * 13 + 2])
+    return np.bincount(_bucket(mixed), minlength=WIDTH)
 
 
 _TABLE = np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x3000)])
@@ -138,7 +153,8 @@ def train(labelled: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Mod
 
     The inverse document frequencies and the languages are those of all rows. The weights are fitted
     on about `sample` texts of each language, the temperature on a fifth as many others: rows
-    are drawn by the hash of their key at the rate that gives so many. No labelled rows:
+    are drawn by the hash of key, text and place in the table at the rate that gives so many, so that
+    copies, or rows of one key, are drawn one by one and cannot exceed it together. No labelled rows:
     a model that knows no language and answers NONE.
     """
     labelled = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -150,7 +166,7 @@ def train(labelled: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Mod
     model = Model(names, idf, np.zeros((WIDTH, len(names))), np.zeros(len(names)))
     if not names:
         return model
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit("draw")), F.lit(1 << 40)) / (1 << 40)
+    draw = F.pmod(F.xxhash64(F.col(key), "text", F.monotonically_increasing_id(), F.lit("draw")), F.lit(1 << 40)) / (1 << 40)
     rate = F.lit(1.2 * sample) / F.get(F.array(*[F.lit(r[1]) for r in languages]), F.array_position(F.array(*[F.lit(x) for x in names]), F.col("lang")).cast("int") - 1)
     drawn = labelled.withColumn("_u", draw / rate).where("_u < 1").select("text", "lang", "_u")
 
