@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 FOLD_STEP, INNER_VAL_STEP = 1000, 500  # fixed values
 
 
-def image_id(number: Column) -> Column:
-    return F.lpad(number.cast("string"), 12, "0")
+def image_id(number: Column, digits: int = 12) -> Column:
+    """The number with zeros in front up to `digits`; a longer one stays whole."""
+    text = number.cast("string")
+    return F.when(F.length(text) >= digits, text).otherwise(F.lpad(text, digits, "0"))
 
 
 def box_id(image: Column, round_id: Column, index: Column, digits: int = 4) -> Column:

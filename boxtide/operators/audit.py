@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .admission import at_least
+from .ordering import numbered_by
 
 
 def class_audit(detections: DataFrame, tau: float, class_names: list[str], medians: bool = True) -> DataFrame:
-    """A row a class: counts and shares of all and of admitted boxes, mean and true median confidences."""
+    """A row a class: counts and shares of all and of admitted boxes, mean and true median confidences.
+
+    Medians come from places in a global order of (class, confidence), so no task holds a class.
+    """
     classes = detections.sparkSession.createDataFrame(list(enumerate(class_names)), "pred_class int, class_name string")
     admitted = at_least(F.col("confidence"), tau)
     own = F.when(admitted, F.col("confidence"))
     numbers = [F.count("*").alias("det_count"), F.count_if(admitted).alias("admitted_count"), F.avg("confidence").alias("mean_all"), F.avg(own).alias("mean_admitted")]
-    if medians:
-        numbers += [F.median("confidence").alias("median_all"), F.median(own).alias("median_admitted")]
     counts = detections.groupBy("pred_class").agg(*numbers)
+    if medians:
+        counts = counts.join(class_medians(detections, tau), "pred_class", "left")
     totals = counts.agg(F.coalesce(F.sum("det_count"), F.lit(0)).alias("_det"), F.coalesce(F.sum("admitted_count"), F.lit(0)).alias("_adm"))
     out = classes.join(counts, "pred_class", "left").fillna(0, ["det_count", "admitted_count"]).join(F.broadcast(totals))
     return out.select(
@@ -32,6 +36,21 @@ def class_audit(detections: DataFrame, tau: float, class_names: list[str], media
     )
 
 
+def class_medians(detections: DataFrame, tau: float) -> DataFrame:
+    """pred_class, median_all, median_admitted. Within a class the admitted boxes are the last ones by confidence."""
+    ties = [c for c in ("image_id", "box_id", "det_index") if c in detections.columns]
+    rows = detections.where("pred_class is not null and confidence is not null").select("pred_class", "confidence", *ties)
+    placed = numbered_by(rows, "pred_class", "confidence", *ties)
+    sizes = placed.groupBy("pred_class").agg(F.min("position").alias("_first"), F.count("*").alias("_n"), F.count_if(at_least(F.col("confidence"), tau)).alias("_k"))
+    place = F.col("position") - F.col("_first")
+
+    def middle(first, n):
+        return F.avg(F.when(place.isin(first + F.floor((n - 1) / 2), first + F.floor(n / 2)) & (n > 0), F.col("confidence")))
+
+    n, k = F.col("_n"), F.col("_k")
+    return placed.join(F.broadcast(sizes), "pred_class").groupBy("pred_class").agg(middle(F.lit(0), n).alias("median_all"), middle(n - k, k).alias("median_admitted"))
+
+
 def image_audit(images: DataFrame, detections: DataFrame, tau: float) -> DataFrame:
     """A row an image: n_det, n_admitted, max_conf (null without boxes), admitted_classes in box order."""
     admitted = at_least(F.col("confidence"), tau)

@@ -41,6 +41,11 @@ def unscored_report(current: DataFrame, scored: DataFrame) -> DataFrame:
     return problem(lacking, "box without a score", "box_id")
 
 
+def repeated_report(current: DataFrame) -> DataFrame:
+    twice = current.groupBy("image_id", "box_id").count().where("count > 1")
+    return problem(twice, "box more than once in the pool", "box_id")
+
+
 def require_clean(report: DataFrame) -> None:
     """Raises ValueError that names the check and its first ids."""
     for row in report.where("n_bad > 0").collect():

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ScoringConfig
+from .integrity import match_report, require_clean
+from .ordering import numbered_by
 
 
 def jitter_component(a: Column, b: Column, c: Column) -> Column:
@@ -43,10 +45,24 @@ def score(matches: DataFrame, jitter: DataFrame | None = None, config: ScoringCo
     )
 
 
+def checked_score(matches: DataFrame, current: DataFrame, previous: DataFrame, images: DataFrame, jitter: DataFrame | None = None, config: ScoringConfig = ScoringConfig()) -> DataFrame:
+    """`score`, after checks that every image of the pool has a match result and every id in `matches` is in its pool.
+
+    ValueError names the check that fails and its first ids. images: those of the current pool.
+    """
+    require_clean(match_report(matches, current, previous, matches.select("image_id").distinct(), images))
+    return score(matches, jitter, config)
+
+
 def score_summary(scored: DataFrame) -> DataFrame:
-    """mean_s, upper_median_s (of an even number the upper of the middle two), n_scored, over non-null scores."""
+    """mean_s, upper_median_s (of an even number the upper of the middle two), n_scored, over non-null scores.
+
+    The median is the row at the middle place of a global order, which no task sees whole; equal
+    scores are told apart by the other columns of the order, so a frequent one fills no task.
+    """
     rows = scored.where("stability is not null")
-    n = rows.count()
-    upper = rows.select("stability").orderBy("stability").offset(n // 2).limit(1)
+    ties = [c for c in ("image_id", "box_id_t") if c in rows.columns]
+    placed = numbered_by(rows.select("stability", *ties), "stability", *ties)
+    upper = placed.where(F.col("position") == placed.count() // 2)
     means = rows.agg(F.avg("stability").alias("mean_s"), F.count("*").alias("n_scored"))
     return means.join(upper.select(F.col("stability").alias("upper_median_s")), how="left")

@@ -18,7 +18,7 @@ def labelled_count(total: int, ratio: float) -> int:
 
 def validation_count(labelled: int, fraction: float) -> int:
     if not 0.0 < fraction < 1.0:
-        raise ValueError(f"val_fraction must be in (0, 1), got {fraction}")
+        raise ValueError(f"val_fraction {fraction} does not lie between 0 and 1")
     if labelled < 10:
         raise ValueError(f"only {labelled} labelled ids; at least 10 are needed to split off a validation part")
     n = max(1, round(labelled * fraction))
@@ -100,6 +100,22 @@ def split_grid(ratios: list[float], folds: list[int], base_seed: int) -> list[di
     return [{"ratio": r, "fold": f, "seed": fold_seed(base_seed, f), "inner_val_seed": inner_val_seed(base_seed, f)} for r in ratios for f in folds]
 
 
+PARTS = ["labeled_train", "labeled_inner_val", "unlabeled"]  # fixed values: parts of a split, as its documents name them
+
+
+def split_documents(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """name, value: a JSON document for each of `headers` (name, ratio, fold, ...), from `rows` (ratio, fold, id, part).
+
+    A document holds its header, the sorted ids of each part and their number, as its reader
+    wants them in one text; a split's ids so meet in one task, as they do in one file.
+    """
+    ids = rows.groupBy("ratio", "fold").agg(*[F.array_sort(F.collect_list(F.when(F.col("part") == p, F.col("id")))).alias(f"{p}_ids") for p in PARTS])
+    doc = headers.join(ids, ["ratio", "fold"], "left")
+    doc = doc.withColumns({f"{p}_ids": F.coalesce(f"{p}_ids", F.array().cast("array<bigint>")) for p in PARTS})
+    whole = F.struct(*[c for c in headers.columns if c != "name"], *[F.size(f"{p}_ids").alias(f"n_{p}") for p in PARTS], *[f"{p}_ids" for p in PARTS])
+    return doc.select("name", F.to_json(whole).alias("value"))
+
+
 def sample_files(files: DataFrame, n: int, seed: int, key: str = "path") -> DataFrame:
     """n rows in the order of the md5 of seed and key: a sample that any number of partitions gives alike."""
     return files.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key))), key).limit(n)

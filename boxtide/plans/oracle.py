@@ -7,7 +7,7 @@ OBJ = """obj as (select *, row_number() over (partition by l_orderkey order by l
 
 
 def pad(x: str, n: int = 12) -> str:
-    return f"lpad(cast({x} as varchar), {n}, '0')"
+    return f"case when length(cast({x} as varchar)) >= {n} then cast({x} as varchar) else lpad(cast({x} as varchar), {n}, '0') end"
 
 
 def det(r: int) -> str:

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.distributions import dense_counts, js_divergence
-from ..operators.admission import Policy, admit, dual_gate
+from ..operators.admission import Policy, admit, at_least, dual_gate
 from ..operators.jitter import jitter_by_detector, jitter_candidates
 from ..operators.matching import match
-from ..operators.scoring import score
+from ..operators.integrity import admitted_report, repeated_report, require_clean, unscored_report
+from ..operators.scoring import checked_score
 from ..operators.signals import StoppingState, infer_classes
 from ..schema import BANK_ROW, LoopConfig
 from ..session import checkpoint as saved
@@ -96,6 +97,8 @@ def run_loop(
 ) -> LoopResult:
     """Rounds 1 to max_rounds, or until a stop; round 0 trains on no pseudo-label, or stores its candidates.
 
+    Each round is checked before it is stored: ids in matches are in their pools, every image and box
+    has a result, no box is admitted twice; ValueError names what is wrong.
     The previous pool is read back from its committed partition, so no lineage grows over
     rounds. The detector runs once a round: its boxes are saved before they are matched,
     jittered and stored. On convergence the plain form ends at once and the other trains once more; a risk stop
@@ -120,13 +123,16 @@ def run_loop(
         images, found = infer(checkpoint, t)
         found = saved(found)
         before = store.pool(t - 1)
+        require_clean(repeated_report(found))
         matches = match(found, before, config.matching).persist()
         triples = None
         if jitter is not None:
             sizes = images if "width" in images.columns else images.select("image_id", F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))
             asked = jitter_candidates(matches, found, sizes, config.tau_pre)
             triples = jitter_by_detector(asked, jitter, config.matching.min_iou_gate)
-        scored = admit(score(matches, triples, config.scoring), policy)
+        scored = saved(admit(checked_score(matches, found, before, found.select("image_id").distinct(), triples, config.scoring), policy))
+        boxes = scored.where("admitted").select(F.col("box_id_t").alias("box_id"))
+        require_clean(admitted_report(boxes, found).unionByName(unscored_report(found, scored)))
         store.write(t, bank_rows(found, scored), images)
         matches.unpersist()
         rows = store.written_rows(t)
@@ -166,6 +172,26 @@ def naive_round(detections: DataFrame, images: DataFrame, tau: float, class_name
     return labels, class_audit(detections, tau, class_names, medians=False), audit_summary(images, detections, tau, class_names)
 
 
+def naive_loop(store: RoundStore, config: LoopConfig, tau: float, class_names: list[str], infer: Infer, train: Train, checkpoint: str) -> tuple[str, list[dict]]:
+    """Rounds that admit by confidence alone and train on what they admit; the last checkpoint and a summary of each round.
+
+    Each round's boxes are stored, with those above `tau` admitted, and committed; the next one's detector is
+    trained on them. Nothing is matched or scored, and no signal stops the loop.
+    """
+    spark, audits = store.spark, []
+    for t in range(config.max_rounds):
+        images, found = infer(checkpoint, t)
+        rows = saved(bootstrap_rows(found).withColumn("admitted", at_least(F.col("confidence"), tau)))
+        require_clean(admitted_report(rows.where("admitted"), rows))
+        store.write(t, rows, images)
+        _, _, summary = naive_round(found, images, tau, class_names, t)
+        audits.append(summary.first().asDict())
+        n = store.written_rows(t).agg(F.count("*").alias("n"), F.count_if("admitted").alias("k")).first()
+        store.commit(round_id=t, n_candidates=n.n, n_admitted=n.k, raw_churn=0.0, stable_yield=n.k / n.n if n.n else 0.0, class_drift=0.0, stop_condition_met=False, model_checkpoint=checkpoint)
+        checkpoint = train(store.written_rows(t).where("admitted"), t, checkpoint)
+    return checkpoint, audits
+
+
 def evaluate_rounds(store: RoundStore, evaluate: Evaluate, exists: Callable[[str], bool]) -> list:
     """Evaluates the checkpoint of each committed round, in order; those that are gone are passed over."""
     return [evaluate(r.model_checkpoint, r.round_id) for r in store.all_metadata().collect() if exists(r.model_checkpoint)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -28,13 +29,16 @@ def local_session(cpus: int | None = None, app: str = "boxtide") -> SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`, which driver and executors share.
 
-    Only where the session names none (tests on one machine) a temporary folder is made.
+    Only where the session names none and master is local (tests on one machine) a temporary
+    folder is made; executors on other machines would not share it, so there that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="boxtide-"))
     return sc.getCheckpointDir().rstrip("/")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,10 +65,16 @@ def image_files(spark: SparkSession, path: str, suffixes: list[str] = IMAGE_SUFF
 
 
 def eval_results(spark: SparkSession, path: str) -> DataFrame:
-    """method (file stem), position and the results of JSON files, each a list or one object; broken files have no rows."""
+    """method (file stem), position and the results of JSON files, each a list or one object.
+
+    Files that are no such JSON have no rows; a warning says how many they are and names the first.
+    """
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
     text = F.when(F.startswith(F.ltrim(F.regexp_replace("value", r"^\s+", "")), F.lit("[")), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
     rows = files.select(stem(F.col("_metadata.file_path")).alias("method"), F.from_json(text, "array<" + EVAL_RESULT.simpleString() + ">").alias("rows"))
+    broken = rows.where(F.col("rows").isNull() | F.exists("rows", lambda x: x.isNull())).select("method").orderBy("method").limit(5)
+    if names := [r[0] for r in broken.collect()]:
+        warnings.warn(f"result files that cannot be read: {', '.join(names)}", stacklevel=2)
     return rows.select("method", F.posexplode("rows").alias("position", "x")).select("method", "position", "x.*")
 
 

@@ -142,12 +142,24 @@ def test_quality_checks(spark):
     assert cover.first().sample == ["1"] and quality.exit_code(cover) == 0 and quality.exit_code(cover, strict=True) == 1
 
 
+def test_split_documents_round_trip(spark):
+    ids = spark.range(300).select("id")
+    rows = splits.split(ids, 0.1, 0, 42).withColumn("ratio", F.lit(0.1)).withColumn("fold", F.lit(0))
+    headers = spark.createDataFrame([("coco_fold0_10pct.json", 0.1, 0, 42, "now"), ("none.json", 0.5, 1, 42, "now")], "name string, ratio double, fold int, seed long, created_at string")
+    got = {r.name: r.value for r in splits.split_documents(rows, headers).collect()}
+    header, back = documents.split_document(spark, got["coco_fold0_10pct.json"], ["ratio", "fold", "n_unlabeled", "unlabeled_ids"])
+    assert (header["seed"], header["n_labeled_train"], header["n_labeled_inner_val"], header["n_unlabeled"]) == (42, 27, 3, 270)
+    assert {tuple(r) for r in back.collect()} == {(r.id, r.part) for r in rows.collect()}
+    assert json.loads(got["none.json"])["unlabeled_ids"] == []
+
+
 def test_results(spark, tmp_path):
     (tmp_path / "r").mkdir()
     (tmp_path / "r/m1.json").write_text(json.dumps([{"map50": 0.5, "map50_95": 0.3, "round_id": 1, "per_class": {"car": 0.4}, "checkpoint": "c", "n_images": 9}, {"map50": 0.5, "map50_95": 0.4, "round_id": 2}]))
     (tmp_path / "r/m2.json").write_text(json.dumps({"map50": 0.7, "map50_95": 0.2, "round_id": 2}))
     (tmp_path / "r/broken.json").write_text("[{")
-    rows = documents.eval_results(spark, str(tmp_path / "r")).persist()
+    with pytest.warns(UserWarning, match="broken"):
+        rows = documents.eval_results(spark, str(tmp_path / "r")).persist()
     assert {(r.method, r.round_id) for r in rows.where("map50 is not null").collect()} == {("m1", 1), ("m1", 2), ("m2", 2)}
     rows = rows.where("map50 is not null")
     assert [tuple(r) for r in results.round_table(rows).collect()] == [(1, "0.5000", "N/A"), (2, "0.5000", "0.7000")]

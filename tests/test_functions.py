@@ -129,3 +129,23 @@ def test_iou_of_nan_passes_no_gate(spark):
     rows = frame(spark, [(0.0, 0.0, math.nan, 2.0), (0.0, 0.0, 2.0, 2.0)], "x1 double, y1 double, x2 double, y2 double")
     own = geo.box(F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(2.0))
     assert [r[0] for r in rows.select(geo.iou(boxed(), own)).collect()] == [0.0, 1.0]
+
+
+def test_long_ids_stay_whole(spark):
+    from boxtide.functions.names import image_id
+
+    got = spark.createDataFrame([(7,), (123456789012,), (1234567890123,), (1234567890129,)], "n long").select(image_id(F.col("n")))
+    assert [r[0] for r in got.collect()] == ["000000000007", "123456789012", "1234567890123", "1234567890129"]
+
+
+def test_no_private_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from boxtide.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://h:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(cluster)

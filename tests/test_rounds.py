@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from boxtide.operators import admission, integrity, jitter, matching, scoring, signals
-from boxtide.plans.rounds import bank_rows, bootstrap_rows, evaluate_rounds, naive_round, run_loop
+from boxtide.plans.rounds import bank_rows, bootstrap_rows, evaluate_rounds, naive_loop, naive_round, run_loop
 from boxtide.schema import BANK_ROW, CLASS_NAMES, DETECTION, AdmissionConfig, LoopConfig, MatchingConfig, ScoringConfig, StoppingConfig
 from boxtide.sources.store import RoundStore
 
@@ -319,6 +319,50 @@ def test_naive_round(spark):
     assert (s.n_images, s.images_with_any_det, s.images_with_admitted, s.top_class, s.top_class_pct, s.saturation_flag, s.imbalance_flag) == (3, 2, 2, "bicycle", 50.0, False, False)
 
 
+def test_naive_loop(spark, tmp_path):
+    seen = []
+    store = RoundStore(spark, f"{tmp_path}/naive")
+
+    def infer(checkpoint, t):
+        d = pool(spark, [("a", f"1_{t}", A, 0, 0.9), ("a", f"2_{t}", FAR, 1, 0.2 + 0.2 * t)], t)
+        return spark.createDataFrame([("a",), ("c",)], "image_id string"), d.withColumn("det_index", F.when(F.col("confidence") == 0.9, 0).otherwise(1))
+
+    last, audits = naive_loop(store, loop_config(), 0.35, CLASS_NAMES, infer, lambda rows, t, c: seen.append((t, rows.count(), c)) or f"k{t}", "k")
+    assert last == "k1" and seen == [(0, 1, "k"), (1, 2, "k0")] and store.committed_rounds() == [0, 1]
+    assert [a["admitted"] for a in audits] == [1, 2] and [store.metadata(t).n_admitted for t in (0, 1)] == [1, 2]
+
+
+def test_the_loop_refuses_what_does_not_fit(spark, tmp_path):
+    def twice(checkpoint, r):
+        images, found = drifting(spark, r)
+        return images, found.union(found) if r == 1 else found
+
+    with pytest.raises(ValueError, match="more than once|not in"):
+        config = LoopConfig(MatchingConfig(0.1, 1.0, 0.001), ScoringConfig(), AdmissionConfig(0, 0), StoppingConfig(1, 1, 1, k_consecutive=99), tau_pre=0.1, max_rounds=2, bootstrap=True)
+        run_loop(spark, RoundStore(spark, f"{tmp_path}/twice"), config, twice, lambda rows, r, c: f"k{r}", checkpoint="k")
+    t, p = one(spark, (A, 0)), one(spark, (A, 0), r=0)
+    m, images = matching.match(t, p), spark.createDataFrame([("i",)], "image_id string")
+    assert scoring.checked_score(m, t, p, images).count() == 1
+    for current, previous, pool_images, text in ((t.where("false"), p, images, "not in current"), (t, p.where("false"), images, "not in previous"), (t, p, images.union(spark.createDataFrame([("lost",)], "image_id string")), "without match")):
+        with pytest.raises(ValueError, match=text):
+            scoring.checked_score(m, current, previous, pool_images)
+
+
+def test_medians_by_place_are_true_medians(spark):
+    import random
+    import statistics
+
+    from boxtide.operators.audit import class_medians
+
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(4), rng.choice([0.5, 0.5, round(rng.random(), 2)])) for k in range(501)] + [(900, 7, 0.1), (901, None, 0.5), (902, 1, None)]
+    got = {r.pred_class: r for r in class_medians(spark.createDataFrame(rows, "box_id long, pred_class int, confidence double"), 0.5).collect()}
+    for c in (0, 1, 2, 3, 7):
+        own = [x for _, k, x in rows if k == c and x is not None]
+        high = [x for x in own if x >= 0.5]
+        assert got[c].median_all == pytest.approx(statistics.median(own)) and got[c].median_admitted == (pytest.approx(statistics.median(high)) if high else None)
+
+
 def test_bank_rows_fill_gaps(spark):
     d = one(spark, (A, 0), (FAR, 1))
     scored = admission.admit(scoring.score(matching.match(d, one(spark, (A, 0), r=0))), admission.dual_gate()).where("box_id_t = 'b1_0'")
