@@ -104,6 +104,67 @@ def write_label_files(files: DataFrame, folder: str, skip_empty: bool = True) ->
     return rows.select("partition", "image_id", "lines").mapInPandas(write, "path string")
 
 
+def copy_files(pairs: DataFrame) -> DataFrame:
+    """Copies each (source, target) in the task that holds it; source, target, outcome (copied, missing or kept) of each.
+
+    Sources that don't exist are passed over and targets that do are kept. A copy gets its name when it is whole, so a task may run again.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        import pyarrow.fs as pafs
+
+        def place(uri: str):
+            return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+        def there(fs, path: str) -> bool:
+            return fs.get_file_info(path).type != pafs.FileType.NotFound
+
+        def copy(source: str, target: str) -> str:
+            (fs, a), (out, b) = place(source), place(target)
+            if not there(fs, a):
+                return "missing"
+            if there(out, b):
+                return "kept"
+            folder = b.rpartition("/")[0]
+            out.create_dir(folder, recursive=True)
+            own = f"{folder}/.{uuid.uuid4().hex}"
+            pafs.copy_files(a, own, source_filesystem=fs, destination_filesystem=out)
+            out.move(own, b)
+            return "copied"
+
+        for part in parts:
+            yield part.assign(outcome=[copy(r.source, r.target) for r in part.itertuples()])
+
+    return pairs.select("source", "target").distinct().mapInPandas(run, "source string, target string, outcome string")
+
+
+def write_dataset(files: DataFrame, images: DataFrame, folder: str, classes: int, names: list[str] | None = None, **checked) -> str:
+    """A training dataset below `folder`: images/<partition>, labels/<partition> and dataset.yaml; the path of the last.
+
+    files are rows of `assemble`, images (image_id, path) of `resolved_images`; checked goes to
+    `validate`, which runs before a dataset that was there is replaced; a folder that is no dataset is an error.
+    Images without lines have no label file.
+    """
+    import pyarrow.fs as pafs
+
+    validate(**checked)
+    body = dataset_yaml(folder, classes, names, bool(files.where("partition = 'val'").limit(1).count()))
+    fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    if fs.get_file_info(root).type != pafs.FileType.NotFound:
+        if fs.get_file_info(f"{root}/dataset.yaml").type == pafs.FileType.NotFound:
+            raise FileExistsError(f"{folder} holds no dataset.yaml, so it is not replaced")
+        fs.delete_dir(root)
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/dataset.yaml") as out:
+        out.write(body.encode())
+    target = F.concat(F.lit(f"{folder}/images/"), "partition", F.lit("/"), "image_id", suffix(F.col("path")))
+    copy_files(files.select("partition", "image_id").join(images, "image_id").select(F.col("path").alias("source"), target.alias("target"))).count()
+    write_label_files(files, f"{folder}/labels").count()
+    return f"{folder}/dataset.yaml"
+
+
 def dataset_yaml(path: str, classes: int, names: list[str] | None = None, has_val: bool = True) -> str:
     """The text of dataset.yaml; names default to the numbers, val to train."""
     if names is not None and len(names) != classes:

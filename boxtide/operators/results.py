@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,3 +36,13 @@ def write_results_csv(results: DataFrame, path: str) -> bool:
     columns = ["method", "round_id", "map50", "map50_95", "checkpoint", "n_images"]
     results.select(*columns).coalesce(1).write.mode("overwrite").csv(path, header=True)
     return True
+
+
+def evaluate_checked(evaluate: Callable[[str], dict], checkpoint: str, images: DataFrame, exists: Callable[[str], bool], classes: int, class_names: list[str] | None = None) -> dict:
+    """What the injected evaluator finds, with n_images: the .jpg files among `images` (path); arguments are checked first."""
+    if class_names is not None and len(class_names) != classes:
+        raise ValueError(f"{len(class_names)} class names for {classes} classes")
+    if not exists(checkpoint):
+        raise FileNotFoundError(f"no checkpoint {checkpoint}")
+    n = images.where(F.endswith(F.col("path"), F.lit(".jpg"))).count()
+    return evaluate(checkpoint) | {"n_images": n}

@@ -193,6 +193,28 @@ def anchor_rows(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("anchor_id").alias("box_id"), *[F.col(f"anchor_box.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")], r6(F.array_max("class_scores")).alias("top"))
 
 
+NOISE = " || ".join(f"sha256(s || '{k}')" for k in range(18))
+
+
+@query(f"""select s as image_id, 16 as width, 12 as height, md5(unhex({NOISE})) as digest from {S}""")
+def image_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Noise images written as files, one an image, copied once more, and scanned and decoded there."""
+    noise = F.concat(*[F.sha2(F.concat("image_id", F.lit(str(k))), 256) for k in range(18)])
+    lines = fx.images(spark, sf).select(F.lit("raw").alias("partition"), "image_id", F.array(noise).alias("lines"))
+    where = folder(spark, "images")
+    dataset.write_label_files(lines, where).count()
+    names_of = fx.images(spark, sf).select(F.concat(F.lit(f"{where}/raw/"), "image_id", F.lit(".txt")).alias("source"), F.concat(F.lit(f"{where}/copied/"), "image_id", F.lit(".jpg")).alias("target"))
+    dataset.copy_files(names_of).count()
+
+    def decode(content: bytes):
+        import numpy as np
+
+        return np.frombuffer(bytes.fromhex(content.decode().strip()), np.uint8).reshape(12, 16, 3)
+
+    found = documents.decoded_images(spark, f"{where}/copied", decode)
+    return found.select("image_id", "width", "height", F.md5("pixels").alias("digest"))
+
+
 @query(f"""with {RESULTS_SQL} select method, round_id, map50, map50_95, method || '.pt' as checkpoint, 870 as n_images from res""")
 def results_csv(spark: SparkSession, sf: str) -> DataFrame:
     """The table of results written as CSV and read again."""

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import warnings
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +67,38 @@ def image_files(spark: SparkSession, path: str, suffixes: list[str] = IMAGE_SUFF
     return files.where(suffix(F.col("path")).isin(*suffixes)).withColumn("stem", stem(F.col("path")))
 
 
+def decoded_images(spark: SparkSession, path: str, decode: Callable[[bytes], np.ndarray | None], suffixes: list[str] = IMAGE_SUFFIXES, at_once: int = 1 << 26) -> DataFrame:
+    """image_id, path, width, height, pixels of the image files below `path`, decoded where they are read.
+
+    decode gives an array of rows, columns and colours, or None or an error for what it can't read;
+    the first such file of a task ends the job with a ValueError that names it. Results are handed on whenever
+    they pass `at_once` bytes, so a task holds an Arrow batch of files and that much of pixels.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.where(suffix(F.col("path")).isin(*suffixes)).select(stem(F.col("path")).alias("image_id"), "path", "content")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["image_id", "path", "width", "height", "pixels"]
+        for part in parts:
+            rows, held = [], 0
+            for f in part.itertuples(index=False):
+                try:
+                    image = decode(f.content)
+                except Exception as e:
+                    raise ValueError(f"unreadable image {f.path}") from e
+                if image is None:
+                    raise ValueError(f"unreadable image {f.path}")
+                rows.append((f.image_id, f.path, image.shape[1], image.shape[0], image.tobytes()))
+                held += image.nbytes
+                if held >= at_once:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+
+    return files.mapInPandas(run, "image_id string, path string, width int, height int, pixels binary")
+
+
 def eval_results(spark: SparkSession, path: str) -> DataFrame:
     """method (file stem), position and the results of JSON files, each a list or one object.
 

@@ -238,3 +238,51 @@ def test_numbers_and_bounds(spark, monkeypatch):
     monkeypatch.setattr(splits, "MOST_EXACT", 20)
     with pytest.raises(ValueError, match="split"):
         splits.exact_split(list(range(21)), 0.5, 0, 42)
+
+
+def test_images_are_decoded_where_read_and_unreadable_ones_are_named(spark, tmp_path):
+    (tmp_path / "a.JPG").write_bytes(bytes(range(12)))
+    (tmp_path / "b.txt").write_bytes(b"no image")
+    decode = lambda content: np.frombuffer(content, np.uint8).reshape(2, 2, 3) if len(content) == 12 else None
+    rows = documents.decoded_images(spark, str(tmp_path), decode, at_once=1).collect()
+    assert [(r.image_id, r.width, r.height, bytes(r.pixels)) for r in rows] == [("a", 2, 2, bytes(range(12)))]
+    (tmp_path / "c.png").write_bytes(b"short")
+    with pytest.raises(Exception, match="unreadable image .*c.png"):
+        documents.decoded_images(spark, str(tmp_path), decode).collect()
+
+
+def test_dataset_is_checked_then_written(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jpg").write_bytes(name.encode())
+    files = spark.createDataFrame([("train", "a", ["0 0.5 0.5 0.1 0.1"]), ("val", "b", []), ("train", "gone", [])], "partition string, image_id string, lines array<string>")
+    images = spark.createDataFrame([(n, f"file://{tmp_path}/{n}.jpg") for n in ("a", "b", "gone")], "image_id string, path string")
+    stems = lambda *x: spark.createDataFrame([(i,) for i in x], "stem string")
+    checked = {"train": stems("a"), "inner_val": stems("b"), "labelled_files": stems("a"), "unlabelled_files": stems("c"), "pseudo": stems("c"), "same_folder": False}
+    where = tmp_path / "set"
+    for _ in range(2):  # the second replaces the first
+        assert dataset.write_dataset(files, images, str(where), 1, **checked) == f"{where}/dataset.yaml"
+        (where / "old").write_text("")
+    dataset.write_dataset(files, images, str(where), 1, **checked)
+    found = sorted(str(p.relative_to(where)) for p in where.rglob("*") if p.is_file())
+    assert found == ["dataset.yaml", "images/train/a.jpg", "images/val/b.jpg", "labels/train/a.txt"]
+    with pytest.raises(ValueError):
+        dataset.write_dataset(files, images, str(where), 1, **(checked | {"inner_val": stems("a")}))
+    assert (where / "dataset.yaml").exists()
+
+
+def test_copies_keep_targets_and_pass_over_missing_sources(spark, tmp_path):
+    (tmp_path / "a").write_text("new")
+    (tmp_path / "kept").write_text("old")
+    pairs = spark.createDataFrame([(f"{tmp_path}/a", f"{tmp_path}/x/a"), (f"{tmp_path}/a", f"{tmp_path}/kept"), (f"{tmp_path}/none", f"{tmp_path}/y")], "source string, target string")
+    assert sorted(r.outcome for r in dataset.copy_files(pairs).collect()) == ["copied", "kept", "missing"]
+    assert (tmp_path / "x/a").read_text() == "new" and (tmp_path / "kept").read_text() == "old" and not (tmp_path / "y").exists()
+
+
+def test_evaluation_arguments_are_checked(spark):
+    images = spark.createDataFrame([("a.jpg",), ("b.png",)], "path string")
+    run = lambda c: {"map50": 0.5, "checkpoint": c}
+    assert results.evaluate_checked(run, "c", images, lambda p: True, 2, ["x", "y"]) == {"map50": 0.5, "checkpoint": "c", "n_images": 1}
+    with pytest.raises(ValueError):
+        results.evaluate_checked(run, "c", images, lambda p: True, 2, ["x"])
+    with pytest.raises(FileNotFoundError):
+        results.evaluate_checked(run, "c", images, lambda p: False, 2)
