@@ -183,6 +183,72 @@ def label_files_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return boxes.select(F.lit("train").alias("partition"), "stem", "class_id", "cx", "cy", "w", "h")
 
 
+@query(f"""with {o.OBJ}, {o.ANNOTATIONS}, k as (select *, image_id // 1000 as block from ann)
+select {o.pad("image_id")} || '.jpg' as file_name, row_number() over (partition by block order by image_id, position) - 1 as position, 'category ' || category_id as category, iscrowd, x, y, w, h from k""")
+def annotation_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Annotation documents of a thousand images each, written as files and scanned again; all three relations joined."""
+    block = F.floor(F.col("image_id") / 1000).alias("block")
+    own = fx.annotations(spark, sf).groupBy(block).agg(F.array_sort(F.collect_list(F.struct("image_id", "position", "category_id", "bbox", "iscrowd"))).alias("annotations"))
+    images = fx.images(spark, sf).select(F.floor(F.col("id") / 1000).alias("block"), F.struct("id", "file_name", "width", "height").alias("image"))
+    whole = images.groupBy("block").agg(F.collect_list("image").alias("images")).join(own, "block", "left")
+    kinds = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(f"category {k}").alias("name")) for k in range(1, 10)])
+    text = F.to_json(F.struct("images", F.coalesce("annotations", F.array().cast(own.schema["annotations"].dataType)).alias("annotations"), kinds.alias("categories")))
+    where = folder(spark, "annotations")
+    dataset.write_label_files(whole.select(F.lit("documents").alias("partition"), F.col("block").cast("string").alias("image_id"), F.array(text).alias("lines")), where).count()
+    found, boxes, categories = documents.annotation_document(spark, f"{where}/documents")
+    named = boxes.join(found.select(F.col("id").alias("image_id"), "file_name"), "image_id").join(categories.distinct().withColumnRenamed("id", "category_id"), "category_id")
+    side = [F.get("bbox", F.lit(k)).alias(c) for k, c in enumerate(("x", "y", "w", "h"))]
+    return named.select("file_name", F.col("position").cast("long").alias("position"), F.col("name").alias("category"), "iscrowd", *side)
+
+
+@query(f"""select s as stem, 13::bigint as length from {S} where id % 5 <> 0""")
+def image_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Files listed by suffix: every fifth image has one of text alone, which is none."""
+    images = fx.images(spark, sf).select("id", F.lit("raw").alias("partition"), "image_id", F.array("image_id").alias("lines"))
+    where = folder(spark, "listing")
+    dataset.write_label_files(images.drop("id"), where).count()
+    suffix = F.when(F.col("id") % 5 == 0, ".txt").when(F.col("id") % 5 == 1, ".JPG").otherwise(".png")
+    dataset.copy_files(images.select(F.concat(F.lit(f"{where}/raw/"), "image_id", F.lit(".txt")).alias("source"), F.concat(F.lit(f"{where}/all/"), "image_id", suffix).alias("target"))).count()
+    return documents.image_files(spark, f"{where}/all").select("stem", "length")
+
+
+@query(
+    SPLIT_SQL
+    + f""", held as (select l_orderkey as id from lineitem group by l_orderkey having count(*) > 6)
+select distinct {o.pad("id")} || '.jpg' as filename, part as partition from parts union select {o.pad("id")} || '.jpg', 'val' from held"""
+)
+def labelled_files(spark: SparkSession, sf: str) -> DataFrame:
+    """File names of the split's parts; images of seven objects and more stand for the validation set."""
+    held = fx.annotations(spark, sf).groupBy(F.col("image_id").alias("id")).agg(F.count("*").alias("n")).where("n > 6").select("id")
+    return splits.labelled_data(splits.split(fx.images(spark, sf), 0.1, fold=2, base_seed=42), held)
+
+
+LISTS = [f"""coalesce((select string_agg(id::varchar, ',' order by id) from parts where part = '{p}'), '')""" for p in splits.PARTS]
+COUNTS = [f"""(select count(*) from parts where part = '{p}')""" for p in splits.PARTS]
+
+
+@query(
+    SPLIT_SQL
+    + " select 'ratio_10_fold_2.json' as name, '{\"ratio\":0.1,\"fold\":2,\"seed\":2042' || "
+    + " || ".join(f"""',"n_{p}":' || {n}""" for p, n in zip(splits.PARTS, COUNTS, strict=True))
+    + " || "
+    + " || ".join(f"""',"{p}_ids":[' || {ids} || ']'""" for p, ids in zip(splits.PARTS, LISTS, strict=True))
+    + " || '}' as value"
+)
+def split_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The document of a split, as its reader wants it: header, counts and sorted ids of each part."""
+    rows = splits.split(fx.images(spark, sf), 0.1, fold=2, base_seed=42).withColumns({"ratio": F.lit(0.1), "fold": F.lit(2)})
+    header = spark.range(1).select(F.lit("ratio_10_fold_2.json").alias("name"), F.lit(0.1).alias("ratio"), F.lit(2).alias("fold"), F.lit(2042).alias("seed"))
+    return splits.split_documents(rows, header)
+
+
+@query(f"""with {o.rounds(0)} select box_id, row_number() over (partition by image_id order by confidence desc, box_id) - 1 as place from d0""")
+def det_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes numbered within their image, the most confident first."""
+    boxes = fx.detections(spark, sf, 0).withColumn("below", -F.col("confidence"))
+    return inference.with_det_index(boxes, "below", "box_id").select("box_id", F.col("det_index").cast("long").alias("place"))
+
+
 @query(f"""with {o.rounds(0)}, a as (select box_id, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy, x2 - x1 as w, y2 - y1 as h, list_transform(p, lambda x: exp(x * 3 - list_max(p) * 3)) as e from d0)
 select box_id, cx - w / 2 as x1, cy - h / 2 as y1, cx + w / 2 as x2, cy + h / 2 as y2, {q6("list_max(e) / list_sum(e)")} as top from a""")
 def anchor_rows(spark: SparkSession, sf: str) -> DataFrame:
