@@ -15,6 +15,7 @@ from .lm_scoring import op3_lm_scoring
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .sharding import OP8_SQL, op8_sharding
 from .simhash import op1_simhash
+from .suffix_dedup import OP11_SQL, op11_suffix_dedup
 from .url_filter import OP10_SQL, op10_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_lm_scoring": op3_lm_scoring,
     "op10_url_filter": op10_url_filter,
+    "op11_suffix_dedup": op11_suffix_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -35,4 +37,5 @@ SQL: dict[str, str] = {
     "op8_sharding": OP8_SQL,
     "op9_embedding_dedup": OP9_SQL,
     "op10_url_filter": OP10_SQL,
+    "op11_suffix_dedup": OP11_SQL,
 }
