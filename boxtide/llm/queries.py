@@ -14,9 +14,11 @@ from .token_files import op2_token_files
 from .lm_scoring import op3_lm_scoring
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .sharding import OP8_SQL, op8_sharding
+from .phrases import OP13_SQL, op13_phrases
 from .simhash import op1_simhash
 from .suffix_dedup import OP11_SQL, op11_suffix_dedup
 from .url_filter import OP10_SQL, op10_url_filter
+from .word_runs import OP12_SQL, op12_word_runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
@@ -30,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_scoring": op3_lm_scoring,
     "op10_url_filter": op10_url_filter,
     "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_word_runs": op12_word_runs,
+    "op13_phrases": op13_phrases,
 }
 
 SQL: dict[str, str] = {
@@ -38,4 +42,6 @@ SQL: dict[str, str] = {
     "op9_embedding_dedup": OP9_SQL,
     "op10_url_filter": OP10_SQL,
     "op11_suffix_dedup": OP11_SQL,
+    "op12_word_runs": OP12_SQL,
+    "op13_phrases": OP13_SQL,
 }
