@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, cut_by_bytes
+from .common import checkpoint, cut_by_bytes, few, new_folder
 
 #: Bytes of a string that counts as repeated, and of the seeds that sample it.
 WIDTH, SEED = 200, 32
@@ -343,7 +343,9 @@ def repeated_strings(named: DataFrame, width: int = WIDTH, seed: int = SEED) ->
     drawn = drawn.join(large, "h", "left").select("_row", F.struct("h", "c", "n", "p", F.col("_size").isNotNull().alias("large")).alias("x"))
     wanted = drawn.groupBy("_row").agg(F.collect_list("x").alias("drawn"))
     items = named.join(wanted, "_row").select("text", "drawn").mapInArrow(_contexts(width, seed), f"h long, c long, {ITEMS}")
-    items = checkpoint(items)
+    folder = new_folder(named.sparkSession, "contexts")
+    items.write.option("compression", "zstd").parquet(folder)
+    items = named.sparkSession.read.schema(items.schema).parquet(folder)
     split = (F.col("h") != F.col("key")) | (F.col("c") != F.col("item"))
     found = _solved(items.where(~split), width, seed)
     parts, ways = items.where(split), []
