@@ -17,7 +17,9 @@ WIDTH, SEED = 200, 32
 #: Bytes that one symbol of a suffix array stands for.
 CHUNK = 40
 #: Contexts of one group that a task sorts at once, at most; larger groups are split by what more of their bytes share.
-MOST = 2048
+MOST = 1 << 14
+#: Contexts that a task sorts at once where groups are smaller, about.
+AT_ONCE = 1 << 12
 #: Ranges that a larger group's offsets are split into.
 SPLIT = 8
 #: Bytes of a text that are sampled at once.
@@ -307,7 +309,7 @@ def _solve(width: int, seed: int):
         for row in (r for b in batches for r in b.to_pylist()):
             if held and row["key"] != held[-1]["key"]:
                 done, held = done + held, []
-                if len(done) >= MOST:
+                if len(done) >= AT_ONCE:
                     yield of(done)
                     done = []
             held.append(row)
@@ -336,11 +338,12 @@ def repeated_strings(named: DataFrame, width: int = WIDTH, seed: int = SEED) ->
     each = sampled.select("_row", "tid", F.explode(F.arrays_zip("h", "c", "p")).alias("x")).select("_row", "x.*", F.xxhash64("tid", "x.p").alias("u"))
     # A seed in one place alone, whatever the copies of its text, begins no repeated string.
     twice = each.groupBy("h").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a <> b").select("h")
+    twice = checkpoint(twice)  # two plain exchanges then, of which hot ones can be split
     met = checkpoint(each.drop("u").join(twice, "h").join(own, "_row", "left_semi"))
     drawn = met.groupBy("h", "c").agg(F.count("*").alias("n"), F.max(F.struct("_row", "p")).alias("x"))
     drawn = checkpoint(drawn.select("h", "c", "n", "x.*"))
-    large = drawn.groupBy("h").agg(F.count("*").alias("_size")).where(F.col("_size") > MOST)
-    drawn = drawn.join(large, "h", "left").select("_row", F.struct("h", "c", "n", "p", F.col("_size").isNotNull().alias("large")).alias("x"))
+    large = checkpoint(drawn.groupBy("h").agg(F.count("*").alias("_size")).where(F.col("_size") > MOST))
+    drawn = drawn.join(few(large), "h", "left").select("_row", F.struct("h", "c", "n", "p", F.col("_size").isNotNull().alias("large")).alias("x"))
     wanted = drawn.groupBy("_row").agg(F.collect_list("x").alias("drawn"))
     items = named.join(wanted, "_row").select("text", "drawn").mapInArrow(_contexts(width, seed), f"h long, c long, {ITEMS}")
     folder = new_folder(named.sparkSession, "contexts")
