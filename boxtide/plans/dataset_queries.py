@@ -310,10 +310,50 @@ def looped(spark: SparkSession, sf: str) -> RoundStore:
     return store
 
 
+class Ended(Exception):
+    """What ends a loop in the middle of a round."""
+
+
+def resumed(spark: SparkSession, sf: str) -> RoundStore:
+    """The same loop, ended while it trains after round 1 and again while round 2 is inferred, and gone on with."""
+    store, ends = RoundStore(spark, folder(spark, "resumed")), [1, 2]
+
+    def end(t: int) -> None:
+        if t in ends:
+            ends.remove(t)
+            raise Ended(t)
+
+    def infer(checkpoint: str, t: int) -> tuple[DataFrame, DataFrame]:
+        if t == 2:
+            end(t)
+        return fx.images(spark, sf), fx.detections(spark, sf, t)
+
+    def train(rows: DataFrame, t: int, checkpoint: str) -> str:
+        end(t)
+        return f"c{t}"
+
+    while True:
+        try:
+            run_loop(spark, store, LoopConfig(max_rounds=2, bootstrap=True), infer, train, "c0", resume=True)
+            return store
+        except Ended:
+            store.drop_unfinished(0)
+
+
 @query(SQL["round_signals"].replace("select * from g1s union all select * from g2s", """select round_id, n_t as n_candidates, n_admitted, raw_churn, stable_yield, class_drift, false as stop_condition_met, case round_id when 1 then 'c0' else 'c1' end as model_checkpoint from (select * from g1s union all select * from g2s)
 union all select 0, (select count(*) from d0), 0, 0.0, 0.0, 0.0, false, 'c0'"""))
 def loop_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    m = looped(spark, sf).all_metadata()
+    return metadata_rows(looped(spark, sf))
+
+
+@query(SQL["loop_metadata"])
+def resumed_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """What a loop stores that was ended twice and resumed."""
+    return metadata_rows(resumed(spark, sf))
+
+
+def metadata_rows(store: RoundStore) -> DataFrame:
+    m = store.all_metadata()
     return m.select("round_id", F.col("n_candidates").cast("long").alias("n_candidates"), F.col("n_admitted").cast("long").alias("n_admitted"), r6(F.col("raw_churn")).alias("raw_churn"), r6(F.col("stable_yield")).alias("stable_yield"), F.round("class_drift", 9).alias("class_drift"), "stop_condition_met", "model_checkpoint")
 
 

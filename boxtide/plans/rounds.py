@@ -94,6 +94,7 @@ def run_loop(
     jitter: JitterDetect | None = None,
     policy: Policy | None = None,
     evaluate: Evaluate | None = None,
+    resume: bool = False,
 ) -> LoopResult:
     """Rounds 1 to max_rounds, or until a stop; round 0 trains on no pseudo-label, or stores its candidates.
 
@@ -103,64 +104,94 @@ def run_loop(
     rounds. The detector runs once a round: its boxes are saved before they are matched,
     jittered and stored. On convergence the plain form ends at once and the other trains once more; a risk stop
     keeps the checkpoint that the round began with.
+
+    With `resume` a loop that ended anywhere goes on: committed rounds are not run again, the stopping
+    state is rebuilt from their metadata, and training or evaluation that the store's marks say was finished isn't
+    repeated; what was under way is begun anew. Its `evaluations` are those of this call. Without it
+    a store that has rounds is an error.
     """
     policy = policy or dual_gate(config.admission)
-    state, out = StoppingState(config.stopping), None
-    if config.bootstrap:
-        if checkpoint is None:
-            raise ValueError("a loop that bootstraps needs a checkpoint")
-        images, found = infer(checkpoint, 0)
-        rows = bootstrap_rows(found)
+    state, evaluations = StoppingState(config.stopping), []
+    done = {r.round_id: r for r in store.all_metadata().collect()} if resume else {}
+    marks = store.marks() if resume else {}
+    if sorted(done) != list(range(len(done))):
+        raise ValueError(f"{store.path} has rounds {sorted(done)}, which are not the first ones")
+
+    def trained(rows: DataFrame, t: int, checkpoint: str | None) -> str:
+        if ("trained", t) in marks:
+            return marks["trained", t]
+        new = train(rows, t, checkpoint)
+        store.mark("trained", t, new)
+        return new
+
+    if 0 in done:
+        checkpoint = done[0].model_checkpoint
     else:
-        images = spark.createDataFrame([], "image_id string")
-        rows = spark.createDataFrame([], "round_id int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BANK_ROW.fields))
-        checkpoint = train(rows, 0, checkpoint)
-    store.write(0, rows, images)
-    n = store.written_rows(0).count()
-    store.commit(round_id=0, n_candidates=n, n_admitted=0, raw_churn=0.0, stable_yield=0.0, class_drift=0.0, stop_condition_met=False, model_checkpoint=checkpoint)
+        if config.bootstrap:
+            if checkpoint is None:
+                raise ValueError("a loop that bootstraps needs a checkpoint")
+            images, found = infer(checkpoint, 0)
+            rows = bootstrap_rows(found)
+        else:
+            images = spark.createDataFrame([], "image_id string")
+            rows = spark.createDataFrame([], "round_id int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BANK_ROW.fields))
+            checkpoint = trained(rows, 0, checkpoint)
+        attempt = store.write(0, rows, images)
+        n = store.written_rows(0, attempt).count()
+        store.commit(attempt, round_id=0, n_candidates=n, n_admitted=0, raw_churn=0.0, stable_yield=0.0, class_drift=0.0, stop_condition_met=False, model_checkpoint=checkpoint)
 
     for t in range(1, config.max_rounds + 1):
-        images, found = infer(checkpoint, t)
-        found = saved(found)
-        before = store.pool(t - 1)
-        require_clean(repeated_report(found))
-        matches = match(found, before, config.matching).persist()
-        triples = None
-        if jitter is not None:
-            sizes = images if "width" in images.columns else images.select("image_id", F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))
-            asked = jitter_candidates(matches, found, sizes, config.tau_pre)
-            triples = jitter_by_detector(asked, jitter, config.matching.min_iou_gate)
-        scored = saved(admit(checked_score(matches, found, before, found.select("image_id").distinct(), triples, config.scoring), policy))
-        boxes = scored.where("admitted").select(F.col("box_id_t").alias("box_id"))
-        require_clean(admitted_report(boxes, found).unionByName(unscored_report(found, scored)))
-        store.write(t, bank_rows(found, scored), images)
-        matches.unpersist()
-        rows = store.written_rows(t)
-        classes = infer_classes(rows, before)
-        s = round_signals(rows, before, config.stopping.tau_geom_change, classes).first()
-        state.observe(t, s.raw_churn, s.stable_yield, s.class_drift)
-        store.commit(
-            round_id=t,
-            n_candidates=s.n_t,
-            n_admitted=s.n_admitted,
-            raw_churn=s.raw_churn,
-            stable_yield=s.stable_yield,
-            class_drift=s.class_drift,
-            stop_condition_met=state.consecutive > 0,
-            model_checkpoint=checkpoint,
-        )
+        if t in done:
+            checkpoint = done[t].model_checkpoint
+            state.observe(t, done[t].raw_churn, done[t].stable_yield, done[t].class_drift)
+        else:
+            _one_round(store, config, infer, checkpoint, jitter, policy, state, t)
         risky = state.stopped and state.reason != "convergence"
         last = state.stopped or t == config.max_rounds
-        out = out or LoopResult(checkpoint, "max_rounds", state)
         if risky or (last and not config.train_on_stop):
             break
-        checkpoint = train(rows.where("admitted"), t, checkpoint)
-        if evaluate is not None and not state.stopped:
-            out.evaluations.append(evaluate(checkpoint, t))
+        if t + 1 in done:
+            continue
+        checkpoint = trained(store.pool(t).where("admitted"), t, checkpoint)
+        if evaluate is not None and not state.stopped and ("evaluated", t) not in marks:
+            evaluations.append(evaluate(checkpoint, t))
+            store.mark("evaluated", t)
         if last:
             break
-    out.checkpoint, out.reason = checkpoint, state.reason or "max_rounds"
-    return out
+    return LoopResult(checkpoint, state.reason or "max_rounds", state, evaluations)
+
+
+def _one_round(store: RoundStore, config: LoopConfig, infer: Infer, checkpoint: str, jitter: JitterDetect | None, policy: Policy, state: StoppingState, t: int) -> None:
+    """Infers, matches, scores, admits, stores and commits round `t`, which the state then knows."""
+    images, found = infer(checkpoint, t)
+    found = saved(found)
+    before = store.pool(t - 1)
+    require_clean(repeated_report(found))
+    matches = match(found, before, config.matching).persist()
+    triples = None
+    if jitter is not None:
+        sizes = images if "width" in images.columns else images.select("image_id", F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))
+        asked = jitter_candidates(matches, found, sizes, config.tau_pre)
+        triples = jitter_by_detector(asked, jitter, config.matching.min_iou_gate)
+    scored = saved(admit(checked_score(matches, found, before, found.select("image_id").distinct(), triples, config.scoring), policy))
+    boxes = scored.where("admitted").select(F.col("box_id_t").alias("box_id"))
+    require_clean(admitted_report(boxes, found).unionByName(unscored_report(found, scored)))
+    attempt = store.write(t, bank_rows(found, scored), images)
+    matches.unpersist()
+    rows = store.written_rows(t, attempt)
+    s = round_signals(rows, before, config.stopping.tau_geom_change, infer_classes(rows, before)).first()
+    state.observe(t, s.raw_churn, s.stable_yield, s.class_drift)
+    store.commit(
+        attempt,
+        round_id=t,
+        n_candidates=s.n_t,
+        n_admitted=s.n_admitted,
+        raw_churn=s.raw_churn,
+        stable_yield=s.stable_yield,
+        class_drift=s.class_drift,
+        stop_condition_met=state.consecutive > 0,
+        model_checkpoint=checkpoint,
+    )
 
 
 def naive_round(detections: DataFrame, images: DataFrame, tau: float, class_names: list[str], round_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -183,12 +214,12 @@ def naive_loop(store: RoundStore, config: LoopConfig, tau: float, class_names: l
         images, found = infer(checkpoint, t)
         rows = saved(bootstrap_rows(found).withColumn("admitted", at_least(F.col("confidence"), tau)))
         require_clean(admitted_report(rows.where("admitted"), rows))
-        store.write(t, rows, images)
+        attempt = store.write(t, rows, images)
         _, _, summary = naive_round(found, images, tau, class_names, t)
         audits.append(summary.first().asDict())
-        n = store.written_rows(t).agg(F.count("*").alias("n"), F.count_if("admitted").alias("k")).first()
-        store.commit(round_id=t, n_candidates=n.n, n_admitted=n.k, raw_churn=0.0, stable_yield=n.k / n.n if n.n else 0.0, class_drift=0.0, stop_condition_met=False, model_checkpoint=checkpoint)
-        checkpoint = train(store.written_rows(t).where("admitted"), t, checkpoint)
+        n = store.written_rows(t, attempt).agg(F.count("*").alias("n"), F.count_if("admitted").alias("k")).first()
+        store.commit(attempt, round_id=t, n_candidates=n.n, n_admitted=n.k, raw_churn=0.0, stable_yield=n.k / n.n if n.n else 0.0, class_drift=0.0, stop_condition_met=False, model_checkpoint=checkpoint)
+        checkpoint = train(store.pool(t).where("admitted"), t, checkpoint)
     return checkpoint, audits
 
 

@@ -26,21 +26,31 @@ def local_session(cpus: int | None = None, app: str = "boxtide") -> SparkSession
     )
 
 
+def full_uri(spark: SparkSession, path: str) -> str:
+    """`path` with the scheme by which Spark would read it, so that other readers mean the same place.
+
+    A path without one lies on the default file system, which need not be the local disk.
+    """
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString()
+    return re.sub("^file:/+", "file:///", whole.rstrip("/"))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`, which driver and executors share.
+    """The folder of `spark.checkpoint.dir`, which driver and executors share, with its scheme.
 
     Only where the session names none and master is local (tests on one machine) a temporary
     folder is made; executors on other machines would not share it, so there that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        return full_uri(spark, named)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="boxtide-"))
-    return sc.getCheckpointDir().rstrip("/")
+    return full_uri(spark, sc.getCheckpointDir())
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -1,38 +1,51 @@
-"""The append-only store of rounds: Parquet partitions, and a row of metadata that commits each."""
+"""The append-only store of rounds: Parquet written by attempts, and a manifest for each round that names the one that counts."""
 
 from __future__ import annotations
 
+import json
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import BANK_ROW, ROUND_METADATA
+from .files import drop, folders, put_if_absent
 
 _ROUND = T.StructField("round_id", T.IntegerType())
 _IMAGES = T.StructType([T.StructField("image_id", T.StringType()), _ROUND])
+_MANIFEST = T.StructType([*ROUND_METADATA.fields, T.StructField("attempt", T.StringType()), T.StructField("created_at", T.TimestampType())])
+_MARK = "step string, round_id int, value string"
 
 
 class RoundStore:
-    """Rounds below `path`: boxes and images in partitions by round, metadata beside them.
+    """Rounds below `path`: boxes and images in folders by round and attempt, a manifest a round in `commits`.
 
-    A round exists once its metadata does; partitions without it, left by a run that ended
-    in between, are written anew. A committed round is never written again.
+    Every write is an attempt of its own, so writers never touch each other's files. A round
+    exists once its manifest does, which one writer alone can make; readers take the attempt that it
+    names and no other. Attempts without one, left by runs that ended in between or were too late, are dropped
+    by `drop_unfinished`. A committed round is never written again.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _read(self, what: str, schema: T.StructType) -> DataFrame:
+    def _read(self, what: str, schema: T.StructType | str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{what}")
+            return self.spark.read.schema(schema).json(f"{self.path}/{what}")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def manifests(self) -> DataFrame:
+        """Metadata of the committed rounds with attempt and created_at (UTC)."""
+        return self._read("commits", _MANIFEST)
+
     def all_metadata(self) -> DataFrame:
-        return self._read("metadata", ROUND_METADATA).orderBy("round_id")
+        return self.manifests().select(*ROUND_METADATA.fieldNames()).orderBy("round_id")
 
     def metadata(self, round_id: int):
         """The round's row, or None."""
@@ -44,43 +57,92 @@ class RoundStore:
     def latest_round(self) -> int | None:
         return self.all_metadata().agg(F.max("round_id")).first()[0]
 
-    def _round(self, what: str, schema: T.StructType, round_id: int) -> DataFrame:
-        """One partition alone: the filter prunes all others."""
-        return self._read(what, schema).where(F.col("round_id") == round_id)
+    def _attempt(self, round_id: int) -> str | None:
+        row = self.manifests().where(F.col("round_id") == round_id).first()
+        if row is None:
+            raise FileNotFoundError(f"round {round_id} is not in {self.path}")
+        return row.attempt
+
+    def _rows(self, what: str, schema: T.StructType, round_id: int, attempt: str | None) -> DataFrame:
+        """One attempt's files alone; none where a round was committed without any."""
+        if attempt is None:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(T.StructType([f for f in schema.fields if f is not _ROUND])).parquet(f"{self.path}/{what}/round_id={round_id}/attempt={attempt}")
+        return rows.withColumn("round_id", F.lit(round_id))
 
-    def written_rows(self, round_id: int) -> DataFrame:
-        return self._round("bank", T.StructType([*BANK_ROW.fields, _ROUND]), round_id)
+    def written_rows(self, round_id: int, attempt: str | None = None) -> DataFrame:
+        """The boxes of an attempt, of the committed one unless it is named."""
+        return self._rows("bank", T.StructType([*BANK_ROW.fields, _ROUND]), round_id, attempt or self._attempt(round_id))
 
     def pool(self, round_id: int) -> DataFrame:
         """The boxes of a committed round; FileNotFoundError if it isn't. Of repeated box ids any one counts."""
-        if self.metadata(round_id) is None:
-            raise FileNotFoundError(f"round {round_id} is not in {self.path}")
         return self.written_rows(round_id)
 
     def images(self, round_id: int) -> DataFrame:
-        return self._round("images", _IMAGES, round_id)
+        return self._rows("images", _IMAGES, round_id, self._attempt(round_id))
 
-    def write(self, round_id: int, rows: DataFrame, images: DataFrame) -> None:
-        """Writes a round's rows (BANK_ROW and round_id) and images, not yet committed."""
+    def write(self, round_id: int, rows: DataFrame, images: DataFrame) -> str:
+        """Writes a round's rows (BANK_ROW and round_id) and images as an attempt, not yet committed; its name."""
         if self.metadata(round_id) is not None:
             raise FileExistsError(f"round {round_id} is already in {self.path}")
+        attempt = uuid.uuid4().hex
         for what, frame, columns in (("bank", rows, BANK_ROW.fieldNames()), ("images", images, ["image_id"])):
-            frame.select(*columns).write.mode("overwrite").parquet(f"{self.path}/{what}/round_id={round_id}")
+            frame.select(*columns).write.parquet(f"{self.path}/{what}/round_id={round_id}/attempt={attempt}")
+        return attempt
+
+    def commit(self, attempt: str | None = None, **meta) -> None:
+        """Makes the round of the metadata visible, with the rows of `attempt`.
 
-    def commit(self, **meta) -> None:
-        """Appends the row of metadata that makes its round visible."""
-        if self.metadata(meta["round_id"]) is not None:
-            raise FileExistsError(f"round {meta['round_id']} is already in {self.path}")
-        row = tuple(meta[f] for f in ROUND_METADATA.fieldNames())
-        self.spark.createDataFrame([row], ROUND_METADATA).coalesce(1).write.mode("append").parquet(f"{self.path}/metadata")
+        FileExistsError if it is already; of several writers at once one succeeds.
+        """
+        row = {f: meta[f] for f in ROUND_METADATA.fieldNames()} | {"attempt": attempt, "created_at": datetime.now(timezone.utc).isoformat()}
+        try:
+            put_if_absent(self.spark, f"{self.path}/commits/round-{meta['round_id']:08d}.json", json.dumps(row))
+        except FileExistsError:
+            raise FileExistsError(f"round {meta['round_id']} is already in {self.path}") from None
 
     def append(self, rows: DataFrame, images: DataFrame, **meta) -> None:
-        """write and commit; ValueError if the rows are not all of the metadata's round."""
+        """write and commit; ValueError if the rows are not all of the metadata's round. Rows of an attempt that came too late are dropped."""
         odd = [r[0] for r in rows.select("round_id").where(F.col("round_id") != meta["round_id"]).distinct().limit(3).collect()]
         if odd:
             raise ValueError(f"rows of rounds {odd} in a commit of round {meta['round_id']}")
-        self.write(meta["round_id"], rows, images)
-        self.commit(**meta)
+        attempt = self.write(meta["round_id"], rows, images)
+        try:
+            self.commit(attempt, **meta)
+        except FileExistsError:
+            self._drop(meta["round_id"], attempt)
+            raise
+
+    def _drop(self, round_id: int, attempt: str) -> None:
+        for what in ("bank", "images"):
+            drop(self.spark, f"{self.path}/{what}/round_id={round_id}/attempt={attempt}")
+
+    def unfinished(self, older_than: float = 0) -> list[tuple[int, str]]:
+        """(round, attempt) of what no manifest names and nobody has touched for `older_than` seconds."""
+        known = {(r.round_id, r.attempt) for r in self.manifests().select("round_id", "attempt").collect()}
+        found = set()
+        for what in ("bank", "images"):
+            for name, _ in folders(self.spark, f"{self.path}/{what}"):
+                for own, age in folders(self.spark, f"{self.path}/{what}/{name}"):
+                    place = int(name.removeprefix("round_id=")), own.removeprefix("attempt=")
+                    if place not in known and age >= older_than:
+                        found.add(place)
+        return sorted(found)
+
+    def drop_unfinished(self, older_than: float = 86_400) -> list[tuple[int, str]]:
+        """Deletes what `unfinished` lists; give an age that no writer at work reaches."""
+        gone = self.unfinished(older_than)
+        for round_id, attempt in gone:
+            self._drop(round_id, attempt)
+        return gone
+
+    def mark(self, step: str, round_id: int, value: str = "") -> None:
+        """Notes that a step after a round's commit is done; FileExistsError if it was."""
+        text = json.dumps({"step": step, "round_id": round_id, "value": value})
+        put_if_absent(self.spark, f"{self.path}/steps/{step}-{round_id:08d}.json", text)
+
+    def marks(self) -> dict[tuple[str, int], str]:
+        return {(r.step, r.round_id): r.value for r in self._read("steps", _MARK).collect()}
 
     def export_json(self, round_id: int) -> DataFrame:
         """Each row of a round as a JSON text."""

@@ -10,7 +10,7 @@ from ..schema import ROUND_METADATA, StoppingConfig
 
 
 def metadata_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(ROUND_METADATA).parquet(f"{path}/metadata")
+    return spark.readStream.schema(ROUND_METADATA).json(f"{path}/commits")
 
 
 def watch_rounds(spark: SparkSession, path: str, checkpoint: str, state: StoppingState | None = None) -> tuple[StoppingState, StreamingQuery]:

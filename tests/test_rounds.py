@@ -237,12 +237,70 @@ def test_store(spark, tmp_path):
     with pytest.raises(ValueError, match="round"):
         again.append(rows, images, **meta(2))
     back = again.pool(1).orderBy("box_id").first()
-    assert back.box.x1 == 100.0 and back.stability is None and back.admitted is False and "PartitionFilters: [isnotnull(round_id" in again.pool(1)._jdf.queryExecution().executedPlan().toString()
+    assert back.box.x1 == 100.0 and back.stability is None and back.admitted is False and len(again.pool(1).inputFiles()) == len([f for f in again.pool(1).inputFiles() if "round_id=1/attempt=" in f])
     assert '"box_id":"b1_0"' in again.export_json(1).orderBy("value").first()[0]
-    again.write(5, rows.withColumn("round_id", F.lit(5)), images)  # a run that ended before its commit
-    assert again.committed_rounds() == [0, 1]
+    left = again.write(5, rows.withColumn("round_id", F.lit(5)), images)  # a run that ended before its commit
+    assert again.committed_rounds() == [0, 1] and again.unfinished() == [(5, left)] and again.drop_unfinished() == []
     again.append(rows.withColumn("round_id", F.lit(5)), images, **meta(5, 2))
-    assert again.pool(5).count() == 2
+    assert again.pool(5).count() == 2 and again.drop_unfinished(0) == [(5, left)] and again.unfinished() == []
+    assert again.pool(5).count() == 2 and again.manifests().where("created_at is not null and attempt is not null").count() == 3
+
+
+def test_one_of_two_commits(spark, tmp_path):
+    """Two writers of one round at once: one fails, and nothing that it wrote is read or stays."""
+    import threading
+
+    from boxtide.sources.files import put_if_absent
+
+    rows = {k: bootstrap_rows(one(spark, *[(A, 0)] * k)) for k in (1, 2)}
+    images = spark.createDataFrame([("i",)], "image_id string")
+    for turn in range(3):
+        store, gate, out = RoundStore(spark, f"{tmp_path}/race{turn}"), threading.Barrier(2), {}
+        commit = store.commit
+
+        def together(attempt, commit=commit, gate=gate, **m):
+            gate.wait(60)  # both have written their rows
+            commit(attempt, **m)
+
+        store.commit = together
+
+        def writer(k, store=store, out=out):
+            try:
+                store.append(rows[k], images, **meta(1, k))
+                out[k] = "in"
+            except FileExistsError:
+                out[k] = "late"
+
+        threads = [threading.Thread(target=writer, args=(k,)) for k in rows]
+        for x in threads:
+            x.start()
+        for x in threads:
+            x.join(120)
+        assert sorted(out.values()) == ["in", "late"]
+        won = next(k for k, v in out.items() if v == "in")
+        assert store.pool(1).count() == won and store.metadata(1).n_candidates == won and store.unfinished() == []
+    done = []
+
+    def put(k):
+        try:
+            put_if_absent(spark, f"{tmp_path}/puts/one.json", f"text {k}")
+            done.append(k)
+        except FileExistsError:
+            pass
+
+    threads = [threading.Thread(target=put, args=(k,)) for k in range(8)]
+    for x in threads:
+        x.start()
+    for x in threads:
+        x.join(60)
+    files = [p.name for p in (tmp_path / "puts").iterdir()]
+    assert len(done) == 1 and (tmp_path / "puts/one.json").read_text() == f"text {done[0]}" and files == ["one.json"]
+
+
+def test_paths_without_a_scheme(spark, tmp_path):
+    from boxtide.session import full_uri
+
+    assert full_uri(spark, f"{tmp_path}/x/") == f"file://{tmp_path}/x" == full_uri(spark, f"file:{tmp_path}/x")
 
 
 def drifting(spark, r):
@@ -267,6 +325,54 @@ def test_loop(spark, tmp_path):
     assert evaluate_rounds(store, lambda c, r: (c, r), lambda c: c != "ckpt1") == [("ckpt0", 0), ("ckpt0", 1)]
 
 
+class Ended(Exception):
+    pass
+
+
+@pytest.mark.parametrize("bootstrap", [False, True])
+def test_a_loop_ended_at_any_step_goes_on(spark, tmp_path, bootstrap):
+    """Whatever call ends it, a resumed loop has the metadata, pools and training of one that ran through."""
+    def run(store, fail_at):
+        calls = iter(range(10_000))
+        log = []
+
+        def step(name, f):
+            def call(*a, **k):
+                if next(calls) == fail_at:
+                    raise Ended(name)
+                out = f(*a, **k)
+                log.append((name, a[0] if name == "mark" else None))
+                return out
+
+            return call
+
+        for name in ("write", "commit", "mark"):
+            setattr(store, name, step(name, getattr(RoundStore(store.spark, store.path), name)))
+        infer = step("infer", lambda c, r: drifting(spark, r))
+        train = step("train", lambda rows, r, c: f"{c}/{r}:{rows.count()}")
+        out = run_loop(spark, store, loop_config(bootstrap=bootstrap, train_on_stop=True), infer, train, checkpoint="k", evaluate=step("evaluate", lambda c, r: (c, r)), resume=True)
+        return out, log
+
+    whole = RoundStore(spark, f"{tmp_path}/whole")
+    want, log = run(whole, -1)
+    rows = lambda s: [tuple(r) for r in s.all_metadata().collect()]
+    for k in range(0, len(log), 2) if bootstrap else (0, 2, 5):
+        store = RoundStore(spark, f"{tmp_path}/k{k}")
+        with pytest.raises(Ended):
+            run(store, k)
+        got, again = run(RoundStore(spark, store.path), -1)
+        assert (got.checkpoint, got.reason, got.state.history, got.state.consecutive) == (want.checkpoint, want.reason, want.state.history, want.state.consecutive)
+        assert rows(store) == rows(whole)
+        assert len(again) <= len(log) - k + 2 and store.marks() == whole.marks()
+        assert store.pool(2).count() == whole.pool(2).count()
+        store.drop_unfinished(0)
+        assert store.unfinished() == []
+    done, log = run(RoundStore(spark, whole.path), -1)
+    assert log == [] and done.checkpoint == want.checkpoint and done.state.history == want.state.history
+    with pytest.raises(FileExistsError):
+        run_loop(spark, RoundStore(spark, whole.path), loop_config(bootstrap=True), lambda c, r: drifting(spark, r), lambda rows, r, c: "k", checkpoint="k")
+
+
 def test_loop_detects_once_a_round(spark, tmp_path):
     seen = spark.sparkContext.accumulator(0)
 
