@@ -8,19 +8,20 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, cut_by_bytes, few, new_folder
+from .common import FEW, checkpoint, cut_by_bytes, few, new_folder
 
 #: A phrase's least frequency, its words at most, and how many of a language are returned.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Language of rows that name none.
 NONE = "und"
 #: Bytes of text in one block of positions, about.
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 #: What ends a piece of a text, and what stands between words.
 BREAKS, BLANKS = b".,;:!?\n\v\f\r", b" \t"
 _LOWER = bytes(range(65, 91))
@@ -79,34 +80,72 @@ def _numpy(column: pa.Array, k: int) -> np.ndarray:
     return column[k].values.to_numpy(zero_copy_only=False)
 
 
-def _first_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of pairs of words; `own` and `name` are the numbers and names of a block's frequent words."""
-    for b in batches:
-        for k in range(b.num_rows):
-            ids, own, name = (_numpy(b.column(c), k) for c in (2, 3, 4))
-            new = np.full(max(int(ids.max(initial=-1)), int(own.max(initial=-1))) + 2, -1, np.int32)
-            new[own] = np.arange(len(own))
-            ids = new[ids]  # the last is that of -1
-            positions = np.flatnonzero(ids >= 0)
-            yield _row(b.column(0)[k].as_py(), b.column(1)[k].as_py(), ids, name, extended(ids, name, name[ids[positions]], positions, 1))
-
-
-def _next_lists(length: int):
-    """Lists of phrases of one word more than `length`; `at` and `name` are the places and names of a block's frequent phrases among its lists."""
+def _first_lists(shared: Broadcast | None):
+    """Lists of pairs of words. The names of a block's frequent words come from `shared`, or as `own`, their numbers, and `name`."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                ids, word, size, positions, at, name = (_numpy(b.column(c), k) for c in range(2, 8))
-                names = np.full(len(size), -1, np.int64)
-                names[at] = name
+                lang, ids = b.column(1)[k].as_py(), _numpy(b.column(2), k)
+                if shared is None:
+                    own, name = _numpy(b.column(3), k), _numpy(b.column(4), k)
+                else:
+                    words, names = shared.value.get(lang, (pa.array([], pa.string()), np.empty(0, np.int64)))
+                    found = pc.index_in(b.column(3)[k].values, value_set=words)
+                    own = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+                    name = names[found.drop_null().to_numpy()]
+                new = np.full(max(int(ids.max(initial=-1)), int(own.max(initial=-1))) + 2, -1, np.int32)
+                new[own] = np.arange(len(own))
+                ids = new[ids]  # the last is that of -1
+                positions = np.flatnonzero(ids >= 0)
+                yield _row(b.column(0)[k].as_py(), lang, ids, name, extended(ids, name, name[ids[positions]], positions, 1))
+
+    return run
+
+
+class Pairs:
+    """The names of pairs of numbers."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, name: np.ndarray) -> None:
+        self.a, self.b = np.unique(a), np.unique(b)
+        key = self._keys(a, b)
+        by = np.argsort(key)
+        self.key, self.name = key[by], name[by]
+
+    def _keys(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """One number for each pair; -1 for those with a part that is unknown."""
+        parts = []
+        for known, x in ((self.a, a), (self.b, b)):
+            at = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
+            parts.append(np.where(known[at] == x, at, -1) if len(known) else np.full(len(x), -1))
+        return np.where((parts[0] < 0) | (parts[1] < 0), -1, parts[0] * len(self.b) + parts[1])
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The name of each pair, -1 for those that have none."""
+        key = self._keys(a, b)
+        at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+        return np.where(self.key[at] == key, self.name[at], -1) if len(self.key) else np.full(len(key), -1)
+
+
+def _next_lists(length: int, shared: Broadcast | None):
+    """Lists of phrases of one word more than `length`. Which of a block's lists are frequent `shared` says, or `at`, their places, and `name`."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, word, size, positions, x, y = (_numpy(batch.column(c), k) for c in range(2, 8))
+                if shared is None:
+                    names = np.full(len(size), -1, np.int64)
+                    names[x] = y
+                else:
+                    names = shared.value.find(x, y)
                 phrase = np.repeat(names, size)
                 phrase, positions = phrase[phrase >= 0], positions[phrase >= 0]
                 held = np.zeros(len(ids), bool)  # what lies in no frequent phrase lies in no longer one
                 for d in range(length):
                     held[positions + d] = True
                 ids = np.where(held, ids, -1).astype(np.int32)
-                yield _row(b.column(0)[k].as_py(), b.column(1)[k].as_py(), ids, word, extended(ids, word, phrase, positions, length))
+                yield _row(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), ids, word, extended(ids, word, phrase, positions, length))
 
     return run
 
@@ -117,14 +156,43 @@ def _written(df: DataFrame, what: str, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(kind).parquet(folder)
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+def _pair_lists(blocks: DataFrame, each: DataFrame, known: DataFrame, at_most: int) -> DataFrame:
+    """Lists of pairs of frequent words (`known`), which tasks get whole if they are `at_most`, and else by a join."""
+    if known.count() <= at_most:
+        table = known.select("lang", "phrase", "name").toArrow().combine_chunks()
+        by: dict[str, tuple] = {}
+        for lang in table.column("lang").unique().to_pylist():
+            own = table.filter(pc.equal(table.column("lang"), lang)).combine_chunks()
+            by[lang] = own.column("phrase").combine_chunks(), own.column("name").to_numpy()
+        shared = blocks.sparkSession.sparkContext.broadcast(by)
+        return blocks.select("block", "lang", "ids", "words").mapInArrow(_first_lists(shared), LISTS)
+    named = each.select("block", "lang", "own", F.col("words").alias("phrase")).join(known.select("lang", "phrase", "name"), ["lang", "phrase"])
+    found = named.groupBy("block").agg(F.collect_list(F.struct("own", "name")).alias("x"))
+    joined = blocks.select("block", "lang", "ids").join(found, "block")
+    return joined.select("block", "lang", "ids", "x.own", "x.name").mapInArrow(_first_lists(None), LISTS)
+
+
+def _grown_lists(lists: DataFrame, told: DataFrame, length: int, at_most: int) -> DataFrame:
+    """Lists of phrases of a word more than the frequent ones (`told`) of `length` words; those are handed out as above."""
+    if told.count() <= at_most:
+        table = told.select("a", "b", "name").toArrow()
+        shared = lists.sparkSession.sparkContext.broadcast(Pairs(*(table.column(c).to_numpy() for c in ("a", "b", "name"))))
+        return lists.select("block", "lang", "ids", "word", "size", "positions", "a", "b").mapInArrow(_next_lists(length, shared), LISTS)
+    places = lists.select("block", F.posexplode(F.arrays_zip("a", "b")).alias("at", "x")).select("block", "at", "x.*")
+    found = places.join(told.select("a", "b", "name"), ["a", "b"]).groupBy("block").agg(F.collect_list(F.struct("at", "name")).alias("x"))
+    kept = lists.select("block", "lang", "ids", "word", "size", "positions").join(found, "block")
+    return kept.select("block", "lang", "ids", "word", "size", "positions", "x.at", "x.name").mapInArrow(_next_lists(length, None), LISTS)
+
+
+def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, at_most: int = FEW) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of up to `longest` words that occur `least` times or more, and (lang, n) of all words.
 
     The texts lie in blocks; a block holds for each phrase the list of the positions where it
     begins. Lists of phrases grow by a word: their positions are joined with the postings of
     frequent words that lie next to them, and a list's length is the phrase's exact frequency in
     its block. Lengths are summed over blocks, blocks get back the names of what is frequent
-    in all, and only its lists grow on. Lists never leave their block.
+    in all, and only its lists grow on. Lists never leave their block; up to `at_most` frequent phrases
+    of a length are sent to all tasks, more are joined with the blocks that have them.
     """
     texts = docs.select(F.coalesce("lang", F.lit(NONE)).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     blocks = _written(texts.mapInArrow(_blocks, WORDS), "phrase-words", WORDS)
@@ -133,26 +201,20 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     known = checkpoint(words.where(F.col("f") >= least).withColumn("name", F.monotonically_increasing_id()))
     levels = [known.select("lang", "phrase", F.lit(1).alias("k"), "f")]
-    named = each.select("block", "lang", "own", F.col("words").alias("phrase")).join(few(known.select("lang", "phrase", "name")), ["lang", "phrase"])
-    found = named.groupBy("block").agg(F.collect_list(F.struct("own", "name")).alias("x"))
-    lists = blocks.select("block", "lang", "ids").join(found, "block").select("block", "lang", "ids", "x.own", "x.name").mapInArrow(_first_lists, LISTS)
-    parts, last = known.select("name", "phrase"), known.select(F.col("name").alias("b"), F.col("phrase").alias("word"))
+    lists = _pair_lists(blocks, each, known, at_most)
+    parts, last = known.select("name", "phrase"), known.select(F.col("name").alias("b"), F.col("phrase").alias("word"), "lang")
     for k in range(2, longest + 1):
         lists = _written(lists, "phrase-lists", LISTS)
         sums = lists.select(F.inline(F.arrays_zip("a", "b", "size"))).groupBy("a", "b").agg(F.sum("size").alias("f")).where(F.col("f") >= least)
         grown = checkpoint(sums.withColumn("name", F.monotonically_increasing_id()))
         # The longer phrase's words are those of `a` and `b`.
         told = grown.join(few(parts).withColumnsRenamed({"name": "a", "phrase": "head"}), "a").join(few(last), "b")
-        told = told.join(few(known.select(F.col("name").alias("b"), "lang")), "b")
         told = checkpoint(told.select("name", "lang", F.concat_ws(" ", "head", "word").alias("phrase"), F.lit(k).alias("k"), "f", "a", "b"))
         levels.append(told.select("lang", "phrase", "k", "f"))
         if k == longest or told.isEmpty():
             break
         parts = told.select("name", "phrase")
-        places = lists.select("block", F.posexplode(F.arrays_zip("a", "b")).alias("at", "x")).select("block", "at", "x.*")
-        found = places.join(few(told.select("a", "b", "name")), ["a", "b"]).groupBy("block").agg(F.collect_list(F.struct("at", "name")).alias("x"))
-        kept = lists.select("block", "lang", "ids", "word", "size", "positions").join(found, "block")
-        lists = kept.select("block", "lang", "ids", "word", "size", "positions", "x.at", "x.name").mapInArrow(_next_lists(k), LISTS)
+        lists = _grown_lists(lists, told, k, at_most)
     out = levels[0]
     for level in levels[1:]:
         out = out.union(level)

@@ -5,9 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from boxtide.llm import phrases
-from boxtide.llm.phrases import extended, frequent_phrases, mine_phrases, words_of
+from boxtide.llm.phrases import Pairs, extended, frequent_phrases, mine_phrases, words_of
 
 COLUMNS = "doc_id long, text string, lang string"
 
@@ -74,9 +75,17 @@ def test_extended():
     assert (a.tolist(), b.tolist(), size.tolist(), positions.tolist()) == ([70, 80], [80, 70], [2, 1], [0, 2, 1])
 
 
-def test_frequencies_and_blocks(spark, monkeypatch):
+def test_pairs():
+    pairs = Pairs(np.array([5, 5, 1 << 40]), np.array([7, 8, 7]), np.array([10, 11, 12]))
+    assert pairs.find(np.array([5, 5, 1 << 40, 1 << 40, 6, 5]), np.array([8, 7, 7, 8, 7, 9])).tolist() == [11, 10, 12, -1, -1, -1]
+    assert Pairs(*[np.empty(0, np.int64)] * 3).find(np.array([1]), np.array([1])).tolist() == [-1]
+
+
+@pytest.mark.parametrize("at_most", [1 << 20, 3])
+def test_frequencies_and_blocks(spark, at_most):
+    """Frequent phrases sent to all tasks, and joined with blocks."""
     rows = made()
-    found, totals = frequent_phrases(spark.createDataFrame(rows, COLUMNS).repartition(7), least=9, longest=5)
+    found, totals = frequent_phrases(spark.createDataFrame(rows, COLUMNS).repartition(7), least=9, longest=5, at_most=at_most)
     want, n = counted(rows, 9, 5)
     assert {(r.lang, tuple(r.phrase.split(" "))): r.f for r in found.collect()} == want
     assert {r.lang: r.n for r in totals.collect()} == {k: v for k, v in n.items() if v}
