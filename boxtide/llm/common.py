@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,18 @@ def cut_by_bytes(batches: Iterable[pa.RecordBatch], text: int, most: int) -> Ite
             at = to
 
 
+@contextmanager
+def batches_of(spark: SparkSession, most: int) -> Iterator[None]:
+    """While this holds, Python workers are sent batches of about `most` bytes or of one row; for relations with rows of some MB that are written inside."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Rows of a broadcast relation, at most.
 FEW = 1 << 20
 

@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import FEW, checkpoint, cut_by_bytes, few, new_folder
+from .common import FEW, batches_of, checkpoint, cut_by_bytes, few, new_folder
 
 #: A phrase's least frequency, its words at most, and how many of a language are returned.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Language of rows that name none.
 NONE = "und"
 #: Bytes of text in one block of positions, about.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: What ends a piece of a text, and what stands between words.
 BREAKS, BLANKS = b".,;:!?\n\v\f\r", b" \t"
 _LOWER = bytes(range(65, 91))
@@ -152,7 +152,8 @@ def _next_lists(length: int, shared: Broadcast | None):
 
 def _written(df: DataFrame, what: str, kind: str) -> DataFrame:
     folder = new_folder(df.sparkSession, what)
-    df.write.parquet(folder)
+    with batches_of(df.sparkSession, BLOCK):
+        df.write.parquet(folder)
     return df.sparkSession.read.schema(kind).parquet(folder)
 
 
