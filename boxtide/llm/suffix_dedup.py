@@ -319,6 +319,13 @@ def _solve(width: int, seed: int):
     return run
 
 
+def _kept(df: DataFrame, what: str) -> DataFrame:
+    """`df` as a compressed table of the shared folder, which takes less of it than a checkpoint."""
+    folder = new_folder(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def _calm_and_large(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The items of groups of at most `MOST`, and the others."""
     sizes = items.groupBy("key").agg(F.count("*").alias("_size"))
@@ -331,7 +338,7 @@ def repeated_strings(named: DataFrame, width: int = WIDTH, seed: int = SEED) ->
 
     `named` (_row, tid, text) is a table: texts of at least `width` bytes, tid a hash of 128 bits.
     """
-    sampled = checkpoint(named.mapInArrow(_sample(width, seed), "_row long, tid binary, h array<long>, c array<long>, p array<int>"))
+    sampled = _kept(named.mapInArrow(_sample(width, seed), "_row long, tid binary, h array<long>, c array<long>, p array<int>"), "samples")
     texts = sampled.groupBy("tid").agg(F.count("*").alias("n"), F.min("_row").alias("own"))
     rows = checkpoint(sampled.select("_row", "tid").join(texts, "tid"))
     own = rows.where(F.col("_row") == F.col("own")).select("_row")
@@ -339,16 +346,14 @@ def repeated_strings(named: DataFrame, width: int = WIDTH, seed: int = SEED) ->
     # A seed in one place alone, whatever the copies of its text, begins no repeated string.
     twice = each.groupBy("h").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a <> b").select("h")
     twice = checkpoint(twice)  # two plain exchanges then, of which hot ones can be split
-    met = checkpoint(each.drop("u").join(twice, "h").join(own, "_row", "left_semi"))
+    met = _kept(each.drop("u").join(twice, "h").join(own, "_row", "left_semi"), "seeds")
     drawn = met.groupBy("h", "c").agg(F.count("*").alias("n"), F.max(F.struct("_row", "p")).alias("x"))
     drawn = checkpoint(drawn.select("h", "c", "n", "x.*"))
     large = checkpoint(drawn.groupBy("h").agg(F.count("*").alias("_size")).where(F.col("_size") > MOST))
     drawn = drawn.join(few(large), "h", "left").select("_row", F.struct("h", "c", "n", "p", F.col("_size").isNotNull().alias("large")).alias("x"))
     wanted = drawn.groupBy("_row").agg(F.collect_list("x").alias("drawn"))
     items = named.join(wanted, "_row").select("text", "drawn").mapInArrow(_contexts(width, seed), f"h long, c long, {ITEMS}")
-    folder = new_folder(named.sparkSession, "contexts")
-    items.write.option("compression", "zstd").parquet(folder)
-    items = named.sparkSession.read.schema(items.schema).parquet(folder)
+    items = _kept(items, "contexts")
     split = (F.col("h") != F.col("key")) | (F.col("c") != F.col("item"))
     found = _solved(items.where(~split), width, seed)
     parts, ways = items.where(split), []
