@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import normalised_from_corners
 from ..functions.names import stem, suffix
 from ..functions.text import label_line
+from ..session import full_uri
+from ..sources.files import default_root, drop, exists, located, rename, write_text
 
 SUFFIX_ORDER = [".jpg", ".jpeg", ".png"]
 
@@ -83,13 +88,10 @@ def write_label_files(files: DataFrame, folder: str, skip_empty: bool = True) ->
     moved, so a task that runs again leaves whole files.
     """
     rows = files.where(F.size("lines") > 0) if skip_empty else files
+    whole = full_uri(files.sparkSession, folder)
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-
-        import pyarrow.fs as pafs
-
-        fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        fs, root = located(whole, "")
         for part in parts:
             paths = []
             for r in part.itertuples():
@@ -110,19 +112,14 @@ def copy_files(pairs: DataFrame) -> DataFrame:
     Sources that don't exist are passed over and targets that do are kept. A copy gets its name when it is whole, so a task may run again.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-
-        import pyarrow.fs as pafs
-
-        def place(uri: str):
-            return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    default = default_root(pairs.sparkSession)
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def there(fs, path: str) -> bool:
             return fs.get_file_info(path).type != pafs.FileType.NotFound
 
         def copy(source: str, target: str) -> str:
-            (fs, a), (out, b) = place(source), place(target)
+            (fs, a), (out, b) = located(source, default), located(target, default)
             if not there(fs, a):
                 return "missing"
             if there(out, b):
@@ -140,28 +137,47 @@ def copy_files(pairs: DataFrame) -> DataFrame:
     return pairs.select("source", "target").distinct().mapInPandas(run, "source string, target string, outcome string")
 
 
-def write_dataset(files: DataFrame, images: DataFrame, folder: str, classes: int, names: list[str] | None = None, **checked) -> str:
-    """A training dataset below `folder`: images/<partition>, labels/<partition> and dataset.yaml; the path of the last.
+def write_dataset(files: DataFrame, images: DataFrame, folder: str, classes: int, names: list[str] | None = None, require_all: bool = False, **checked) -> str:
+    """A training dataset in `folder`: images/<partition>, labels/<partition> and dataset.yaml; the path of the last.
 
     files are rows of `assemble`, images (image_id, path) of `resolved_images`; checked goes to
-    `validate`, which runs before a dataset that was there is replaced; a folder that is no dataset is an error.
-    Images without lines have no label file.
+    `validate`, which runs before anything is written; a folder that is there and is no dataset is an error.
+    The set is made in a folder beside, its copies are counted, dataset.yaml comes last, and
+    two renames put it in the place of the one that was there. A run that ends in
+    between leaves that one whole, at its place or, between the renames, as `<folder>.old`, from where
+    the next run takes it back. Images without lines have no label file. Images without a path or a file
+    are left out with a warning that counts them and names the first, or with `require_all` are an
+    error.
     """
-    import pyarrow.fs as pafs
-
+    spark = files.sparkSession
     validate(**checked)
+    folder, made, old = folder.rstrip("/"), f"{folder.rstrip('/')}.{uuid.uuid4().hex}", f"{folder.rstrip('/')}.old"
     body = dataset_yaml(folder, classes, names, bool(files.where("partition = 'val'").limit(1).count()))
-    fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-    if fs.get_file_info(root).type != pafs.FileType.NotFound:
-        if fs.get_file_info(f"{root}/dataset.yaml").type == pafs.FileType.NotFound:
-            raise FileExistsError(f"{folder} holds no dataset.yaml, so it is not replaced")
-        fs.delete_dir(root)
-    fs.create_dir(root, recursive=True)
-    with fs.open_output_stream(f"{root}/dataset.yaml") as out:
-        out.write(body.encode())
-    target = F.concat(F.lit(f"{folder}/images/"), "partition", F.lit("/"), "image_id", suffix(F.col("path")))
-    copy_files(files.select("partition", "image_id").join(images, "image_id").select(F.col("path").alias("source"), target.alias("target"))).count()
-    write_label_files(files, f"{folder}/labels").count()
+    if exists(spark, old) and not exists(spark, folder):
+        rename(spark, old, folder)
+    if exists(spark, folder) and not exists(spark, f"{folder}/dataset.yaml"):
+        raise FileExistsError(f"{folder} holds no dataset.yaml, so it is not replaced")
+    try:
+        target = F.concat(F.lit(f"{made}/images/"), "partition", F.lit("/"), "image_id", suffix(F.col("path")))
+        wanted = files.select("partition", "image_id").distinct().join(images.select("image_id", "path"), "image_id", "left")
+        copied = copy_files(wanted.where("path is not null").select(F.col("path").alias("source"), target.alias("target")))
+        lacking = wanted.where("path is null").select("image_id").union(copied.where("outcome = 'missing'").select("source"))
+        summary = lacking.agg(F.count("*").alias("n"), F.min("image_id").alias("first")).first()
+        if summary.n:
+            said = f"{summary.n} images have no file, such as {summary.first}"
+            if require_all:
+                raise FileNotFoundError(said)
+            warnings.warn(said, stacklevel=2)
+        write_label_files(files, f"{made}/labels").count()
+        write_text(spark, f"{made}/dataset.yaml", body)
+    except BaseException:
+        drop(spark, made)
+        raise
+    drop(spark, old)
+    if exists(spark, folder):
+        rename(spark, folder, old)
+    rename(spark, made, folder)
+    drop(spark, old)
     return f"{folder}/dataset.yaml"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,9 +15,11 @@ from ..functions.distributions import argmax, softmax, total
 from ..functions.geometry import centre_to_corners, letterbox
 from ..functions.names import box_id
 from ..schema import BOX
+from ..sources.files import default_root, located
 from .ordering import batches
 
-Detector = Callable[[pd.DataFrame], pd.DataFrame]
+Detector = Callable[[pd.DataFrame], pd.DataFrame | list[pd.DataFrame]]
+Decode = Callable[[bytes], np.ndarray | None]
 
 
 def anchor_boxes(anchors: DataFrame) -> DataFrame:
@@ -47,8 +50,6 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, key: str = "vec_id",
     The queries are a stated set: they go to the tasks in blocks of bounded size, each block in
     a pass of matrix products over the vectors; only each task's best reaches the shuffle.
     """
-    from functools import reduce
-
     def block(rows: list) -> DataFrame:
         ids = np.array([r[0] for r in rows], np.int64)
         q = np.array([r[1] for r in rows], float).reshape(len(rows), -1)
@@ -99,25 +100,103 @@ def score_report(detections: DataFrame, near_one: float = 1e-4, near_max: float
     )
 
 
+def _found(detector: Detector, rows: pd.DataFrame) -> pd.DataFrame:
+    """What the detector finds in a batch; ValueError if it has not one result an image, or boxes of images that aren't in it."""
+    out = detector(rows)
+    if isinstance(out, list):
+        if len(out) != len(rows):
+            raise ValueError(f"the detector gave {len(out)} results for {len(rows)} images, from {rows.image_id.iloc[0]} on")
+        out = pd.concat([x.assign(image_id=i) for x, i in zip(out, rows.image_id, strict=True)], ignore_index=True)
+    if strange := sorted(set(out.image_id) - set(rows.image_id)):
+        raise ValueError(f"the detector gave boxes of {strange[0]}, which is not in its batch")
+    sides = out[["x1", "y1", "x2", "y2"]].astype(float)
+    return out.assign(box=sides.to_dict("records"))[["image_id", "det_index", "box", "pred_class", "class_scores", "confidence"]]
+
+
+FOUND = f"image_id string, det_index int, box {BOX.simpleString()}, pred_class int, class_scores array<double>, confidence double"
+
+
+def _pool(found: DataFrame, round_id: int) -> DataFrame:
+    return found.select("image_id", box_id(F.col("image_id"), F.lit(round_id), F.col("det_index")).alias("box_id"), F.lit(round_id).alias("round_id"), "box", "pred_class", "class_scores", "confidence", "det_index")
+
+
 def detect(images: DataFrame, detector: Detector, round_id: int, batch: int = 8) -> DataFrame:
     """Runs an injected detector over `images` (image_id, ...) in batches whose make-up depends on the ids only.
 
-    detector(batch) returns image_id, det_index, x1, y1, x2, y2, pred_class, class_scores, confidence.
-    Images without boxes have no rows here; keep `images` beside the pool. Of rows with the
-    same id any one counts, as relations have no order.
+    detector(batch) returns image_id, det_index, x1, y1, x2, y2, pred_class, class_scores, confidence, or a
+    list of one such frame an image; ValueError if these are more or fewer. Images without boxes have no
+    rows here; keep `images` beside the pool. Of rows with the same id any one counts, as
+    relations have no order. Ids alone are numbered; then the rows are dealt out by batch. Where they hold pixels
+    and lie in files, `detect_files` moves none of them.
     """
-    schema = f"image_id string, det_index int, box {BOX.simpleString()}, pred_class int, class_scores array<double>, confidence double"
-    once = images.dropDuplicates(["image_id"])
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = detector(rows.sort_values("place").reset_index(drop=True))
-        sides = out[["x1", "y1", "x2", "y2"]].astype(float)
-        out = out.assign(box=sides.to_dict("records"))
-        return out[["image_id", "det_index", "box", "pred_class", "class_scores", "confidence"]]
+        return _found(detector, rows.drop_duplicates("image_id").sort_values("place").reset_index(drop=True))
 
-    placed = batches(once.select("image_id"), batch)  # ids alone, however wide the images are
-    found = once.join(placed, "image_id").groupBy("batch_id").applyInPandas(run, schema)
-    return found.select("image_id", box_id(F.col("image_id"), F.lit(round_id), F.col("det_index")).alias("box_id"), F.lit(round_id).alias("round_id"), "box", "pred_class", "class_scores", "confidence", "det_index")
+    placed = batches(images.select("image_id").distinct(), batch)
+    return _pool(images.join(placed, "image_id").groupBy("batch_id").applyInPandas(run, FOUND), round_id)
+
+
+def detect_files(paths: DataFrame, decode: Decode, detector: Detector, round_id: int, batch: int = 8, run: int = 200, most_tasks: int = 1 << 15) -> DataFrame:
+    """`detect` over image files (image_id, path): read, decoded and given to the detector in one task, batch by batch.
+
+    Only ids and paths are shuffled: they are numbered in the order of the ids, and runs of `run` images go to
+    a task each, or several to one beyond `most_tasks`. A task holds the pixels of one batch.
+    The batch's frame has image_id, path, width, height, pixels (an array as `decode` gives it) and
+    place. Of several paths of an id the first counts. ValueError names an image that can't be read.
+    """
+    spark = paths.sparkSession
+    each = paths.groupBy("image_id").agg(F.min("path").alias("path"))
+    placed = batches(each, batch)
+    n = max(1, -(-placed.count() // run))
+    in_run = F.expr(f"batch_id div {max(1, run // batch)}")
+    dealt = placed.repartitionByRange(min(n, most_tasks), in_run).sortWithinPartitions("batch_id", "place")
+    root = default_root(spark)
+
+    def opened(rows: pd.DataFrame) -> pd.DataFrame:
+        pixels = []
+        for path in rows.path:
+            fs, own = located(path, root)
+            try:
+                with fs.open_input_stream(own) as f:
+                    image = decode(f.read())
+            except Exception as e:
+                raise ValueError(f"unreadable image {path}") from e
+            if image is None:
+                raise ValueError(f"unreadable image {path}")
+            pixels.append(image)
+        return rows.assign(width=[x.shape[1] for x in pixels], height=[x.shape[0] for x in pixels], pixels=pixels)
+
+    def detected(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for part in parts:
+            part = part if held is None else pd.concat([held, part], ignore_index=True)
+            last = part.batch_id.iloc[-1]
+            for _, rows in part[part.batch_id != last].groupby("batch_id", sort=True):
+                yield _found(detector, opened(rows.reset_index(drop=True)))
+            held = part[part.batch_id == last]
+        if held is not None:
+            yield _found(detector, opened(held.reset_index(drop=True)))
+
+    return _pool(dealt.select("image_id", "path", "batch_id", "place").mapInPandas(detected, FOUND), round_id)
+
+
+def run_digest(pool: DataFrame) -> DataFrame:
+    """One row: n_boxes and a digest of a pool that is the same in whatever order and partitions its rows come.
+
+    The sum, modulo 2^64, of a hash of each row, whose numbers count to eight decimals.
+    """
+    r = lambda x: F.round(x, 8) + 0.0
+    row = F.xxhash64("image_id", "det_index", *[r(F.col(f"box.{c}")) for c in ("x1", "y1", "x2", "y2")], "pred_class", F.transform("class_scores", r), r(F.col("confidence")))
+    return pool.agg(F.count("*").alias("n_boxes"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).alias("_sum")).select("n_boxes", F.expr("cast(pmod(_sum, 18446744073709551616) as string)").alias("digest"))
+
+
+def compared_runs(runs: dict[str, DataFrame]) -> DataFrame:
+    """run, n_boxes, digest, same: whether a run found what the first one found. Two of one kind tell of determinism, two batch sizes of independence of the batch."""
+    parts = [run_digest(pool).select(F.lit(name).alias("run"), F.lit(k).alias("_k"), "n_boxes", "digest") for k, (name, pool) in enumerate(runs.items())]
+    every = reduce(DataFrame.unionByName, parts)
+    first = every.where("_k = 0").select(F.struct("n_boxes", "digest").alias("_first"))
+    return every.join(F.broadcast(first)).select("run", "n_boxes", "digest", (F.struct("n_boxes", "digest") == F.col("_first")).alias("same"))
 
 
 def nested_pool(images: DataFrame, detections: DataFrame) -> DataFrame:

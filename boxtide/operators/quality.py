@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import image_id, label_path, stem
-from .integrity import problem
+from .integrity import Check, census, found_in, problem
 from .ordering import even_sample
 
 # The keys that the document of filter statistics has.
@@ -55,10 +55,27 @@ def links(listing: DataFrame, expected: int, part: str) -> DataFrame:
     return union(broken, count)
 
 
+def of_census(members: DataFrame, tags: list[str], checks: list[tuple[str, str, Column]]) -> DataFrame:
+    """Checks (name, part, what is bad) over a census of stems, all of one exchange."""
+    named: list[Check] = [(f"{k}", bad, F.lit(1)) for k, (_, _, bad) in enumerate(checks)]
+    found = found_in(census(members, tags, "stem"), named, "stem", 5)
+    labels = found.sparkSession.createDataFrame([(f"{k}", n, p) for k, (n, p, _) in enumerate(checks)], "check string, name string, part string")
+    status = F.when(F.col("n_bad") == 0, "OK").otherwise("FAIL")
+    return found.join(F.broadcast(labels), "check").select(F.col("name").alias("check"), "part", status.alias("status"), "n_bad", "sample")
+
+
+def _stems(files: DataFrame, tag: str) -> DataFrame:
+    return files.select(stem(F.col("path")).alias("stem"), F.lit(tag).alias("tag"))
+
+
+def _only(a: str, b: str) -> Column:
+    return (F.col(f"n_{a}") > 0) & (F.col(f"n_{b}") == 0)
+
+
 def pairing(images: DataFrame, labels: DataFrame, part: str) -> DataFrame:
-    """Q3: images without labels, then labels without images, by stem of `path`."""
-    a, b = images.select(stem(F.col("path")).alias("stem")), labels.select(stem(F.col("path")).alias("stem"))
-    return union(check(a.join(b, "stem", "left_anti"), "image without label", part, "stem"), check(b.join(a, "stem", "left_anti"), "label without image", part, "stem"))
+    """Q3: images without labels, then labels without images, by stem of `path`; several files of a stem count as one."""
+    members = _stems(images, "image").union(_stems(labels, "label"))
+    return of_census(members, ["image", "label"], [("image without label", part, _only("image", "label")), ("label without image", part, _only("label", "image"))])
 
 
 def label_paths(images: DataFrame, labels: DataFrame, root: str, part: str, n: int = 10) -> DataFrame:
@@ -106,13 +123,10 @@ def partitions(train: DataFrame, val: DataFrame, unlabelled: DataFrame, labelled
 
 def presence(labelled: DataFrame, unlabelled: DataFrame, images: DataFrame, labels: DataFrame) -> DataFrame:
     """Q8: labelled ids have an image and a label, unlabelled ones an image."""
-    stems = lambda files: files.select(stem(F.col("path")).alias("stem"))
-    named = lambda ids: ids.select(image_id(F.col("id")).alias("stem"))
-    return union(
-        check(named(labelled).join(stems(images), "stem", "left_anti"), "id without image", "labeled", "stem"),
-        check(named(labelled).join(stems(labels), "stem", "left_anti"), "id without label", "labeled", "stem"),
-        check(named(unlabelled).join(stems(images), "stem", "left_anti"), "id without image", "unlabeled", "stem"),
-    )
+    named = lambda ids, tag: ids.select(image_id(F.col("id")).alias("stem"), F.lit(tag).alias("tag"))
+    members = union(named(labelled, "labeled"), named(unlabelled, "unlabeled"), _stems(images, "image"), _stems(labels, "label"))
+    checks = [("id without image", "labeled", _only("labeled", "image")), ("id without label", "labeled", _only("labeled", "label")), ("id without image", "unlabeled", _only("unlabeled", "image"))]
+    return of_census(members, ["labeled", "unlabeled", "image", "label"], checks)
 
 
 def coverage(class_ids: DataFrame, classes: list[int], part: str, bad: str = "FAIL") -> DataFrame:

@@ -262,25 +262,60 @@ def anchor_rows(spark: SparkSession, sf: str) -> DataFrame:
 NOISE = " || ".join(f"sha256(s || '{k}')" for k in range(18))
 
 
-@query(f"""select s as image_id, 16 as width, 12 as height, md5(unhex({NOISE})) as digest from {S}""")
-def image_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Noise images written as files, one an image, copied once more, and scanned and decoded there."""
+def noise_images(spark: SparkSession, sf: str) -> str:
+    """Noise images written as files, one an image, and copied once more; the folder of the copies."""
     noise = F.concat(*[F.sha2(F.concat("image_id", F.lit(str(k))), 256) for k in range(18)])
     lines = fx.images(spark, sf).select(F.lit("raw").alias("partition"), "image_id", F.array(noise).alias("lines"))
     where = folder(spark, "images")
     dataset.write_label_files(lines, where).count()
     names_of = fx.images(spark, sf).select(F.concat(F.lit(f"{where}/raw/"), "image_id", F.lit(".txt")).alias("source"), F.concat(F.lit(f"{where}/copied/"), "image_id", F.lit(".jpg")).alias("target"))
     dataset.copy_files(names_of).count()
+    return f"{where}/copied"
+
+
+def noise_pixels(content: bytes):
+    import numpy as np
+
+    return np.frombuffer(bytes.fromhex(content.decode().strip()), np.uint8).reshape(12, 16, 3)
+
+
+def first_pixels(batch):
+    """A detector that finds one box an image, made of its first pixels."""
+    import pandas as pd
 
-    def decode(content: bytes):
-        import numpy as np
+    out = []
+    for x in batch.pixels:
+        a, b, c, d, k = (int(v) for v in x.reshape(-1)[:5])
+        scores = [0.0] * fx.CLASSES
+        scores[k % fx.CLASSES] = 1.0
+        out.append(pd.DataFrame([{"det_index": 0, "x1": a, "y1": b, "x2": a + c, "y2": b + d, "pred_class": k % fx.CLASSES, "class_scores": scores, "confidence": 1.0}]))
+    return out
 
-        return np.frombuffer(bytes.fromhex(content.decode().strip()), np.uint8).reshape(12, 16, 3)
 
-    found = documents.decoded_images(spark, f"{where}/copied", decode)
+@query(f"""select s as image_id, 16 as width, 12 as height, md5(unhex({NOISE})) as digest from {S}""")
+def image_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Noise images scanned and decoded where they lie."""
+    found = documents.decoded_images(spark, noise_images(spark, sf), noise_pixels)
     return found.select("image_id", "width", "height", F.md5("pixels").alias("digest"))
 
 
+@query(f"""with x as (select s, sha256(s || '0') as h from {S}), v as (select s, {", ".join(f"('0x' || substr(h, {2 * k + 1}, 2))::integer as v{k}" for k in range(5))} from x)
+select s || '_r4_0000' as box_id, v0::double as x1, v1::double as y1, (v0 + v2)::double as x2, (v1 + v3)::double as y2, v4 % 5 as pred_class from v""")
+def detected_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A detector run over image files, which are read where it runs."""
+    files = documents.image_files(spark, noise_images(spark, sf)).select(F.col("stem").alias("image_id"), "path")
+    pool = inference.detect_files(files, noise_pixels, first_pixels, 4)
+    return pool.select("box_id", *[F.col(f"box.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")], "pred_class")
+
+
+@query("""select run, n as n_boxes, true as same from (values ('batches of 8'), ('batches of 32'), ('again')) t(run), (select count(*) as n from orders)""")
+def detector_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Independence of the batch and determinism of a detector, by digests of its runs."""
+    files = documents.image_files(spark, noise_images(spark, sf)).select(F.col("stem").alias("image_id"), "path")
+    run = lambda batch: inference.detect_files(files, noise_pixels, first_pixels, 0, batch)
+    return inference.compared_runs({"batches of 8": run(8), "batches of 32": run(32), "again": run(8)}).select("run", "n_boxes", "same")
+
+
 @query(f"""with {RESULTS_SQL} select method, round_id, map50, map50_95, method || '.pt' as checkpoint, 870 as n_images from res""")
 def results_csv(spark: SparkSession, sf: str) -> DataFrame:
     """The table of results written as CSV and read again."""

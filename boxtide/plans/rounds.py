@@ -12,8 +12,8 @@ from ..functions.distributions import dense_counts, js_divergence
 from ..operators.admission import Policy, admit, at_least, dual_gate
 from ..operators.jitter import jitter_by_detector, jitter_candidates
 from ..operators.matching import match
-from ..operators.integrity import admitted_report, repeated_report, require_clean, unscored_report
-from ..operators.scoring import checked_score
+from ..operators.integrity import admitted_report, require_clean, round_report
+from ..operators.scoring import score
 from ..operators.signals import StoppingState, infer_classes
 from ..schema import BANK_ROW, LoopConfig
 from ..session import checkpoint as saved
@@ -166,16 +166,14 @@ def _one_round(store: RoundStore, config: LoopConfig, infer: Infer, checkpoint:
     images, found = infer(checkpoint, t)
     found = saved(found)
     before = store.pool(t - 1)
-    require_clean(repeated_report(found))
     matches = match(found, before, config.matching).persist()
     triples = None
     if jitter is not None:
         sizes = images if "width" in images.columns else images.select("image_id", F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))
         asked = jitter_candidates(matches, found, sizes, config.tau_pre)
         triples = jitter_by_detector(asked, jitter, config.matching.min_iou_gate)
-    scored = saved(admit(checked_score(matches, found, before, found.select("image_id").distinct(), triples, config.scoring), policy))
-    boxes = scored.where("admitted").select(F.col("box_id_t").alias("box_id"))
-    require_clean(admitted_report(boxes, found).unionByName(unscored_report(found, scored)))
+    scored = saved(admit(score(matches, triples, config.scoring), policy))
+    require_clean(round_report(matches, found, before, scored))
     attempt = store.write(t, bank_rows(found, scored), images)
     matches.unpersist()
     rows = store.written_rows(t, attempt)

@@ -1,10 +1,13 @@
-"""Small files that must be made whole, once, whatever else writes at the same time."""
+"""Files outside of relations: made whole or not at all, on whatever file system Spark means."""
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 
+import pyarrow.fs as pafs
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
@@ -56,3 +59,33 @@ def folders(spark: SparkSession, path: str) -> list[tuple[str, float]]:
 def drop(spark: SparkSession, path: str) -> None:
     fs, own = _hadoop(spark, path)
     fs.delete(own, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, own = _hadoop(spark, path)
+    return fs.exists(own)
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Moves a file or folder within its file system; OSError if it doesn't."""
+    fs, own = _hadoop(spark, source)
+    if not fs.rename(own, _hadoop(spark, target)[1]):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, own = _hadoop(spark, path)
+    out = fs.create(own, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def default_root(spark: SparkSession) -> str:
+    """What comes before an absolute path without a scheme, for tasks, which have no session."""
+    return full_uri(spark, "/x").removesuffix("/x")
+
+
+def located(path: str, root: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path, and the path there; `root` is that of `default_root`."""
+    whole = path if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) else root + path
+    return pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", whole))

@@ -1,6 +1,7 @@
 """Annotations, splits, dataset assembly, quality checks, results, inference, pixels, sources."""
 
 import json
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -203,6 +204,63 @@ def test_detector_contract(spark):
     assert pool.where("size(boxes) = 0").count() == 1 and inference.flat_pool(pool).count() == 19
 
 
+def detector_parts():
+    """A detector that finds a box in all images but one, and what decodes files; made here, so that tasks get them whole."""
+
+    def boxes_of(batch):
+        rows = [{"det_index": 0, "x1": 1, "y1": 2, "x2": 3, "y2": float(x.sum()), "pred_class": 1, "class_scores": [0.1, 0.9], "confidence": 0.9} for x in batch.pixels]
+        return [pd.DataFrame([r]).iloc[: int(i != "i05")] for i, r in zip(batch.image_id, rows)]
+
+    def decoded(content):
+        return np.frombuffer(content, np.uint8).reshape(2, 2, 3) if len(content) == 12 else None
+
+    return boxes_of, decoded
+
+
+def image_folder(spark, tmp_path, n=20):
+    for k in range(n):
+        (tmp_path / f"i{k:02d}.jpg").write_bytes(bytes([k] * 12))
+    return spark.createDataFrame([(f"i{k:02d}", f"{tmp_path}/i{k:02d}.jpg") for k in reversed(range(n))], "image_id string, path string")
+
+
+def test_detection_from_files_moves_no_pixels(spark, tmp_path):
+    paths, (boxes_of, decoded) = image_folder(spark, tmp_path), detector_parts()
+    seen = spark.sparkContext.accumulator(0)
+
+    def detector(batch):
+        assert len(batch) <= 8 and list(batch.image_id) == sorted(batch.image_id) and int(batch.image_id.iloc[0][1:]) % 8 == 0
+        seen.add(len(batch))
+        return boxes_of(batch)
+
+    for run in (200, 8):
+        pool = inference.detect_files(paths.union(paths), decoded, detector, 3, run=run)
+        rows = sorted(pool.collect(), key=lambda r: r.image_id)
+        assert len(rows) == 19 and rows[0].box_id == "i00_r3_0000" and rows[7].box.y2 == 12 * 8
+    assert seen.value == 40
+    plan = pool._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "Exchange" not in plan.split("MapInPandas")[0] and "content" not in plan and "pixels" not in plan
+    runs = {"8": 8, "32": 32}
+    report = inference.compared_runs({k: inference.detect_files(paths, decoded, boxes_of, 3, n) for k, n in runs.items()}).collect()
+    assert [(r.run, r.n_boxes, r.same) for r in report] == [("8", 19, True), ("32", 19, True)]
+    other = inference.compared_runs({"a": pool, "b": pool.withColumn("confidence", F.col("confidence") + 1e-6), "c": pool.withColumn("confidence", F.col("confidence") + 1e-10), "d": pool.limit(0)})
+    assert [r.same for r in other.orderBy("run").collect()] == [True, False, True, False]
+
+
+def test_detectors_that_do_not_fit_are_refused(spark, tmp_path):
+    paths, (boxes_of, decoded) = image_folder(spark, tmp_path, 5), detector_parts()
+    empty = inference.detect_files(paths.limit(0), decoded, boxes_of, 1)
+    assert empty.count() == 0
+    with pytest.raises(Exception, match="4 results for 5 images"):
+        inference.detect_files(paths, decoded, lambda b: boxes_of(b)[1:], 1).collect()
+    with pytest.raises(Exception, match="elsewhere, which is not in its batch"):
+        inference.detect_files(paths, decoded, lambda b: boxes_of(b)[0].assign(image_id="elsewhere"), 1).collect()
+    with pytest.raises(Exception, match="4 results for 5 images"):
+        inference.detect(paths, lambda b: [boxes_of(b.assign(pixels=[np.zeros(3)] * len(b)))[0]] * 4, 1).collect()
+    (tmp_path / "i03.jpg").write_bytes(b"short")
+    with pytest.raises(Exception, match="unreadable image .*i03.jpg"):
+        inference.detect_files(paths, decoded, boxes_of, 1).collect()
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8))
@@ -270,6 +328,61 @@ def test_dataset_is_checked_then_written(spark, tmp_path):
     assert (where / "dataset.yaml").exists()
 
 
+def test_a_dataset_that_fails_leaves_the_old_one(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.jpg").write_bytes(b"a")
+    files = lambda line: spark.createDataFrame([("train", "a", [line])], "partition string, image_id string, lines array<string>")
+    images = spark.createDataFrame([("a", f"{tmp_path}/a.jpg"), ("b", None)], "image_id string, path string")
+    stems = lambda *x: spark.createDataFrame([(i,) for i in x], "stem string")
+    checked = {"train": stems("a"), "inner_val": stems("b"), "labelled_files": stems("a"), "unlabelled_files": stems("c"), "pseudo": stems("c"), "same_folder": False}
+    where = tmp_path / "set"
+    write = lambda line, **more: dataset.write_dataset(files(line), images, str(where), 1, **checked, **more)
+    read = lambda: sorted((str(p.relative_to(where)), p.read_text()) for p in where.rglob("*") if p.is_file() and p.suffix != ".crc")
+    write("0 1")
+    whole = read()
+    assert ("labels/train/a.txt", "0 1\n") in whole and [p.name for p in tmp_path.iterdir() if p.is_dir()] == ["set"]
+
+    def ended(*_):
+        raise OSError("ended")
+
+    for step in ("copy_files", "write_label_files", "write_text"):
+        with monkeypatch.context() as m:
+            m.setattr(dataset, step, ended)
+            with pytest.raises(OSError, match="ended"):
+                write("0 2")
+        assert read() == whole and [p.name for p in tmp_path.iterdir() if p.is_dir()] == ["set"]
+    moves = []
+
+    def second_fails(spark_, source, target):
+        moves.append(source)
+        if len(moves) == 2:
+            raise OSError("ended")
+        return dataset_rename(spark_, source, target)
+
+    dataset_rename = dataset.rename
+    with monkeypatch.context() as m:
+        m.setattr(dataset, "rename", second_fails)
+        with pytest.raises(OSError, match="ended"):
+            write("0 2")
+    assert not where.exists() and (tmp_path / "set.old/dataset.yaml").exists()
+    write("0 3")
+    assert ("labels/train/a.txt", "0 3\n") in read() and not (tmp_path / "set.old").exists()
+    gone = spark.createDataFrame([("train", "a", ["0 1"]), ("train", "b", [])], "partition string, image_id string, lines array<string>")
+    with pytest.warns(UserWarning, match="1 images have no file, such as b"):
+        dataset.write_dataset(gone, images, str(where), 1, **checked)
+    with pytest.raises(FileNotFoundError, match="1 images have no file"):
+        dataset.write_dataset(gone, images, str(where), 1, require_all=True, **checked)
+
+
+def test_paths_mean_what_spark_means(spark, tmp_path):
+    from boxtide.session import full_uri, shared_dir
+    from boxtide.sources.files import default_root, located
+
+    assert full_uri(spark, f"{tmp_path}/x/") == f"file://{tmp_path}/x" == full_uri(spark, f"file:{tmp_path}/x") and default_root(spark) == "file://"
+    assert located(f"{tmp_path}/x", default_root(spark))[1] == f"{tmp_path}/x" == located(f"file:{tmp_path}/x", "")[1]
+    named = SimpleNamespace(conf={"spark.checkpoint.dir": f"{tmp_path}/shared/"}, _jvm=spark._jvm, _jsc=spark._jsc)
+    assert shared_dir(named) == f"file://{tmp_path}/shared"
+
+
 def test_copies_keep_targets_and_pass_over_missing_sources(spark, tmp_path):
     (tmp_path / "a").write_text("new")
     (tmp_path / "kept").write_text("old")

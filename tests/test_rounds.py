@@ -297,12 +297,6 @@ def test_one_of_two_commits(spark, tmp_path):
     assert len(done) == 1 and (tmp_path / "puts/one.json").read_text() == f"text {done[0]}" and files == ["one.json"]
 
 
-def test_paths_without_a_scheme(spark, tmp_path):
-    from boxtide.session import full_uri
-
-    assert full_uri(spark, f"{tmp_path}/x/") == f"file://{tmp_path}/x" == full_uri(spark, f"file:{tmp_path}/x")
-
-
 def drifting(spark, r):
     rows = [(img, f"{img}_r{r}_{i:04d}", (100 + 200 * i + 2 * r, 100 + 150 * i + 2 * r, 180 + 200 * i + 2 * r, 180 + 150 * i + 2 * r), i, 0.75) for img in "abc" for i in range(2)]
     return spark.createDataFrame([(c,) for c in "abcd"], "image_id string"), pool(spark, rows, r)
@@ -454,6 +448,29 @@ def test_the_loop_refuses_what_does_not_fit(spark, tmp_path):
             scoring.checked_score(m, current, previous, pool_images)
 
 
+def test_the_census_of_a_round(spark):
+    """Every fault of a round is counted, with the first ids, and a whole round has none; one exchange of boxes."""
+    from boxtide.operators import integrity
+
+    t, p = one(spark, (A, 0), (FAR, 1)), one(spark, (A, 0), r=0)
+    m = matching.match(t, p)
+    done = admission.admit(scoring.score(m), admission.dual_gate(AdmissionConfig(0, 0)))
+    report = lambda *x: {r["check"]: (r.n_bad, list(r["sample"])) for r in integrity.round_report(*x).collect() if r.n_bad}
+    assert report(m, t, p, done) == {}
+    assert report(m, t.where("box_id = 'b1_0'"), p, done) == {"unmatched box not in current pool": (1, ["b1_1"])}
+    assert report(m, t, p.where("false"), done) == {"matched box not in previous pool": (1, ["b0_0"])}
+    assert report(m, t, p, done.where("box_id_t = 'b1_0'")) == {"box without a score": (1, ["b1_1"])}
+    assert report(m, t.union(t), p, done) == {"box more than once in the pool": (2, ["b1_0", "b1_1"])}
+    assert report(m, t, p, done.union(done.where("admitted"))) == {"admitted box more than once": (1, ["b1_0"])}
+    lost = t.union(t.where("box_id = 'b1_0'").withColumns({"image_id": F.lit("lost"), "box_id": F.lit("b9")}))
+    assert report(m, lost, p, done) == {"image without match": (1, ["lost"]), "box without a score": (1, ["b9"])}
+    many = spark.range(50).selectExpr("concat('x', lpad(id, 2, '0')) as box_id")
+    row = integrity.admitted_report(many.union(many), t).where("n_bad > 0").orderBy("check").collect()
+    assert [(r["check"], r.n_bad, list(r["sample"])) for r in row] == [("admitted box more than once", 50, ["x00", "x01", "x02"]), ("admitted box not in current pool", 100, ["x00", "x01", "x02"])]
+    plan = integrity.census(integrity._match_members(m, t, p), integrity.MATCH_TAGS, "image_id", "box_id")
+    assert plan.count() > 0
+
+
 def test_medians_by_place_are_true_medians(spark):
     import random
     import statistics
