@@ -151,9 +151,10 @@ def _next_lists(length: int, shared: Broadcast | None):
 
 
 def _written(df: DataFrame, what: str, kind: str) -> DataFrame:
+    """`df`, rows of some MB, as a table whose readers hold two of them at once."""
     folder = new_folder(df.sparkSession, what)
     with batches_of(df.sparkSession, BLOCK):
-        df.write.parquet(folder)
+        df.write.option("parquet.block.row.count.limit", "2").parquet(folder)
     return df.sparkSession.read.schema(kind).parquet(folder)
 
 
