@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import random
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import fold_seed, inner_val_seed
+from ..session import full_uri
+from ..sources.files import located
 from .ordering import numbered_by
 
 
@@ -103,19 +108,45 @@ def split_grid(ratios: list[float], folds: list[int], base_seed: int) -> list[di
 PARTS = ["labeled_train", "labeled_inner_val", "unlabeled"]  # fixed values: parts of a split, as its documents name them
 
 
-def split_documents(rows: DataFrame, headers: DataFrame) -> DataFrame:
+def split_documents(rows: DataFrame, headers: DataFrame, val_ids: DataFrame | None = None) -> DataFrame:
     """name, value: a JSON document for each of `headers` (name, ratio, fold, ...), from `rows` (ratio, fold, id, part).
 
-    A document holds its header, the sorted ids of each part and their number, as its reader
-    wants them in one text; a split's ids so meet in one task, as they do in one file.
+    A document holds its header, the sorted ids of each part, of both labelled parts together and of
+    `val_ids` (id; none where it isn't given), their numbers, and created_at unless the header has one: what
+    `documents.split_document` asks for. A split's ids so meet in one task, as they do in one file.
     """
-    ids = rows.groupBy("ratio", "fold").agg(*[F.array_sort(F.collect_list(F.when(F.col("part") == p, F.col("id")))).alias(f"{p}_ids") for p in PARTS])
+    listed = lambda when: F.array_sort(F.collect_list(F.when(when, F.col("id"))))
+    ids = rows.groupBy("ratio", "fold").agg(*[listed(F.col("part") == p).alias(f"{p}_ids") for p in PARTS], listed(F.col("part") != PARTS[-1]).alias("labeled_ids"))
     doc = headers.join(ids, ["ratio", "fold"], "left")
-    doc = doc.withColumns({f"{p}_ids": F.coalesce(f"{p}_ids", F.array().cast("array<bigint>")) for p in PARTS})
-    whole = F.struct(*[c for c in headers.columns if c != "name"], *[F.size(f"{p}_ids").alias(f"n_{p}") for p in PARTS], *[f"{p}_ids" for p in PARTS])
+    names = [*PARTS, "labeled", "val"]
+    if val_ids is None:
+        doc = doc.withColumn("val_ids", F.array().cast("array<bigint>"))
+    else:
+        doc = doc.join(F.broadcast(val_ids.agg(F.array_sort(F.collect_set("id")).alias("val_ids"))))
+    doc = doc.withColumns({f"{p}_ids": F.coalesce(f"{p}_ids", F.array().cast("array<bigint>")) for p in names})
+    made = [] if "created_at" in headers.columns else [F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("created_at")]
+    whole = F.struct(*[c for c in headers.columns if c != "name"], *[F.size(f"{p}_ids").alias(f"n_{p}") for p in names], *[f"{p}_ids" for p in names], *made)
     return doc.select("name", F.to_json(whole).alias("value"))
 
 
+def write_split_documents(docs: DataFrame, folder: str) -> DataFrame:
+    """Writes each document (name, value) to a file of its name in `folder`; the paths written. A file gets its name when it is whole."""
+    whole = full_uri(docs.sparkSession, folder)
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = located(whole, "")
+        fs.create_dir(root, recursive=True)
+        for part in parts:
+            for r in part.itertuples():
+                own = f"{root}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(own) as out:
+                    out.write(r.value.encode())
+                fs.move(own, f"{root}/{r.name}")
+            yield pd.DataFrame({"path": root + "/" + part["name"]})
+
+    return docs.select("name", "value").mapInPandas(write, "path string")
+
+
 def sample_files(files: DataFrame, n: int, seed: int, key: str = "path") -> DataFrame:
     """n rows in the order of the md5 of seed and key: a sample that any number of partitions gives alike."""
     return files.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key))), key).limit(n)

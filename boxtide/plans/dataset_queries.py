@@ -60,14 +60,18 @@ def link_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""with r as (select s, id, row_number() over (order by s) - 1 as i, count(*) over () as n from {S}), e as (select s, id from r where i in (select range * (select max(n) from r) // 10 from range(10))) """
-    + check_sql("label path missing", "train", "select 'data/labels/train/' || s || '.txt' as path from e where id % 2 = 0", "path")
+    f"""with p as (select case when id % 5 = 0 then 'other/' else 'data/' end as root, s, id from {S}), r as (select root || 'labels/train/' || s || '.txt' as path, id, row_number() over (order by root || 'images/train/' || s || '.jpg') - 1 as i, count(*) over () as n from p),
+e as (select path, id from r where i in (select range * (select max(n) from r) // 10 from range(10))) """
+    + check_sql("label path missing", "train", "select path from e where id % 2 = 0 or id % 5 = 0", "path")
     + " union all "
-    + check_sql("label path outside root", "train", "select '' as path from e where false", "path")
+    + check_sql("label path outside root", "train", "select path from e where id % 5 = 0", "path")
 )
 def label_path_check(spark: SparkSession, sf: str) -> DataFrame:
-    images, labels = files(spark, sf, "data/images/train/", ".jpg"), files(spark, sf, "data/labels/train/", ".txt", 2)
-    return report(quality.label_paths(images, labels, "data/labels/", "train"))
+    """Every fifth image lies elsewhere, every second one has no label."""
+    i = fx.images(spark, sf)
+    root = F.when(F.col("id") % 5 == 0, "other/").otherwise("data/")
+    images = i.select(F.concat(root, F.lit("images/train/"), "image_id", F.lit(".jpg")).alias("path"), "id")
+    return report(quality.label_paths(images, files(spark, sf, "data/labels/train/", ".txt", 2), "data/labels/", "train"))
 
 
 @query(
@@ -223,23 +227,21 @@ def labelled_files(spark: SparkSession, sf: str) -> DataFrame:
     return splits.labelled_data(splits.split(fx.images(spark, sf), 0.1, fold=2, base_seed=42), held)
 
 
-LISTS = [f"""coalesce((select string_agg(id::varchar, ',' order by id) from parts where part = '{p}'), '')""" for p in splits.PARTS]
-COUNTS = [f"""(select count(*) from parts where part = '{p}')""" for p in splits.PARTS]
-
-
 @query(
     SPLIT_SQL
-    + " select 'ratio_10_fold_2.json' as name, '{\"ratio\":0.1,\"fold\":2,\"seed\":2042' || "
-    + " || ".join(f"""',"n_{p}":' || {n}""" for p, n in zip(splits.PARTS, COUNTS, strict=True))
-    + " || "
-    + " || ".join(f"""',"{p}_ids":[' || {ids} || ']'""" for p, ids in zip(splits.PARTS, LISTS, strict=True))
-    + " || '}' as value"
+    + f""", val as (select distinct l_orderkey as id from lineitem where l_quantity > 49),
+every as (select id, part from parts union all select id, 'labeled' from parts where part <> 'unlabeled' union all select id, 'val' from val)
+select 0.1::double as ratio, 2 as fold, 2042 as seed, (select count(*) from parts where part <> 'unlabeled')::integer as n_labeled, (select count(*) from parts where part = 'unlabeled')::integer as n_unlabeled, part, id from every"""
 )
 def split_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """The document of a split, as its reader wants it: header, counts and sorted ids of each part."""
+    """A split's document written as a file, read again, with its header beside each id."""
     rows = splits.split(fx.images(spark, sf), 0.1, fold=2, base_seed=42).withColumns({"ratio": F.lit(0.1), "fold": F.lit(2)})
+    val = fx.read(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("id")).distinct()
     header = spark.range(1).select(F.lit("ratio_10_fold_2.json").alias("name"), F.lit(0.1).alias("ratio"), F.lit(2).alias("fold"), F.lit(2042).alias("seed"))
-    return splits.split_documents(rows, header)
+    where = folder(spark, "splits")
+    splits.write_split_documents(splits.split_documents(rows, header, val), where).count()
+    headers, ids = documents.split_files(spark, where)
+    return ids.join(F.broadcast(headers.select("name", "ratio", "fold", "seed", "n_labeled", "n_unlabeled")), "name").drop("name")
 
 
 @query(f"""with {o.rounds(0)} select box_id, row_number() over (partition by image_id order by confidence desc, box_id) - 1 as place from d0""")
@@ -316,11 +318,11 @@ def detector_runs(spark: SparkSession, sf: str) -> DataFrame:
     return inference.compared_runs({"batches of 8": run(8), "batches of 32": run(32), "again": run(8)}).select("run", "n_boxes", "same")
 
 
-@query(f"""with {RESULTS_SQL} select method, round_id, map50, map50_95, method || '.pt' as checkpoint, 870 as n_images from res""")
+@query(f"""with {RESULTS_SQL} select method, round_id, map50, map50_95, method || '.pt' as checkpoint, n_images::integer as n_images from res""")
 def results_csv(spark: SparkSession, sf: str) -> DataFrame:
     """The table of results written as CSV and read again."""
     where = folder(spark, "results")
-    results.write_results_csv(eval_rows(spark), where)
+    results.write_results_csv(eval_rows(spark, sf), where)
     return spark.read.schema("method string, round_id int, map50 double, map50_95 double, checkpoint string, n_images int").csv(where, header=True)
 
 

@@ -188,34 +188,41 @@ def class_drift(spark: SparkSession, sf: str) -> DataFrame:
     return signals.class_drift(t, p, fx.CLASSES).select(F.round("class_drift", 9).alias("class_drift"))
 
 
-HISTORY = [(1, 0.0293, 0.2613, 0.0000), (2, 0.5968, 0.3642, 0.0013), (3, 0.3972, 0.4094, 0.0013), (4, 0.3975, 0.4101, 0.0013), (5, 0.3970, 0.4110, 0.0015), (6, 0.9, 0.5, 0.0013), (7, 0.9001, 0.5001, 0.0013)]
-HISTORY_SQL = "h(round_id, raw_churn, stable_yield, class_drift) as (values " + ", ".join(f"({r}, {c}::double, {y}::double, {d}::double)" for r, c, y, d in HISTORY) + ")"
+#: Rounds made of a hundred events each, in the order of their ids: shares of their kinds stand for the signals.
+HISTORY_SQL = """h as (select cast(event_id // 100 as integer) + 1 as round_id, count(*) filter (event_type = 'error')::double / count(*) as raw_churn,
+    count(*) filter (event_type = 'click')::double / count(*) as stable_yield, count(*) filter (event_type = 'signup')::double / (4 * count(*)) as class_drift from events group by 1)"""
 
 
-def history(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HISTORY, "round_id int, raw_churn double, stable_yield double, class_drift double")
+def history(spark: SparkSession, sf: str) -> DataFrame:
+    share = lambda kind, of=1: F.count_if(F.col("event_type") == kind).cast("double") / (of * F.count("*"))
+    rounds = fx.read(spark, sf, "events").groupBy((F.expr("event_id div 100") + 1).cast("int").alias("round_id"))
+    return rounds.agg(share("error").alias("raw_churn"), share("click").alias("stable_yield"), share("signup", 4).alias("class_drift"))
 
 
 DELTAS = f"""with {HISTORY_SQL}, l as (select *, lag(raw_churn) over w as pc, lag(stable_yield) over w as py, lag(class_drift) over w as pd from h window w as (order by round_id)),
-x as (select *, coalesce(round_id > 2 and pc is not null and abs(raw_churn - pc) < 0.02 and (abs(stable_yield - py) < 0.03 or stable_yield < 0.05) and (abs(class_drift - pd) < 0.01 or class_drift > 0.1), false) as met from l),
+x as (select *, coalesce(round_id > 2 and pc is not null and abs(raw_churn - pc) < 0.05 and (abs(stable_yield - py) < 0.06 or stable_yield < 0.05) and (abs(class_drift - pd) < 0.02 or class_drift > 0.1), false) as met from l),
 y as (select *, sum(case when met then 0 else 1 end) over (order by round_id) as island from x),
 z as (select *, cast(sum(case when met then 1 else 0 end) over (partition by island order by round_id rows unbounded preceding) as integer) as consecutive from y)"""
 
 
+#: Wide enough that some rounds meet them.
+LOOSE = StoppingConfig(epsilon_churn=0.05, epsilon_yield=0.06, epsilon_drift=0.02)
+
+
 @query(f"""{DELTAS} select round_id, {q6("abs(raw_churn - pc)")} as d_churn, {q6("abs(stable_yield - py)")} as d_yield, {q6("abs(class_drift - pd)")} as d_drift, met from z""")
 def signal_deltas(spark: SparkSession, sf: str) -> DataFrame:
-    d = signals.signal_deltas(history(spark))
+    d = signals.signal_deltas(history(spark, sf), LOOSE)
     return d.select("round_id", *[r6(F.col(c)).alias(c) for c in ("d_churn", "d_yield", "d_drift")], "met")
 
 
 @query(f"""{DELTAS} select round_id, consecutive, consecutive >= 2 as stop from z""")
 def stop_counter(spark: SparkSession, sf: str) -> DataFrame:
-    return signals.signal_deltas(history(spark)).select("round_id", "consecutive", "stop")
+    return signals.signal_deltas(history(spark, sf), LOOSE).select("round_id", "consecutive", "stop")
 
 
-@query(f"""{DELTAS} select round_id, coalesce(raw_churn > 0.45 and stable_yield > py, false) as risk_stop from z""")
+@query(f"""{DELTAS} select round_id, coalesce(raw_churn > 0.22 and stable_yield > py, false) as risk_stop from z""")
 def risk_stop(spark: SparkSession, sf: str) -> DataFrame:
-    return signals.signal_deltas(history(spark), StoppingConfig(tau_risk_churn=0.45)).select("round_id", "risk_stop")
+    return signals.signal_deltas(history(spark, sf), StoppingConfig(tau_risk_churn=0.22)).select("round_id", "risk_stop")
 
 
 def clip_sql(x1: str, y1: str, x2: str, y2: str) -> dict[str, str]:
@@ -365,14 +372,15 @@ def ann_stats(spark: SparkSession, sf: str) -> DataFrame:
     return annotations.conversion_stats(fx.annotations(spark, sf), fx.images(spark, sf))
 
 
-@query("select * from (values (2, 0), (3, 1), (4, 2), (6, 3), (8, 4), (1, null), (5, null), (7, null), (9, null)) t(category_id, class_id)")
+@query("select p_partkey, case p_partkey % 9 + 1 when 2 then 0 when 3 then 1 when 4 then 2 when 6 then 3 when 8 then 4 end as class_id from part")
 def class_remap(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.categories(spark).select(F.col("id").cast("int").alias("category_id"), annotations.mapped_class(F.col("id")).alias("class_id"))
+    return fx.read(spark, sf, "part").select("p_partkey", annotations.mapped_class(F.col("p_partkey") % 9 + 1).alias("class_id"))
 
 
-@query("select range::bigint as category_id, cast(range - 1 as integer) as class_id from range(1, 10)")
+@query("select id as category_id, cast(row_number() over (order by id) - 1 as integer) as class_id from (select distinct p_partkey * 7 % 90 as id from part)")
 def dense_class_id(spark: SparkSession, sf: str) -> DataFrame:
-    return annotations.dense_classes(fx.categories(spark))
+    """Categories with gaps between their ids, made of the parts."""
+    return annotations.dense_classes(fx.read(spark, sf, "part").select((F.col("p_partkey") * 7 % 90).alias("id")).distinct())
 
 
 @query(f"""{ANN}, l as (select image_id, class_id, (cx1 + cx2) / 2 / width as cx, (cy1 + cy2) / 2 / height as cy, bw / width as w, bh / height as h from conv where bw > 0 and bh > 0),
@@ -464,28 +472,33 @@ def partition_status(spark: SparkSession, sf: str) -> DataFrame:
     return quality.status_counts(quality.partitions(a, b, c, a.union(b).distinct()))
 
 
-RESULTS = [("supervised", 0, 0, 0.4120, 0.2466), ("naive", 0, 1, 0.4796, 0.3041), ("naive", 1, 2, 0.4736, 0.3030), ("naive", 2, 3, 0.4594, 0.2899), ("gated", 0, 1, 0.4836, 0.3071), ("gated", 1, 2, 0.4619, 0.2902), ("gated", 2, 3, 0.4603, 0.2898)]
-RESULTS_SQL = "res(method, position, round_id, map50, map50_95) as (values " + ", ".join(f"('{m}', {p}, {r}, {a}::double, {b}::double)" for m, p, r, a, b in RESULTS) + ")"
+METHODS = ["gated", "naive", "supervised"]
+#: Results made of the line items: a method for each third of the suppliers, a round for each line number.
+RESULTS_SQL = """res as (select ['gated', 'naive', 'supervised'][1 + l_suppkey % 3] as method, l_linenumber - 1 as position, l_linenumber as round_id,
+    sum(l_quantity) / (100 * count(*)) as map50, sum(l_partkey % 50)::double / (100 * count(*)) as map50_95, count(*) as n_images from lineitem group by all)"""
 
 
-def eval_rows(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(RESULTS, "method string, position int, round_id int, map50 double, map50_95 double")
-    return rows.withColumn("checkpoint", F.concat("method", F.lit(".pt"))).withColumn("n_images", F.lit(870).cast("long"))
+def eval_rows(spark: SparkSession, sf: str) -> DataFrame:
+    method = F.get(F.array(*[F.lit(m) for m in METHODS]), F.col("l_suppkey") % 3)
+    rows = fx.read(spark, sf, "lineitem").groupBy(method.alias("method"), (F.col("l_linenumber") - 1).alias("position"), F.col("l_linenumber").alias("round_id"))
+    share = lambda x: F.sum(x).cast("double") / (100 * F.count("*"))
+    rows = rows.agg(share(F.col("l_quantity")).alias("map50"), share(F.col("l_partkey") % 50).alias("map50_95"), F.count("*").alias("n_images"))
+    return rows.withColumn("checkpoint", F.concat("method", F.lit(".pt")))
 
 
-@query(f"""with {RESULTS_SQL} select round_id, """ + ", ".join(f"coalesce(printf('%.4f', max(map50) filter (method = '{m}')), 'N/A') as {m}" for m in ("gated", "naive", "supervised")) + " from res group by round_id")
+@query(f"""with {RESULTS_SQL} select round_id, """ + ", ".join(f"coalesce(printf('%.4f', max(map50) filter (method = '{m}')), 'N/A') as {m}" for m in METHODS) + " from res group by round_id")
 def round_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    return results.round_table(eval_rows(spark))
+    return results.round_table(eval_rows(spark, sf), methods=METHODS)
 
 
 @query(f"""with {RESULTS_SQL} select method, round_id, map50, map50_95 from (select *, row_number() over (partition by method order by map50 desc, position) as k from res) where k = 1""")
 def best_round(spark: SparkSession, sf: str) -> DataFrame:
-    return results.best_rounds(eval_rows(spark))
+    return results.best_rounds(eval_rows(spark, sf))
 
 
 @query(f"""with {RESULTS_SQL}, b as (select method, max(map50) as m from res group by method) select {q6("avg(m)")} as mean, {q6("stddev_samp(m)")} as std, count(*) as folds from b""")
 def fold_summary(spark: SparkSession, sf: str) -> DataFrame:
-    out = results.fold_summary(eval_rows(spark).withColumnRenamed("method", "fold"))
+    out = results.fold_summary(eval_rows(spark, sf).withColumnRenamed("method", "fold"))
     return out.select(r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"), "folds")
 
 
@@ -615,13 +628,3 @@ def image_jitter_pixels(spark: SparkSession, sf: str) -> DataFrame:
     images = base.withColumn("pixels", noise)
     parts = [transform_images(images, t).select("image_id", F.lit(t).alias("transform"), F.crc32("pixels").alias("checksum")) for t in jitter.TRANSFORMS]
     return reduce(DataFrame.unionByName, parts)
-
-
-@query()
-def split_exact(spark: SparkSession, sf: str) -> DataFrame:
-    """The split by the standard library's generator, as a relation."""
-    images = fx.images(spark, sf).select("id")
-    ids = [r[0] for r in images.limit(splits.MOST_EXACT + 1).collect()]  # more are refused
-    s = splits.exact_split(ids, 0.1, fold=0, base_seed=42)
-    rows = [(i, "labeled_train") for i in s.labelled_train] + [(i, "labeled_inner_val") for i in s.labelled_inner_val] + [(i, "unlabeled") for i in s.unlabelled]
-    return spark.createDataFrame(rows, "id long, part string")

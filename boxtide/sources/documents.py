@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import stem, suffix
+from ..functions.names import file_name, stem, suffix
 from ..schema import ANNOTATION_DOCUMENT, EVAL_RESULT
 
 IMAGE_SUFFIXES = [".jpg", ".jpeg", ".png"]
@@ -44,6 +44,22 @@ def split_document(spark: SparkSession, text: str, required: list[str] = SPLIT_F
     return header, spark.createDataFrame(rows, "id long, part string")
 
 
+def split_files(spark: SparkSession, path: str, required: list[str] = SPLIT_FIELDS) -> tuple[DataFrame, DataFrame]:
+    """(headers, ids) of the split documents in a folder: name, ratio, fold, seed, numbers, created_at; and name, id, part.
+
+    They are parsed by tasks, a document by one. ValueError names a file and the first field that it lacks.
+    """
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(file_name(F.col("_metadata.file_path")).alias("name"), "value")
+    lacking = files.select("name", F.array_except(F.array(*[F.lit(f) for f in required]), F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))).alias("x"))
+    if first := lacking.where(F.size("x") > 0).orderBy("name").first():
+        raise ValueError(f"split document {first.name} has no field {first.x[0]!r}")
+    parts = F.from_json("value", "map<string,string>")
+    header = F.from_json("value", "ratio double, fold int, seed long, n_labeled int, n_unlabeled int, created_at string")
+    named = F.explode(F.map_filter(parts, lambda k, _: F.endswith(k, F.lit("_ids")))).alias("key", "ids")
+    ids = files.select("name", named).select("name", F.regexp_replace("key", "_ids$", "").alias("part"), F.explode(F.from_json("ids", "array<bigint>")).alias("id"))
+    return files.select("name", header.alias("h")).select("name", "h.*"), ids.select("name", "id", "part")
+
+
 def is_filtered_split(header: dict) -> bool:
     return "class_names" in header and "image_dir_train" in header
 

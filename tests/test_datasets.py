@@ -143,15 +143,25 @@ def test_quality_checks(spark):
     assert cover.first().sample == ["1"] and quality.exit_code(cover) == 0 and quality.exit_code(cover, strict=True) == 1
 
 
-def test_split_documents_round_trip(spark):
+def test_split_documents_round_trip(spark, tmp_path):
     ids = spark.range(300).select("id")
     rows = splits.split(ids, 0.1, 0, 42).withColumn("ratio", F.lit(0.1)).withColumn("fold", F.lit(0))
     headers = spark.createDataFrame([("coco_fold0_10pct.json", 0.1, 0, 42, "now"), ("none.json", 0.5, 1, 42, "now")], "name string, ratio double, fold int, seed long, created_at string")
     got = {r.name: r.value for r in splits.split_documents(rows, headers).collect()}
-    header, back = documents.split_document(spark, got["coco_fold0_10pct.json"], ["ratio", "fold", "n_unlabeled", "unlabeled_ids"])
-    assert (header["seed"], header["n_labeled_train"], header["n_labeled_inner_val"], header["n_unlabeled"]) == (42, 27, 3, 270)
-    assert {tuple(r) for r in back.collect()} == {(r.id, r.part) for r in rows.collect()}
+    header, back = documents.split_document(spark, got["coco_fold0_10pct.json"])
+    assert (header["seed"], header["n_labeled_train"], header["n_labeled_inner_val"], header["n_unlabeled"], header["n_labeled"]) == (42, 27, 3, 270, 30)
+    own = {(r.id, r.part) for r in rows.collect()}
+    assert {tuple(r) for r in back.collect()} == own | {(i, "labeled") for i, part in own if part != "unlabeled"}
     assert json.loads(got["none.json"])["unlabeled_ids"] == []
+    docs = splits.split_documents(rows, headers.drop("created_at"), spark.range(5).select("id"))
+    assert splits.write_split_documents(docs, f"{tmp_path}/splits").count() == 2
+    headers, ids = documents.split_files(spark, f"{tmp_path}/splits")
+    assert {r.name: (r.fold, r.n_labeled, r.created_at is not None) for r in headers.collect()} == {"coco_fold0_10pct.json": (0, 30, True), "none.json": (1, 0, True)}
+    read = {(r.id, r.part) for r in ids.where("name = 'coco_fold0_10pct.json'").collect()}
+    assert read == {tuple(r) for r in back.collect()} | {(k, "val") for k in range(5)}
+    (tmp_path / "splits/odd.json").write_text('{"ratio": 0.1}')
+    with pytest.raises(ValueError, match="odd.json has no field 'fold'"):
+        documents.split_files(spark, f"{tmp_path}/splits")
 
 
 def test_results(spark, tmp_path):
