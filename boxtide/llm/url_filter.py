@@ -110,7 +110,9 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
             F.transform(F.regexp_extract_all(html, F.lit(_META), 0), lambda x: F.regexp_extract(x, _GOTO, 1)),
         ).alias("targets"),
     )
-    found = found.select("url", F.explode(F.array_distinct("targets")).alias("to")).withColumn("to", _decoded(F.col("to")))
+    found = found.select("url", F.explode(F.array_distinct("targets")).alias("to"))
+    # Links are few and short: stored, their long expressions are reckoned once and not copied into one another.
+    found = checkpoint(found.select("url", _decoded(F.col("to")).alias("to")))
     base = F.regexp_extract("url", r"^([^:/?#]+://[^/?#]*)", 1)
     scheme = F.regexp_extract("url", r"^([^:/?#]+:)//", 1)
     path, to = url_path(F.col("url")), F.col("to")
@@ -123,7 +125,7 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         .when(F.startswith(to, F.lit("?")), F.concat(base, path, to))
         .otherwise(F.concat(base, F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", "")), to))
     )
-    found = found.select("url", whole.alias("whole"))
+    found = checkpoint(found.select("url", whole.alias("whole")).where("whole is not null"))
     start, rest = F.regexp_extract("whole", r"^([^:/?#]+://[^/?#]*)", 1), F.regexp_extract("whole", r"(?s)^[^:/?#]+://[^/?#]*[^?#]*(.*)$", 1)
     target = F.when(start == "", F.col("whole")).otherwise(F.concat(start, _folded(url_path(F.col("whole"))), rest))
     return found.select("url", target.alias("target")).where("target is not null and target <> url")
