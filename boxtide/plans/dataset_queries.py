@@ -191,6 +191,16 @@ def label_files_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 select {o.pad("image_id")} || '.jpg' as file_name, row_number() over (partition by block order by image_id, position) - 1 as position, 'category ' || category_id as category, iscrowd, x, y, w, h from k""")
 def annotation_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Annotation documents of a thousand images each, written as files and scanned again; all three relations joined."""
+    return scanned(*documents.annotation_document(spark, annotation_files(spark, sf)))
+
+
+@query(SQL["annotation_scan"])
+def annotation_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The same documents, read in ranges of bytes."""
+    return scanned(*documents.annotation_ranges(spark, annotation_files(spark, sf)))
+
+
+def annotation_files(spark: SparkSession, sf: str) -> str:
     block = F.floor(F.col("image_id") / 1000).alias("block")
     own = fx.annotations(spark, sf).groupBy(block).agg(F.array_sort(F.collect_list(F.struct("image_id", "position", "category_id", "bbox", "iscrowd"))).alias("annotations"))
     images = fx.images(spark, sf).select(F.floor(F.col("id") / 1000).alias("block"), F.struct("id", "file_name", "width", "height").alias("image"))
@@ -199,7 +209,10 @@ def annotation_scan(spark: SparkSession, sf: str) -> DataFrame:
     text = F.to_json(F.struct("images", F.coalesce("annotations", F.array().cast(own.schema["annotations"].dataType)).alias("annotations"), kinds.alias("categories")))
     where = folder(spark, "annotations")
     dataset.write_label_files(whole.select(F.lit("documents").alias("partition"), F.col("block").cast("string").alias("image_id"), F.array(text).alias("lines")), where).count()
-    found, boxes, categories = documents.annotation_document(spark, f"{where}/documents")
+    return f"{where}/documents"
+
+
+def scanned(found: DataFrame, boxes: DataFrame, categories: DataFrame) -> DataFrame:
     named = boxes.join(found.select(F.col("id").alias("image_id"), "file_name"), "image_id").join(categories.distinct().withColumnRenamed("id", "category_id"), "category_id")
     side = [F.get("bbox", F.lit(k)).alias(c) for k, c in enumerate(("x", "y", "w", "h"))]
     return named.select("file_name", F.col("position").cast("long").alias("position"), F.col("name").alias("category"), "iscrowd", *side)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.names import file_name, stem, suffix
 from ..schema import ANNOTATION_DOCUMENT, EVAL_RESULT
+from ..session import checkpoint
+from .ranges import array_objects
 
 IMAGE_SUFFIXES = [".jpg", ".jpeg", ".png"]
 # The fields that a split document has at least.
@@ -28,6 +30,17 @@ def annotation_document(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     return images, annotations, categories
 
 
+def annotation_ranges(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`annotation_document` for large documents: each is read in byte ranges, by as many tasks. `array_objects` tells how.
+
+    The objects are stored in between, since the three relations are made of them. A text that isn't as the schema has it is an error.
+    """
+    fields = {f.name: f.dataType.elementType for f in ANNOTATION_DOCUMENT.fields}
+    objects = checkpoint(array_objects(spark, path).where(F.col("key").isin(*fields)))
+    of = lambda key: objects.where(F.col("key") == key).select(F.col("position").cast("int").alias("position"), F.from_json("json", fields[key], {"mode": "FAILFAST"}).alias("x"))
+    return of("images").select("x.*"), of("annotations").select("position", "x.*"), of("categories").select("x.*")
+
+
 def image_ids(images: DataFrame) -> DataFrame:
     return images.select("id").orderBy("id")
 

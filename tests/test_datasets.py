@@ -271,6 +271,47 @@ def test_detectors_that_do_not_fit_are_refused(spark, tmp_path):
         inference.detect_files(paths, decoded, boxes_of, 1).collect()
 
 
+def test_a_document_is_read_in_ranges(spark, tmp_path):
+    """Nested objects, braces, quotes and escapes in strings, arrays that hold no object: all ranges give what a parser gives."""
+    import random
+
+    from boxtide.sources.ranges import array_objects
+
+    rng = random.Random(3)
+    odd = ["a", "}", "{", "[", "]", '"', "\\", '\\"', "},{", ' "x": [{', "é", "\n", "\\u0041"]
+    text = lambda: "".join(rng.choice(odd) for _ in range(rng.randint(0, 9)))
+    value = lambda depth=0: rng.choice([rng.randint(0, 99), text(), None, 1.5, [text(), {"k": text()}] if depth < 3 else [], {text(): value(depth + 1), "n": [value(depth + 1)]} if depth < 3 else {}])
+    docs = {}
+    for k in range(6):
+        doc = {"info": {"a": {"b": {"c": text()}}, "l": [{"x": 1}]}, "none": [], "licences": text()}
+        for key in ("images", "annotations", "categories"):
+            doc[key] = [{"id": i, "v": value(), "segmentation": [[1, 2], [text()]]} for i in range(rng.randint(0, 60))]
+            doc["mixed" + key] = [[1, {"in": "array"}], {"own": 1}, 5, [[{"deep": 2}]], {"last": text()}]
+        docs[f"{k}.json"] = doc
+        (tmp_path / f"{k}.json").write_text(json.dumps(doc, indent=k % 3 or None, ensure_ascii=bool(k % 2)), encoding="utf-8")
+    want = {(f, key, i): x for f, d in docs.items() for key, v in d.items() if isinstance(v, list) for i, x in enumerate([x for x in v if isinstance(x, dict)])}
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    for most in (before, "700", "4k"):
+        spark.conf.set(name, most)
+        try:
+            rows = array_objects(spark, str(tmp_path)).collect()
+            ranges = spark.read.text(str(tmp_path), lineSep="}").rdd.getNumPartitions()
+        finally:
+            spark.conf.set(name, before)
+        assert most == before or ranges > 10
+        assert len(rows) == len(want) and {(r.file.rpartition("/")[2], r.key, r.position): json.loads(r.json) for r in rows} == want
+
+
+def test_ranges_of_annotations(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(DOC, indent=1))
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.schema.simpleString() == b.schema.simpleString()
+    assert all(same(a, b) for a, b in zip(documents.annotation_ranges(spark, str(tmp_path)), documents.annotation_document(spark, str(tmp_path))))
+    (tmp_path / "a.json").write_text('{"images": [{"id": "no number"}]}')
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST|parse"):
+        documents.annotation_ranges(spark, str(tmp_path))[0].collect()
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8))
