@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .admission import at_least
-from .ordering import numbered_by
+from .ordering import values_at
 
 
 def class_audit(detections: DataFrame, tau: float, class_names: list[str], medians: bool = True) -> DataFrame:
     """A row a class: counts and shares of all and of admitted boxes, mean and true median confidences.
 
-    Medians come from places in a global order of (class, confidence), so no task holds a class.
+    Medians are selected by counts that narrow a class's range (`values_at`): no sort, and no task holds a class.
     """
     classes = detections.sparkSession.createDataFrame(list(enumerate(class_names)), "pred_class int, class_name string")
     admitted = at_least(F.col("confidence"), tau)
@@ -38,17 +39,15 @@ def class_audit(detections: DataFrame, tau: float, class_names: list[str], media
 
 def class_medians(detections: DataFrame, tau: float) -> DataFrame:
     """pred_class, median_all, median_admitted. Within a class the admitted boxes are the last ones by confidence."""
-    ties = [c for c in ("image_id", "box_id", "det_index") if c in detections.columns]
-    rows = detections.where("pred_class is not null and confidence is not null").select("pred_class", "confidence", *ties)
-    placed = numbered_by(rows, "pred_class", "confidence", *ties)
-    sizes = placed.groupBy("pred_class").agg(F.min("position").alias("_first"), F.count("*").alias("_n"), F.count_if(at_least(F.col("confidence"), tau)).alias("_k"))
-    place = F.col("position") - F.col("_first")
-
-    def middle(first, n):
-        return F.avg(F.when(place.isin(first + F.floor((n - 1) / 2), first + F.floor(n / 2)) & (n > 0), F.col("confidence")))
-
+    c = F.col("confidence")
+    rows = detections.where(F.col("pred_class").isNotNull() & c.isNotNull() & ~F.isnan(c)).select("pred_class", "confidence")
+    sizes = checkpoint(rows.groupBy("pred_class").agg(F.count("*").alias("_n"), F.count_if(at_least(c, tau)).alias("_k")))
     n, k = F.col("_n"), F.col("_k")
-    return placed.join(F.broadcast(sizes), "pred_class").groupBy("pred_class").agg(middle(F.lit(0), n).alias("median_all"), middle(n - k, k).alias("median_admitted"))
+    middle = {"all": (F.lit(0), n), "admitted": (n - k, k)}
+    places = F.array(*[F.struct(F.lit(name).alias("of"), (first + F.floor((m - F.lit(x)) / 2)).cast("long").alias("place")) for name, (first, m) in middle.items() for x in (1, 0)])
+    wanted = sizes.select("pred_class", F.explode(places).alias("x"), "_k").where("x.of = 'all' or _k > 0").select("pred_class", "x.*")
+    found = wanted.join(values_at(rows, "pred_class", "confidence", wanted), ["pred_class", "place"])
+    return found.groupBy("pred_class").agg(*[F.avg(F.when(F.col("of") == name, c)).alias(f"median_{name}") for name in middle])
 
 
 def image_audit(images: DataFrame, detections: DataFrame, tau: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
@@ -40,3 +40,27 @@ def even_sample(rows: DataFrame, n: int, key: str) -> DataFrame:
 
 def first_n(rows: DataFrame, n: int, *order: str) -> DataFrame:
     return rows.orderBy(*order).limit(n)
+
+
+def values_at(rows: DataFrame, group: str, value: str, wanted: DataFrame, parts: int = 1024) -> DataFrame:
+    """(group, place, value): the value at each place of `wanted` (group, place), from 0 in a group's ascending order.
+
+    Nothing is sorted: the values between a place's bounds are counted in `parts` equal parts, the one
+    that holds the place gives the next bounds, the least and the greatest value in it, until these are equal.
+    Each turn is one aggregation with counts combined before the shuffle, however many rows a group
+    has and however often a value comes. `wanted` is sent to all tasks: a few places of groups that are few by nature, such as
+    classes. Null groups, null values and NaN don't count; a place beyond a group's values has no row.
+    """
+    v = F.col("_v")
+    own = rows.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).where(F.col("_g").isNotNull() & v.isNotNull() & ~F.isnan(v))
+    ends = own.groupBy("_g").agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count("*").alias("n"))
+    state = wanted.select(F.col(group).alias("_g"), "place").distinct().join(ends, "_g").where("place < n")
+    state = checkpoint(state.select("_g", "place", F.col("place").alias("rank"), "lo", "hi"))
+    while not (wide := state.where("lo < hi")).isEmpty():
+        part = F.least(F.lit(parts - 1), F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts)).alias("part")
+        counted = own.join(F.broadcast(wide), "_g").where(v.between(F.col("lo"), F.col("hi"))).groupBy("_g", "place", "rank", part)
+        counted = counted.agg(F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+        before = F.sum("n").over(Window.partitionBy("_g", "place").orderBy("part")) - F.col("n")
+        narrowed = counted.withColumn("before", before).where("rank >= before and rank < before + n")
+        state = checkpoint(state.where("lo >= hi").unionByName(narrowed.select("_g", "place", (F.col("rank") - F.col("before")).alias("rank"), "lo", "hi")))
+    return state.select(F.col("_g").alias(group), "place", F.col("lo").alias(value))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ScoringConfig
+from ..session import checkpoint
 from .integrity import match_report, require_clean
-from .ordering import numbered_by
+from .ordering import values_at
 
 
 def jitter_component(a: Column, b: Column, c: Column) -> Column:
@@ -57,12 +58,9 @@ def checked_score(matches: DataFrame, current: DataFrame, previous: DataFrame, i
 def score_summary(scored: DataFrame) -> DataFrame:
     """mean_s, upper_median_s (of an even number the upper of the middle two), n_scored, over non-null scores.
 
-    The median is the row at the middle place of a global order, which no task sees whole; equal
-    scores are told apart by the other columns of the order, so a frequent one fills no task.
+    The median is selected by counts that narrow its range (`values_at`), not by a sort.
     """
-    rows = scored.where("stability is not null")
-    ties = [c for c in ("image_id", "box_id_t") if c in rows.columns]
-    placed = numbered_by(rows.select("stability", *ties), "stability", *ties)
-    upper = placed.where(F.col("position") == placed.count() // 2)
-    means = rows.agg(F.avg("stability").alias("mean_s"), F.count("*").alias("n_scored"))
+    rows = scored.where("stability is not null").select(F.lit(0).alias("_all"), "stability")
+    means = checkpoint(rows.agg(F.avg("stability").alias("mean_s"), F.count("*").alias("n_scored")))
+    upper = values_at(rows, "_all", "stability", means.select(F.lit(0).alias("_all"), F.expr("n_scored div 2").alias("place")))
     return means.join(upper.select(F.col("stability").alias("upper_median_s")), how="left")

@@ -486,6 +486,22 @@ def test_medians_by_place_are_true_medians(spark):
         assert got[c].median_all == pytest.approx(statistics.median(own)) and got[c].median_admitted == (pytest.approx(statistics.median(high)) if high else None)
 
 
+def test_values_at_places_without_a_sort(spark):
+    """Against sorting: ties, two values, negative and huge ranges, groups of one; few parts ask for many turns."""
+    import random
+
+    from boxtide.operators.ordering import values_at
+
+    rng = random.Random(9)
+    groups = {1: [rng.random() for _ in range(400)], 2: [0.5] * 300 + [0.25], 3: [7.0], 4: [-1e300, 1e-300, 0.0, -0.5, 1e300], 5: [rng.choice([0.1, 0.1 + 1e-16, 0.2]) for _ in range(99)]}
+    rows = spark.createDataFrame([(g, x) for g, v in groups.items() for x in v] + [(None, 1.0), (1, None), (1, float("nan"))], "g long, v double").repartition(5)
+    wanted = [(g, k) for g, v in groups.items() for k in {0, len(v) // 3, len(v) // 2, len(v) - 1, len(v)}] + [(9, 0)]
+    for parts in (2, 1024):
+        found = values_at(rows, "g", "v", spark.createDataFrame(wanted, "g long, place long"), parts)
+        assert {(r.g, r.place): r.v for r in found.collect()} == {(g, k): sorted(groups[g])[k] for g, k in wanted if g in groups and k < len(groups[g])}
+    assert values_at(rows.limit(0), "g", "v", spark.createDataFrame(wanted, "g long, place long")).count() == 0
+
+
 def test_bank_rows_fill_gaps(spark):
     d = one(spark, (A, 0), (FAR, 1))
     scored = admission.admit(scoring.score(matching.match(d, one(spark, (A, 0), r=0))), admission.dual_gate()).where("box_id_t = 'b1_0'")
