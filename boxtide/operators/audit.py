@@ -40,7 +40,7 @@ def class_audit(detections: DataFrame, tau: float, class_names: list[str], media
 def class_medians(detections: DataFrame, tau: float) -> DataFrame:
     """pred_class, median_all, median_admitted. Within a class the admitted boxes are the last ones by confidence."""
     c = F.col("confidence")
-    rows = detections.where(F.col("pred_class").isNotNull() & c.isNotNull() & ~F.isnan(c)).select("pred_class", "confidence")
+    rows = checkpoint(detections.where(F.col("pred_class").isNotNull() & c.isNotNull() & ~F.isnan(c)).select("pred_class", "confidence"))
     sizes = checkpoint(rows.groupBy("pred_class").agg(F.count("*").alias("_n"), F.count_if(at_least(c, tau)).alias("_k")))
     n, k = F.col("_n"), F.col("_k")
     middle = {"all": (F.lit(0), n), "admitted": (n - k, k)}

@@ -49,7 +49,9 @@ def values_at(rows: DataFrame, group: str, value: str, wanted: DataFrame, parts:
     that holds the place gives the next bounds, the least and the greatest value in it, until these are equal.
     Each turn is one aggregation with counts combined before the shuffle, however many rows a group
     has and however often a value comes. `wanted` is sent to all tasks: a few places of groups that are few by nature, such as
-    classes. Null groups, null values and NaN don't count; a place beyond a group's values has no row.
+    classes. `rows` is read once a turn, some three or four times for numbers without order in their
+    digits: give a table or a checkpointed frame. Null groups, null values and NaN don't count; a place
+    beyond a group's values has no row.
     """
     v = F.col("_v")
     own = rows.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).where(F.col("_g").isNotNull() & v.isNotNull() & ~F.isnan(v))

@@ -60,7 +60,7 @@ def score_summary(scored: DataFrame) -> DataFrame:
 
     The median is selected by counts that narrow its range (`values_at`), not by a sort.
     """
-    rows = scored.where("stability is not null").select(F.lit(0).alias("_all"), "stability")
+    rows = checkpoint(scored.where("stability is not null").select(F.lit(0).alias("_all"), "stability"))
     means = checkpoint(rows.agg(F.avg("stability").alias("mean_s"), F.count("*").alias("n_scored")))
     upper = values_at(rows, "_all", "stability", means.select(F.lit(0).alias("_all"), F.expr("n_scored div 2").alias("place")))
     return means.join(upper.select(F.col("stability").alias("upper_median_s")), how="left")
