@@ -1,8 +1,12 @@
-"""The scalar functions as SQL functions, visible to Catalyst."""
+"""The functions in SQL: scalar ones, visible to Catalyst, and the assignment as a function of a table."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Row, SparkSession
+from pyspark.sql.functions import udtf
 
 BOX = "STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>"
 
@@ -34,8 +38,49 @@ FUNCTIONS = {
 }
 
 
+EDGES = {
+    "image_id": pa.string(),
+    "box_id_t": pa.string(),
+    "box_id_prev": pa.string(),
+    "iou": pa.float64(),
+    "js": pa.float64(),
+    "pred_class_t": pa.int32(),
+    "pred_class_prev": pa.int32(),
+    "confidence": pa.float64(),
+    "cost": pa.float64(),
+}
+
+
+class Assign:
+    """`select * from assign(table(edges) partition by image_id order by (box_id_t, box_id_prev), 0.05)`.
+
+    The table has the columns of `candidate_edges` with `keep_lonely`, in any order, others beside them are
+    dropped; the number is epsilon_match. Rows are those of `match`. An instance holds one image's edges.
+    """
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.epsilon = 0.05
+
+    def eval(self, edge: Row, epsilon: float) -> None:
+        self.epsilon = float(epsilon)
+        self.rows.append(tuple(edge[name] for name in EDGES))
+
+    def terminate(self) -> Iterator[tuple]:
+        from ..operators.matching import MATCH_FIELDS, match_images
+
+        if self.rows:
+            columns = zip(*self.rows, strict=True)
+            edges = pa.table([pa.array(c, kind) for c, kind in zip(columns, EDGES.values(), strict=True)], names=list(EDGES))
+            matched = match_images(edges, self.epsilon)
+            yield from zip(*(matched[name].to_pylist() for name in MATCH_FIELDS), strict=True)
+
+
 def register(spark: SparkSession) -> list[str]:
     """Creates the temporary functions in the session; their names."""
+    from ..operators.matching import MATCHES
+
+    spark.udtf.register("assign", udtf(Assign, returnType=MATCHES))
     for name, (arguments, kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")
-    return list(FUNCTIONS)
+    return [*FUNCTIONS, "assign"]

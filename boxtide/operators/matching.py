@@ -1,12 +1,13 @@
 """Boxes of one round against boxes of the round before: gated edges, assignment, status.
 
 All of it is partitioned by image: the gated join is the only shuffle, and the exact
-one-to-one assignment runs on its sorted partitions in Arrow batches. A whole image must fit in
-a task, which the detector's cap on boxes per image guarantees.
+one-to-one assignment runs on its sorted partitions in Arrow batches, by connected blocks of an
+image's candidate graph and on their edges alone. What a task must hold is an image's edges.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +19,13 @@ from pyspark.sql import functions as F
 from ..functions.distributions import js_of_normalised, normalize
 from ..functions.geometry import iou
 from ..schema import MatchingConfig
+from .ordering import whole_groups
 
 MATCHES = (
     "image_id string, box_id_t string, box_id_prev string, status string, iou double, js double,"
     " pred_class_t int, pred_class_prev int, confidence double, candidates int, cost_gap double"
 )
+MATCH_FIELDS = [field.split()[0] for field in MATCHES.split(",")]
 
 
 def image_alignment(images_t: DataFrame, images_prev: DataFrame) -> DataFrame:
@@ -76,42 +79,98 @@ def two_best_costs(edges: DataFrame) -> DataFrame:
     )
 
 
-def least_cost_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of as many rows and columns as possible, of least total cost; NaN marks what can't be paired.
+def connected_blocks(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """For each edge (row, col) the number of its block: edges that share a row or column are in one."""
+    n = int(row.max()) + 1 if len(row) else 0
+    root = np.arange(n + (int(col.max()) + 1 if len(col) else 0))
+    while True:
+        a, b = root[row], root[n + col]
+        apart = a != b
+        if not apart.any():
+            return a
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def least_cost_edges(row: np.ndarray, col: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Which edges pair as many rows with columns as can be, one to one, at least total cost; a NaN cost pairs nothing.
+
+    Each connected block is solved by itself, with memory and work in its edges alone: no grid of
+    its rows and columns is made.
+    """
+    taken = np.zeros(len(row), bool)
+    real = np.flatnonzero(~np.isnan(cost))
+    block = connected_blocks(row[real], col[real])
+    order = real[np.argsort(block, kind="stable")]
+    edge = np.flatnonzero(np.r_[True, np.diff(np.sort(block)) != 0, True]) if len(real) else np.zeros(1, int)
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        at = order[lo:hi]
+        rs, r = np.unique(row[at], return_inverse=True)
+        cs, c = np.unique(col[at], return_inverse=True)
+        if len(rs) > len(cs):
+            r, c = c, r
+        taken[at[_solved_block(r, c, cost[at])]] = True
+    return taken
+
 
-    Shortest augmenting paths with potentials. Missing pairs cost more than any
-    set of others can save, so the number of real pairs comes first.
+def _solved_block(row: np.ndarray, col: np.ndarray, cost: np.ndarray) -> list[int]:
+    """Places of the chosen edges of one block with no more rows than columns.
+
+    Each row in turn takes the shortest augmenting path, with potentials that keep reduced costs
+    from falling below zero. Rows come spread over the block, by a golden-section sequence, so that all but the last ones
+    meet short stretches of others: in the order of a chain each would walk through all before it. A row may stay alone at a price above what any set of others can save,
+    so that the number of pairs comes first.
     """
-    turned = cost.shape[0] > cost.shape[1]
-    c = cost.T if turned else cost
-    n, m = c.shape
-    known = c[~np.isnan(c)]
-    big = float(np.abs(known).sum()) + 1 if known.size <= 64 else float((known.max() - min(known.min(), 0)) * 2 * n + 1)
-    full = np.where(np.isnan(c), big, c)
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    row_of = np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        row_of[0], j0 = i, 0
-        least, back, done = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+    n = int(row.max()) + 1
+    alone = float(cost.max() - cost.min()) * (n + 1) + 1
+    edges: list[list[tuple[int, float, int]]] = [[] for _ in range(n)]
+    for k, (i, j, c) in enumerate(zip(row.tolist(), col.tolist(), (cost - cost.min()).tolist(), strict=True)):
+        edges[i].append((j, c, k))
+    for i in range(n):
+        edges[i].append((-1 - i, alone, -1))
+    of_row, of_column = [0.0] * n, {}
+    holder: dict[int, int] = {}
+    held: list[tuple[int, int]] = [(0, -1)] * n
+    for i in np.argsort(np.arange(n) * 0.6180339887498949 % 1, kind="stable").tolist():
+        least: dict[int, float] = {}
+        back: dict[int, tuple[int, int]] = {}
+        done: dict[int, float] = {}
+        open_columns: list[tuple[float, int]] = []
+        at, length = i, 0.0
+        while True:
+            for j, c, k in edges[at]:
+                reached = length + max(c - of_row[at] - of_column.get(j, 0.0), 0.0)
+                if j not in done and reached < least.get(j, np.inf):
+                    least[j], back[j] = reached, (at, k)
+                    heapq.heappush(open_columns, (reached, j))
+            while True:
+                length, end = heapq.heappop(open_columns)
+                if end not in done and length == least[end]:
+                    break
+            if end not in holder:
+                break
+            done[end] = length
+            at = holder[end]
+        of_row[i] += length
+        for j, reached in done.items():
+            of_column[j] = of_column.get(j, 0.0) - (length - reached)
+            of_row[holder[j]] += length - reached
         while True:
-            done[j0] = True
-            i0 = row_of[j0]
-            reduced = full[i0 - 1] - u[i0] - v[1:]
-            better = ~done[1:] & (reduced < least[1:])
-            least[1:][better], back[1:][better] = reduced[better], j0
-            j1 = int(np.where(done[1:], np.inf, least[1:]).argmin()) + 1
-            step = least[j1]
-            u[row_of[done]] += step
-            v[done] -= step
-            least[1:][~done[1:]] -= step
-            j0 = j1
-            if row_of[j0] == 0:
+            at, k = back[end]
+            before = held[at][0]
+            holder[end], held[at] = at, (end, k)
+            if at == i:
                 break
-        while j0:
-            row_of[j0], j0 = row_of[back[j0]], back[j0]
-    pairs = [(int(row_of[j]) - 1, j - 1) for j in range(1, m + 1) if row_of[j]]
-    pairs = [(i, j) for i, j in pairs if not np.isnan(c[i, j])]
-    return sorted((j, i) for i, j in pairs) if turned else sorted(pairs)
+            end = before
+    return [k for _, k in held if k >= 0]
+
+
+def least_cost_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
+    """The same for a grid of costs, where NaN marks what can't be paired: pairs (row, column)."""
+    i, j = np.nonzero(~np.isnan(cost))
+    taken = least_cost_edges(i, j, cost[i, j])
+    return list(zip(i[taken].tolist(), j[taken].tolist(), strict=True))
 
 
 def _codes(column: pa.Array) -> np.ndarray:
@@ -120,7 +179,7 @@ def _codes(column: pa.Array) -> np.ndarray:
     return pc.fill_null(encoded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _match_images(rows: pa.Table, epsilon: float) -> pa.Table:
+def match_images(rows: pa.Table, epsilon: float) -> pa.Table:
     """Of whole images, sorted by image, current and previous box: a row a current box."""
     image, t, p = _codes(rows["image_id"]), _codes(rows["box_id_t"]), _codes(rows["box_id_prev"])
     cost = rows["cost"].to_numpy()
@@ -132,16 +191,8 @@ def _match_images(rows: pa.Table, epsilon: float) -> pa.Table:
     degree_t, degree_p = np.bincount(row, real), np.bincount(col, real)
     taken = real & (degree_t[row] == 1) & (degree_p[col] == 1)
     hard = real & ~taken
-    edge = np.flatnonzero(np.r_[True, image[1:] != image[:-1], True])
-    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        at = np.flatnonzero(hard[lo:hi]) + lo
-        if len(at):
-            rs, r = np.unique(row[at], return_inverse=True)
-            cs, c = np.unique(col[at], return_inverse=True)
-            grid, place = np.full((len(rs), len(cs)), np.nan), np.zeros((len(rs), len(cs)), int)
-            grid[r, c], place[r, c] = cost[at], at
-            for i, j in least_cost_assignment(grid):
-                taken[place[i, j]] = True
+    at = np.flatnonzero(hard)
+    taken[at[least_cost_edges(row[at], col[at], cost[at])]] = True
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     order = np.lexsort((cost, row))
     second = np.where(degree_t > 1, first + 1, first)
@@ -186,20 +237,8 @@ def match(current: DataFrame, previous: DataFrame, config: MatchingConfig = Matc
     epsilon = config.epsilon_match
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for b in batches:
-            now = pa.Table.from_batches([b])
-            now = pa.concat_tables([held, now]) if held is not None else now
-            if not now.num_rows:
-                continue
-            images = now["image_id"].combine_chunks()
-            last = pc.not_equal(images, images[-1])
-            whole = pc.sum(last).as_py() or 0
-            if whole:
-                yield from _match_images(now.slice(0, whole), epsilon).to_batches()
-            held = now.slice(whole)
-        if held is not None and held.num_rows:
-            yield from _match_images(held, epsilon).to_batches()
+        for images in whole_groups(batches, "image_id"):
+            yield from match_images(images, epsilon).to_batches()
 
     return sorted_edges.mapInArrow(assign, MATCHES)
 

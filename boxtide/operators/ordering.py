@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +29,23 @@ def numbered_by(df: DataFrame, *order: str) -> DataFrame:
     return dealt.withColumn("_part", part).join(before, "_part").withColumn("position", F.col("_before") + within).drop("_at", "_part", "_before")
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows sorted by `key`, batch by batch, as tables that cut no group in two; many small groups share a table."""
+    held: pa.Table | None = None
+    for b in batches:
+        now = pa.Table.from_batches([b])
+        now = pa.concat_tables([held, now]) if held is not None else now
+        if not now.num_rows:
+            continue
+        groups = now[key].combine_chunks()
+        whole = pc.sum(pc.not_equal(groups, groups[-1])).as_py() or 0
+        if whole:
+            yield now.slice(0, whole)
+        held = now.slice(whole)
+    if held is not None and held.num_rows:
+        yield held
+
+
 def batches(images: DataFrame, size: int, key: str = "image_id") -> DataFrame:
     """`images` sorted by their key, with batch_id and place: runs of `size` in that order."""
     n = numbered_by(images, key)

@@ -588,6 +588,35 @@ def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
     return t.join(p, ["image_id", "det_index"]).select("box_id_t", "box_id_prev", r6(F.expr("box_iou(t, prev)")).alias("iou"))
 
 
+@query(SQL["assign_pairs"])
+def sql_assign(spark: SparkSession, sf: str) -> DataFrame:
+    """The assignment called from SQL, image by image."""
+    from ..functions.sql import register
+
+    register(spark)
+    edges = matching.candidate_edges(*pair(spark, sf, 1), keep_lonely=True)
+    return spark.sql(
+        """select box_id_t, box_id_prev, round(iou, 6) + 0D as iou, round(js, 6) + 0D as js
+        from assign(table({edges}) partition by image_id order by (box_id_t, box_id_prev), 0.05D) where status = 'matched'""",
+        edges=edges,
+    )
+
+
+@query(f"""with {o.rounds(0, 1)}, {o.edges(1, 0)} select bt as box_id_t, bp as box_id_prev, {q6("js")} as js from e1""")
+def sql_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    """Gated pairs and their divergence, both by SQL functions."""
+    from ..functions.sql import register
+
+    register(spark)
+    t, p = pair(spark, sf, 1)
+    return spark.sql(
+        """select t.box_id as box_id_t, p.box_id as box_id_prev, round(js_divergence(t.class_scores, p.class_scores), 6) + 0D as js
+        from {t} t join {p} p on t.image_id = p.image_id and box_iou(t.box, p.box) >= 0.3D""",
+        t=t,
+        p=p,
+    )
+
+
 def _signals_sql(t: int) -> str:
     drift = DRIFT.format(t=t, r=t - 1).replace("h as", f"h{t} as").replace("hn as", f"hn{t} as").replace("from h)", f"from h{t})")
     return f"""c{t} as ({CHURN.format(t=t, r=t - 1)}), {drift},

@@ -2,6 +2,8 @@
 
 import itertools
 import math
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -97,6 +99,57 @@ def test_large_assignment():
     assert len(got) == 60 and sum(cost[i, j] for i, j in got) <= cost.min(1).sum() + 5
 
 
+def test_blocks_are_connected():
+    row, col = np.array([0, 0, 1, 2, 3, 4]), np.array([0, 1, 1, 2, 3, 3])
+    b = matching.connected_blocks(row, col)
+    assert b[0] == b[1] == b[2] and b[4] == b[5] and len({b[0], b[3], b[4]}) == 3
+    assert matching.connected_blocks(row[:0], col[:0]).size == 0
+
+
+@pytest.mark.parametrize("extra", [0, 1])
+def test_chains_of_an_image_take_memory_of_their_edges(extra):
+    """20,000 boxes in one chain, each near two of the round before, and in chains of forty; a grid would have 4 * 10^8 cells."""
+    n, rng = 20_000, np.random.default_rng(extra)
+    row = np.repeat(np.arange(n), 2)
+    col = row + np.tile([0, 1], n)
+    if extra:
+        row, col = col, row
+    cost = rng.random(2 * n)
+    tracemalloc.start()
+    begun = time.perf_counter()
+    taken = matching.least_cost_edges(row, col, cost)
+    assert time.perf_counter() - begun < 20 and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert taken.sum() == n == len(set(row[taken])) == len(set(col[taken]))
+    # The one that stays free decides all others: the best total by sums from both ends.
+    low, high = (cost[0::2], cost[1::2])
+    best = (np.r_[0, np.cumsum(low)] + np.r_[np.cumsum(high[::-1])[::-1], 0]).min()
+    assert cost[taken].sum() == pytest.approx(best)
+    keep = row // 40 == col // 40
+    apart = matching.least_cost_edges(row[keep], col[keep], cost[keep])
+    assert apart.sum() == n == len(set(row[keep][apart]))
+
+
+def test_edges_without_a_cost_or_given_twice():
+    row, col = np.array([0, 0, 0, 1]), np.array([0, 0, 1, 1])
+    assert matching.least_cost_edges(row, col, np.array([0.5, 0.2, np.nan, 0.1])).tolist() == [False, True, False, True]
+    assert not matching.least_cost_edges(row, col, np.full(4, np.nan)).any()
+    assert matching.least_cost_edges(row[:0], col[:0], np.zeros(0)).size == 0
+
+
+def test_sql_assignment_equals_the_operator(spark):
+    from boxtide.functions.sql import register
+
+    register(spark)
+    rng = np.random.default_rng(5)
+    boxes = lambda r, n: pool(spark, [(f"i{k % 7}", f"{r}_{k}", (x, y, x + 60, y + 60), int(k % 3), 0.5) for k, (x, y) in enumerate(rng.integers(0, 120, (n, 2)))], r)
+    t, p = boxes(1, 90).persist(), boxes(0, 80).persist()
+    edges = matching.candidate_edges(t, p, keep_lonely=True).withColumn("another", F.lit(1))
+    got = spark.sql("select * from assign(table({edges}) partition by image_id order by (box_id_t, box_id_prev), 0.05D)", edges=edges)
+    assert sorted(map(str, got.collect())) == sorted(map(str, matching.match(t, p).collect()))
+    assert spark.sql("select * from assign(table({edges}) partition by image_id, 0.05D)", edges=edges.where("false")).count() == 0
+
+
 def test_every_box_once(spark):
     rng = np.random.default_rng(1)
     boxes = lambda r, n: pool(spark, [(f"i{k % 7}", f"{r}_{k}", (x, y, x + 60, y + 60), int(k % 3), 0.5) for k, (x, y) in enumerate(rng.integers(0, 120, (n, 2)))], r)
