@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +17,10 @@ from ..functions.geometry import centre_to_corners, letterbox
 from ..functions.names import box_id
 from ..schema import BOX
 from ..sources.files import default_root, located
-from .ordering import batches
+from .ordering import batches, whole_groups
 
 Detector = Callable[[pd.DataFrame], pd.DataFrame | list[pd.DataFrame]]
+CORNERS = ("x1", "y1", "x2", "y2")
 Decode = Callable[[bytes], np.ndarray | None]
 
 
@@ -33,17 +35,115 @@ def nearest_anchors(kept: DataFrame, anchors: DataFrame, size: int = 640) -> Dat
     """For each kept box (image_id, det_index, box, width, height) its nearest anchor of the image and that one's scores.
 
     Distances are taken over the four corners in the letterboxed image; of equally near
-    anchors the first counts. The join is on the image, with a running minimum in place of
-    a sort, so no task holds more than a row a box. Scores are joined after the choice.
+    anchors the first counts. Boxes and anchors are dealt out once by image, without scores, and a grid
+    over the upper left corners bounds what can be nearest, so pairs of an image are not joined; a task
+    holds an image's corners. Scores are joined after the choice. A box with a corner that is null or not finite, or in an image
+    whose anchors all have one, gets the image's first anchor at a null distance; images without anchors have
+    no row. det_index and anchor_id are whole numbers.
     """
-    b = kept.withColumn("_lb", letterbox(F.col("box"), F.col("width"), F.col("height"), F.lit(float(size))))
-    pairs = b.select("image_id", "det_index", "_lb").join(anchors.select("image_id", "anchor_id", "anchor_box"), "image_id")
-    d2 = sum(((F.col(f"_lb.{c}") - F.col(f"anchor_box.{c}")) * (F.col(f"_lb.{c}") - F.col(f"anchor_box.{c}")) for c in ("x1", "y1", "x2", "y2")), F.lit(0.0))
-    best = pairs.groupBy("image_id", "det_index").agg(F.min(F.struct(d2.alias("d2"), "anchor_id")).alias("m"))
-    best = best.select("image_id", "det_index", F.col("m.anchor_id").alias("anchor_id"), F.sqrt("m.d2").alias("distance"))
+    boxes = kept.select("image_id", F.lit(True).alias("is_box"), F.col("det_index").cast("long").alias("place"), letterbox(F.col("box"), F.col("width"), F.col("height"), F.lit(float(size))).alias("b"))
+    points = anchors.select("image_id", F.lit(False).alias("is_box"), F.col("anchor_id").cast("long").alias("place"), F.col("anchor_box").alias("b"))
+    rows = boxes.unionByName(points).where(F.col("image_id").isNotNull()).select("image_id", "is_box", "place", *[F.col(f"b.{c}").cast("double").alias(c) for c in CORNERS])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for images in whole_groups(batches, "image_id"):
+            yield from _nearest_of_images(images).to_batches()
+
+    kinds = dict(kept.select("image_id", "det_index").dtypes) | dict(anchors.select("anchor_id").dtypes)
+    best = rows.repartition("image_id").sortWithinPartitions("image_id").mapInArrow(choose, f"image_id {kinds['image_id']}, det_index long, anchor_id long, distance double")
+    best = best.select("image_id", F.col("det_index").cast(kinds["det_index"]).alias("det_index"), F.col("anchor_id").cast(kinds["anchor_id"]).alias("anchor_id"), "distance")
     return best.join(anchors.select("image_id", "anchor_id", "class_scores"), ["image_id", "anchor_id"])
 
 
+def _nearest_of_images(rows: pa.Table) -> pa.Table:
+    """Of whole images (image_id, is_box, place, corners): a row a box with its nearest anchor."""
+    ids = pc.dictionary_encode(rows["image_id"].combine_chunks())
+    image, place = ids.indices.to_numpy().astype(np.int64), rows["place"].to_numpy()
+    is_box = rows["is_box"].to_numpy()
+    corners = np.stack([pc.fill_null(rows[c], np.nan).to_numpy() for c in CORNERS], axis=1)
+    finite = np.isfinite(corners).all(1)
+    box, anchor = np.flatnonzero(is_box), np.flatnonzero(~is_box)
+    anchor = anchor[np.lexsort((place[anchor], image[anchor]))]
+    first = np.full(len(ids.dictionary), -1, np.int64)
+    first[image[anchor][::-1]] = anchor[::-1]
+    chosen, distance = first[image[box]], np.full(len(box), np.nan)
+    asked, given = np.flatnonzero(finite[box]), anchor[finite[anchor]]
+    near, d2, _ = nearest_in_grid(image[box][asked], corners[box][asked], image[given], corners[given])
+    hit = near >= 0
+    chosen[asked[hit]], distance[asked[hit]] = given[near[hit]], np.sqrt(d2[hit])
+    some = chosen >= 0
+    box, chosen, distance = box[some], chosen[some], distance[some]
+    return pa.table({"image_id": rows["image_id"].take(pa.array(box)), "det_index": pa.array(place[box]), "anchor_id": pa.array(place[chosen]), "distance": pa.array(distance, mask=np.isnan(distance))})
+
+
+def nearest_in_grid(group: np.ndarray, boxes: np.ndarray, of_group: np.ndarray, anchors: np.ndarray, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each row of `boxes` (n, 4) the place of the nearest of `anchors` (m, 4) in its group, the squared distance, and the pairs touched.
+
+    Groups are numbers; -1 and infinity where a group has no anchor; of equally near anchors the first.
+    Anchors lie in cells by their first two coordinates, some one a cell. A box looks at a window of cells round
+    its own and is done once nothing beyond can be as near, or the window holds its whole group;
+    else the window's radius doubles. Rows of cells lie together, so a window is one range a row. At most `at_once`
+    pairs, or one box's, are held.
+    """
+    n, m = len(boxes), len(anchors)
+    near, best, touched = np.full(n, -1, np.int64), np.full(n, np.inf), 0
+    if not n or not m:
+        return near, best, touched
+    groups = int(max(group.max(), of_group.max())) + 1
+    count = np.bincount(of_group, minlength=groups)
+    low, high = np.full((groups, 2), np.inf), np.full((groups, 2), -np.inf)
+    np.minimum.at(low, of_group, anchors[:, :2])
+    np.maximum.at(high, of_group, anchors[:, :2])
+    low, high = np.where(count[:, None] > 0, low, 0.0), np.where(count[:, None] > 0, high, 0.0)
+    side = (high - low).max(1) / np.ceil(np.sqrt(np.maximum(count, 1)))
+    side = np.where(side > 0, side, 1.0)
+    last = ((high - low) / side[:, None]).astype(np.int64)
+    wide = int(np.ceil(np.sqrt(count.max()))) + 2
+    cell = np.minimum(((anchors[:, :2] - low[of_group]) / side[of_group, None]).astype(np.int64), wide - 1)
+    key = (of_group * wide + cell[:, 1]) * wide + cell[:, 0]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    own = np.clip(np.floor((boxes[:, :2] - low[group]) / side[group, None]), -1, wide).astype(np.int64)
+    left, radius = np.flatnonzero(count[group] > 0), 0
+    while len(left):
+        c, g = own[left], group[left]
+        rows_from, rows_to = np.clip(c[:, 1] - radius, 0, wide), np.clip(c[:, 1] + radius + 1, 0, wide)
+        per = np.maximum(rows_to - rows_from, 0)
+        of = np.repeat(np.arange(len(left)), per)
+        y = rows_from[of] + _counted(per)
+        base = (g[of] * wide + y) * wide
+        lo = np.searchsorted(key, base + np.clip(c[of, 0] - radius, 0, wide))
+        hi = np.searchsorted(key, base + np.clip(c[of, 0] + radius + 1, 0, wide))
+        width = np.maximum(hi - lo, 0)
+        pairs = np.bincount(of, width, minlength=len(left)).astype(np.int64)
+        touched += int(pairs.sum())
+        ends = np.cumsum(pairs)
+        start = 0
+        while start < len(left):
+            stop = max(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + at_once, side="right")), start + 1)
+            segment = slice(*np.searchsorted(of, [start, stop]))
+            w = width[segment]
+            b = left[np.repeat(of[segment], w)]
+            a = order[np.repeat(lo[segment], w) + _counted(w)]
+            d2 = ((boxes[b] - anchors[a]) ** 2).sum(1)
+            ranked = np.lexsort((a, d2, b))
+            head = ranked[np.flatnonzero(np.r_[True, np.diff(b[ranked]) != 0])] if len(b) else ranked
+            near[b[head]], best[b[head]] = a[head], d2[head]
+            start = stop
+        edge = low[g] + (c - radius) * side[g, None]
+        below = np.where(c - radius > 0, boxes[left, :2] - edge, np.inf)
+        above = np.where(c + radius < last[g], edge + (2 * radius + 1) * side[g, None] - boxes[left, :2], np.inf)
+        margin = np.maximum(np.minimum(below, above).min(1), 0)
+        done = (best[left] < (margin * (1 - 1e-9)) ** 2) | (pairs == count[g])
+        left, radius = left[~done], max(1, 2 * radius)
+    return near, best, touched
+
+
+def _counted(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each size in turn."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", value: str = "embedding", queries_at_once: int = 4096) -> DataFrame:
     """(query, nearest, distance) over all `vectors` but the query itself; ties by key.
 

@@ -312,6 +312,66 @@ def test_ranges_of_annotations(spark, tmp_path):
         documents.annotation_ranges(spark, str(tmp_path))[0].collect()
 
 
+def grid_by_force(group, boxes, of_group, anchors):
+    d2 = ((boxes[:, None] - anchors[None]) ** 2).sum(2)
+    d2[group[:, None] != of_group[None]] = np.inf
+    near = d2.argmin(1)
+    return np.where(np.isfinite(d2.min(1)), near, -1), d2.min(1)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_nearest_in_grid_is_exact(seed):
+    """Scattered, clustered and equal anchors, boxes far outside of them, groups without anchors or with one."""
+    rng = np.random.default_rng(seed)
+    n, m = 120, 260
+    group, of_group = rng.integers(0, 6, n), np.minimum(rng.integers(0, 5, m), 4)
+    of_group[of_group == 3] = 2
+    of_group[0] = 3
+    span = (640, 1, 3, 1e-3)[seed % 4]
+    anchors = np.round(rng.random((m, 4)) * span, 0 if seed % 4 == 2 else 12)
+    boxes = np.round((rng.random((n, 4)) * 3 - 1) * span, 0 if seed % 4 == 2 else 12)
+    if seed > 3:
+        anchors[: m // 2, :2] = anchors[0, :2]
+        boxes[0] = 1e6
+    want, far = grid_by_force(group, boxes, of_group, anchors)
+    for at_once in (1, 50, 1 << 20):
+        near, d2, _ = inference.nearest_in_grid(group, boxes, of_group, anchors, at_once)
+        assert near.tolist() == want.tolist() and np.array_equal(d2, far)
+    assert inference.nearest_in_grid(group[:0], boxes[:0], of_group, anchors)[2] == inference.nearest_in_grid(group, boxes, of_group[:0], anchors[:0])[2] == 0
+
+
+def test_nearest_anchors_touch_few_pairs():
+    """8,400 anchors and 300 boxes that a detector made of them: of 2.5 million pairs a fiftieth at most."""
+    rng = np.random.default_rng(1)
+    anchors = np.concatenate([np.stack(np.meshgrid(np.arange(s / 2, 640, s), np.arange(s / 2, 640, s)), -1).reshape(-1, 2) for s in (8, 16, 32)])
+    assert len(anchors) == 8400
+    half = rng.random((8400, 2)) * 60 + 4
+    anchors = np.concatenate([anchors - half, anchors + half], 1)
+    boxes = anchors[rng.choice(8400, 300)] + rng.normal(0, 0.5, (300, 4))
+    zero = np.zeros(8400, int)
+    near, d2, touched = inference.nearest_in_grid(zero[:300], boxes, zero, anchors)
+    want, far = grid_by_force(zero[:300], boxes, zero, anchors)
+    assert near.tolist() == want.tolist() and touched <= 300 * 8400 / 50
+
+
+def test_nearest_anchors_on_odd_rows(spark):
+    nan = float("nan")
+    side = "struct<x1:double,y1:double,x2:double,y2:double>"
+    kept = spark.createDataFrame(
+        [("a", 0, (0.0, 0.0, 9.0, 9.0), 640, 640), ("a", 1, None, 640, 640), ("a", 2, (nan, 0.0, 1.0, 1.0), 640, 640), ("b", 0, (1.0, 1.0, 2.0, 2.0), 640, 640), ("c", 0, (1.0, 1.0, 2.0, 2.0), 640, 640), (None, 0, (1.0, 1.0, 2.0, 2.0), 640, 640)],
+        f"image_id string, det_index int, box {side}, width int, height int",
+    )
+    anchors = spark.createDataFrame(
+        [("a", 7, (0.0, 0.0, 9.0, 9.0), [1.0]), ("a", 5, (0.0, 0.0, 9.0, 9.0), [2.0]), ("a", 3, (500.0, 0.0, 9.0, 9.0), [3.0]), ("b", 1, None, [4.0]), (None, 1, (1.0, 1.0, 2.0, 2.0), [5.0])],
+        f"image_id string, anchor_id int, anchor_box {side}, class_scores array<double>",
+    ).withColumn("is_box", F.lit("another"))
+    got = inference.nearest_anchors(kept, anchors)
+    assert dict(got.dtypes)["det_index"] == dict(got.dtypes)["anchor_id"] == "int"
+    assert sorted((r.image_id, r.det_index, r.anchor_id, r.distance, r.class_scores[0]) for r in got.collect() if r.distance is not None) == [("a", 0, 5, 0.0, 2.0)]
+    assert sorted((r.image_id, r.det_index, r.anchor_id, r.class_scores[0]) for r in got.collect() if r.distance is None) == [("a", 1, 3, 3.0), ("a", 2, 3, 3.0), ("b", 0, 1, 4.0)]
+    assert inference.nearest_anchors(kept.where("false"), anchors).count() == inference.nearest_anchors(kept, anchors.where("false")).count() == 0
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8))
