@@ -15,11 +15,12 @@ from ..functions import distributions as dist
 from ..functions import names
 from ..functions.text import label_line
 from ..operators import admission, annotations, dataset, inference, integrity, quality, results, splits
-from ..schema import LoopConfig
+from ..schema import LoopConfig, StoppingConfig
 from ..session import shared_dir
 from ..sources import documents
 from ..sources.store import RoundStore
 from ..streaming.bank_stream import metadata_stream
+from ..streaming.stopping_stream import keep_state_in_files, stopping_stream
 from . import fixtures as fx
 from . import oracle as o
 from .queries import ANN, M1, RESULTS_SQL, SCORED, SQL, eval_rows, q6, query, r6, scored
@@ -414,3 +415,28 @@ def streamed_signals(spark: SparkSession, sf: str) -> DataFrame:
     rows = metadata_stream(spark, store.path).where("round_id > 0").select("round_id", "raw_churn", "stable_yield", "class_drift")
     rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("round_id", r6(F.col("raw_churn")).alias("raw_churn"), r6(F.col("stable_yield")).alias("stable_yield"), F.round("class_drift", 9).alias("class_drift"))
+
+
+@query("""with h as (select 'loop ' || (event_id % 4) as loop, cast(event_id // 100 as integer) + 1 as round_id, count(*) filter (event_type = 'error')::double / count(*) as raw_churn,
+    count(*) filter (event_type = 'click')::double / count(*) as stable_yield, count(*) filter (event_type = 'signup')::double / (4 * count(*)) as class_drift from events group by 1, 2),
+l as (select *, lag(raw_churn) over w as pc, lag(stable_yield) over w as py, lag(class_drift) over w as pd from h window w as (partition by loop order by round_id)),
+x as (select *, coalesce(round_id > 2 and pc is not null and abs(raw_churn - pc) < 0.05 and (abs(stable_yield - py) < 0.06 or stable_yield < 0.05) and (abs(class_drift - pd) < 0.02 or class_drift > 0.1), false) as met from l),
+y as (select *, sum(case when met then 0 else 1 end) over (partition by loop order by round_id) as island from x),
+z as (select *, cast(sum(case when met then 1 else 0 end) over (partition by loop, island order by round_id rows unbounded preceding) as integer) as consecutive from y)
+select loop, round_id, met, consecutive, consecutive >= 2 as stop, coalesce(raw_churn > 0.22 and stable_yield > py, false) as risk_stop from z""")
+def streamed_stops(spark: SparkSession, sf: str) -> DataFrame:
+    """Four loops whose rounds are derived from all events, stopped by rules that keep state.
+
+    The stream is ended after two thirds of the rounds, of which some wait for others, and started again from its checkpoint with the rest.
+    """
+    share = lambda kind, of=1: F.count_if(F.col("event_type") == kind).cast("double") / (of * F.count("*"))
+    keys = (F.concat(F.lit("loop "), (F.col("event_id") % 4).cast("string")).alias("loop"), (F.expr("event_id div 100") + 1).cast("int").alias("round_id"))
+    rounds = fx.read(spark, sf, "events").groupBy(*keys).agg(share("error").alias("raw_churn"), share("click").alias("stable_yield"), share("signup", 4).alias("class_drift"))
+    arrived, out = folder(spark, "rounds"), folder(spark, "stops")
+    keep_state_in_files(spark)
+    config = StoppingConfig(epsilon_churn=0.05, epsilon_yield=0.06, epsilon_drift=0.02, tau_risk_churn=0.22)
+    for part in ("round_id % 3 <> 0", "round_id % 3 = 0"):
+        rounds.where(part).write.mode("append").parquet(arrived)
+        stops = stopping_stream(spark.readStream.schema(rounds.schema).parquet(arrived), config)
+        stops.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)

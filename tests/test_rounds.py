@@ -147,7 +147,7 @@ def test_sql_assignment_equals_the_operator(spark):
     edges = matching.candidate_edges(t, p, keep_lonely=True).withColumn("another", F.lit(1))
     got = spark.sql("select * from assign(table({edges}) partition by image_id order by (box_id_t, box_id_prev), 0.05D)", edges=edges)
     assert sorted(map(str, got.collect())) == sorted(map(str, matching.match(t, p).collect()))
-    assert spark.sql("select * from assign(table({edges}) partition by image_id, 0.05D)", edges=edges.where("false")).count() == 0
+    assert spark.sql("select * from assign(table({edges}) partition by image_id order by (box_id_t, box_id_prev), 0.05D)", edges=edges.where("false")).count() == 0
 
 
 def test_every_box_once(spark):
@@ -572,3 +572,30 @@ def test_stream_of_rounds(spark, tmp_path):
     state, q = watch_rounds(spark, f"{tmp_path}/w", f"{tmp_path}/cp")
     q.awaitTermination(60)
     assert [h[0] for h in state.history] == [1, 2, 3] and state.consecutive == 0
+
+
+def test_stopping_stream_keeps_state_over_restarts(spark, tmp_path):
+    """Rounds in any order, twice or not whole, in three starts of two loops: the stops are those of the whole history."""
+    from boxtide.streaming.stopping_stream import keep_state_in_files, stopping_stream
+
+    keep_state_in_files(spark)
+    rng = np.random.default_rng(4)
+    history = {k: [(k, r, *map(float, 0.1 + rng.random(3) * (0.03, 0.03, 0.01))) for r in range(1, 13)] for k in ("a", "b")}
+    fields = "loop string, round_id int, raw_churn double, stable_yield double, class_drift double"
+    config = StoppingConfig(tau_risk_churn=0.115)
+    parts = [
+        [*history["a"][:4], history["a"][6], (None, 1, 0.1, 0.1, 0.1)],
+        [*history["a"][4:9], ("a", 2, 9.0, 9.0, 9.0), ("a", None, 0.1, 0.1, 0.1), ("a", 10, None, 0.1, 0.1), *history["b"][::-1]],
+        [*history["a"][::-1], *history["b"]],
+    ]
+    for rows in parts:
+        spark.createDataFrame(rows, fields).withColumn("another", F.lit(1)).write.mode("append").parquet(f"{tmp_path}/in")
+        stops = stopping_stream(spark.readStream.schema(f"{fields}, another int").parquet(f"{tmp_path}/in"), config)
+        stops.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    for k, rows in history.items():
+        whole = signals.signal_deltas(spark.createDataFrame(rows, fields), config)
+        assert any(r.stop for r in whole.collect()) and any(r.risk_stop for r in whole.collect())
+        columns = ("round_id", "met", "consecutive", "stop", "risk_stop")
+        assert got.where(F.col("loop") == k).select(*columns).orderBy("round_id").collect() == whole.select(*columns).orderBy("round_id").collect()
+    assert got.where("loop is null").count() == 1
