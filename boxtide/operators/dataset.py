@@ -16,6 +16,7 @@ from ..functions.geometry import normalised_from_corners
 from ..functions.names import stem, suffix
 from ..functions.text import label_line
 from ..session import full_uri
+from ..sources.archives import write_archives
 from ..sources.files import default_root, drop, exists, located, rename, write_text
 
 SUFFIX_ORDER = [".jpg", ".jpeg", ".png"]
@@ -106,6 +107,13 @@ def write_label_files(files: DataFrame, folder: str, skip_empty: bool = True) ->
     return rows.select("partition", "image_id", "lines").mapInPandas(write, "path string")
 
 
+def archive_label_files(files: DataFrame, folder: str, skip_empty: bool = True) -> DataFrame:
+    """`write_label_files` into archives, as `<partition>/<image_id>.txt`, for so many images that a file each is too dear; the manifest."""
+    rows = files.where(F.size("lines") > 0) if skip_empty else files
+    text = F.concat(F.array_join("lines", "\n"), F.when(F.size("lines") > 0, "\n").otherwise(""))
+    return write_archives(rows.select(F.concat_ws("/", "partition", F.concat("image_id", F.lit(".txt"))).alias("name"), text.alias("content")), folder)
+
+
 def copy_files(pairs: DataFrame) -> DataFrame:
     """Copies each (source, target) in the task that holds it; source, target, outcome (copied, missing or kept) of each.
 

@@ -16,7 +16,8 @@ from ..functions.distributions import argmax, softmax, total
 from ..functions.geometry import centre_to_corners, letterbox
 from ..functions.names import box_id
 from ..schema import BOX
-from ..sources.files import default_root, located
+from ..sources.archives import Reader
+from ..sources.files import default_root
 from .ordering import batches, whole_groups
 
 Detector = Callable[[pd.DataFrame], pd.DataFrame | list[pd.DataFrame]]
@@ -209,6 +210,12 @@ def _found(detector: Detector, rows: pd.DataFrame) -> pd.DataFrame:
         out = pd.concat([x.assign(image_id=i) for x, i in zip(out, rows.image_id, strict=True)], ignore_index=True)
     if strange := sorted(set(out.image_id) - set(rows.image_id)):
         raise ValueError(f"the detector gave boxes of {strange[0]}, which is not in its batch")
+    return out
+
+
+def _boxed(found: list[pd.DataFrame]) -> pd.DataFrame:
+    """Rows of FOUND, of what the detector found in some batches."""
+    out = pd.concat(found, ignore_index=True)
     sides = out[["x1", "y1", "x2", "y2"]].astype(float)
     return out.assign(box=sides.to_dict("records"))[["image_id", "det_index", "box", "pred_class", "class_scores", "confidence"]]
 
@@ -231,17 +238,17 @@ def detect(images: DataFrame, detector: Detector, round_id: int, batch: int = 8)
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _found(detector, rows.drop_duplicates("image_id").sort_values("place").reset_index(drop=True))
+        return _boxed([_found(detector, rows.drop_duplicates("image_id").sort_values("place").reset_index(drop=True))])
 
     placed = batches(images.select("image_id").distinct(), batch)
     return _pool(images.join(placed, "image_id").groupBy("batch_id").applyInPandas(run, FOUND), round_id)
 
 
 def detect_files(paths: DataFrame, decode: Decode, detector: Detector, round_id: int, batch: int = 8, run: int = 200, most_tasks: int = 1 << 15) -> DataFrame:
-    """`detect` over image files (image_id, path): read, decoded and given to the detector in one task, batch by batch.
+    """`detect` over image files (image_id, path), archived ones too: read, decoded and given to the detector in one task, batch by batch.
 
     Only ids and paths are shuffled: they are numbered in the order of the ids, and runs of `run` images go to
-    a task each, or several to one beyond `most_tasks`. A task holds the pixels of one batch.
+    a task each, or several to one beyond `most_tasks`. A task holds the pixels of one batch and the boxes of some.
     The batch's frame has image_id, path, width, height, pixels (an array as `decode` gives it) and
     place. Of several paths of an id the first counts. ValueError names an image that can't be read.
     """
@@ -253,13 +260,11 @@ def detect_files(paths: DataFrame, decode: Decode, detector: Detector, round_id:
     dealt = placed.repartitionByRange(min(n, most_tasks), in_run).sortWithinPartitions("batch_id", "place")
     root = default_root(spark)
 
-    def opened(rows: pd.DataFrame) -> pd.DataFrame:
+    def opened(reader: Reader, rows: pd.DataFrame) -> pd.DataFrame:
         pixels = []
         for path in rows.path:
-            fs, own = located(path, root)
             try:
-                with fs.open_input_stream(own) as f:
-                    image = decode(f.read())
+                image = decode(reader.read(path))
             except Exception as e:
                 raise ValueError(f"unreadable image {path}") from e
             if image is None:
@@ -267,16 +272,27 @@ def detect_files(paths: DataFrame, decode: Decode, detector: Detector, round_id:
             pixels.append(image)
         return rows.assign(width=[x.shape[1] for x in pixels], height=[x.shape[0] for x in pixels], pixels=pixels)
 
-    def detected(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole_batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for part in parts:
             part = part if held is None else pd.concat([held, part], ignore_index=True)
-            last = part.batch_id.iloc[-1]
-            for _, rows in part[part.batch_id != last].groupby("batch_id", sort=True):
-                yield _found(detector, opened(rows.reset_index(drop=True)))
-            held = part[part.batch_id == last]
-        if held is not None:
-            yield _found(detector, opened(held.reset_index(drop=True)))
+            edge = [0, *(np.flatnonzero(np.diff(part.batch_id)) + 1).tolist()]
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                yield part.iloc[lo:hi].reset_index(drop=True)
+            held = part.iloc[edge[-1] :]
+        if held is not None and len(held):
+            yield held.reset_index(drop=True)
+
+    def detected(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader, found, n = Reader(root), [], 0
+        for rows in whole_batches(parts):
+            found.append(_found(detector, opened(reader, rows)))
+            n += len(found[-1])
+            if n >= 4096 or len(found) >= 512:
+                yield _boxed(found)
+                found, n = [], 0
+        if found:
+            yield _boxed(found)
 
     return _pool(dealt.select("image_id", "path", "batch_id", "place").mapInPandas(detected, FOUND), round_id)
 

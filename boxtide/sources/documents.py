@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.names import file_name, stem, suffix
 from ..schema import ANNOTATION_DOCUMENT, EVAL_RESULT
 from ..session import checkpoint
+from .archives import archived_contents, archived_files
 from .ranges import array_objects
 
 IMAGE_SUFFIXES = [".jpg", ".jpeg", ".png"]
@@ -83,6 +84,13 @@ def label_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")).where(F.length(F.trim(F.regexp_replace("line", r"\s+", " "))) > 0)
 
 
+def archived_label_lines(spark: SparkSession, path: str) -> DataFrame:
+    """`label_lines` of the text files in a folder's archives."""
+    files = archived_contents(spark, path, [".txt"])
+    lines = files.select("path", F.explode(F.split(F.col("content").cast("string"), "\r\n|\r|\n")).alias("line"))
+    return lines.where(F.length(F.trim(F.regexp_replace("line", r"\s+", " "))) > 0)
+
+
 def label_boxes(lines: DataFrame) -> DataFrame:
     """stem, class_id, cx, cy, w, h of label lines; null where a token isn't a number."""
     t = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
@@ -96,6 +104,11 @@ def image_files(spark: SparkSession, path: str, suffixes: list[str] = IMAGE_SUFF
     return files.where(suffix(F.col("path")).isin(*suffixes)).withColumn("stem", stem(F.col("path")))
 
 
+def archived_images(spark: SparkSession, path: str, suffixes: list[str] = IMAGE_SUFFIXES) -> DataFrame:
+    """`image_files` of a folder's archives."""
+    return archived_files(spark, path, suffixes).withColumn("stem", stem(F.col("path")))
+
+
 def decoded_images(spark: SparkSession, path: str, decode: Callable[[bytes], np.ndarray | None], suffixes: list[str] = IMAGE_SUFFIXES, at_once: int = 1 << 26) -> DataFrame:
     """image_id, path, width, height, pixels of the image files below `path`, decoded where they are read.
 
@@ -104,7 +117,12 @@ def decoded_images(spark: SparkSession, path: str, decode: Callable[[bytes], np.
     they pass `at_once` bytes, so a task holds an Arrow batch of files and that much of pixels.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.where(suffix(F.col("path")).isin(*suffixes)).select(stem(F.col("path")).alias("image_id"), "path", "content")
+    return decoded(files.where(suffix(F.col("path")).isin(*suffixes)), decode, at_once)
+
+
+def decoded(files: DataFrame, decode: Callable[[bytes], np.ndarray | None], at_once: int = 1 << 26) -> DataFrame:
+    """`decoded_images` of rows (path, content), such as those of `archived_contents`."""
+    files = files.select(stem(F.col("path")).alias("image_id"), "path", "content")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["image_id", "path", "width", "height", "pixels"]

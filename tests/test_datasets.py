@@ -510,3 +510,30 @@ def test_evaluation_arguments_are_checked(spark):
         results.evaluate_checked(run, "c", images, lambda p: True, 2, ["x"])
     with pytest.raises(FileNotFoundError):
         results.evaluate_checked(run, "c", images, lambda p: False, 2)
+
+
+def test_small_files_are_kept_in_archives(spark, tmp_path):
+    from boxtide.plans import dataset_queries
+    from boxtide.sources import archives
+
+    rows = spark.createDataFrame([(f"{k}.{'JPG' if k % 2 else 'txt'}", f"{k}\r\n\n{k}") for k in range(25)], "name string, content string").repartition(2)
+    made = archives.write_archives(rows, str(tmp_path / "all"), most_files=10).collect()
+    assert sum(r.files for r in made) == 25 and max(r.files for r in made) == 10 and len(made) <= 4
+    (tmp_path / "all" / "stray.zip").write_bytes(b"of a task that Spark did not accept")
+    found = archives.archived_contents(spark, str(tmp_path / "all")).collect()
+    assert {(r.path.rpartition("!/")[2], r.length, bytes(r.content)) for r in found} == {(r.name, len(r.content), r.content.encode()) for r in rows.collect()}
+    assert {r.stem for r in documents.archived_images(spark, str(tmp_path / "all")).collect()} == {str(k) for k in range(1, 25, 2)}
+    assert sorted(r.line for r in documents.archived_label_lines(spark, str(tmp_path / "all")).collect()) == sorted(2 * [str(k) for k in range(0, 25, 2)])
+    reader = archives.Reader("", most_open=1)
+    assert all(reader.read(r.path) == bytes(r.content) for r in found) and len(reader.held) == 1
+    archives.write_archives(rows.limit(0), str(tmp_path / "none"))
+    assert archives.archived_files(spark, str(tmp_path / "none")).collect() == []
+
+    before = dataset_queries.folder
+    try:
+        dataset_queries.folder = lambda spark, what: str(tmp_path / what)
+        for name in ("label_files_round_trip", "image_listing", "image_scan"):
+            getattr(dataset_queries, name)(spark, "/root/testdata/sf0.001")
+    finally:
+        dataset_queries.folder = before
+    assert sum(p.is_file() for p in tmp_path.rglob("*")) < 400  # images are 1,500
