@@ -537,3 +537,11 @@ def test_small_files_are_kept_in_archives(spark, tmp_path):
     finally:
         dataset_queries.folder = before
     assert sum(p.is_file() for p in tmp_path.rglob("*")) < 400  # images are 1,500
+
+
+def test_missing_classes_deal_no_row_out_by_class(spark):
+    lines = spark.range(100).select((F.col("id") % 3).alias("class_id"))
+    found = quality.coverage(lines, [0, 1, 2, 3], "val")
+    assert [(r.n_bad, r["sample"]) for r in found.collect()] == [(1, ["3"])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftAnti") < plan.index("Aggregate [class_id", plan.index("LeftAnti"))
