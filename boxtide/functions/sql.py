@@ -55,25 +55,39 @@ class Assign:
     """`select * from assign(table(edges) partition by image_id order by (box_id_t, box_id_prev), 0.05)`.
 
     The table has the columns of `candidate_edges` with `keep_lonely`, in any order, others beside them are
-    dropped; the number is epsilon_match. Rows are those of `match`. An instance holds one image's edges.
+    dropped; the number is epsilon_match. Rows are those of `match`. With some millions of small images, partition by
+    a hash of the image and order by (image_id, box_id_t, box_id_prev): images of a partition are then solved together,
+    some `AT_ONCE` edges at a time. An instance holds that many and one image's.
     """
 
+    AT_ONCE = 1 << 14
+
     def __init__(self) -> None:
         self.rows: list[tuple] = []
         self.epsilon = 0.05
+        self.places: list[int] | None = None
+
+    def eval(self, edge: Row, epsilon: float) -> Iterator[tuple]:
+        if self.places is None:
+            self.epsilon = float(epsilon)
+            self.places = [edge.__fields__.index(name) for name in EDGES]
+        row = tuple([edge[k] for k in self.places])
+        if len(self.rows) >= self.AT_ONCE and row[0] != self.rows[-1][0]:
+            yield from self.solved()
+        self.rows.append(row)
+
+    def solved(self) -> Iterator[tuple]:
+        from ..operators.matching import MATCH_FIELDS, match_images
 
-    def eval(self, edge: Row, epsilon: float) -> None:
-        self.epsilon = float(epsilon)
-        self.rows.append(tuple(edge[name] for name in EDGES))
+        columns = zip(*self.rows, strict=True)
+        edges = pa.table([pa.array(c, kind) for c, kind in zip(columns, EDGES.values(), strict=True)], names=list(EDGES))
+        self.rows = []
+        matched = match_images(edges, self.epsilon)
+        yield from zip(*(matched[name].to_pylist() for name in MATCH_FIELDS), strict=True)
 
     def terminate(self) -> Iterator[tuple]:
-        from ..operators.matching import MATCH_FIELDS, match_images
-
         if self.rows:
-            columns = zip(*self.rows, strict=True)
-            edges = pa.table([pa.array(c, kind) for c, kind in zip(columns, EDGES.values(), strict=True)], names=list(EDGES))
-            matched = match_images(edges, self.epsilon)
-            yield from zip(*(matched[name].to_pylist() for name in MATCH_FIELDS), strict=True)
+            yield from self.solved()
 
 
 def register(spark: SparkSession) -> list[str]:

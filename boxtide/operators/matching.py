@@ -1,6 +1,6 @@
 """Boxes of one round against boxes of the round before: gated edges, assignment, status.
 
-All of it is partitioned by image: the gated join is the only shuffle, and the exact
+All of it is partitioned by image: the gated join's exchanges are the only ones, and the exact
 one-to-one assignment runs on its sorted partitions in Arrow batches, by connected blocks of an
 image's candidate graph and on their edges alone. What a task must hold is an image's edges.
 """
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import js_of_normalised, normalize
@@ -104,17 +104,30 @@ def least_cost_edges(row: np.ndarray, col: np.ndarray, cost: np.ndarray) -> np.n
     block = connected_blocks(row[real], col[real])
     order = real[np.argsort(block, kind="stable")]
     edge = np.flatnonzero(np.r_[True, np.diff(np.sort(block)) != 0, True]) if len(real) else np.zeros(1, int)
+    rows, cols, costs, places = row[order].tolist(), col[order].tolist(), cost[order].tolist(), order.tolist()
+    chosen: list[int] = []
     for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        at = order[lo:hi]
-        rs, r = np.unique(row[at], return_inverse=True)
-        cs, c = np.unique(col[at], return_inverse=True)
-        if len(rs) > len(cs):
+        r, n_rows = _ranks(rows[lo:hi])
+        c, n_cols = _ranks(cols[lo:hi])
+        if n_rows > n_cols:
             r, c = c, r
-        taken[at[_solved_block(r, c, cost[at])]] = True
+        chosen += [places[lo + k] for k in _solved_block(r, c, costs[lo:hi])]
+    taken[chosen] = True
     return taken
 
 
-def _solved_block(row: np.ndarray, col: np.ndarray, cost: np.ndarray) -> list[int]:
+def _ranks(values: list[int]) -> tuple[list[int], int]:
+    """Each value's place among the different ones, and how many they are."""
+    place = {v: k for k, v in enumerate(sorted(set(values)))}
+    return [place[v] for v in values], len(place)
+
+
+def _spread(n: int) -> list[int]:
+    """0 to n - 1 in the order of a golden-section sequence."""
+    return sorted(range(n), key=lambda i: i * 0.6180339887498949 % 1)
+
+
+def _solved_block(row: list[int], col: list[int], cost: list[float]) -> list[int]:
     """Places of the chosen edges of one block with no more rows than columns.
 
     Each row in turn takes the shortest augmenting path, with potentials that keep reduced costs
@@ -122,17 +135,18 @@ def _solved_block(row: np.ndarray, col: np.ndarray, cost: np.ndarray) -> list[in
     meet short stretches of others: in the order of a chain each would walk through all before it. A row may stay alone at a price above what any set of others can save,
     so that the number of pairs comes first.
     """
-    n = int(row.max()) + 1
-    alone = float(cost.max() - cost.min()) * (n + 1) + 1
+    n = max(row) + 1
+    low = min(cost)
+    alone = (max(cost) - low) * (n + 1) + 1
     edges: list[list[tuple[int, float, int]]] = [[] for _ in range(n)]
-    for k, (i, j, c) in enumerate(zip(row.tolist(), col.tolist(), (cost - cost.min()).tolist(), strict=True)):
-        edges[i].append((j, c, k))
+    for k, (i, j, c) in enumerate(zip(row, col, cost, strict=True)):
+        edges[i].append((j, c - low, k))
     for i in range(n):
         edges[i].append((-1 - i, alone, -1))
     of_row, of_column = [0.0] * n, {}
     holder: dict[int, int] = {}
     held: list[tuple[int, int]] = [(0, -1)] * n
-    for i in np.argsort(np.arange(n) * 0.6180339887498949 % 1, kind="stable").tolist():
+    for i in _spread(n):
         least: dict[int, float] = {}
         back: dict[int, tuple[int, int]] = {}
         done: dict[int, float] = {}
@@ -186,8 +200,7 @@ def match_images(rows: pa.Table, epsilon: float) -> pa.Table:
     n = len(t)
     row = np.cumsum(np.r_[True, (image[1:] != image[:-1]) | (t[1:] != t[:-1])]) - 1
     real = p >= 0
-    _, col = np.unique(np.stack([image, p]), axis=1, return_inverse=True)
-    col = col.ravel()
+    _, col = np.unique(image * (p.max(initial=0) + 2) + p + 1, return_inverse=True)
     degree_t, degree_p = np.bincount(row, real), np.bincount(col, real)
     taken = real & (degree_t[row] == 1) & (degree_p[col] == 1)
     hard = real & ~taken
@@ -233,7 +246,9 @@ def match(current: DataFrame, previous: DataFrame, config: MatchingConfig = Matc
     unmatched. Pairs whose two boxes have no other candidate are settled without the solver.
     """
     edges = candidate_edges(current, previous, config, keep_lonely=True)
-    sorted_edges = edges.repartition("image_id").sortWithinPartitions("image_id", "box_id_t", "box_id_prev")
+    # a place in the image asks for whole images in order, for which the join's own exchange will do where it has one
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy("box_id_t", "box_id_prev"))
+    sorted_edges = edges.withColumn("_place", place)
     epsilon = config.epsilon_match
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

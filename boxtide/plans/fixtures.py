@@ -15,33 +15,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def objects(spark: SparkSession, sf_dir: str, key: str = "l_orderkey") -> DataFrame:
+    """Line items numbered within their order; `key` is l_orderkey or image_id, whichever the rows are joined by later, so that they are dealt out once."""
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = lines.withColumn("image_id", image_id(F.col("l_orderkey"))) if key == "image_id" else lines
+    order = Window.partitionBy(key).orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return lines.withColumn("obj", F.row_number().over(order) - 1)
 
 
-def detections(spark: SparkSession, sf_dir: str, r: int) -> DataFrame:
+def detections(spark: SparkSession, sf_dir: str, r: int, *others: str) -> DataFrame:
+    """Boxes of round r, with those other columns of the line items."""
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
     x1 = 40 * (part % 12) + (supp + 3 * r) % 9
     y1 = 30 * (supp % 10) + (part + 5 * r) % 7
     cls = ((part + F.when((13 * part + 11 * r) % 17 == 0, 1).otherwise(0)) % CLASSES).cast("int")
     w = [(1 + (supp * (k + 3) + r) % 7 + F.when(F.col("pred_class") == k, 20).otherwise(0)).cast("double") for k in range(CLASSES)]
     total = w[0] + w[1] + w[2] + w[3] + w[4]
-    image = image_id(F.col("l_orderkey"))
     return (
-        objects(spark, sf_dir)
+        objects(spark, sf_dir, "image_id")
         .where((7 * part + 3 * supp + 5 * r) % 10 != 0)
         .withColumn("pred_class", cls)
         .select(
-            image.alias("image_id"),
-            box_id(image, F.lit(r), F.col("obj")).alias("box_id"),
+            "image_id",
+            box_id(F.col("image_id"), F.lit(r), F.col("obj")).alias("box_id"),
             F.lit(r).alias("round_id"),
             box(x1, y1, x1 + 60 + F.col("l_quantity"), y1 + 50 + F.col("l_quantity")).alias("box"),
             "pred_class",
             F.array(*[x / total for x in w]).alias("class_scores"),
             (0.05 + 0.95 * ((31 * part + 17 * supp + 13 * r) % 1000) / 1000.0).alias("confidence"),
             F.col("obj").alias("det_index"),
+            *others,
         )
     )
 
@@ -73,10 +76,9 @@ def categories(spark: SparkSession) -> DataFrame:
     return spark.range(1, 10).select(F.col("id"), F.concat(F.lit("category "), F.col("id").cast("string")).alias("name"))
 
 
-def jittered(spark: SparkSession, sf_dir: str, t: int, transform: int) -> DataFrame:
-    """What a detector might find in the transformed image: boxes of round t, moved, some lost, some of another class."""
-    part, supp = F.col("l_partkey"), F.col("l_suppkey")
-    key = objects(spark, sf_dir).select(image_id(F.col("l_orderkey")).alias("image_id"), F.col("obj").alias("det_index"), "l_partkey", "l_suppkey")
-    found = detections(spark, sf_dir, t).join(key, ["image_id", "det_index"]).where((supp + transform) % 11 != 0)
-    cls = (F.col("pred_class") + F.when((part + transform) % 13 == 0, 1).otherwise(0)) % CLASSES
-    return found.select("image_id", "box", cls.cast("int").alias("pred_class"), ((part + transform) % 5).cast("double").alias("shift"))
+def jittered(spark: SparkSession, sf_dir: str, t: int, transforms: int) -> DataFrame:
+    """What a detector might find in the transformed images: boxes of round t, moved, some lost, some of another class."""
+    part, supp, k = F.col("l_partkey"), F.col("l_suppkey"), F.col("transform")
+    each = detections(spark, sf_dir, t, "l_partkey", "l_suppkey").withColumn("transform", F.explode(F.array(*[F.lit(x) for x in range(transforms)])))
+    cls = (F.col("pred_class") + F.when((part + k) % 13 == 0, 1).otherwise(0)) % CLASSES
+    return each.where((supp + k) % 11 != 0).select("image_id", "transform", "box", cls.cast("int").alias("pred_class"), ((part + k) % 5).cast("double").alias("shift"))

@@ -246,15 +246,12 @@ def jitter_remap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jitter_found(spark: SparkSession, sf: str, t: int) -> DataFrame:
-    from functools import reduce
-
-    parts = []
-    for k, name in enumerate(jitter.TRANSFORMS):
-        moved = fx.jittered(spark, sf, t, k)
-        b = geo.remap(F.col("box"), F.lit(fx.WIDTH), F.lit(fx.HEIGHT), name)
-        shifted = geo.box(b["x1"] + F.col("shift"), b["y1"] + F.col("shift"), b["x2"] + F.col("shift"), b["y2"] + F.col("shift"))
-        parts.append(moved.select("image_id", F.lit(k).alias("transform"), shifted.alias("box"), "pred_class"))
-    return reduce(DataFrame.unionByName, parts)
+    """What the transformed images hold, of one pass over the boxes."""
+    size, shift = (F.lit(fx.WIDTH), F.lit(fx.HEIGHT)), F.col("shift")
+    moved = fx.jittered(spark, sf, t, len(jitter.TRANSFORMS))
+    at = F.get(F.array(*[geo.remap(F.col("box"), *size, name) for name in jitter.TRANSFORMS]), F.col("transform"))
+    b = moved.select("image_id", "transform", "pred_class", "shift", at.alias("b"))
+    return b.select("image_id", "transform", geo.box(F.col("b.x1") + shift, F.col("b.y1") + shift, F.col("b.x2") + shift, F.col("b.y2") + shift).alias("box"), "pred_class")
 
 
 def triples(spark: SparkSession, sf: str, t: int, matches: DataFrame) -> DataFrame:
@@ -590,14 +587,14 @@ def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(SQL["assign_pairs"])
 def sql_assign(spark: SparkSession, sf: str) -> DataFrame:
-    """The assignment called from SQL, image by image."""
+    """The assignment called from SQL, by parts that hold whole images."""
     from ..functions.sql import register
 
     register(spark)
     edges = matching.candidate_edges(*pair(spark, sf, 1), keep_lonely=True)
     return spark.sql(
         """select box_id_t, box_id_prev, round(iou, 6) + 0D as iou, round(js, 6) + 0D as js
-        from assign(table({edges}) partition by image_id order by (box_id_t, box_id_prev), 0.05D) where status = 'matched'""",
+        from assign(table(select *, pmod(xxhash64(image_id), 1024) as part from {edges}) partition by part order by (image_id, box_id_t, box_id_prev), 0.05D) where status = 'matched'""",
         edges=edges,
     )
 

@@ -599,3 +599,26 @@ def test_stopping_stream_keeps_state_over_restarts(spark, tmp_path):
         columns = ("round_id", "met", "consecutive", "stop", "risk_stop")
         assert got.where(F.col("loop") == k).select(*columns).orderBy("round_id").collect() == whole.select(*columns).orderBy("round_id").collect()
     assert got.where("loop is null").count() == 1
+
+
+def test_matching_deals_boxes_out_once(spark):
+    from boxtide.plans import queries
+
+    plan = queries.matched(spark, "/root/testdata/sf0.001", 1)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION" not in plan
+    assert plan.count("Exchange hashpartitioning(image_id") == plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_sql_assignment_of_parts_that_hold_many_images(spark, monkeypatch):
+    from boxtide.functions.sql import EDGES, Assign
+
+    assert Assign.AT_ONCE == 1 << 14
+    edges = spark.range(40).selectExpr("concat('i', id div 2) as image_id", "concat('t', id) as box_id_t", "concat('p', id) as box_id_prev", "0.9D as iou", "0D as js", "1 as pred_class_t", "1 as pred_class_prev", "0.5D as confidence", "0.1D as cost")
+    row = edges.select(*EDGES).collect()
+    one, parts = Assign(), []
+    monkeypatch.setattr(Assign, "AT_ONCE", 7)
+    for r in row:
+        parts += list(one.eval(r, 0.05))
+        assert len(one.rows) <= 8
+    parts += list(one.terminate())
+    assert [(p[0], p[1], p[2], p[3]) for p in parts] == [(r.image_id, r.box_id_t, r.box_id_prev, "matched") for r in row]
