@@ -82,10 +82,19 @@ def _match_members(matches: DataFrame, current: DataFrame, previous: DataFrame)
     return each.unionByName(_tagged(current, "current", "box_id")).unionByName(_tagged(previous, "previous", "box_id"))
 
 
+def _dealt(members: DataFrame, saved: DataFrame) -> DataFrame:
+    """Members of a census by image, so many parts that one holds some 2^20 boxes of the saved relation and no task's counts grow with the tables.
+
+    Nearly every box is a key of its own, so counting before the exchange would only hold them once more.
+    """
+    least = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartition(max(least, saved.count() >> 20), "image_id")
+
+
 def match_report(matches: DataFrame, current: DataFrame, previous: DataFrame, match_images: DataFrame, pool_images: DataFrame) -> DataFrame:
-    """Images without a match result, and ids in matches that are in no pool."""
+    """Images without a match result, and ids in matches that are in no pool. The matches are read three times: give saved ones."""
     members = _match_members(matches, current, previous).unionByName(_tagged(match_images, "match_image")).unionByName(_tagged(pool_images, "pool_image"))
-    counted = census(members, MATCH_TAGS, "image_id", "box_id")
+    counted = census(_dealt(members, matches), MATCH_TAGS, "image_id", "box_id")
     return found_in(counted.withColumn("_id", F.coalesce("box_id", "image_id")), _match_checks(), "_id")
 
 
@@ -105,7 +114,7 @@ def round_report(matches: DataFrame, current: DataFrame, previous: DataFrame, sc
         ("admitted box more than once", F.col("n_admitted") > 1, F.lit(1)),
         _lacking("box without a score", "current", "scored"),
     ]
-    counted = census(members, [*MATCH_TAGS, "scored", "admitted"], "image_id", "box_id")
+    counted = census(_dealt(members, scored), [*MATCH_TAGS, "scored", "admitted"], "image_id", "box_id")
     return found_in(counted.withColumn("_id", F.coalesce("box_id", "image_id")), checks, "_id")
 
 

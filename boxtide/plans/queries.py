@@ -559,7 +559,7 @@ select 'matched box not in previous pool', (select count(*) from m1 where status
 def integrity_report(spark: SparkSession, sf: str) -> DataFrame:
     """Matches of whole pools against pools that lack the least confident boxes, and against all images."""
     t, p = pair(spark, sf, 1)
-    m = matched(spark, sf, 1)
+    m = saved(matched(spark, sf, 1))
     report = integrity.match_report(m, t.where("confidence >= 0.1"), p.where("confidence >= 0.1"), m.select("image_id").distinct(), fx.images(spark, sf))
     return report.select("check", "n_bad")
 

@@ -622,3 +622,11 @@ def test_sql_assignment_of_parts_that_hold_many_images(spark, monkeypatch):
         assert len(one.rows) <= 8
     parts += list(one.terminate())
     assert [(p[0], p[1], p[2], p[3]) for p in parts] == [(r.image_id, r.box_id_t, r.box_id_prev, "matched") for r in row]
+
+
+def test_a_census_of_boxes_has_parts_by_their_number(spark):
+    from boxtide.operators import integrity
+
+    many = spark.range(0, 200 << 20, 1, 8)
+    members = spark.range(5).selectExpr("cast(id as string) as image_id")
+    assert integrity._dealt(members, many).rdd.getNumPartitions() == 200
