@@ -7,6 +7,7 @@ import warnings
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 import yaml
 from pyspark.sql import DataFrame
@@ -19,6 +20,7 @@ from ..session import full_uri
 from ..sources.archives import write_archives
 from ..sources.files import default_root, drop, exists, located, rename, write_text
 
+PIECE = 1 << 14
 SUFFIX_ORDER = [".jpg", ".jpeg", ".png"]
 
 
@@ -86,25 +88,36 @@ def write_label_files(files: DataFrame, folder: str, skip_empty: bool = True) ->
     """Writes `<folder>/<partition>/<image_id>.txt` for each row of (partition, image_id, lines); the paths written.
 
     The folder must be one that all executors share. A file is written under another name and
-    moved, so a task that runs again leaves whole files.
+    moved, so a task that runs again leaves whole files. Texts come to Python in pieces of 16 KB, so that a
+    batch of rows is bounded however long they are.
     """
     rows = files.where(F.size("lines") > 0) if skip_empty else files
     whole = full_uri(files.sparkSession, folder)
+    text = F.concat(F.array_join("lines", "\n"), F.when(F.size("lines") > 0, "\n").otherwise("")).cast("binary")
+    last = F.expr(f"greatest(octet_length(text) - 1, 0) div {PIECE}").cast("int")
+    rows = rows.select("partition", "image_id", text.alias("text")).withColumn("last", last)
+    pieces = rows.select("partition", "image_id", "last", F.posexplode(F.transform(F.sequence(F.lit(0), "last"), lambda k: F.substring("text", k * PIECE + 1, F.lit(PIECE)))).alias("k", "piece"))
 
-    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = located(whole, "")
+        made, out = set(), None
         for part in parts:
             paths = []
-            for r in part.itertuples():
-                fs.create_dir(f"{root}/{r.partition}", recursive=True)
-                path, own = f"{root}/{r.partition}/{r.image_id}.txt", f"{root}/{r.partition}/.{uuid.uuid4().hex}"
-                with fs.open_output_stream(own) as out:
-                    out.write("".join(f"{line}\n" for line in r.lines).encode())
-                fs.move(own, path)
-                paths.append(path)
-            yield pd.DataFrame({"path": pd.Series(paths, dtype=str)})
-
-    return rows.select("partition", "image_id", "lines").mapInPandas(write, "path string")
+            for partition, image, last, k, piece in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                if k == 0:
+                    if partition not in made:
+                        fs.create_dir(f"{root}/{partition}", recursive=True)
+                        made.add(partition)
+                    own = f"{root}/{partition}/.{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(own)
+                out.write(piece)
+                if k == last:
+                    out.close()
+                    paths.append(f"{root}/{partition}/{image}.txt")
+                    fs.move(own, paths[-1])
+            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string())})
+
+    return pieces.select("partition", "image_id", "last", "k", "piece").mapInArrow(write, "path string")
 
 
 def archive_label_files(files: DataFrame, folder: str, skip_empty: bool = True) -> DataFrame:

@@ -545,3 +545,12 @@ def test_missing_classes_deal_no_row_out_by_class(spark):
     assert [(r.n_bad, r["sample"]) for r in found.collect()] == [(1, ["3"])]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("LeftAnti") < plan.index("Aggregate [class_id", plan.index("LeftAnti"))
+
+
+def test_long_texts_are_written_from_pieces(spark, tmp_path):
+    lines = {"empty": [], "long": ["é" * 20000, "x" * 40000], "even": ["y" * (dataset.PIECE - 1)], "short": ["a", "b"]}
+    rows = spark.createDataFrame([("p", k, v) for k, v in lines.items()], "partition string, image_id string, lines array<string>").coalesce(1)
+    assert dataset.write_label_files(rows, str(tmp_path), skip_empty=False).count() == 4
+    assert {p.stem: p.read_text() for p in (tmp_path / "p").iterdir()} == {k: "".join(f"{x}\n" for x in v) for k, v in lines.items()}
+    plan = dataset.write_label_files(rows, str(tmp_path))._jdf.queryExecution().analyzed().toString()
+    assert "substring(text" in plan
