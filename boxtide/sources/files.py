@@ -75,10 +75,11 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A file of `text` and nothing beside it, where Hadoop's local file system would leave a checksum file."""
-    fs, own = located(full_uri(spark, path), "")
-    fs.create_dir(own.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(own) as out:
-        out.write(text.encode())
+    fs, own = _hadoop(spark, path)
+    fs = fs.getRawFileSystem() if own.toUri().getScheme() == "file" else fs
+    out = fs.create(own, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def default_root(spark: SparkSession) -> str:
