@@ -4,6 +4,7 @@ import json
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 import yaml
@@ -554,3 +555,15 @@ def test_long_texts_are_written_from_pieces(spark, tmp_path):
     assert {p.stem: p.read_text() for p in (tmp_path / "p").iterdir()} == {k: "".join(f"{x}\n" for x in v) for k, v in lines.items()}
     plan = dataset.write_label_files(rows, str(tmp_path))._jdf.queryExecution().analyzed().toString()
     assert "substring(text" in plan
+
+
+def test_pixels_of_one_size_are_transformed_together():
+    rng = np.random.default_rng(0)
+    sizes = [(4, 5), (3, 2), (4, 5), (4, 5)]
+    images = [rng.integers(0, 256, (h, w, 3), dtype=np.uint8) for h, w in sizes]
+    rows = [("abcd"[k], w, h, images[k].tobytes()) for k, (h, w) in enumerate(sizes)] + [("e", None, None, None)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["image_id", "width", "height", "pixels"])
+    for transform in ("scale", "translate", "brightness"):
+        got = pixels._transformed(batch, transform)
+        assert got["image_id"].to_pylist() == list("abcde")
+        assert got["pixels"].to_pylist() == [pixels.transform_pixels(i, transform).tobytes() for i in images] + [None]
