@@ -30,18 +30,20 @@ def detections(spark: SparkSession, sf_dir: str, r: int, *others: str) -> DataFr
     y1 = 30 * (supp % 10) + (part + 5 * r) % 7
     cls = ((part + F.when((13 * part + 11 * r) % 17 == 0, 1).otherwise(0)) % CLASSES).cast("int")
     w = [(1 + (supp * (k + 3) + r) % 7 + F.when(F.col("pred_class") == k, 20).otherwise(0)).cast("double") for k in range(CLASSES)]
-    total = w[0] + w[1] + w[2] + w[3] + w[4]
+    total = F.col("w0") + F.col("w1") + F.col("w2") + F.col("w3") + F.col("w4")
     return (
         objects(spark, sf_dir, "image_id")
         .where((7 * part + 3 * supp + 5 * r) % 10 != 0)
         .withColumn("pred_class", cls)
+        .withColumns({f"w{k}": x for k, x in enumerate(w)})
+        .withColumn("total", total)
         .select(
             "image_id",
             box_id(F.col("image_id"), F.lit(r), F.col("obj")).alias("box_id"),
             F.lit(r).alias("round_id"),
             box(x1, y1, x1 + 60 + F.col("l_quantity"), y1 + 50 + F.col("l_quantity")).alias("box"),
             "pred_class",
-            F.array(*[x / total for x in w]).alias("class_scores"),
+            F.array(*[F.col(f"w{k}") / F.col("total") for k in range(CLASSES)]).alias("class_scores"),
             (0.05 + 0.95 * ((31 * part + 17 * supp + 13 * r) % 1000) / 1000.0).alias("confidence"),
             F.col("obj").alias("det_index"),
             *others,

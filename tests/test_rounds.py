@@ -637,3 +637,10 @@ def test_admitted_check_matches_once(spark):
 
     plan = QUERIES["admitted_check"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan  # the scored boxes are read from files
+
+
+def test_class_totals_of_derived_boxes_are_computed_once(spark):
+    from boxtide.plans import fixtures
+
+    plan = fixtures.detections(spark, "/root/testdata/sf0.001", 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN (pred_class") == fixtures.CLASSES
