@@ -8,15 +8,15 @@ image's candidate graph and on their edges alone. What a task must hold is an im
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distributions import js_of_normalised, normalize
+from ..functions.distributions import js_of_normalised, js_of_scores, normalize
 from ..functions.geometry import iou
 from ..schema import MatchingConfig
 from .ordering import whole_groups
@@ -36,17 +36,25 @@ def image_alignment(images_t: DataFrame, images_prev: DataFrame) -> DataFrame:
     return joined.select("image_id", F.coalesce("in_t", F.lit(False)).alias("in_t"), F.coalesce("in_prev", F.lit(False)).alias("in_prev"))
 
 
-def _side(boxes: DataFrame, name: str) -> DataFrame:
+def _side(boxes: DataFrame, name: str, scores: Column, keep: Sequence[str] = ()) -> DataFrame:
     return boxes.select(
         "image_id",
         F.col("box_id").alias(f"box_id_{name}"),
         F.col("box").alias(f"box_{name}"),
         F.col("pred_class").alias(f"pred_class_{name}"),
-        normalize(F.col("class_scores")).alias(f"p_{name}"),
+        scores.alias(f"p_{name}"),
         *([F.col("confidence")] if name == "t" else []),
+        *[F.col(c).alias(f"_kept_{c}") for c in keep],
     )
 
 
+def _gated_pairs(t: DataFrame, p: DataFrame, config: MatchingConfig, how: str) -> DataFrame:
+    """Pairs of two sides' boxes in an image with iou >= the gate, which is a residual of the join on the image."""
+    gate = iou(F.col("box_t"), F.col("box_prev")) >= config.min_iou_gate
+    pairs = t.alias("t").join(p.alias("p"), (F.col("t.image_id") == F.col("p.image_id")) & gate, how)
+    return pairs.withColumn("iou", F.when(F.col("box_id_prev").isNotNull(), iou(F.col("box_t"), F.col("box_prev"))))
+
+
 def candidate_edges(current: DataFrame, previous: DataFrame, config: MatchingConfig = MatchingConfig(), keep_lonely: bool = False) -> DataFrame:
     """Pairs of the same image with iou >= the gate, with iou, js and cost = 1 - iou + lambda * js.
 
@@ -54,16 +62,14 @@ def candidate_edges(current: DataFrame, previous: DataFrame, config: MatchingCon
     gated pairs only, from scores normalised once a box. `keep_lonely` keeps current
     boxes without a candidate, their pair null.
     """
-    t, p = _side(current, "t").alias("t"), _side(previous, "prev").alias("p")
-    gate = iou(F.col("box_t"), F.col("box_prev")) >= config.min_iou_gate
-    pairs = t.join(p, (F.col("t.image_id") == F.col("p.image_id")) & gate, "left" if keep_lonely else "inner")
-    paired = F.col("box_id_prev").isNotNull()
+    p_of = normalize(F.col("class_scores"))
+    pairs = _gated_pairs(_side(current, "t", p_of), _side(previous, "prev", p_of), config, "left" if keep_lonely else "inner")
     out = pairs.select(
         F.col("t.image_id").alias("image_id"),
         "box_id_t",
         "box_id_prev",
-        F.when(paired, iou(F.col("box_t"), F.col("box_prev"))).alias("iou"),
-        F.when(paired, js_of_normalised(F.col("p_t"), F.col("p_prev"))).alias("js"),
+        "iou",
+        F.when(F.col("box_id_prev").isNotNull(), js_of_normalised(F.col("p_t"), F.col("p_prev"))).alias("js"),
         "pred_class_t",
         "pred_class_prev",
         "confidence",
@@ -193,8 +199,8 @@ def _codes(column: pa.Array) -> np.ndarray:
     return pc.fill_null(encoded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def match_images(rows: pa.Table, epsilon: float) -> pa.Table:
-    """Of whole images, sorted by image, current and previous box: a row a current box."""
+def match_images(rows: pa.Table, epsilon: float, keep: Sequence[str] = ()) -> pa.Table:
+    """Of whole images, sorted by image, current and previous box: a row a current box, with its columns `keep`."""
     image, t, p = _codes(rows["image_id"]), _codes(rows["box_id_t"]), _codes(rows["box_id_prev"])
     cost = rows["cost"].to_numpy()
     n = len(t)
@@ -233,29 +239,47 @@ def match_images(rows: pa.Table, epsilon: float) -> pa.Table:
             "confidence": out["confidence"],
             "candidates": pa.array(degree_t.astype(np.int32)),
             "cost_gap": pa.array(gap, mask=np.isnan(gap)),
+            **{c: out[c] for c in keep},
         }
     )
 
 
-def match(current: DataFrame, previous: DataFrame, config: MatchingConfig = MatchingConfig()) -> DataFrame:
-    """Every current box once, as matched, ambiguous or unmatched (MATCHES).
+def _with_costs(rows: pa.Table, weight: float) -> pa.Table:
+    """Rows of gated pairs with their divergence and cost, null without a previous box."""
+    paired = rows["box_id_prev"].is_valid().to_numpy()
+    js = np.full(rows.num_rows, np.nan)
+    at = pa.array(np.flatnonzero(paired))
+    js[paired] = js_of_scores(*(rows[c].combine_chunks().take(at) for c in ("p_t", "p_prev")))
+    cost = 1 - rows["iou"].to_numpy() + weight * js
+    rows = rows.drop_columns(["p_t", "p_prev"])
+    return rows.append_column("js", pa.array(js, mask=~paired)).append_column("cost", pa.array(cost, mask=~paired))
+
+
+def match(current: DataFrame, previous: DataFrame, config: MatchingConfig = MatchingConfig(), keep: Sequence[str] = ()) -> DataFrame:
+    """Every current box once, as matched, ambiguous or unmatched (MATCHES), with the columns `keep` of `current`.
 
     Within an image as many gated pairs as possible are assigned one to one, at least total cost;
     ties between equal totals go by box ids. An assigned box is ambiguous if its two
     best candidates' costs differ by less than epsilon_match; the previous box is then left
-    unmatched. Pairs whose two boxes have no other candidate are settled without the solver.
+    unmatched. Pairs whose two boxes have no other candidate are settled without the solver. The divergence of
+    gated pairs is computed beside the assignment, an Arrow batch at a time.
     """
-    edges = candidate_edges(current, previous, config, keep_lonely=True)
+    scores = F.col("class_scores").cast("array<double>")
+    pairs = _gated_pairs(_side(current, "t", scores, keep), _side(previous, "prev", scores), config, "left")
+    own = ["box_id_t", "box_id_prev", "iou", "p_t", "p_prev", "pred_class_t", "pred_class_prev", "confidence"]
+    kept = [f"_kept_{c}" for c in keep]
+    edges = pairs.select(F.col("t.image_id").alias("image_id"), *own, *kept)
     # a place in the image asks for whole images in order, for which the join's own exchange will do where it has one
     place = F.row_number().over(Window.partitionBy("image_id").orderBy("box_id_t", "box_id_prev"))
     sorted_edges = edges.withColumn("_place", place)
-    epsilon = config.epsilon_match
+    epsilon, weight = config.epsilon_match, config.lambda_cls
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for images in whole_groups(batches, "image_id"):
-            yield from match_images(images, epsilon).to_batches()
+            yield from match_images(_with_costs(images, weight), epsilon, kept).to_batches()
 
-    return sorted_edges.mapInArrow(assign, MATCHES)
+    schema = ", ".join([MATCHES, *[f"{k} {current.schema[c].dataType.simpleString()}" for c, k in zip(keep, kept, strict=True)]])
+    return sorted_edges.mapInArrow(assign, schema).withColumnsRenamed(dict(zip(kept, keep, strict=True)))
 
 
 def nested_matches(matches: DataFrame, images: DataFrame) -> DataFrame:

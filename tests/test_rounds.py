@@ -644,3 +644,23 @@ def test_class_totals_of_derived_boxes_are_computed_once(spark):
 
     plan = fixtures.detections(spark, "/root/testdata/sf0.001", 1)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("CASE WHEN (pred_class") == fixtures.CLASSES
+
+def test_divergence_beside_the_assignment_equals_the_expression(spark):
+    """Odd scores too; and no lambda of the plan is left in what matching does for each box."""
+    import pyarrow as pa
+
+    from boxtide.functions import distributions as dist
+
+    nan, inf = float("nan"), float("inf")
+    odd = [[0.2, 0.8], [1.0, 0.0], [0.0, 0.0], [nan, 1.0], [inf, 1.0], [None, 1.0], [-1.0, 3.0], [5.0, 5.0], [], [0.1, 0.2, 0.7]]
+    pairs = [(a, b) for a in odd for b in odd if len(a) == len(b)]
+    frame = spark.createDataFrame(pairs, "p array<double>, q array<double>").select(dist.js_divergence(F.col("p"), F.col("q")))
+    kind = pa.list_(pa.float64())
+    got = dist.js_of_scores(pa.array([a for a, _ in pairs], kind).slice(1), pa.array([b for _, b in pairs], kind).slice(1))
+    assert got.tolist() == pytest.approx([r[0] for r in frame.collect()][1:], abs=1e-15)
+    with pytest.raises(ValueError, match="lengths 2 and 3"):
+        dist.js_of_scores(pa.array([[0.5, 0.5]], kind), pa.array([[0.5, 0.2, 0.3]], kind))
+    t = one(spark, (A, 0), (FAR, 1))
+    m = matching.match(t, one(spark, (A, 0), r=0), keep=["box"])
+    assert {r.box_id_t: r.box.x1 for r in m.collect()} == {r.box_id: r.box.x1 for r in t.collect()}
+    assert "lambda" not in m._jdf.queryExecution().optimizedPlan().toString()
