@@ -98,24 +98,43 @@ def match_report(matches: DataFrame, current: DataFrame, previous: DataFrame, ma
     return found_in(counted.withColumn("_id", F.coalesce("box_id", "image_id")), _match_checks(), "_id")
 
 
+def _lined_up(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
+    """Counts of two relations side by side, 0 where one has no row; both have image_id and box_id or image_id alone as key."""
+    keys = [k for k in ("image_id", "box_id") if k in rows.columns]
+    joined = rows.join(others, keys, how)
+    return joined.fillna(0, [c for c in joined.columns if c not in keys])
+
+
 def round_report(matches: DataFrame, current: DataFrame, previous: DataFrame, scored: DataFrame) -> DataFrame:
-    """All that must hold of a round before it is stored, of relations with image_id and box ids: one exchange of boxes.
+    """All that must hold of a round before it counts, of relations with image_id and box ids.
 
     Every image of the pool has a match result, ids in matches are in their pools, no box is in the pool
-    or admitted twice, all have a score and none is scored or admitted that the pool lacks.
+    or admitted twice, all have a score and none is scored or admitted that the pool lacks. Relations are
+    counted by box and joined in pairs, which moves no row of those that lie in buckets by image.
     """
-    result = scored.select("image_id", F.col("box_id_t").alias("box_id"), F.explode(F.array_compact(F.array(F.lit("scored"), F.when(F.col("admitted"), F.lit("admitted"))))).alias("tag"))
-    images = _tagged(matches.select("image_id").distinct(), "match_image").unionByName(_tagged(current.select("image_id").distinct(), "pool_image"))
-    members = _match_members(matches, current, previous).unionByName(result).unionByName(images)
-    checks = [
-        ("box more than once in the pool", F.col("n_current") > 1, F.lit(1)),
-        *_match_checks(),
-        _lacking("admitted box not in current pool", "admitted", "current"),
-        ("admitted box more than once", F.col("n_admitted") > 1, F.lit(1)),
-        _lacking("box without a score", "current", "scored"),
+    key = ("image_id", "box_id")
+    pool = census(_tagged(current, "current", "box_id"), ["current"], *key)
+    statuses = ["matched", "unmatched", "ambiguous"]
+    own = census(_tagged(matches, F.col("status"), "box_id_t").where("box_id is not null"), statuses, *key)
+    named = census(_tagged(matches.where("status = 'matched' and box_id_prev is not null"), "named", "box_id_prev"), ["named"], *key)
+    result = scored.groupBy("image_id", F.col("box_id_t").alias("box_id")).agg(F.count("*").alias("n_scored"), F.count_if("admitted").alias("n_admitted"))
+    images = [census(_tagged(rows, tag), [tag], "image_id") for rows, tag in ((current, "pool_image"), (matches, "match_image"))]
+    no_match, *lost, unknown = _match_checks()
+    parts = [
+        (_lined_up(pool, own, "full_outer"), [("box more than once in the pool", F.col("n_current") > 1, F.lit(1)), *lost], "box_id"),
+        (_lined_up(*images, "left"), [no_match], "image_id"),
+        (_lined_up(named, census(_tagged(previous, "previous", "box_id"), ["previous"], *key), "left"), [unknown], "box_id"),
+        (
+            _lined_up(pool, result, "full_outer"),
+            [
+                _lacking("admitted box not in current pool", "admitted", "current"),
+                ("admitted box more than once", F.col("n_admitted") > 1, F.lit(1)),
+                _lacking("box without a score", "current", "scored"),
+            ],
+            "box_id",
+        ),
     ]
-    counted = census(_dealt(members, scored), [*MATCH_TAGS, "scored", "admitted"], "image_id", "box_id")
-    return found_in(counted.withColumn("_id", F.coalesce("box_id", "image_id")), checks, "_id")
+    return reduce(DataFrame.unionByName, [found_in(*part) for part in parts])
 
 
 def _by_box(**relations: DataFrame) -> DataFrame:

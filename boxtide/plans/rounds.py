@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -17,7 +18,8 @@ from ..operators.scoring import score
 from ..operators.signals import StoppingState, infer_classes
 from ..schema import BANK_ROW, LoopConfig
 from ..session import checkpoint as saved
-from ..sources.store import RoundStore
+from ..session import shared_dir
+from ..sources.store import RoundStore, by_image, joined_in_buckets, read_buckets, write_buckets
 
 Infer = Callable[[str, int], tuple[DataFrame, DataFrame]]  # checkpoint, round: images, detections
 Train = Callable[[DataFrame, int, str | None], str]  # admitted boxes, round, checkpoint: new checkpoint
@@ -44,6 +46,13 @@ def bank_rows(detections: DataFrame, scored: DataFrame) -> DataFrame:
     return joined.select("round_id", *[F.coalesce(c, F.lit(False)).alias(c) if c in ("admitted", "jitter_executed") else c for c in BANK_ROW.fieldNames()])
 
 
+def _kept_rows(scored: DataFrame) -> DataFrame:
+    """`bank_rows` of matches that kept the boxes' own columns."""
+    names = {"box_id_t": "box_id", "pred_class_t": "pred_class", "box_id_prev": "matched_prev_id"}
+    rows = scored.withColumnsRenamed(names)
+    return rows.select(*[F.coalesce(c, F.lit(False)).alias(c) if c in ("admitted", "jitter_executed") else c for c in BANK_ROW.fieldNames()])
+
+
 def bootstrap_rows(detections: DataFrame) -> DataFrame:
     """The rows of a round that has none before: no match, no score, nothing admitted."""
     empty = {f.name: F.lit(None).cast(f.dataType) for f in BANK_ROW.fields if f.name not in detections.columns}
@@ -131,7 +140,7 @@ def run_loop(
             if checkpoint is None:
                 raise ValueError("a loop that bootstraps needs a checkpoint")
             images, found = infer(checkpoint, 0)
-            rows = bootstrap_rows(found)
+            rows = bootstrap_rows(by_image(found))
         else:
             images = spark.createDataFrame([], "image_id string")
             rows = spark.createDataFrame([], "round_id int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BANK_ROW.fields))
@@ -162,21 +171,33 @@ def run_loop(
 
 
 def _one_round(store: RoundStore, config: LoopConfig, infer: Infer, checkpoint: str, jitter: JitterDetect | None, policy: Policy, state: StoppingState, t: int) -> None:
-    """Infers, matches, scores, admits, stores and commits round `t`, which the state then knows."""
+    """Infers, matches, scores, admits, stores, checks and commits round `t`, which the state then knows.
+
+    The store deals out boxes by image, and so are those found; what belongs to a box goes along through the matching.
+    So neither the join with the round before, nor the stored rows, nor their checks move the boxes again. Rows that fail a check
+    are dropped before they are committed.
+    """
     images, found = infer(checkpoint, t)
-    found = saved(found)
+    place, kind = f"{shared_dir(store.spark)}/found-{uuid.uuid4().hex}", found.schema
+    found = read_buckets(store.spark, place, kind, write_buckets(by_image(found), place))
     before = store.pool(t - 1)
-    matches = match(found, before, config.matching).persist()
+    matches = match(found, before, config.matching, keep=["box", "class_scores"])
     triples = None
     if jitter is not None:
+        matches = saved(matches)
         sizes = images if "width" in images.columns else images.select("image_id", F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))
         asked = jitter_candidates(matches, found, sizes, config.tau_pre)
         triples = jitter_by_detector(asked, jitter, config.matching.min_iou_gate)
-    scored = saved(admit(score(matches, triples, config.scoring), policy))
-    require_clean(round_report(matches, found, before, scored))
-    attempt = store.write(t, bank_rows(found, scored), images)
-    matches.unpersist()
+    scored = admit(score(matches, triples, config.scoring), policy)
+    attempt = store.write(t, _kept_rows(scored).withColumn("round_id", F.lit(t)), images)
     rows = store.written_rows(t, attempt)
+    own = rows.withColumnsRenamed({"box_id": "box_id_t", "matched_prev_id": "box_id_prev"})
+    try:
+        with joined_in_buckets(store.spark):
+            require_clean(round_report(own, found, before, own))
+    except ValueError:
+        store.drop(t, attempt)
+        raise
     s = round_signals(rows, before, config.stopping.tau_geom_change, infer_classes(rows, before)).first()
     state.observe(t, s.raw_churn, s.stable_yield, s.class_drift)
     store.commit(
@@ -210,7 +231,7 @@ def naive_loop(store: RoundStore, config: LoopConfig, tau: float, class_names: l
     spark, audits = store.spark, []
     for t in range(config.max_rounds):
         images, found = infer(checkpoint, t)
-        rows = saved(bootstrap_rows(found).withColumn("admitted", at_least(F.col("confidence"), tau)))
+        rows = saved(bootstrap_rows(by_image(found)).withColumn("admitted", at_least(F.col("confidence"), tau)))
         require_clean(admitted_report(rows.where("admitted"), rows))
         attempt = store.write(t, rows, images)
         _, _, summary = naive_round(found, images, tau, class_names, t)

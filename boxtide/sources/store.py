@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +22,46 @@ _MANIFEST = T.StructType([*ROUND_METADATA.fields, T.StructField("attempt", T.Str
 _MARK = "step string, round_id int, value string"
 
 
+def by_image(boxes: DataFrame) -> DataFrame:
+    """`boxes` dealt out by image, where they aren't yet: a window asks for that, and an exchange that is there will do."""
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy("box_id"))
+    return boxes.withColumn("_place", place).where("_place > 0").drop("_place")
+
+
+def write_buckets(rows: DataFrame, path: str) -> int:
+    """Writes rows to a new folder in buckets by image, as many as spark.sql.shuffle.partitions says; their number.
+
+    Give rows that are dealt out by image (`by_image`), else each task has a file for each bucket. The table that
+    Spark writes buckets by is external and known to the session only for that time, as it is in `read_buckets`.
+    """
+    spark, table = rows.sparkSession, f"buckets_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.bucketBy(buckets, "image_id").option("path", path).saveAsTable(table, format="parquet")
+    spark.sql(f"drop table {table}")
+    return buckets
+
+
+def read_buckets(spark: SparkSession, path: str, schema: T.StructType, buckets: int) -> DataFrame:
+    """What `write_buckets` wrote; joins and groups by image need no exchange of it."""
+    table, place = f"buckets_{uuid.uuid4().hex}", path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"create table {table} ({schema.toDDL()}) using parquet clustered by (image_id) into {buckets} buckets location '{place}'")
+    rows = spark.table(table)
+    spark.sql(f"drop table {table}")
+    return rows
+
+
+@contextmanager
+def joined_in_buckets(spark: SparkSession) -> Iterator[None]:
+    """While this holds, joins by image and box take what lies in buckets by image as it is."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class RoundStore:
     """Rounds below `path`: boxes and images in folders by round and attempt, a manifest a round in `commits`.
 
@@ -67,7 +109,12 @@ class RoundStore:
         """One attempt's files alone; none where a round was committed without any."""
         if attempt is None:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(T.StructType([f for f in schema.fields if f is not _ROUND])).parquet(f"{self.path}/{what}/round_id={round_id}/attempt={attempt}")
+        own = T.StructType([f for f in schema.fields if f is not _ROUND])
+        where = f"{self.path}/{what}/round_id={round_id}/attempt={attempt}"
+        if what == "bank" and "-" in attempt:
+            rows = read_buckets(self.spark, where, own, int(attempt.rpartition("-")[2]))
+        else:
+            rows = self.spark.read.schema(own).parquet(where)
         return rows.withColumn("round_id", F.lit(round_id))
 
     def written_rows(self, round_id: int, attempt: str | None = None) -> DataFrame:
@@ -82,12 +129,16 @@ class RoundStore:
         return self._rows("images", _IMAGES, round_id, self._attempt(round_id))
 
     def write(self, round_id: int, rows: DataFrame, images: DataFrame) -> str:
-        """Writes a round's rows (BANK_ROW and round_id) and images as an attempt, not yet committed; its name."""
+        """Writes a round's rows (BANK_ROW and round_id) and images as an attempt, not yet committed; its name.
+
+        Boxes lie in buckets by image (`write_buckets`), whose number the attempt's name ends with.
+        """
         if self.metadata(round_id) is not None:
             raise FileExistsError(f"round {round_id} is already in {self.path}")
-        attempt = uuid.uuid4().hex
-        for what, frame, columns in (("bank", rows, BANK_ROW.fieldNames()), ("images", images, ["image_id"])):
-            frame.select(*columns).write.parquet(f"{self.path}/{what}/round_id={round_id}/attempt={attempt}")
+        attempt = f"{uuid.uuid4().hex}-{self.spark.conf.get('spark.sql.shuffle.partitions')}"
+        place = f"round_id={round_id}/attempt={attempt}"
+        write_buckets(rows.select(*BANK_ROW.fieldNames()), f"{self.path}/bank/{place}")
+        images.select("image_id").write.parquet(f"{self.path}/images/{place}")
         return attempt
 
     def commit(self, attempt: str | None = None, **meta) -> None:
@@ -110,10 +161,11 @@ class RoundStore:
         try:
             self.commit(attempt, **meta)
         except FileExistsError:
-            self._drop(meta["round_id"], attempt)
+            self.drop(meta["round_id"], attempt)
             raise
 
-    def _drop(self, round_id: int, attempt: str) -> None:
+    def drop(self, round_id: int, attempt: str) -> None:
+        """Deletes the files of an attempt that no manifest names."""
         for what in ("bank", "images"):
             drop(self.spark, f"{self.path}/{what}/round_id={round_id}/attempt={attempt}")
 
@@ -133,7 +185,7 @@ class RoundStore:
         """Deletes what `unfinished` lists; give an age that no writer at work reaches."""
         gone = self.unfinished(older_than)
         for round_id, attempt in gone:
-            self._drop(round_id, attempt)
+            self.drop(round_id, attempt)
         return gone
 
     def mark(self, step: str, round_id: int, value: str = "") -> None:

@@ -664,3 +664,33 @@ def test_divergence_beside_the_assignment_equals_the_expression(spark):
     m = matching.match(t, one(spark, (A, 0), r=0), keep=["box"])
     assert {r.box_id_t: r.box.x1 for r in m.collect()} == {r.box_id: r.box.x1 for r in t.collect()}
     assert "lambda" not in m._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rounds_in_buckets_move_no_box(spark, tmp_path):
+    """Joined with the round before and checked, boxes stay where the store has them; what fails a check is dropped."""
+    from boxtide.operators import integrity
+    from boxtide.sources.store import by_image, joined_in_buckets, read_buckets, write_buckets
+
+    put = lambda df, name: read_buckets(spark, f"{tmp_path}/it's {name}", df.schema, write_buckets(by_image(df), f"{tmp_path}/it's {name}"))
+    t, p = put(one(spark, (A, 0), (FAR, 1)), "t"), put(one(spark, (A, 0), r=0), "p")
+    own = put(admission.admit(scoring.score(matching.match(t, p)), admission.dual_gate(AdmissionConfig(0, 0))).withColumnRenamed("box_id_t", "box_id"), "own").withColumnRenamed("box_id", "box_id_t")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with joined_in_buckets(spark):
+            plans = [frame._jdf.queryExecution().executedPlan().toString() for frame in (matching.match(t, p), integrity.round_report(own, t, p, own))]
+        for plan in plans:
+            assert "hashpartitioning(image_id" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert integrity.round_report(own, t, p, own).where("n_bad > 0").count() == 0
+
+    def twice(checkpoint, r):
+        images, found = drifting(spark, r)
+        return images, found.union(found) if r == 1 else found
+
+    store = RoundStore(spark, f"{tmp_path}/store")
+    with pytest.raises(ValueError, match="more than once"):
+        run_loop(spark, store, loop_config(bootstrap=True), twice, lambda rows, r, c: f"k{r}", checkpoint="k")
+    assert store.committed_rounds() == [0] and store.unfinished() == []
+    assert not [x for x in spark.catalog.listTables() if x.name.startswith("buckets_")]
