@@ -10,12 +10,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import file_name, stem, suffix
 from ..schema import ANNOTATION_DOCUMENT, EVAL_RESULT
-from ..session import checkpoint
 from .archives import archived_contents, archived_files
-from .ranges import array_objects
+from .ranges import array_runs
 
 IMAGE_SUFFIXES = [".jpg", ".jpeg", ".png"]
 # The fields that a split document has at least.
@@ -32,13 +32,18 @@ def annotation_document(spark: SparkSession, path: str) -> tuple[DataFrame, Data
 
 
 def annotation_ranges(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """`annotation_document` for large documents: each is read in byte ranges, by as many tasks. `array_objects` tells how.
+    """`annotation_document` for large documents: each is read in byte ranges, by as many tasks. `array_runs` tells how.
 
-    The objects are stored in between, since the three relations are made of them. A text that isn't as the schema has it is an error.
+    Objects that follow each other are parsed together. A text that isn't as the schema has it is an error.
     """
     fields = {f.name: f.dataType.elementType for f in ANNOTATION_DOCUMENT.fields}
-    objects = checkpoint(array_objects(spark, path).where(F.col("key").isin(*fields)))
-    of = lambda key: objects.where(F.col("key") == key).select(F.col("position").cast("int").alias("position"), F.from_json("json", fields[key], {"mode": "FAILFAST"}).alias("x"))
+    runs = array_runs(spark, path)
+
+    def of(key: str) -> DataFrame:
+        text = F.concat(F.lit("["), F.array_join("json", ","), F.lit("]"))
+        each = runs.where(F.col("key") == key).select("position", F.posexplode(F.from_json(text, T.ArrayType(fields[key]), {"mode": "FAILFAST"})).alias("k", "x"))
+        return each.select((F.col("position") + F.col("k")).cast("int").alias("position"), "x")
+
     return of("images").select("x.*"), of("annotations").select("position", "x.*"), of("categories").select("x.*")
 
 

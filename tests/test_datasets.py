@@ -304,6 +304,27 @@ def test_a_document_is_read_in_ranges(spark, tmp_path):
         assert len(rows) == len(want) and {(r.file.rpartition("/")[2], r.key, r.position): json.loads(r.json) for r in rows} == want
 
 
+def test_objects_that_follow_each_other_share_rows(spark, tmp_path):
+    """Runs are far fewer than objects, in documents of one range and of many, and hold each once and in place."""
+    from boxtide.sources import ranges
+
+    doc = {"a": [{"i": i, "t": "}" * (i % 3)} for i in range(9000)], "b": [[{"no": 1}], {"i": 0}, {"i": 1}], "c": [{"i": i} for i in range(3)]}
+    (tmp_path / "x.json").write_text(json.dumps(doc))
+    (tmp_path / "y.json").write_text(json.dumps({"c": [{"i": 0}]}))
+    want = sorted((f, k, x["i"]) for f, d in (("x", doc), ("y", {"c": [{"i": 0}]})) for k, v in d.items() for x in v if isinstance(x, dict))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    for most, n in ((before, 9), ("40k", 20)):
+        spark.conf.set(name, most)
+        try:
+            rows = ranges.array_runs(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.set(name, before)
+        assert len(rows) <= n
+        got = [(r.file[-6], r.key, r.position + k, json.loads(x)["i"]) for r in rows for k, x in enumerate(r.json)]
+        assert all(i == at for _, _, at, i in got) and sorted(g[:3] for g in got) == want
+
+
 def test_ranges_of_annotations(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(DOC, indent=1))
     same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.schema.simpleString() == b.schema.simpleString()
