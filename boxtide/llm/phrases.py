@@ -27,6 +27,10 @@ BREAKS, BLANKS = b".,;:!?\n\v\f\r", b" \t"
 _LOWER = bytes(range(65, 91))
 _FOLD = bytes.maketrans(_LOWER + BREAKS + BLANKS, _LOWER.lower() + b"\n" * len(BREAKS) + b" " * len(BLANKS))
 WORDS = "block long, lang string, words array<string>, counts array<long>, ids array<int>"
+NAMED = "block long, lang string, ids array<int>, own array<int>, name array<long>"
+KEPT = "block long, lang string, ids array<int>, word array<long>, size array<int>, positions array<int>, at array<int>, name array<long>"
+#: Cells that phrases are counted in, at most, and in one slice of them, as powers of two; places, and lists, that a task counts at once.
+CELLS, SLICE, AT_ONCE, LISTS_AT_ONCE = 28, 20, 1 << 23, 1 << 20
 LISTS = "block long, lang string, ids array<int>, word array<long>, a array<long>, b array<long>, size array<int>, positions array<int>"
 
 
@@ -80,10 +84,14 @@ def _numpy(column: pa.Array, k: int) -> np.ndarray:
     return column[k].values.to_numpy(zero_copy_only=False)
 
 
-def _first_lists(shared: Broadcast | None):
-    """Lists of pairs of words. The names of a block's frequent words come from `shared`, or as `own`, their numbers, and `name`."""
+#: Of a block: its number, language, ids, their words' names; the name of the phrase at each of some positions, and those; a frequent word follows each.
+Grown = tuple[int, str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _frequent_words(shared: Broadcast | None):
+    """Blocks of frequent words alone, others being -1. Their names come from `shared`, or as `own`, their numbers, and `name`."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[Grown]:
         for b in batches:
             for k in range(b.num_rows):
                 lang, ids = b.column(1)[k].as_py(), _numpy(b.column(2), k)
@@ -97,12 +105,90 @@ def _first_lists(shared: Broadcast | None):
                 new = np.full(max(int(ids.max(initial=-1)), int(own.max(initial=-1))) + 2, -1, np.int32)
                 new[own] = np.arange(len(own))
                 ids = new[ids]  # the last is that of -1
-                positions = np.flatnonzero(ids >= 0)
-                yield _row(b.column(0)[k].as_py(), lang, ids, name, extended(ids, name, name[ids[positions]], positions, 1))
+                at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+                yield b.column(0)[k].as_py(), lang, ids, name, name[ids[at]], at
+
+    return run
+
+
+def cells_of(phrase: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
+    """The cell, one of 2^bits, that a phrase of these two parts counts in."""
+    x = phrase.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x >> np.uint64(64 - bits)).astype(np.uint32)
+
+
+def _counted_cells(source, length: int, bits: int, least: int):
+    """Rows (slice, n, cells): a task's counts of cells, no more than `least` each, as gaps and counts, byte by byte, compressed."""
+    low = min(SLICE, bits)
+
+    def rows(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cells, counts = np.unique(np.concatenate(held), return_counts=True)
+        edges = np.searchsorted(cells, np.arange(1, 1 << (bits - low)) << low)
+        for own, n in zip(np.split(cells, edges), np.split(counts, edges), strict=True):
+            if len(own):
+                gaps = np.diff(own & ((1 << low) - 1), prepend=np.uint32(0))
+                planes = np.concatenate([gaps, np.minimum(n, least)]).astype("<u4").view(np.uint8).reshape(-1, 4).T
+                row = [int(own[0]) >> low], [len(own)], [pa.compress(planes.tobytes(), "zstd", asbytes=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["slice", "n", "cells"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for _, _, ids, word, phrase, at in source(batches):
+            held.append(cells_of(phrase, word[ids[at + length]], bits))
+            size += len(held[-1])
+            if size >= AT_ONCE:
+                yield from rows(held)
+                held, size = [], 0
+        if size:
+            yield from rows(held)
 
     return run
 
 
+def _full_cells(bits: int, least: int):
+    """A slice's cells that have `least` places or more, as bits, compressed."""
+    low = min(SLICE, bits)
+
+    def run(table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << low, np.int64)
+        for n, cells in zip(table.column("n").to_pylist(), table.column("cells"), strict=True):
+            planes = np.frombuffer(pa.decompress(cells.as_buffer(), 8 * n, "zstd", asbytes=True), np.uint8).reshape(4, -1)
+            gaps, counts = np.split(np.ascontiguousarray(planes.T).view("<u4").ravel(), 2)
+            total[np.cumsum(gaps)] += counts
+        full = pa.compress(np.packbits(total >= least).tobytes(), "zstd", asbytes=True)
+        return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "full": pa.array([full], pa.binary())})
+
+    return run
+
+
+def _full_lists(source, length: int, full: Broadcast, bits: int):
+    """Lists of the phrases of a word more than `length` whose cells are full; all frequent ones are among them."""
+    low = min(SLICE, bits)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((1 << (bits - low), (1 << low) // 8), np.uint8)
+        for k, own in full.value.items():
+            held[k] = np.frombuffer(pa.decompress(own, held.shape[1], "zstd", asbytes=True), np.uint8)
+        held = held.ravel()
+        for block, lang, ids, word, phrase, at in source(batches):
+            cells = cells_of(phrase, word[ids[at + length]], bits)
+            on = (held[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
+            phrase, at = phrase[on], at[on]
+            ids = _kept(ids, at, length + 1)
+            yield _row(block, lang, ids, word, extended(ids, word, phrase, at, length))
+
+    return run
+
+
+def _kept(ids: np.ndarray, positions: np.ndarray, length: int) -> np.ndarray:
+    """`ids` with -1 for all that lies in none of the stretches of `length` words that begin at `positions`."""
+    held = np.zeros(len(ids), bool)
+    for d in range(length):
+        held[positions + d] = True
+    return np.where(held, ids, -1).astype(np.int32)
+
+
 class Pairs:
     """The names of pairs of numbers."""
 
@@ -127,10 +213,10 @@ class Pairs:
         return np.where(self.key[at] == key, self.name[at], -1) if len(self.key) else np.full(len(key), -1)
 
 
-def _next_lists(length: int, shared: Broadcast | None):
-    """Lists of phrases of one word more than `length`. Which of a block's lists are frequent `shared` says, or `at`, their places, and `name`."""
+def _frequent_lists(length: int, shared: Broadcast | None):
+    """Where phrases of `length` words can go on. Which of a block's lists are frequent `shared` says, or `at`, their places, and `name`."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[Grown]:
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, word, size, positions, x, y = (_numpy(batch.column(c), k) for c in range(2, 8))
@@ -141,15 +227,43 @@ def _next_lists(length: int, shared: Broadcast | None):
                     names = shared.value.find(x, y)
                 phrase = np.repeat(names, size)
                 phrase, positions = phrase[phrase >= 0], positions[phrase >= 0]
-                held = np.zeros(len(ids), bool)  # what lies in no frequent phrase lies in no longer one
-                for d in range(length):
-                    held[positions + d] = True
-                ids = np.where(held, ids, -1).astype(np.int32)
-                yield _row(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), ids, word, extended(ids, word, phrase, positions, length))
+                begins = np.zeros(len(ids) + 1, bool)  # a longer phrase is frequent only if the one without its first word is
+                begins[positions] = True
+                on = begins[positions + 1]
+                yield batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), ids, word, phrase[on], positions[on]
 
     return run
 
 
+def _sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, size): a task's lists, those of one phrase put together."""
+
+    def together(held: list[np.ndarray]) -> np.ndarray:
+        a, b, size = np.concatenate(held, axis=1)
+        by = np.lexsort((b, a))
+        a, b = a[by], b[by]
+        begin = np.flatnonzero(np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0)])
+        return np.stack([a[begin], b[begin], np.add.reduceat(size[by], begin)])
+
+    def rows(found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, found.shape[1], 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found[:, k : k + (1 << 16)]], ["a", "b", "size"])
+
+    held, size = [], 0
+    for batch in batches:
+        for k in range(batch.num_rows):
+            held.append(np.stack([_numpy(batch.column(c), k).astype(np.int64) for c in range(3)]))
+            size += held[-1].shape[1]
+            if size >= 2 * LISTS_AT_ONCE:
+                held = [together(held)]
+                size = held[0].shape[1]
+                if size >= LISTS_AT_ONCE:
+                    yield from rows(held[0])
+                    held, size = [], 0
+    if size:
+        yield from rows(together(held))
+
+
 def _written(df: DataFrame, what: str, kind: str) -> DataFrame:
     """`df`, rows of some MB, as a table whose readers hold two of them at once."""
     folder = new_folder(df.sparkSession, what)
@@ -158,7 +272,21 @@ def _written(df: DataFrame, what: str, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(kind).parquet(folder)
 
 
-def _pair_lists(blocks: DataFrame, each: DataFrame, known: DataFrame, at_most: int) -> DataFrame:
+def _lists(frame: DataFrame, source, length: int, bits: int, least: int) -> DataFrame:
+    """Lists of phrases of a word more than `length`, of the rows of `frame` as `source` reads them.
+
+    Places are counted first, in cells by their phrase's hash, and only phrases whose cell holds `least` places or more have lists: the
+    others can't be frequent. Of the counts a task sends a byte or two a cell, the driver gets a bit a cell at most.
+    """
+    spark = frame.sparkSession
+    counts = frame.mapInArrow(_counted_cells(source, length, bits, least), "slice int, n int, cells binary")
+    with batches_of(spark, BLOCK):
+        full = counts.groupBy("slice").applyInArrow(_full_cells(bits, least), "slice int, full binary").collect()
+    sent = spark.sparkContext.broadcast({r.slice: bytes(r.full) for r in full})
+    return frame.mapInArrow(_full_lists(source, length, sent, bits), LISTS)
+
+
+def _pair_lists(blocks: DataFrame, each: DataFrame, known: DataFrame, at_most: int, bits: int, least: int) -> DataFrame:
     """Lists of pairs of frequent words (`known`), which tasks get whole if they are `at_most`, and else by a join."""
     if known.count() <= at_most:
         table = known.select("lang", "phrase", "name").toArrow().combine_chunks()
@@ -167,23 +295,24 @@ def _pair_lists(blocks: DataFrame, each: DataFrame, known: DataFrame, at_most: i
             own = table.filter(pc.equal(table.column("lang"), lang)).combine_chunks()
             by[lang] = own.column("phrase").combine_chunks(), own.column("name").to_numpy()
         shared = blocks.sparkSession.sparkContext.broadcast(by)
-        return blocks.select("block", "lang", "ids", "words").mapInArrow(_first_lists(shared), LISTS)
-    named = each.select("block", "lang", "own", F.col("words").alias("phrase")).join(known.select("lang", "phrase", "name"), ["lang", "phrase"])
-    found = named.groupBy("block").agg(F.collect_list(F.struct("own", "name")).alias("x"))
-    joined = blocks.select("block", "lang", "ids").join(found, "block")
-    return joined.select("block", "lang", "ids", "x.own", "x.name").mapInArrow(_first_lists(None), LISTS)
+        return _lists(blocks.select("block", "lang", "ids", "words"), _frequent_words(shared), 1, bits, least)
+    own = each.select("block", "lang", "own", F.col("words").alias("phrase")).join(known.select("lang", "phrase", "name"), ["lang", "phrase"])
+    found = own.groupBy("block").agg(F.collect_list(F.struct("own", "name")).alias("x"))
+    joined = blocks.select("block", "lang", "ids").join(found, "block").select("block", "lang", "ids", F.col("x.own").alias("own"), F.col("x.name").alias("name"))
+    return _lists(_written(joined, "phrase-names", NAMED), _frequent_words(None), 1, bits, least)
 
 
-def _grown_lists(lists: DataFrame, told: DataFrame, length: int, at_most: int) -> DataFrame:
+def _grown_lists(lists: DataFrame, told: DataFrame, length: int, at_most: int, bits: int, least: int) -> DataFrame:
     """Lists of phrases of a word more than the frequent ones (`told`) of `length` words; those are handed out as above."""
     if told.count() <= at_most:
         table = told.select("a", "b", "name").toArrow()
         shared = lists.sparkSession.sparkContext.broadcast(Pairs(*(table.column(c).to_numpy() for c in ("a", "b", "name"))))
-        return lists.select("block", "lang", "ids", "word", "size", "positions", "a", "b").mapInArrow(_next_lists(length, shared), LISTS)
+        return _lists(lists.select("block", "lang", "ids", "word", "size", "positions", "a", "b"), _frequent_lists(length, shared), length, bits, least)
     places = lists.select("block", F.posexplode(F.arrays_zip("a", "b")).alias("at", "x")).select("block", "at", "x.*")
     found = places.join(told.select("a", "b", "name"), ["a", "b"]).groupBy("block").agg(F.collect_list(F.struct("at", "name")).alias("x"))
     kept = lists.select("block", "lang", "ids", "word", "size", "positions").join(found, "block")
-    return kept.select("block", "lang", "ids", "word", "size", "positions", "x.at", "x.name").mapInArrow(_next_lists(length, None), LISTS)
+    kept = kept.select("block", "lang", "ids", "word", "size", "positions", F.col("x.at").alias("at"), F.col("x.name").alias("name"))
+    return _lists(_written(kept, "phrase-kept", KEPT), _frequent_lists(length, None), length, bits, least)
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, at_most: int = FEW) -> tuple[DataFrame, DataFrame]:
@@ -193,7 +322,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     begins. Lists of phrases grow by a word: their positions are joined with the postings of
     frequent words that lie next to them, and a list's length is the phrase's exact frequency in
     its block. Lengths are summed over blocks, blocks get back the names of what is frequent
-    in all, and only its lists grow on. Lists never leave their block; up to `at_most` frequent phrases
+    in all, and only its lists grow on, by words whose own phrase of that length is frequent too. Phrases have lists only where the cell that their hash counts in is full. Lists never leave their block; up to `at_most` frequent phrases
     of a length are sent to all tasks, more are joined with the blocks that have them.
     """
     texts = docs.select(F.coalesce("lang", F.lit(NONE)).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
@@ -203,12 +332,15 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     known = checkpoint(words.where(F.col("f") >= least).withColumn("name", F.monotonically_increasing_id()))
     levels = [known.select("lang", "phrase", F.lit(1).alias("k"), "f")]
-    lists = _pair_lists(blocks, each, known, at_most)
+    # A cell for every four words: phrases that aren't frequent seldom fill one.
+    bits = min(CELLS, max(8, (int(totals.agg(F.sum("n")).first()[0] or 0) // 4).bit_length()))
+    lists = _pair_lists(blocks, each, known, at_most, bits, least)
     parts, last = known.select("name", "phrase"), known.select(F.col("name").alias("b"), F.col("phrase").alias("word"), "lang")
     for k in range(2, longest + 1):
-        lists = _written(lists, "phrase-lists", LISTS)
-        sums = lists.select(F.inline(F.arrays_zip("a", "b", "size"))).groupBy("a", "b").agg(F.sum("size").alias("f")).where(F.col("f") >= least)
-        grown = checkpoint(sums.withColumn("name", F.monotonically_increasing_id()))
+        lists = _written(lists, "phrase-lists", LISTS) if k < longest else lists
+        sums = lists.select("a", "b", "size").mapInArrow(_sizes, "a long, b long, size long").groupBy("a", "b").agg(F.sum("size").alias("f")).where(F.col("f") >= least)
+        with batches_of(docs.sparkSession, BLOCK):
+            grown = checkpoint(sums.withColumn("name", F.monotonically_increasing_id()))
         # The longer phrase's words are those of `a` and `b`.
         told = grown.join(few(parts).withColumnsRenamed({"name": "a", "phrase": "head"}), "a").join(few(last), "b")
         told = checkpoint(told.select("name", "lang", F.concat_ws(" ", "head", "word").alias("phrase"), F.lit(k).alias("k"), "f", "a", "b"))
@@ -216,7 +348,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         if k == longest or told.isEmpty():
             break
         parts = told.select("name", "phrase")
-        lists = _grown_lists(lists, told, k, at_most)
+        lists = _grown_lists(lists, told, k, at_most, bits, least)
     out = levels[0]
     for level in levels[1:]:
         out = out.union(level)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from boxtide.llm import phrases
-from boxtide.llm.phrases import Pairs, extended, frequent_phrases, mine_phrases, words_of
+from boxtide.llm.phrases import Pairs, cells_of, extended, frequent_phrases, mine_phrases, words_of
 
 COLUMNS = "doc_id long, text string, lang string"
 
@@ -91,6 +91,32 @@ def test_frequencies_and_blocks(spark, at_most):
     assert {r.lang: r.n for r in totals.collect()} == {k: v for k, v in n.items() if v}
 
 
+def test_only_what_can_be_frequent_has_lists(spark, monkeypatch):
+    """Of a text in which each pair of frequent words but one is rare, lists hold that one; and cells that are shared lose nothing."""
+    a, b = np.arange(5000) << 33, np.arange(5000)
+    cells = cells_of(a, b, 12)
+    assert cells.max() < 1 << 12 and len(np.unique(cells)) > 2500 and (cells_of(a, b, 12) == cells).all()
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(d, " ".join(rng.sample(words, 300)) + ". new york", "en") for d in range(60)]
+    held, written = [], phrases._written
+
+    def seen(df, what, kind):
+        out = written(df, what, kind)
+        if what == "phrase-lists":
+            held.append([tuple(r) for r in out.selectExpr("inline(arrays_zip(a, b, size))").groupBy("a", "b").sum("size").collect()])
+        return out
+
+    monkeypatch.setattr(phrases, "_written", seen)
+    found, _ = frequent_phrases(spark.createDataFrame(rows, COLUMNS), least=50)
+    assert {(r.phrase, r.f) for r in found.where("k > 1").collect()} == {("new york", 60)}
+    assert len(held) >= 1 and (sum(x[2] for x in held[0])) < 4000  # of some 18,000 pairs of frequent words
+    monkeypatch.setattr(phrases, "CELLS", 8)
+    rows = made()
+    found, _ = frequent_phrases(spark.createDataFrame(rows, COLUMNS).repartition(3), least=9)
+    assert {(r.lang, tuple(r.phrase.split(" "))): r.f for r in found.collect()} == counted(rows, 9, 5)[0]
+
+
 def test_phrases_against_counting(spark):
     rows = made()
     docs = spark.createDataFrame(rows, COLUMNS).selectExpr("*", "1 as block", "2 as phrase", "3 as n")
