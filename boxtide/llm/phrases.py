@@ -31,6 +31,8 @@ NAMED = "block long, lang string, ids array<int>, own array<int>, name array<lon
 KEPT = "block long, lang string, ids array<int>, word array<long>, size array<int>, positions array<int>, at array<int>, name array<long>"
 #: Cells that phrases are counted in, at most, and in one slice of them, as powers of two; places, and lists, that a task counts at once.
 CELLS, SLICE, AT_ONCE, LISTS_AT_ONCE = 28, 20, 1 << 23, 1 << 20
+#: Cells of the sums that one row holds, as a power of two.
+SUMS = 16
 LISTS = "block long, lang string, ids array<int>, word array<long>, a array<long>, b array<long>, size array<int>, positions array<int>"
 
 
@@ -235,33 +237,59 @@ def _frequent_lists(length: int, shared: Broadcast | None):
     return run
 
 
-def _sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, size): a task's lists, those of one phrase put together."""
+def _together(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rows a, b, size; the sizes of equal pairs are summed."""
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
+    begin = np.flatnonzero(np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0)])
+    return np.stack([a[begin], b[begin], np.add.reduceat(size[by], begin)])
 
-    def together(held: list[np.ndarray]) -> np.ndarray:
-        a, b, size = np.concatenate(held, axis=1)
-        by = np.lexsort((b, a))
-        a, b = a[by], b[by]
-        begin = np.flatnonzero(np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0)])
-        return np.stack([a[begin], b[begin], np.add.reduceat(size[by], begin)])
+
+def _sizes(bits: int):
+    """Rows (slice, n, sums): a task's lists, those of one phrase put together, as a's gaps, b and size, byte by byte, compressed."""
+    low = min(SUMS, bits)
 
     def rows(found: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(0, found.shape[1], 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found[:, k : k + (1 << 16)]], ["a", "b", "size"])
-
-    held, size = [], 0
-    for batch in batches:
-        for k in range(batch.num_rows):
-            held.append(np.stack([_numpy(batch.column(c), k).astype(np.int64) for c in range(3)]))
-            size += held[-1].shape[1]
-            if size >= 2 * LISTS_AT_ONCE:
-                held = [together(held)]
-                size = held[0].shape[1]
-                if size >= LISTS_AT_ONCE:
-                    yield from rows(held[0])
-                    held, size = [], 0
-    if size:
-        yield from rows(together(held))
+        part = cells_of(found[0], found[1], bits) >> low
+        by = np.argsort(part, kind="stable")
+        found, part = found[:, by], part[by]
+        for own in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
+            a, b, size = found[:, own]
+            planes = np.stack([np.diff(a, prepend=0), b, size]).astype("<i8").view(np.uint8).reshape(-1, 8).T
+            row = [int(part[own[0]])], [len(own)], [pa.compress(planes.tobytes(), "zstd", asbytes=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["slice", "n", "sums"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                held.append(np.stack([_numpy(batch.column(c), k).astype(np.int64) for c in range(3)]))
+                size += held[-1].shape[1]
+                if size >= 2 * LISTS_AT_ONCE:
+                    held = [_together(*np.concatenate(held, axis=1))]
+                    size = held[0].shape[1]
+                    if size >= LISTS_AT_ONCE:
+                        yield from rows(held[0])
+                        held, size = [], 0
+        if size:
+            yield from rows(_together(*np.concatenate(held, axis=1)))
+
+    return run
+
+
+def _frequent(least: int):
+    """(a, b, f) of a slice's phrases that have `least` places or more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        held = []
+        for n, own in zip(table.column("n").to_pylist(), table.column("sums"), strict=True):
+            planes = np.frombuffer(pa.decompress(own.as_buffer(), 24 * n, "zstd", asbytes=True), np.uint8).reshape(8, -1)
+            gaps, b, size = np.ascontiguousarray(planes.T).view("<i8").reshape(3, -1)
+            held.append(np.stack([np.cumsum(gaps), b, size]))
+        found = _together(*np.concatenate(held, axis=1))
+        return pa.table(dict(zip(("a", "b", "f"), found[:, found[2] >= least], strict=True)))
+
+    return run
 
 
 def _written(df: DataFrame, what: str, kind: str) -> DataFrame:
@@ -338,7 +366,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     parts, last = known.select("name", "phrase"), known.select(F.col("name").alias("b"), F.col("phrase").alias("word"), "lang")
     for k in range(2, longest + 1):
         lists = _written(lists, "phrase-lists", LISTS) if k < longest else lists
-        sums = lists.select("a", "b", "size").mapInArrow(_sizes, "a long, b long, size long").groupBy("a", "b").agg(F.sum("size").alias("f")).where(F.col("f") >= least)
+        sums = lists.select("a", "b", "size").mapInArrow(_sizes(bits), "slice int, n int, sums binary").groupBy("slice").applyInArrow(_frequent(least), "a long, b long, f long")
         with batches_of(docs.sparkSession, BLOCK):
             grown = checkpoint(sums.withColumn("name", F.monotonically_increasing_id()))
         # The longer phrase's words are those of `a` and `b`.
