@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Row, SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf, udtf
 
 BOX = "STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>"
 
@@ -52,13 +53,7 @@ EDGES = {
 
 
 class Assign:
-    """`select * from assign(table(edges) partition by image_id order by (box_id_t, box_id_prev), 0.05)`.
-
-    The table has the columns of `candidate_edges` with `keep_lonely`, in any order, others beside them are
-    dropped; the number is epsilon_match. Rows are those of `match`. With some millions of small images, partition by
-    a hash of the image and order by (image_id, box_id_t, box_id_prev): images of a partition are then solved together,
-    some `AT_ONCE` edges at a time. An instance holds that many and one image's.
-    """
+    """`assign_rows`, which is `assign` (`AssignBatches`) a row at a time."""
 
     AT_ONCE = 1 << 14
 
@@ -90,11 +85,54 @@ class Assign:
             yield from self.solved()
 
 
+class AssignBatches:
+    """`select * from assign(table(edges) partition by image_id order by (box_id_t, box_id_prev), 0.05)`.
+
+    The table has the columns of `candidate_edges` with `keep_lonely`, in any order, others beside them are
+    dropped; the number is epsilon_match. Rows are those of `match`. With some millions of small images, partition by
+    a hash of the image and order by (image_id, box_id_t, box_id_prev): images of a partition are then solved together,
+    some `AT_ONCE` edges at a time. Edges come and matches go as Arrow batches, no row is made a Python object.
+    An instance holds that many edges, a batch and one image's.
+    """
+
+    AT_ONCE = 1 << 14
+
+    def __init__(self) -> None:
+        self.held: list[pa.RecordBatch] = []
+        self.rows = 0
+        self.epsilon = 0.05
+
+    def eval(self, edges: pa.RecordBatch, epsilon: pa.Array) -> Iterator[pa.Table]:
+        if not edges.num_rows:
+            return
+        self.epsilon = float(epsilon[0].as_py())
+        edges = edges.select(list(EDGES))
+        image = edges.column("image_id")
+        # an image that goes on from the batch before is solved when another follows; its batches are joined only then
+        if self.rows >= self.AT_ONCE and (image[0] != self.held[-1].column("image_id")[-1] or image[0] != image[-1]):
+            mine = edges.num_rows - pc.sum(pc.equal(image, image[-1])).as_py() if image[-1].is_valid else 0
+            yield from self.solved([*self.held, edges.slice(0, mine)])
+            self.held, self.rows, edges = [], 0, edges.slice(mine)
+        self.held.append(edges)
+        self.rows += edges.num_rows
+
+    def solved(self, edges: list[pa.RecordBatch]) -> Iterator[pa.Table]:
+        from ..operators.matching import MATCH_FIELDS, match_images
+
+        whole = pa.Table.from_batches(edges).cast(pa.schema(list(EDGES.items()))).combine_chunks()
+        yield match_images(whole, self.epsilon).select(MATCH_FIELDS)
+
+    def terminate(self) -> Iterator[pa.Table]:
+        if self.rows:
+            yield from self.solved(self.held)
+
+
 def register(spark: SparkSession) -> list[str]:
     """Creates the temporary functions in the session; their names."""
     from ..operators.matching import MATCHES
 
-    spark.udtf.register("assign", udtf(Assign, returnType=MATCHES))
+    spark.udtf.register("assign", arrow_udtf(AssignBatches, returnType=MATCHES))
+    spark.udtf.register("assign_rows", udtf(Assign, returnType=MATCHES))
     for name, (arguments, kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")
-    return [*FUNCTIONS, "assign"]
+    return [*FUNCTIONS, "assign", "assign_rows"]

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distributions import js_of_normalised, js_of_scores, normalize
+from ..functions.distributions import js_of_scores
 from ..functions.geometry import iou
 from ..schema import MatchingConfig
 from .ordering import whole_groups
@@ -26,6 +26,7 @@ MATCHES = (
     " pred_class_t int, pred_class_prev int, confidence double, candidates int, cost_gap double"
 )
 MATCH_FIELDS = [field.split()[0] for field in MATCHES.split(",")]
+EDGE_FIELDS = ["image_id", "box_id_t", "box_id_prev", "iou", "js", "pred_class_t", "pred_class_prev", "confidence", "cost"]
 
 
 def image_alignment(images_t: DataFrame, images_prev: DataFrame) -> DataFrame:
@@ -59,22 +60,21 @@ def candidate_edges(current: DataFrame, previous: DataFrame, config: MatchingCon
     """Pairs of the same image with iou >= the gate, with iou, js and cost = 1 - iou + lambda * js.
 
     The gate is a residual of the join on the image, so that the divergence is computed for
-    gated pairs only, from scores normalised once a box. `keep_lonely` keeps current
+    gated pairs only, an Arrow batch at a time. `keep_lonely` keeps current
     boxes without a candidate, their pair null.
     """
-    p_of = normalize(F.col("class_scores"))
-    pairs = _gated_pairs(_side(current, "t", p_of), _side(previous, "prev", p_of), config, "left" if keep_lonely else "inner")
-    out = pairs.select(
-        F.col("t.image_id").alias("image_id"),
-        "box_id_t",
-        "box_id_prev",
-        "iou",
-        F.when(F.col("box_id_prev").isNotNull(), js_of_normalised(F.col("p_t"), F.col("p_prev"))).alias("js"),
-        "pred_class_t",
-        "pred_class_prev",
-        "confidence",
-    )
-    return out.withColumn("cost", 1 - F.col("iou") + config.lambda_cls * F.col("js"))
+    scores, weight = F.col("class_scores").cast("array<double>"), config.lambda_cls
+    pairs = _gated_pairs(_side(current, "t", scores), _side(previous, "prev", scores), config, "left" if keep_lonely else "inner")
+    own = ["box_id_t", "box_id_prev", "iou", "p_t", "p_prev", "pred_class_t", "pred_class_prev", "confidence"]
+    kinds = dict(current.dtypes) | {f"{c}_prev": kind for c, kind in previous.dtypes}
+    names = {"image_id": "image_id", "box_id_t": "box_id", "box_id_prev": "box_id_prev", "pred_class_t": "pred_class", "pred_class_prev": "pred_class_prev", "confidence": "confidence"}
+    schema = ", ".join(f"{c} {'double' if c in ('iou', 'js', 'cost') else kinds[names[c]]}" for c in EDGE_FIELDS)
+
+    def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _with_costs(pa.Table.from_batches([b]), weight).select(EDGE_FIELDS).to_batches()
+
+    return pairs.select(F.col("t.image_id").alias("image_id"), *own).mapInArrow(priced, schema)
 
 
 def two_best_costs(edges: DataFrame) -> DataFrame:

@@ -694,3 +694,88 @@ def test_rounds_in_buckets_move_no_box(spark, tmp_path):
         run_loop(spark, store, loop_config(bootstrap=True), twice, lambda rows, r, c: f"k{r}", checkpoint="k")
     assert store.committed_rounds() == [0] and store.unfinished() == []
     assert not [x for x in spark.catalog.listTables() if x.name.startswith("buckets_")]
+
+
+def largest_method(spark, frame):
+    """Bytes of bytecode of the largest method that Spark generates for a frame, joins as at size; over 8,000 the JVM never compiles it."""
+    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        stages = frame()._jdf.queryExecution().debug().codegenToSeq()
+        return max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size()))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_generated_code_of_matching_is_compiled(spark):
+    from boxtide.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    t, p = queries.pair(spark, sf, 1)
+    assert largest_method(spark, lambda: matching.match(t, p)) < 8000
+    assert largest_method(spark, lambda: matching.match(t, p, keep=["box", "class_scores"])) < 8000
+    edges = matching.candidate_edges(t, p, keep_lonely=True)
+    assert largest_method(spark, lambda: edges) < 8000
+    assert "lambda" not in edges._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sql_assignment_takes_arrow_batches(spark):
+    """Images cut by batches anywhere, and one that goes over many batches, are solved whole; edges are held up to a bound."""
+    import pyarrow as pa
+
+    from boxtide.functions.sql import EDGES, AssignBatches, register
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for i, n in enumerate(rng.integers(1, 7, 60).tolist() + [90]):
+        for t in range(n):
+            for p in sorted(set(rng.integers(0, n, 3).tolist())) if t % 4 else [None]:
+                cost = None if p is None else float(rng.random())
+                rows.append((f"i{i:03d}", f"t{t:03d}", None if p is None else f"p{p:03d}", cost and 0.9, cost and 0.1, 1, cost and 2, 0.5, cost))
+    rows.insert(0, (None, "t", None, None, None, 1, None, 0.5, None))
+    edges = pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), EDGES.values(), strict=True)], names=list(EDGES))
+    want = matching.match_images(edges, 0.05).to_pylist()
+    for size, at_once in ((1, 1), (3, 5), (7, 1), (64, 10), (10_000, 1 << 14)):
+        one, got, held = AssignBatches(), [], 0
+        one.AT_ONCE = at_once
+        for batch in edges.to_batches(max_chunksize=size):
+            for part in one.eval(batch.append_column("more", pa.nulls(batch.num_rows)), pa.array([0.05] * batch.num_rows)):
+                got += part.to_pylist()
+            held = max(held, one.rows)
+        for part in one.terminate():
+            got += part.to_pylist()
+        assert got == want
+        assert held <= at_once + size + 270
+    register(spark)
+    plan = spark.sql("select * from assign(table({edges}) partition by image_id order by (box_id_t, box_id_prev), 0.05D)", edges=spark.createDataFrame([], matching.candidate_edges(one_box(spark), one_box(spark)).schema))
+    assert "ArrowEvalPythonUDTF" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def one_box(spark):
+    return one(spark, (A, 0))
+
+
+def test_overlap_of_odd_boxes(spark):
+    from boxtide.functions import geometry as geo
+
+    nan, inf = float("nan"), float("inf")
+    boxes = [(0, 0, 4, 4), (2, 2, 6, 6), (4, 0, 8, 4), (3, 3, 3, 3), (5, 5, 1, 1), (-0.0, -0.0, 0.0, 0.0), (nan, 0, 4, 4), (0, 0, inf, 4), (-inf, 0, inf, 4), (0, 0, 1e-200, 1e-200), (0, 0, 1e200, 1e200)]
+
+    def plain(a, b):
+        if nan in (*a, *b) or any(x != x for x in (*a, *b)):
+            return 0.0
+        area = lambda r: max(r[2] - r[0], 0.0) * max(r[3] - r[1], 0.0)
+        meet = max(min(a[2], b[2]) - max(a[0], b[0]), 0.0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0.0)
+        union = area(a) + area(b) - meet
+        value = 0.0 if meet == 0 or union <= 0 else meet / union
+        return 0.0 if value != value else value
+
+    pairs = [(a, b) for a in boxes for b in boxes]
+    kind = "struct<x1: double, y1: double, x2: double, y2: double>"
+    frame = spark.createDataFrame([(tuple(map(float, a)), tuple(map(float, b))) for a, b in pairs] + [(None, tuple(map(float, boxes[0])))], f"a {kind}, b {kind}")
+    got = [r[0] for r in frame.select(geo.iou(F.col("a"), F.col("b"))).collect()]
+    assert got == [plain(a, b) for a, b in pairs] + [None]
+    assert not any(str(x) == "-0.0" for x in got)
