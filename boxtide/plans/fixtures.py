@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box
 from ..functions.names import box_id, image_id
+from ..session import shared_dir
+from ..sources.store import read_buckets, write_buckets
 
 CLASSES, WIDTH, HEIGHT = 5, 640, 480
 
@@ -23,8 +27,15 @@ def objects(spark: SparkSession, sf_dir: str, key: str = "l_orderkey") -> DataFr
     return lines.withColumn("obj", F.row_number().over(order) - 1)
 
 
-def detections(spark: SparkSession, sf_dir: str, r: int, *others: str) -> DataFrame:
-    """Boxes of round r, with those other columns of the line items."""
+def saved_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What boxes are derived from, numbered and saved in buckets by image once: rounds that are derived from it move and sort nothing for that."""
+    rows = objects(spark, sf_dir, "image_id").select("image_id", "l_partkey", "l_suppkey", "l_quantity", "obj")
+    place = f"{shared_dir(spark)}/objects-{uuid.uuid4().hex}"
+    return read_buckets(spark, place, rows.schema, write_buckets(rows, place))
+
+
+def detections(spark: SparkSession, sf_dir: str, r: int, *others: str, lines: DataFrame | None = None) -> DataFrame:
+    """Boxes of round r, with those other columns of the line items; of `saved_objects` where these are given."""
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
     x1 = 40 * (part % 12) + (supp + 3 * r) % 9
     y1 = 30 * (supp % 10) + (part + 5 * r) % 7
@@ -32,7 +43,7 @@ def detections(spark: SparkSession, sf_dir: str, r: int, *others: str) -> DataFr
     w = [(1 + (supp * (k + 3) + r) % 7 + F.when(F.col("pred_class") == k, 20).otherwise(0)).cast("double") for k in range(CLASSES)]
     total = F.col("w0") + F.col("w1") + F.col("w2") + F.col("w3") + F.col("w4")
     return (
-        objects(spark, sf_dir, "image_id")
+        (objects(spark, sf_dir, "image_id") if lines is None else lines)
         .where((7 * part + 3 * supp + 5 * r) % 10 != 0)
         .withColumn("pred_class", cls)
         .withColumns({f"w{k}": x for k, x in enumerate(w)})
@@ -78,9 +89,9 @@ def categories(spark: SparkSession) -> DataFrame:
     return spark.range(1, 10).select(F.col("id"), F.concat(F.lit("category "), F.col("id").cast("string")).alias("name"))
 
 
-def jittered(spark: SparkSession, sf_dir: str, t: int, transforms: int) -> DataFrame:
+def jittered(spark: SparkSession, sf_dir: str, t: int, transforms: int, lines: DataFrame | None = None) -> DataFrame:
     """What a detector might find in the transformed images: boxes of round t, moved, some lost, some of another class."""
     part, supp, k = F.col("l_partkey"), F.col("l_suppkey"), F.col("transform")
-    each = detections(spark, sf_dir, t, "l_partkey", "l_suppkey").withColumn("transform", F.explode(F.array(*[F.lit(x) for x in range(transforms)])))
+    each = detections(spark, sf_dir, t, "l_partkey", "l_suppkey", lines=lines).withColumn("transform", F.explode(F.array(*[F.lit(x) for x in range(transforms)])))
     cls = (F.col("pred_class") + F.when((part + k) % 13 == 0, 1).otherwise(0)) % CLASSES
     return each.where((supp + k) % 11 != 0).select("image_id", "transform", "box", cls.cast("int").alias("pred_class"), ((part + k) % 5).cast("double").alias("shift"))

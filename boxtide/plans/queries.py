@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,9 @@ from ..functions import geometry as geo
 from ..operators import admission, annotations, audit, inference, integrity, jitter, matching, quality, results, scoring, signals, splits
 from ..operators.ordering import batches, even_sample
 from ..session import checkpoint as saved
+from ..session import shared_dir
 from ..schema import CLASS_NAMES, MatchingConfig, StoppingConfig
+from ..sources.store import read_buckets, write_buckets
 from . import fixtures as fx
 from . import oracle as o
 from .rounds import bank_rows, bootstrap_rows
@@ -245,18 +248,24 @@ def jitter_remap(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("box_id", each.alias("x")).select("box_id", "x.transform", *[r6(F.col(f"x.b.{c}")).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-def jitter_found(spark: SparkSession, sf: str, t: int) -> DataFrame:
+def jitter_found(spark: SparkSession, sf: str, t: int, lines: DataFrame | None = None) -> DataFrame:
     """What the transformed images hold, of one pass over the boxes."""
     size, shift = (F.lit(fx.WIDTH), F.lit(fx.HEIGHT)), F.col("shift")
-    moved = fx.jittered(spark, sf, t, len(jitter.TRANSFORMS))
+    moved = fx.jittered(spark, sf, t, len(jitter.TRANSFORMS), lines)
     at = F.get(F.array(*[geo.remap(F.col("box"), *size, name) for name in jitter.TRANSFORMS]), F.col("transform"))
     b = moved.select("image_id", "transform", "pred_class", "shift", at.alias("b"))
     return b.select("image_id", "transform", geo.box(F.col("b.x1") + shift, F.col("b.y1") + shift, F.col("b.x2") + shift, F.col("b.y2") + shift).alias("box"), "pred_class")
 
 
-def triples(spark: SparkSession, sf: str, t: int, matches: DataFrame) -> DataFrame:
-    wanted = jitter.jitter_candidates(matches, fx.detections(spark, sf, t), fx.images(spark, sf), MatchingConfig().min_iou_gate)
-    return jitter.jitter_triples(wanted, jitter_found(spark, sf, t), MatchingConfig().min_iou_gate)
+def jittered_matches(spark: SparkSession, sf: str, t: int) -> tuple[DataFrame, DataFrame]:
+    """Matches and their triples. Line items are numbered once and matched once, both saved in buckets by image."""
+    lines = fx.saved_objects(spark, sf)
+    current, previous = (fx.detections(spark, sf, r, lines=lines) for r in (t, t - 1))
+    m, place = matching.match(current, previous, keep=["box"]), f"{shared_dir(spark)}/matches-{uuid.uuid4().hex}"
+    m = m.select("image_id", "box_id_t", "status", "iou", "js", "pred_class_t", "box")
+    m = read_buckets(spark, place, m.schema, write_buckets(m, place))
+    wanted = jitter.jitter_candidates(m, current, fx.images(spark, sf), MatchingConfig().min_iou_gate)
+    return m, jitter.jitter_triples(wanted, jitter_found(spark, sf, t, lines), MatchingConfig().min_iou_gate)
 
 
 def _jitter_sql() -> str:
@@ -270,7 +279,7 @@ def _jitter_sql() -> str:
 
 @query(f"""{M1}, {_jitter_sql()} select j0.box_id, {q6("iou_0")} as iou_0, {q6("iou_1")} as iou_1, {q6("iou_2")} as iou_2 from j0 join j1 on j1.box_id = j0.box_id join j2 on j2.box_id = j0.box_id""")
 def jitter_select(spark: SparkSession, sf: str) -> DataFrame:
-    out = triples(spark, sf, 1, matched(spark, sf, 1))
+    _, out = jittered_matches(spark, sf, 1)
     return out.select("box_id", *[r6(F.col(f"iou_{k}")).alias(f"iou_{k}") for k in range(3)])
 
 
@@ -280,8 +289,7 @@ select box_id_t, k.box_id is not null as jitter_executed, {q6("case when status
     {q6("case when status = 'matched' then least(greatest(0.33::double * (1 - js) + 0.33::double * iou + 0.34::double * coalesce(jit, 0.0::double), 0.0::double), 1.0::double) end")} as stability
 from m1 left join k on k.box_id = m1.box_id_t""")
 def jitter_scores(spark: SparkSession, sf: str) -> DataFrame:
-    m = saved(matched(spark, sf, 1))  # the matching runs once for the triples and the scores
-    s = scoring.score(m, triples(spark, sf, 1, m))
+    s = scoring.score(*jittered_matches(spark, sf, 1))
     return s.select("box_id_t", "jitter_executed", r6(F.col("c_jitter_loc")).alias("c_jitter_loc"), r6(F.col("stability")).alias("stability"))
 
 

@@ -779,3 +779,29 @@ def test_overlap_of_odd_boxes(spark):
     got = [r[0] for r in frame.select(geo.iou(F.col("a"), F.col("b"))).collect()]
     assert got == [plain(a, b) for a, b in pairs] + [None]
     assert not any(str(x) == "-0.0" for x in got)
+
+
+def test_jitter_moves_nothing_that_lies_by_image(spark):
+    from boxtide.plans import queries
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, triples = queries.jittered_matches(spark, "/root/testdata/sf0.001", 1)
+        plan = triples._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(image_id") == 1  # the images' sizes
+        assert largest_method(spark, lambda: triples.where("iou_0 >= 0")) < 8000
+        assert triples.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_triples_of_odd_boxes(spark):
+    box, kind = (100.0, 100.0, 200.0, 200.0), "struct<x1:double,y1:double,x2:double,y2:double>"
+    wanted = spark.createDataFrame([("i", "a", box, 1, 640, 480), ("i", "b", box, None, 640, 480), ("i", "c", None, 1, 640, 480), (None, "d", box, 1, 640, 480), ("j", "e", box, 1, 640, 480)], f"image_id string, box_id string, box {kind}, pred_class int, width int, height int")
+    moved = {0: (94.0, 96.0, 197.0, 199.0), 1: (108.0, 108.0, 208.0, 208.0), 2: box}
+    rows = [("i", k, b, 1) for k, b in moved.items()] + [("i", 2, None, 1), ("i", 2, box, 2), ("i", None, box, 1), ("i", 7, box, 1), (None, 0, box, 1), ("j", 0, moved[0], 1), ("i", 1, box, None)]
+    found = spark.createDataFrame(rows, f"image_id string, transform int, box {kind}, pred_class int")
+    got = jitter.jitter_triples(wanted, found, 0.3).collect()
+    assert [(r.image_id, r.box_id, r.iou_1, r.iou_2) for r in got] == [("i", "a", 1.0, 1.0)]
+    assert {r.box_id: (r.iou_1, r.iou_2) for r in jitter.jitter_triples(wanted, found, 0.0).collect()} == {"a": (1.0, 1.0)} | dict.fromkeys("bcde", (0.0, 0.0))
