@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import chain
+from math import lcm
 
 import numpy as np
 import pandas as pd
@@ -16,11 +18,12 @@ from ..functions.distributions import argmax, softmax, total
 from ..functions.geometry import centre_to_corners, letterbox
 from ..functions.names import box_id
 from ..schema import BOX
+from ..session import checkpoint
 from ..sources.archives import Reader
 from ..sources.files import default_root
-from .ordering import batches, whole_groups
+from .ordering import batches, numbered_by, whole_groups
 
-Detector = Callable[[pd.DataFrame], pd.DataFrame | list[pd.DataFrame]]
+Detector = Callable[[pd.DataFrame], "pd.DataFrame | list[pd.DataFrame] | dict[str, Sequence]"]
 CORNERS = ("x1", "y1", "x2", "y2")
 Decode = Callable[[bytes], np.ndarray | None]
 
@@ -201,21 +204,27 @@ def score_report(detections: DataFrame, near_one: float = 1e-4, near_max: float
     )
 
 
-def _found(detector: Detector, rows: pd.DataFrame) -> pd.DataFrame:
+def _found(detector: Detector, rows: pd.DataFrame) -> pd.DataFrame | dict[str, Sequence]:
     """What the detector finds in a batch; ValueError if it has not one result an image, or boxes of images that aren't in it."""
     out = detector(rows)
     if isinstance(out, list):
         if len(out) != len(rows):
             raise ValueError(f"the detector gave {len(out)} results for {len(rows)} images, from {rows.image_id.iloc[0]} on")
         out = pd.concat([x.assign(image_id=i) for x, i in zip(out, rows.image_id, strict=True)], ignore_index=True)
-    if strange := sorted(set(out.image_id) - set(rows.image_id)):
+    if strange := sorted(set(out["image_id"]) - set(rows.image_id)):
         raise ValueError(f"the detector gave boxes of {strange[0]}, which is not in its batch")
     return out
 
 
-def _boxed(found: list[pd.DataFrame]) -> pd.DataFrame:
+RESULT = ("image_id", "det_index", "x1", "y1", "x2", "y2", "pred_class", "class_scores", "confidence")
+
+
+def _boxed(found: list[pd.DataFrame | dict[str, Sequence]]) -> pd.DataFrame:
     """Rows of FOUND, of what the detector found in some batches."""
-    out = pd.concat(found, ignore_index=True)
+    if all(isinstance(x, dict) for x in found):
+        out = pd.DataFrame({c: list(chain.from_iterable(x[c] for x in found)) for c in RESULT})
+    else:
+        out = pd.concat([pd.DataFrame(x) for x in found], ignore_index=True)
     sides = out[["x1", "y1", "x2", "y2"]].astype(float)
     return out.assign(box=sides.to_dict("records"))[["image_id", "det_index", "box", "pred_class", "class_scores", "confidence"]]
 
@@ -230,7 +239,7 @@ def _pool(found: DataFrame, round_id: int) -> DataFrame:
 def detect(images: DataFrame, detector: Detector, round_id: int, batch: int = 8) -> DataFrame:
     """Runs an injected detector over `images` (image_id, ...) in batches whose make-up depends on the ids only.
 
-    detector(batch) returns image_id, det_index, x1, y1, x2, y2, pred_class, class_scores, confidence, or a
+    detector(batch) returns image_id, det_index, x1, y1, x2, y2, pred_class, class_scores, confidence, as a frame or a dict of equally long columns, or a
     list of one such frame an image; ValueError if these are more or fewer. Images without boxes have no
     rows here; keep `images` beside the pool. Of rows with the same id any one counts, as
     relations have no order. Ids alone are numbered; then the rows are dealt out by batch. Where they hold pixels
@@ -248,53 +257,74 @@ def detect_files(paths: DataFrame, decode: Decode, detector: Detector, round_id:
     """`detect` over image files (image_id, path), archived ones too: read, decoded and given to the detector in one task, batch by batch.
 
     Only ids and paths are shuffled: they are numbered in the order of the ids, and runs of `run` images go to
-    a task each, or several to one beyond `most_tasks`. A task holds the pixels of one batch and the boxes of some.
+    a task each, or several to one beyond `most_tasks`. A task holds the pixels of one batch, or of several while they are small (4 MB), and the boxes of some.
     The batch's frame has image_id, path, width, height, pixels (an array as `decode` gives it) and
     place. Of several paths of an id the first counts. ValueError names an image that can't be read.
     """
-    spark = paths.sparkSession
+    return _pool(_detected_files(paths, decode, detector, [batch], run, most_tasks), round_id)
+
+
+def _detected_files(paths: DataFrame, decode: Decode, detector: Detector, sizes: Sequence[int], run: int, most_tasks: int = 1 << 15) -> DataFrame:
+    """FOUND and `of`, the place in `sizes`: what the detector finds in batches of each of these sizes, of images that are read and decoded once."""
+    spark, whole = paths.sparkSession, lcm(*sizes)
     each = paths.groupBy("image_id").agg(F.min("path").alias("path"))
-    placed = batches(each, batch)
+    placed = numbered_by(each, "image_id")
     n = max(1, -(-placed.count() // run))
-    in_run = F.expr(f"batch_id div {max(1, run // batch)}")
-    dealt = placed.repartitionByRange(min(n, most_tasks), in_run).sortWithinPartitions("batch_id", "place")
+    in_run = F.expr(f"position div {whole * max(1, run // whole)}")
+    dealt = placed.repartitionByRange(min(n, most_tasks), in_run).sortWithinPartitions("position")
     root = default_root(spark)
 
-    def opened(reader: Reader, rows: pd.DataFrame) -> pd.DataFrame:
-        pixels = []
-        for path in rows.path:
-            try:
-                image = decode(reader.read(path))
-            except Exception as e:
-                raise ValueError(f"unreadable image {path}") from e
-            if image is None:
-                raise ValueError(f"unreadable image {path}")
-            pixels.append(image)
-        return rows.assign(width=[x.shape[1] for x in pixels], height=[x.shape[0] for x in pixels], pixels=pixels)
-
-    def whole_batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+    def opened(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Images with their pixels; batches of all sizes end where one of these frames does."""
+        reader, rows, held = Reader(root), [], 0
         for part in parts:
-            part = part if held is None else pd.concat([held, part], ignore_index=True)
-            edge = [0, *(np.flatnonzero(np.diff(part.batch_id)) + 1).tolist()]
-            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                yield part.iloc[lo:hi].reset_index(drop=True)
-            held = part.iloc[edge[-1] :]
-        if held is not None and len(held):
-            yield held.reset_index(drop=True)
+            for image, path, position in zip(part.image_id.tolist(), part.path.tolist(), part.position.tolist(), strict=True):
+                if rows and position // whole != rows[-1][2] // whole and (held >= 1 << 22 or len(rows) >= 4096):
+                    yield framed(rows)
+                    rows, held = [], 0
+                try:
+                    pixels = decode(reader.read(path))
+                except Exception as e:
+                    raise ValueError(f"unreadable image {path}") from e
+                if pixels is None:
+                    raise ValueError(f"unreadable image {path}")
+                rows.append((image, path, position, pixels))
+                held += pixels.nbytes
+        if rows:
+            yield framed(rows)
+
+    def framed(rows: list[tuple]) -> pd.DataFrame:
+        ids, paths, positions, pixels = zip(*rows, strict=True)
+        shapes = [x.shape for x in pixels]
+        return pd.DataFrame({"image_id": ids, "path": paths, "position": positions, "width": [x[1] for x in shapes], "height": [x[0] for x in shapes], "pixels": pd.Series(pixels, dtype=object)})
 
     def detected(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, found, n = Reader(root), [], 0
-        for rows in whole_batches(parts):
-            found.append(_found(detector, opened(reader, rows)))
-            n += len(found[-1])
-            if n >= 4096 or len(found) >= 512:
-                yield _boxed(found)
-                found, n = [], 0
-        if found:
-            yield _boxed(found)
+        for images in opened(parts):
+            position = images.pop("position").to_numpy()
+            for of, size in enumerate(sizes):
+                rows, found, n = images.assign(batch_id=position // size, place=position % size), [], 0
+                edge = np.flatnonzero(np.diff(position // size, prepend=-1, append=-1)).tolist()
+                for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                    batch = rows.iloc[lo:hi]
+                    batch.index = pd.RangeIndex(hi - lo)
+                    found.append(_found(detector, batch))
+                    n += len(found[-1]["image_id"])
+                    if n >= 4096 or len(found) >= 512 or hi == len(rows):
+                        if n:
+                            yield _boxed(found).assign(of=of)
+                        found, n = [], 0
+
+    return dealt.select("image_id", "path", "position").mapInPandas(detected, f"{FOUND}, of int")
+
+
+def _digest() -> list[F.Column]:
+    """Aggregates n_boxes and _sum, the sum of a hash of each row, whose numbers count to eight decimals."""
+    r = lambda x: F.round(x, 8) + 0.0
+    row = F.xxhash64("image_id", "det_index", *[r(F.col(f"box.{c}")) for c in ("x1", "y1", "x2", "y2")], "pred_class", F.transform("class_scores", r), r(F.col("confidence")))
+    return [F.count("*").alias("n_boxes"), F.sum(row.cast("decimal(38,0)")).alias("_sum")]
+
 
-    return _pool(dealt.select("image_id", "path", "batch_id", "place").mapInPandas(detected, FOUND), round_id)
+DIGEST = "cast(pmod(coalesce(_sum, 0), 18446744073709551616) as string)"
 
 
 def run_digest(pool: DataFrame) -> DataFrame:
@@ -302,17 +332,26 @@ def run_digest(pool: DataFrame) -> DataFrame:
 
     The sum, modulo 2^64, of a hash of each row, whose numbers count to eight decimals.
     """
-    r = lambda x: F.round(x, 8) + 0.0
-    row = F.xxhash64("image_id", "det_index", *[r(F.col(f"box.{c}")) for c in ("x1", "y1", "x2", "y2")], "pred_class", F.transform("class_scores", r), r(F.col("confidence")))
-    return pool.agg(F.count("*").alias("n_boxes"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).alias("_sum")).select("n_boxes", F.expr("cast(pmod(_sum, 18446744073709551616) as string)").alias("digest"))
+    return pool.agg(*_digest()).select("n_boxes", F.expr(DIGEST).alias("digest"))
+
+
+def _like_the_first(every: DataFrame) -> DataFrame:
+    first = every.where("_k = 0").select(F.struct("n_boxes", "digest").alias("_first"))
+    return every.join(F.broadcast(first)).select("run", "n_boxes", "digest", (F.struct("n_boxes", "digest") == F.col("_first")).alias("same"))
 
 
 def compared_runs(runs: dict[str, DataFrame]) -> DataFrame:
     """run, n_boxes, digest, same: whether a run found what the first one found. Two of one kind tell of determinism, two batch sizes of independence of the batch."""
     parts = [run_digest(pool).select(F.lit(name).alias("run"), F.lit(k).alias("_k"), "n_boxes", "digest") for k, (name, pool) in enumerate(runs.items())]
-    every = reduce(DataFrame.unionByName, parts)
-    first = every.where("_k = 0").select(F.struct("n_boxes", "digest").alias("_first"))
-    return every.join(F.broadcast(first)).select("run", "n_boxes", "digest", (F.struct("n_boxes", "digest") == F.col("_first")).alias("same"))
+    return _like_the_first(reduce(DataFrame.unionByName, parts))
+
+
+def compared_files(paths: DataFrame, decode: Decode, detector: Detector, sizes: dict[str, int], run: int = 200) -> DataFrame:
+    """`compared_runs` of a detector over image files, by name and batch size: it runs anew for each of them, while files are numbered, read and decoded once."""
+    found = _detected_files(paths, decode, detector, list(sizes.values()), run).groupBy(F.col("of").alias("_k")).agg(*_digest())
+    names = paths.sparkSession.createDataFrame(list(enumerate(sizes)), "_k int, run string")
+    every = names.join(F.broadcast(found), "_k", "left").withColumns({"n_boxes": F.coalesce("n_boxes", F.lit(0)), "digest": F.expr(DIGEST)})
+    return _like_the_first(checkpoint(every.select("run", "_k", "n_boxes", "digest")))
 
 
 def nested_pool(images: DataFrame, detections: DataFrame) -> DataFrame:

@@ -588,3 +588,42 @@ def test_pixels_of_one_size_are_transformed_together():
         got = pixels._transformed(batch, transform)
         assert got["image_id"].to_pylist() == list("abcde")
         assert got["pixels"].to_pylist() == [pixels.transform_pixels(i, transform).tobytes() for i in images] + [None]
+
+
+def test_compared_files_read_each_image_once(spark, tmp_path):
+    """Three runs of a detector over images that are decoded once, in batches of the sizes asked for; a result may be a dict of columns."""
+    import uuid
+
+    import numpy as np
+
+    from boxtide.operators import inference
+
+    for where in ("images", "decoded", "asked"):
+        (tmp_path / where).mkdir()
+    for k in range(70):
+        (tmp_path / "images" / f"i{k:03d}.raw").write_bytes(bytes([k]))
+    paths = spark.createDataFrame([(f"i{k:03d}", f"file://{tmp_path}/images/i{k:03d}.raw") for k in range(70)], "image_id string, path string").repartition(5)
+    decoded, asked = str(tmp_path / "decoded"), str(tmp_path / "asked")
+
+    def decode(content):
+        open(f"{decoded}/{uuid.uuid4().hex}", "w").close()
+        return np.full((2, 3, 1), content[0], np.uint8)
+
+    def detector(batch, told=False):
+        open(f"{asked}/{len(batch)}-{batch.batch_id.iloc[0]}-{uuid.uuid4().hex}", "w").close()
+        n, x = len(batch), np.array([p[0, 0, 0] for p in batch.pixels], float)
+        assert batch.index.tolist() == batch.place.tolist() and set(batch.width) == {3} and set(batch.height) == {2}
+        return {"image_id": batch.image_id.tolist(), "det_index": [0] * n, "x1": x, "y1": x, "x2": x + (n if told else 1), "y2": x + 1, "pred_class": [1] * n, "class_scores": [[0.0, 1.0]] * n, "confidence": [1.0] * n}
+
+    sizes = {"eight": 8, "thirty-two": 32, "again": 8}
+    got = {r.run: r for r in inference.compared_files(paths, decode, detector, sizes, 32).collect()}
+    assert {k: (r.n_boxes, r.same) for k, r in got.items()} == {k: (70, True) for k in sizes}
+    assert len(list((tmp_path / "decoded").iterdir())) == 70
+    calls = sorted(p.name.rpartition("-")[0] for p in (tmp_path / "asked").iterdir())
+    assert calls == sorted([f"8-{b}" for b in range(8)] * 2 + ["6-8"] * 2 + ["32-0", "32-1", "6-2"])
+    alone = inference.run_digest(inference.detect_files(paths, decode, detector, 0, 8, 32)).first()
+    assert (got["eight"].n_boxes, got["eight"].digest) == (alone.n_boxes, alone.digest)
+    told = {r.run: r.same for r in inference.compared_files(paths, decode, lambda b: detector(b, True), sizes, 32).collect()}
+    assert told == {"eight": True, "thirty-two": False, "again": True}
+    none = inference.compared_files(paths, decode, lambda b: {c: [] for c in inference.RESULT}, sizes, 32).collect()
+    assert {(r.run, r.n_boxes, r.digest, r.same) for r in none} == {(k, 0, "0", True) for k in sizes}
